@@ -74,9 +74,10 @@ def main(argv):
 
     sf = argv[0]
     picks = argv[1:]
-    if picks and picks[0].startswith("@"):
-        registry.MODULES[:] = picks.pop(0)[1:].split(",")
-    loaded = registry.load_all()
+    wanted = picks.pop(0)[1:].split(",") if picks and picks[0].startswith("@") else None
+    loaded = registry.load_all(wanted)
+    if wanted:
+        loaded = {n: q for n, q in loaded.items() if q.run.__module__.rsplit(".", 1)[1] in wanted}
     spark = get_spark("oracle")
     spark.sparkContext.setLogLevel("ERROR")
     if "ROWS_PER_TASK" in os.environ:

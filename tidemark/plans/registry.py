@@ -31,10 +31,10 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return add
 
 
-def load_all() -> dict[str, Query]:
+def load_all(modules: list[str] | None = None) -> dict[str, Query]:
     import importlib
 
-    for module in MODULES:
+    for module in modules or MODULES:
         importlib.import_module(f"tidemark.plans.{module}")
     return QUERIES
 

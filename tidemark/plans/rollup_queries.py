@@ -125,8 +125,7 @@ LINES_S = LINES.replace("l_linestatus AS status,", "l_linestatus AS status, l_su
  SELECT pf.*, s.c = a.c AND s.t = a.t AND s.v = a.v AS reconciled FROM pf JOIN s USING (dimension), a""",
 )
 def _(spark, sf):
-    rows = line_spans(spark, sf).withColumnsRenamed({})
-    rows = rows.withColumn("supplier", F.split("span_id", "-").getItem(2))
+    rows = line_spans(spark, sf).withColumn("supplier", F.split("span_id", "-").getItem(2))
     profile = ru.grouped_profile(
         rows,
         ["phase", "status", "supplier"],
@@ -395,7 +394,7 @@ def _(spark, sf):
 
 @query(
     "workload_complexity",
-    """SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> ''))) AS BIGINT) AS tokens FROM conversations GROUP BY ROLLUP (conv_id)""",
+    """SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))) AS BIGINT) AS tokens FROM conversations GROUP BY ROLLUP (conv_id)""",
 )
 def _(spark, sf):
     return ru.workload_complexity(turns(spark, sf), "conv_id", "text")
@@ -441,7 +440,7 @@ def _(spark, sf):
 
 @query(
     "vector_bag_compare",
-    f"""WITH {LINES}, b AS (SELECT phase, quantity*100000+price AS h, count(*) FILTER (status='O') AS ca, count(*) FILTER (status='F') AS cb FROM lines GROUP BY ALL)
+    f"""WITH {LINES}, b AS (SELECT phase, concat_ws('|', quantity, price) AS h, count(*) FILTER (status='O') AS ca, count(*) FILTER (status='F') AS cb FROM lines GROUP BY ALL)
  SELECT phase, CAST(sum(ca) AS BIGINT) AS total_a, CAST(sum(cb) AS BIGINT) AS total_b, count(*) FILTER (ca>0) AS distinct_a, count(*) FILTER (cb>0) AS distinct_b, count(*) FILTER (ca>0 AND cb>0) AS shared, count(*) FILTER (ca>0 AND cb=0) AS only_a, count(*) FILTER (ca=0 AND cb>0) AS only_b, bool_and(ca=cb) AS bag_equal FROM b GROUP BY 1""",
 )
 def _(spark, sf):
@@ -495,11 +494,11 @@ def _(spark, sf):
 @query(
     "request_service_summary",
     f"""WITH {REQ} SELECT stream, count(*) AS submitted, count(*) FILTER (request_kind='click') AS n_click, count(*) FILTER (request_kind='view') AS n_view, CAST(sum(cents) AS BIGINT) AS token_total,
- quantile_cont(terminal_ns-start_ns,0.5)//1000 AS p50_us, quantile_cont(terminal_ns-start_ns,0.95)//1000 AS p95_us, count(terminal_ns) AS complete FROM req GROUP BY 1""",
+ round(quantile_cont(terminal_ns-start_ns,0.5)/1e6,3) AS p50_ms, round(quantile_cont(terminal_ns-start_ns,0.95)/1e6,3) AS p95_ms, count(terminal_ns) AS complete FROM req GROUP BY 1""",
 )
 def _(spark, sf):
     out = ru.request_service_summary(requests(spark, sf), ["stream"], ["click", "view"], "request_kind", "cents", "start_ns", "terminal_ns")
-    return out.withColumns({c[:-3] + "_us": F.floor(F.col(c) / 1000).cast("double") for c in ("p50_ns", "p95_ns")}).drop("p50_ns", "p95_ns")
+    return out.withColumns({c[:-3] + "_ms": F.round(F.col(c) / 1e6, 3) for c in ("p50_ns", "p95_ns")}).drop("p50_ns", "p95_ns")
 
 
 @query(
