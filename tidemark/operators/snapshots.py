@@ -193,3 +193,11 @@ def candidate_list_diff(requested: DataFrame, expected: DataFrame, keys: Sequenc
     steps = ordered_scan(shared, keys, ["_pa", "_pb"], lag={"_before": "_pb"}).groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("_before") > F.col("_pb"), F.lit(False))).alias("common_order_changed"))
     rows = slots.join(members, list(keys)).join(steps, list(keys), "left").fillna(False, ["common_order_changed"])
     return rows.withColumn("order_changed", ~F.col("membership_changed") & (F.col("substitutions") > 0))
+
+
+def union_streams(streams: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Several producers' rows on one timeline per key, numbered; columns a producer lacks are NULL."""
+    rows = streams[0]
+    for s in streams[1:]:
+        rows = rows.unionByName(s, allowMissingColumns=True)
+    return ordered_scan(rows, keys, list(order), rank="position")
