@@ -18,7 +18,8 @@ from tidemark.streaming.runs import append_to_end, run_available, update_to_end
 def streamed(spark, sf):
     """The events table as a stream."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    # A pattern reads the table whether it is one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def staged(spark, rows, label: str) -> str:
@@ -89,9 +90,10 @@ RELEASE = f"""{EV}, ar AS (SELECT stream, seq, publish_ns FROM ev WHERE event_id
 def _(spark, sf):
     e = F.col("event_id")
     rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns").filter(e % 97 != 5)
-    twice = rows.unionByName(rows.filter(e % 23 == 0).withColumn("publish_ns", F.col("publish_ns") + 1)).drop("event_id")
+    twice = rows.unionByName(rows.filter(e % 23 == 0).withColumn("publish_ns", F.col("publish_ns") + 1000))
+    twice = twice.select("stream", "seq", F.timestamp_micros(F.floor(F.col("publish_ns") / 1000)).alias("at"))
     path = staged(spark, twice, "release")
-    stream = so.source_ordered_release(spark.readStream.schema(twice.schema).parquet(path), "stream", "seq", "publish_ns", block=BLOCK, timeout_ms=3_600_000)
+    stream = so.source_ordered_release(spark.readStream.schema(twice.schema).parquet(path), "stream", "seq", "at", block=BLOCK, delay="1 hour", timeout_ms=10**12)
     out, checkpoint = fresh_path(spark, "release-out"), fresh_path(spark, "release-checkpoint")
     run_available(stream, out, checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
@@ -100,13 +102,13 @@ def _(spark, sf):
 @query(
     "frontier_state_check",
     f"""WITH {EV}, s AS (SELECT stream, seq, event_id, publish_ns, unnest(['INTENT','PREPARE','PREPARED','BIND','COMMIT','PUBLISHED']) AS state, unnest([1,2,3,4,5,6]) AS k FROM ev),
- l AS (SELECT stream, seq, publish_ns*10 + k AS t, state, k FROM s WHERE NOT (event_id % 29 = 3 AND k = 3)),
+ l AS (SELECT stream, seq, publish_ns//1000*10 + k AS t, state, k FROM s WHERE NOT (event_id % 29 = 3 AND k = 3)),
  a AS (SELECT *, lag(k) OVER (PARTITION BY stream, seq ORDER BY t) AS f, coalesce(sum(CASE WHEN k=6 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS pb FROM l),
  g AS (SELECT stream, seq, state, CASE WHEN k <> coalesce(f,0)+1 THEN 'INVALID_TRANSITION' WHEN k IN (4,6) AND pb <> seq THEN 'NOT_AT_FRONTIER' END AS finding FROM a) SELECT * FROM g WHERE finding IS NOT NULL""",
 )
 def _(spark, sf):
     steps = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(i).cast("long").alias("k")) for i, s in enumerate(so.STATES) if i])
-    log = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns", F.explode(steps).alias("s")).select("stream", "seq", "event_id", (F.col("publish_ns") * 10 + F.col("s.k")).alias("t"), "s.state", "s.k")
+    log = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns", F.explode(steps).alias("s")).select("stream", "seq", "event_id", (F.floor(F.col("publish_ns") / 1000) * 10 + F.col("s.k")).alias("t"), "s.state", "s.k")
     log = log.filter(~((F.col("event_id") % 29 == 3) & (F.col("k") == 3))).select("stream", "seq", "t", "state")
     return so.frontier_state_check(log, ["stream"], "seq", "state", ["t"])
 

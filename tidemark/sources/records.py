@@ -21,17 +21,17 @@ def is_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """JSON array or JSON lines, by the first character: ``(records, corrupt lines)``."""
+    """JSON array or JSON lines, by the first character: ``(records, texts that could not be read)``.
+
+    Lines are split over tasks; a file that is one array cannot be, and is read by one.
+    """
+    if is_json_array(spark, path):
+        arrays = spark.read.text(path, wholetext=True).withColumn("_r", F.from_json("value", T.ArrayType(schema)))
+        return arrays.select(F.explode("_r").alias("_r")).select("_r.*"), arrays.filter(F.col("_r").isNull()).select("value")
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    multi = is_json_array(spark, path)
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=multi)
-    lines = spark.read.text(path) if not multi else None
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    if lines is None:
-        return good, rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value"))
-    parsed = lines.filter(F.trim("value") != "")
-    bad = parsed.filter(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})[CORRUPT].isNotNull())
-    return good, bad
+    parsed = spark.read.text(path).filter(F.trim("value") != "").withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    broken = F.col(f"_r.{CORRUPT}").isNotNull()
+    return parsed.filter(~broken).select("_r.*").drop(CORRUPT), parsed.filter(broken).select("value")
 
 
 def read_corpus_records(spark: SparkSession, path: str, record: T.StructType, *, source: str = "*") -> DataFrame:

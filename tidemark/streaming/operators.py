@@ -49,11 +49,11 @@ def lifecycle_batch(events: DataFrame, keys: Sequence[str], event: str, ts: str,
 # --- source-ordered release ---
 
 
-def source_ordered_release(rows: DataFrame, stream: str, seq: str, arrival: str, *, block: int, timeout_ms: int) -> DataFrame:
+def source_ordered_release(rows: DataFrame, stream: str, seq: str, event_time: str, *, block: int, delay: str, timeout_ms: int) -> DataFrame:
     """Release each block of a stream's sequence in order: ``stream, block, seq, release_status, release_order``.
 
-    A row waits until all earlier ones of its block are there. Repeats are DUPLICATE; a gap that outlasts the timeout is
-    reported as MISSING, never skipped over in silence. State is kept per (stream, block of sequence numbers), so a hot
+    A row waits until all earlier ones of its block are there. Repeats are DUPLICATE; a gap still open when event time has
+    passed ``timeout_ms`` beyond the block's latest row is reported as MISSING, never skipped over in silence. State is kept per (stream, block of sequence numbers), so a hot
     stream spreads over many tasks; ``release_frontier`` joins the blocks of a stream to one order.
     """
     out = f"{stream} bigint, block bigint, {seq} bigint, release_status string, release_order bigint"
@@ -63,15 +63,15 @@ def source_ordered_release(rows: DataFrame, stream: str, seq: str, arrival: str,
         first = part * block
         if state.hasTimedOut:
             due, waiting = state.get
-            gaps = [s for s in range(due, max(waiting, default=due)) if s not in set(waiting)]
-            state.remove()
+            there = set(waiting)
+            gaps = [s for s in range(due, max(waiting, default=due)) if s not in there]
+            state.update((due, list(waiting)))
             yield pd.DataFrame({stream: owner, "block": part, seq: gaps, "release_status": "MISSING", "release_order": -1})
             return
         due, waiting = state.get if state.exists else (first, [])
         pending = set(waiting)
         found: list[tuple[int, str, int]] = []
-        frames = [b for b in batches]
-        arrived = pd.concat(frames).sort_values([arrival, seq]) if frames else pd.DataFrame({seq: []})
+        arrived = pd.concat(list(batches)).sort_values([event_time, seq])
         for s in arrived[seq].tolist():
             if s < due or s in pending:
                 found.append((s, "DUPLICATE", -1))
@@ -83,11 +83,13 @@ def source_ordered_release(rows: DataFrame, stream: str, seq: str, arrival: str,
                 due += 1
         state.update((due, sorted(pending)))
         if pending:
-            state.setTimeoutDuration(timeout_ms)
+            newest = int(arrived[event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_ms)
         yield pd.DataFrame([(owner, part, s, st, o) for s, st, o in found], columns=[stream, "block", seq, "release_status", "release_order"])
 
-    keyed = rows.withColumn("block", F.floor(F.col(seq) / block)).select(F.col(stream).cast("long").alias(stream), "block", F.col(seq).cast("long").alias(seq), arrival)
-    return keyed.groupBy(stream, "block").applyInPandasWithState(advance, out, "due bigint, waiting array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withWatermark(event_time, delay).withColumn("block", F.floor(F.col(seq) / block))
+    keyed = timed.select(F.col(stream).cast("long").alias(stream), "block", F.col(seq).cast("long").alias(seq), event_time)
+    return keyed.groupBy(stream, "block").applyInPandasWithState(advance, out, "due bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def release_frontier(released: DataFrame, stream: str, seq: str) -> DataFrame:
