@@ -17,30 +17,29 @@ def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]), 256)
 
 
-def _lane(digest: Column, at: int) -> Column:
-    """Fifteen hex digits of a digest as a number."""
-    return F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")
+# Where the 48-bit pieces of a SHA-256 start; each gives two lanes of 24 bits.
+_PIECES = (1, 13, 25)
+_LOW = (1 << 24) - 1
 
 
 def multiset_digest(value: Column) -> Column:
     """Aggregate: a digest of all values that no order of rows can change.
 
-    Three 60-bit lanes of each row's SHA-256 are summed, so partial sums combine map-side and no group is collected.
+    Six 24-bit lanes of each row's SHA-256 are summed as longs, so partial sums combine map-side and no group is
+    collected; 2^39 rows of a group fit a lane.
     """
     digest = F.sha2(value.cast("string"), 256)
-    lanes = [F.sum(_lane(digest, at)).cast("string") for at in (1, 16, 31)]
+    lanes = []
+    for at in _PIECES:
+        piece = F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
+        lanes += [F.sum(piece.bitwiseAND(_LOW)).cast("string"), F.sum(F.shiftright(piece, 24)).cast("string")]
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *lanes), 256)
 
 
-MULTISET_DIGEST_SQL = (
-    "sha256(concat_ws('|', CAST(count(*) AS VARCHAR), "
-    + ", ".join(f"CAST(CAST(sum(CAST(('0x' || substr(sha256(X),{at},15)) AS BIGINT)) AS HUGEINT) AS VARCHAR)" for at in (1, 16, 31))
-    + "))"
-)
-
-
 def multiset_digest_sql(expression: str) -> str:
-    return MULTISET_DIGEST_SQL.replace("X", expression)
+    piece = lambda at: f"CAST(('0x' || substr(sha256({expression}),{at},12)) AS BIGINT)"
+    lanes = [f"CAST(sum({piece(at)} {cut}) AS VARCHAR)" for at in _PIECES for cut in (f"& {_LOW}", ">> 24")]
+    return f"sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {', '.join(lanes)}))"
 
 
 def draw_index(seed: int, n: Column, *parts: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.measures import ratio
 from tidemark.operators.intervals import clip, exclusive_duration
-from tidemark.operators.ordered import Running, ordered_scan
+from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
-from tidemark.session import cut_lineage
+from tidemark.session import cut_counting, cut_lineage
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level") -> DataFrame:
@@ -24,26 +24,25 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, sou
 
     Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values.
     """
-    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
+    links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct(), "dag-edges")
     known = nodes.select(graph, F.col(node).alias("_s"))
     indegree = links.join(known, [graph, "_s"], "left_semi").groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in"))
     start = nodes.join(indegree, [graph, node], "left").select(
         *nodes.columns, F.coalesce("_in", F.lit(0)).cast("long").alias("_in"), F.lit(None).cast("int").alias(level), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()]
     )
     names = list(bases)
-    state = cut_lineage(start, "dag")
+    free = F.count_if(F.col(level).isNull() & (F.col("_in") == 0))
+    state, left = cut_counting(start, "dag", free)
     finished: list[DataFrame] = []
     depth = 0
-    while True:
+    while left:
         ready = state.filter(F.col(level).isNull() & (F.col("_in") == 0))
-        if ready.isEmpty():
-            break
         done = ready.withColumn(level, F.lit(depth)).withColumns({f"_b_{n}": F.col(f"_b_{n}") + F.col(service) for n in names})
         sent = done.select(graph, F.col(node).alias("_s"), *[f"_b_{n}" for n in names]).join(links, [graph, "_s"])
         mail = sent.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_k"), *[F.max(f"_b_{n}").alias(f"_m_{n}") for n in names])
         waiting = state.filter(F.col(level).isNull() & (F.col("_in") > 0)).join(mail, [graph, node], "left")
         moved = waiting.withColumns({"_in": F.col("_in") - F.coalesce("_k", F.lit(0)), **{f"_b_{n}": F.greatest(f"_b_{n}", f"_m_{n}") for n in names}}).select(*state.columns)
-        state = cut_lineage(moved.unionByName(done.select(*state.columns)), "dag")
+        state, left = cut_counting(moved.unionByName(done.select(*state.columns)), "dag", free)
         finished.append(state.filter(F.col(level).isNotNull()))
         depth += 1
     out = state.filter(F.col(level).isNull()).withColumns({f"_b_{n}": F.lit(None).cast("long") for n in names})
@@ -58,8 +57,8 @@ def reach(starts: DataFrame, edges: DataFrame, graph: str, start: str, source: s
     A node already reached is never expanded again. The output is one row per start and reached node, so pick starts
     whose reaches do not all overlap (roots of a forest, single operators), as a caller of the closure must.
     """
-    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
-    frontier = cut_lineage(starts.select(graph, start, F.col(start).alias("node"), F.lit(0).alias("distance")), "reach")
+    links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct(), "reach-edges")
+    frontier = starts.select(graph, start, F.col(start).alias("node"), F.lit(0).alias("distance"))
     parts: list[DataFrame] = []
     depth = 0
     while True:
@@ -67,8 +66,8 @@ def reach(starts: DataFrame, edges: DataFrame, graph: str, start: str, source: s
         step = frontier.withColumnRenamed("node", "_s").join(links, [graph, "_s"]).select(graph, start, F.col("_t").alias("node"), F.lit(depth).alias("distance")).distinct()
         for seen in parts:
             step = step.join(seen.select(graph, start, "node"), [graph, start, "node"], "left_anti")
-        frontier = cut_lineage(step.filter(F.col("node") != F.col(start)), "reach")
-        if frontier.isEmpty():
+        frontier, found = cut_counting(step.filter(F.col("node") != F.col(start)), "reach", F.count(F.lit(1)))
+        if not found:
             break
         parts.append(frontier)
     out = frontier
@@ -117,7 +116,8 @@ def span_tree_critical_path(spans: DataFrame, keys: Sequence[str], span: str, pa
     """
     keys = list(keys)
     own = exclusive_duration(spans, keys, span, parent, start, end, "_own")
-    base = spans.select(*keys, span, parent, start, end).join(own, [*keys, span])
+    base = cut_lineage(spans.select(*keys, span, parent, start, end).join(own, [*keys, span]), "tree")
+    hot = largest_group(spans.filter(F.col(parent).isNotNull()), [*keys, parent])
     level = cut_lineage(base.filter(F.col(parent).isNull()).withColumn("_d", F.lit(0)), "tree")
     levels = []
     rest = base.filter(F.col(parent).isNotNull())
@@ -135,9 +135,9 @@ def span_tree_critical_path(spans: DataFrame, keys: Sequence[str], span: str, pa
             frame = at.select(*keys, F.col(span).alias(parent), F.col(start).alias("_ps"), F.col(end).alias("_pe"))
             kids = clip(below.join(frame, [*keys, parent]), start, end, F.col("_ps"), F.col("_pe")).filter(F.col(start) < F.col(end))
             order = [start, end, span]
-            seen = ordered_scan(kids, [*keys, parent], order, running={"_seen": Running("max", F.col(end), False)})
+            seen = ordered_scan(kids, [*keys, parent], order, running={"_seen": Running("max", F.col(end), False)}, hot=hot)
             opens = F.when(F.col("_seen").isNull() | (F.col(start) >= F.col("_seen")), 1).otherwise(0)
-            group = ordered_scan(seen.withColumn("_o", opens), [*keys, parent], order, running={"_c": Running("sum", F.col("_o"))})
+            group = ordered_scan(seen.withColumn("_o", opens), [*keys, parent], order, running={"_c": Running("sum", F.col("_o"))}, hot=hot)
             per = group.groupBy(*keys, parent, "_c").agg(F.max("critical_path").alias("_m")).groupBy(*keys, F.col(parent).alias(span)).agg(F.sum("_m").alias("_kids"))
             paths = at.join(per, [*keys, span], "left").withColumn("critical_path", F.col("_own") + F.coalesce("_kids", F.lit(0))).drop("_kids")
         below = cut_lineage(paths, "tree")

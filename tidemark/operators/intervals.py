@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Running, ordered_scan, sweep
+from tidemark.operators.ordered import Running, largest_group, ordered_scan, sweep
 
 
 def longest_per_start(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -66,7 +66,9 @@ def exclusive_duration(
         .select(*keys, F.col(parent_id).alias(span_id), start, end)
         .join(parents, [*keys, span_id])
     )
-    covered = interval_union(clip(children, start, end, F.col("_ps"), F.col("_pe")), [*keys, span_id], start, end, "_cov")
+    # Children per parent are counted on the spans themselves, before the join that cuts them.
+    hot = largest_group(spans.filter(F.col(parent_id).isNotNull()), [*keys, parent_id])
+    covered = interval_union(clip(children, start, end, F.col("_ps"), F.col("_pe")), [*keys, span_id], start, end, "_cov", hot=hot)
     return parents.join(covered, [*keys, span_id], "left").select(
         *keys, span_id, (F.col("_pe") - F.col("_ps") - F.coalesce("_cov", F.lit(0))).alias(out)
     )

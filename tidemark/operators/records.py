@@ -223,10 +223,12 @@ def conflict_signature(nodes: DataFrame, edges: DataFrame, unit: str, namespace:
     distinct = lambda df, cols, out: df.select(unit, *cols).distinct().groupBy(unit).agg(F.count(F.lit(1)).alias(f"n_{out}"), multiset_digest(F.concat_ws("|", *cols)).alias(f"{out}_digest"))
     ends = edges.select(unit, F.explode(F.array(source, target)).alias(node))
     found = ends.join(named.select(unit, node, "_name").distinct(), [unit, node], "left")
-    flags = canon.groupBy(unit).agg((F.min(namespace) != F.max(namespace)).alias("_mixed"), F.bool_or(F.col("_name") == "").alias("_blank"), (F.count(node) != F.countDistinct(node)).alias("_twice"))
+    flags = canon.groupBy(unit).agg((F.min(namespace) != F.max(namespace)).alias("_mixed"), F.bool_or(F.col("_name") == "").alias("_blank"))
+    repeats = nodes.groupBy(unit, node).agg(F.count(F.lit(1)).alias("_n")).groupBy(unit).agg((F.max("_n") > 1).alias("_twice"))
     loose = found.groupBy(unit).agg(F.bool_or(F.col("_name").isNull()).alias("_loose"))
     rows = (
-        flags.join(distinct(named, ["_name"], "names"), unit, "left")
+        flags.join(repeats, unit, "left")
+        .join(distinct(named, ["_name"], "names"), unit, "left")
         .join(distinct(named, ["_name", label], "types"), unit, "left")
         .join(distinct(found.filter(F.col("_name").isNotNull()), ["_name"], "endpoints"), unit, "left")
         .join(loose, unit, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.measures import ratio
 from tidemark.functions.text import collapse_whitespace
 from tidemark.functions.vectors import cosine_score, norm, prefix_number
-from tidemark.operators.ordered import Running, ordered_scan
+from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
 
 SCORE_DIGITS = 9
@@ -68,7 +68,7 @@ def bm25_topk(
     scores = hits.groupBy(*keys, doc).agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     wanted = docs.select(*keys, doc).join(questions.select(*keys).distinct(), keys, "left_semi")
     ranked = wanted.join(scores, [*keys, doc], "left").fillna(0.0, ["score"]).withColumn("_neg", -F.col("score"))
-    return ordered_scan(ranked, keys, ["_neg", doc], rank="rank").drop("_neg").filter(F.col("rank") <= limit)
+    return ordered_scan(ranked, keys, ["_neg", doc], rank="rank", hot=largest_group(docs, keys)).drop("_neg").filter(F.col("rank") <= limit)
 
 
 def expand_with_next_turn(hits: DataFrame, turns: DataFrame, keys: Sequence[str], turn: str, text: str) -> DataFrame:
@@ -77,14 +77,14 @@ def expand_with_next_turn(hits: DataFrame, turns: DataFrame, keys: Sequence[str]
     return hits.join(pairs, [*keys, turn], "left")
 
 
-def rrf_fusion(rankings: Sequence[DataFrame], query: Sequence[str], item: str, rank: str, *, rank_const: int = 1, limit: int = 10) -> DataFrame:
+def rrf_fusion(rankings: Sequence[DataFrame], query: Sequence[str], item: str, rank: str, *, rank_const: int = 1, limit: int = 10, hot: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion: ``sum 1 / (rank - 1 + rank_const)`` over the lists, ties by item. ``item`` is numeric."""
     rows = None
     for r in rankings:
         part = r.select(*query, item, (1.0 / (F.col(rank) - 1 + rank_const)).alias("_s"))
         rows = part if rows is None else rows.unionByName(part)
     fused = rows.groupBy(*query, item).agg(F.round(F.sum("_s"), SCORE_DIGITS).alias("score")).withColumn("_neg", -F.col("score"))
-    return ordered_scan(fused, query, ["_neg", item], rank="rank").drop("_neg").filter(F.col("rank") <= limit)
+    return ordered_scan(fused, query, ["_neg", item], rank="rank", hot=hot).drop("_neg").filter(F.col("rank") <= limit)
 
 
 def retrieval_bundle(ranked: DataFrame, provenance: DataFrame, query: Sequence[str], item: str, namespace: str, session: str) -> DataFrame:

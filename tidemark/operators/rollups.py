@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.digests import multiset_digest
 from tidemark.functions.measures import amdahl, ratio
 from tidemark.operators.intervals import active_levels, clip, interval_union
-from tidemark.operators.ordered import ordered_scan
+from tidemark.operators.ordered import largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
 from tidemark.operators.statistics import distribution_summary
 
@@ -224,8 +224,9 @@ def opportunity_bounds(roots: DataFrame, spans: DataFrame, keys: Sequence[str],
     """Lower and upper parallel share of each root from unions of its clipped spans, with speedup bounds."""
     frame = roots.select(*keys, F.col(start).alias("_lo"), F.col(end).alias("_hi"))
     inside = clip(spans.join(frame, list(keys)), start, end, F.col("_lo"), F.col("_hi"))
-    low = interval_union(inside.filter(sure), keys, start, end, "lower_ns")
-    high = interval_union(inside.filter(sure | possible), keys, start, end, "upper_ns")
+    hot = largest_group(spans, keys)
+    low = interval_union(inside.filter(sure), keys, start, end, "lower_ns", hot=hot)
+    high = interval_union(inside.filter(sure | possible), keys, start, end, "upper_ns", hot=hot)
     rows = (
         frame.select(*keys, (F.col("_hi") - F.col("_lo")).alias("total_ns"))
         .filter("total_ns > 0")
@@ -244,8 +245,9 @@ def dependency_class_time(roots: DataFrame, spans: DataFrame, rules: DataFrame,
     """
     frame = roots.select(*keys, F.col(start).alias("_lo"), F.col(end).alias("_hi")).filter("_hi > _lo")
     classed = clip(spans.join(rules, phase).join(frame, list(keys)), start, end, F.col("_lo"), F.col("_hi"))
-    by_class = interval_union(classed, [*keys, "dependency_class"], start, end, "time_ns")
-    covered = interval_union(classed, keys, start, end, "_cov")
+    hot = largest_group(spans, keys)
+    by_class = interval_union(classed, [*keys, "dependency_class"], start, end, "time_ns", hot=hot)
+    covered = interval_union(classed, keys, start, end, "_cov", hot=hot)
     bare = frame.join(covered, list(keys), "left").select(*keys, F.lit(rest).alias("dependency_class"), (F.col("_hi") - F.col("_lo") - F.coalesce("_cov", F.lit(0))).alias("time_ns"))
     return by_class.unionByName(bare).groupBy(*keys, "dependency_class").agg(F.sum("time_ns").alias("time_ns"))
 

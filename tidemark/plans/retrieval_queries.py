@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import retrieval as rt
-from tidemark.operators.ordered import ordered_scan
+from tidemark.operators.ordered import largest_group, ordered_scan
 from tidemark.plans.inputs import EV, LINES, RUNS, lifecycle, line_spans, runs, sequenced, table, turns
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import rounded
@@ -67,7 +67,8 @@ FUSED = """rc AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id
 def fused(spark, sf):
     recent = turns(spark, sf).filter("role = 'user'").select("conv_id", "turn", (-F.col("turn")).alias("_b"))
     recent = ordered_scan(recent, ["conv_id"], ["_b"], rank="rank")
-    return rt.rrf_fusion([bm25(spark, sf), recent], ["conv_id"], "turn", "rank")
+    longest = largest_group(turns(spark, sf), ["conv_id"])
+    return rt.rrf_fusion([bm25(spark, sf), recent], ["conv_id"], "turn", "rank", hot=10 + longest)
 
 
 @query("rrf_fusion", f"WITH {BM25}, {FUSED} SELECT conv_id, turn, round(score,6) AS score, rank FROM fr WHERE rank <= 10")

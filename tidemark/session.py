@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app: str = "tidemark", cores: str | int | None = None, shuffle_partitions: int = 8) -> SparkSession:
@@ -47,3 +47,9 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, label: str, count: Column) -> tuple[DataFrame, int]:
+    """As :func:`cut_lineage`, with an aggregate observed while the rows are written, so no second job is needed."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, count.alias("n")), label), int(seen.get["n"] or 0)
