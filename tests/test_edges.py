@@ -129,6 +129,18 @@ def test_cycle_and_lone_node(spark):
     assert got == {0: 0, 1: None, 2: None, 3: 0, 4: 0}
 
 
+def test_graphs_in_tasks_and_by_levels_agree(spark):
+    nodes = spark.range(400).select((F.col("id") % 7).alias("g"), F.col("id").alias("n"), (F.col("id") % 13).alias("w"))
+    far = nodes.select("g", F.col("n").alias("a"), (F.col("n") + 7 * (1 + F.col("n") % 3)).alias("b"))
+    near = nodes.select("g", F.col("n").alias("a"), (F.col("n") + 70).alias("b"))
+    edges = far.unionByName(near).unionByName(nodes.filter("n = 350").select("g", F.col("n").alias("a"), (F.col("n") - 70).alias("b"))).filter("b < 400")
+    run = lambda limit: sorted(tuple(r) for r in dag.longest_paths(nodes, edges, "g", "n", "a", "b", "w", {"f": F.col("n") % 5, "z": F.lit(0)}, graph_rows=limit).fillna(-1).collect())
+    whole = run(10**6)
+    # At 160 rows some graphs are small and some go by levels; at 0 all go by levels.
+    assert whole == run(160) == run(0)
+    assert any(r[3] == -1 for r in whole) and max(r[3] for r in whole) > 5
+
+
 def test_diamond_slack(spark):
     nodes = spark.createDataFrame([("g", 0, 5, 0, False), ("g", 1, 10, 0, False), ("g", 2, 3, 0, False), ("g", 3, 1, 0, True)], "g string, n bigint, w bigint, r bigint, sink boolean")
     edges = spark.createDataFrame([("g", 0, 1), ("g", 0, 2), ("g", 1, 3), ("g", 2, 3)], "g string, a bigint, b bigint")

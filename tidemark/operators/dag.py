@@ -1,14 +1,15 @@
 """Passes over many graphs at once: nodes and edges are tables with a graph key, every level is one join for all graphs.
 
-A pass keeps one state row per unfinished node. The finished ones send their value along their edges, messages are
-combined before they shuffle, and each level's state is written to the shared folder, so the plan stays short and lost
-executors cost one level.
+A pass by levels keeps one state row per unfinished node. The finished ones send their value along their edges, messages
+are combined before they shuffle, and each level's state is written to the shared folder, so the plan stays short and
+lost executors cost one level. Graphs of a checked small size are finished inside one task each instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +20,67 @@ from tidemark.operators.quantiles import LINEAR, exact_quantiles
 from tidemark.session import cut_counting, cut_lineage
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level") -> DataFrame:
+# Nodes or edges of one graph that a single task may hold.
+GRAPH_ROWS_PER_TASK = 200_000
+
+
+def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level", graph_rows: int = GRAPH_ROWS_PER_TASK) -> DataFrame:
     """Level of every node and, per entry of ``bases``, ``service + max(base, largest value of a predecessor)``.
 
-    Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values.
+    Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values. Graphs that fit a
+    task are each finished inside one, so many small graphs cost one shuffle; larger ones go level by level.
     """
-    links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct(), "dag-edges")
-    known = nodes.select(graph, F.col(node).alias("_s"))
-    indegree = links.join(known, [graph, "_s"], "left_semi").groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in"))
+    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
+    links = links.join(nodes.select(graph, F.col(node).alias("_s")), [graph, "_s"], "left_semi")
+    links = links.join(nodes.select(graph, F.col(node).alias("_t")), [graph, "_t"], "left_semi").select(graph, "_s", "_t")
+    sizes = nodes.select(graph).unionByName(edges.select(graph)).groupBy(graph).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= graph_rows:
+        return _in_tasks(nodes, links, graph, node, service, bases, level)
+    large = cut_lineage(sizes.filter(F.col("_n") > graph_rows).select(graph), "dag-large")
+    part = lambda df, how: df.join(large, graph, how)
+    small = _in_tasks(part(nodes, "left_anti"), part(links, "left_anti"), graph, node, service, bases, level)
+    return small.unionByName(_by_levels(part(nodes, "left_semi"), part(links, "left_semi"), graph, node, service, bases, level))
+
+
+def _in_tasks(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str) -> DataFrame:
+    names = list(bases)
+    kind = lambda c: nodes.schema[c].dataType.simpleString()
+    shape = f"{graph} {kind(graph)}, {node} {kind(node)}, {level} int, " + "".join(f"{n} bigint, " for n in names)
+
+    def finish(points: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        after = arcs.groupby("_s")["_t"].apply(list).to_dict() if len(arcs) else {}
+        open_in = points[node].map(arcs["_t"].value_counts()).fillna(0).astype(int)
+        waiting = dict(zip(points[node], open_in))
+        cost = dict(zip(points[node], points[service]))
+        best = {n: dict(zip(points[node], points[f"_b_{n}"])) for n in names}
+        depth = {p: 0 for p, k in waiting.items() if k == 0}
+        queue = list(depth)
+        for p in queue:
+            for n in names:
+                best[n][p] += cost[p]
+            for q in after.get(p, ()):
+                for n in names:
+                    best[n][q] = max(best[n][q], best[n][p])
+                depth[q] = max(depth.get(q, 0), depth[p] + 1)
+                waiting[q] -= 1
+                if waiting[q] == 0:
+                    queue.append(q)
+        out = points[["_g", node]][points[node].isin(queue)].rename(columns={"_g": graph})
+        out[level] = out[node].map(depth).astype("int32")
+        for n in names:
+            out[n] = out[node].map(best[n]).astype("int64")
+        return out
+
+    points = nodes.select(F.col(graph).alias("_g"), node, F.col(service).cast("long").alias(service), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()])
+    # New names on both sides: they may share their source.
+    arcs = links.select(F.col(graph).alias("_h"), "_s", "_t")
+    done = points.groupBy("_g").cogroup(arcs.groupBy("_h")).applyInPandas(finish, shape.rstrip(", "))
+    return nodes.join(done, [graph, node], "left").select(*nodes.columns, level, *names)
+
+
+def _by_levels(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str) -> DataFrame:
+    links = cut_lineage(links, "dag-edges")
+    indegree = links.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in"))
     start = nodes.join(indegree, [graph, node], "left").select(
         *nodes.columns, F.coalesce("_in", F.lit(0)).cast("long").alias("_in"), F.lit(None).cast("int").alias(level), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()]
     )

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import prepare
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,7 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     def add(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = Query(fn, sql)
+        run = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+        run.__module__ = fn.__module__
+        QUERIES[name] = Query(run, sql)
         return fn
 
     return add

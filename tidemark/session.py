@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 def get_spark(app: str = "tidemark", cores: str | int | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     cores = cores or os.environ.get("BENCH_CPUS") or "*"
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +25,16 @@ def get_spark(app: str = "tidemark", cores: str | int | None = None, shuffle_par
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on, whoever made the session.
+
+    A union that keeps its inputs' partitioning can disagree with the adaptive plan about the number of partitions and
+    then fails in a join or cogroup above it; without the setting the union is an ordinary one.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
