@@ -23,36 +23,45 @@ from tidemark.session import cut_counting, cut_lineage
 # Nodes or edges of one graph that a single task may hold.
 GRAPH_ROWS_PER_TASK = 200_000
 
+# Rows of small graphs that are handed over together.
+BUCKET_ROWS = 2_000
+
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level", graph_rows: int = GRAPH_ROWS_PER_TASK) -> DataFrame:
     """Level of every node and, per entry of ``bases``, ``service + max(base, largest value of a predecessor)``.
 
     Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values. Graphs that fit a
-    task are each finished inside one, so many small graphs cost one shuffle; larger ones go level by level.
+    task are finished inside one, several at a time, so many small graphs cost one shuffle; larger ones go level by level.
     """
     links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
     links = links.join(nodes.select(graph, F.col(node).alias("_s")), [graph, "_s"], "left_semi")
     links = links.join(nodes.select(graph, F.col(node).alias("_t")), [graph, "_t"], "left_semi").select(graph, "_s", "_t")
     sizes = nodes.select(graph).unionByName(edges.select(graph)).groupBy(graph).agg(F.count(F.lit(1)).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= graph_rows:
-        return _in_tasks(nodes, links, graph, node, service, bases, level)
+    top, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    buckets = max(1, -(-(rows or 0) // BUCKET_ROWS))
+    if (top or 0) <= graph_rows:
+        return _in_tasks(nodes, links, graph, node, service, bases, level, buckets)
     large = cut_lineage(sizes.filter(F.col("_n") > graph_rows).select(graph), "dag-large")
     part = lambda df, how: df.join(large, graph, how)
-    small = _in_tasks(part(nodes, "left_anti"), part(links, "left_anti"), graph, node, service, bases, level)
+    small = _in_tasks(part(nodes, "left_anti"), part(links, "left_anti"), graph, node, service, bases, level, buckets)
     return small.unionByName(_by_levels(part(nodes, "left_semi"), part(links, "left_semi"), graph, node, service, bases, level))
 
 
-def _in_tasks(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str) -> DataFrame:
+def _in_tasks(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str, buckets: int) -> DataFrame:
     names = list(bases)
     kind = lambda c: nodes.schema[c].dataType.simpleString()
     shape = f"{graph} {kind(graph)}, {node} {kind(node)}, {level} int, " + "".join(f"{n} bigint, " for n in names)
 
     def finish(points: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        after = arcs.groupby("_s")["_t"].apply(list).to_dict() if len(arcs) else {}
-        open_in = points[node].map(arcs["_t"].value_counts()).fillna(0).astype(int)
-        waiting = dict(zip(points[node], open_in))
-        cost = dict(zip(points[node], points[service]))
-        best = {n: dict(zip(points[node], points[f"_b_{n}"])) for n in names}
+        # A bucket holds several graphs, so every node goes by (graph, node).
+        ids = list(zip(points["_g"], points[node]))
+        waiting = dict.fromkeys(ids, 0)
+        after: dict = {}
+        for g, p, q in zip(arcs["_h"], arcs["_s"], arcs["_t"]):
+            after.setdefault((g, p), []).append((g, q))
+            waiting[(g, q)] += 1
+        cost = dict(zip(ids, points[service]))
+        best = {n: dict(zip(ids, points[f"_b_{n}"])) for n in names}
         depth = {p: 0 for p, k in waiting.items() if k == 0}
         queue = list(depth)
         for p in queue:
@@ -65,16 +74,16 @@ def _in_tasks(nodes: DataFrame, links: DataFrame, graph: str, node: str, service
                 waiting[q] -= 1
                 if waiting[q] == 0:
                     queue.append(q)
-        out = points[["_g", node]][points[node].isin(queue)].rename(columns={"_g": graph})
-        out[level] = out[node].map(depth).astype("int32")
+        out = pd.DataFrame({graph: [p[0] for p in queue], node: [p[1] for p in queue], level: [depth[p] for p in queue]})
         for n in names:
-            out[n] = out[node].map(best[n]).astype("int64")
+            out[n] = [best[n][p] for p in queue]
         return out
 
-    points = nodes.select(F.col(graph).alias("_g"), node, F.col(service).cast("long").alias(service), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()])
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("_bucket")
+    points = nodes.select(bucket(graph), F.col(graph).alias("_g"), node, F.col(service).cast("long").alias(service), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()])
     # New names on both sides: they may share their source.
-    arcs = links.select(F.col(graph).alias("_h"), "_s", "_t")
-    done = points.groupBy("_g").cogroup(arcs.groupBy("_h")).applyInPandas(finish, shape.rstrip(", "))
+    arcs = links.select(bucket(graph).alias("_arc_bucket"), F.col(graph).alias("_h"), "_s", "_t")
+    done = points.groupBy("_bucket").cogroup(arcs.groupBy("_arc_bucket")).applyInPandas(finish, shape.rstrip(", "))
     return nodes.join(done, [graph, node], "left").select(*nodes.columns, level, *names)
 
 

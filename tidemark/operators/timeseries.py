@@ -50,7 +50,8 @@ def width_profile(
     aggs = [F.max(a).alias("peak_width"), F.sum(a * t).alias("_area")]
     aggs += [F.sum(F.when(a >= k, t).otherwise(0)).alias(f"_ge{k}") for k in thresholds]
     span = F.col("obs_end") - F.col("obs_start")
-    per_key = spent.groupBy(*keys).agg(*aggs).join(window, list(keys)) if keys else spent.agg(*aggs).crossJoin(window)
+    one = F.lit(0).alias("_one")
+    per_key = spent.groupBy(*keys, one).agg(*aggs).join(window.withColumn("_one", F.lit(0)), [*keys, "_one"])
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("threshold"), F.col(f"_ge{k}").alias("duration_ns")) for k in thresholds]))
     return per_key.select(*keys, "peak_width", ratio(F.col("_area"), span).alias("mean_width"), span.alias("window_ns"), levels.alias("_t")).select(
         *keys, "peak_width", "mean_width", "_t.threshold", "_t.duration_ns", ratio(F.col("_t.duration_ns"), F.col("window_ns")).alias("time_fraction")
