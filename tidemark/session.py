@@ -28,9 +28,10 @@ def get_spark(app: str = "tidemark", cores: str | int | None = None, shuffle_par
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on, whoever made the session.
 
-    A union that keeps its inputs' partitioning can disagree with the adaptive plan about the number of partitions and
+    Zone-free timestamps are read as UTC. A union that keeps its inputs' partitioning can disagree with the adaptive plan about the number of partitions and
     then fails in a join or cogroup above it; without the setting the union is an ordinary one.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
