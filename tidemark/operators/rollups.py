@@ -394,7 +394,7 @@ def sampler_coverage(df: DataFrame, keys: Sequence[str], ts: str, period_ns: int
     n = _n()
     sums = distinct.groupBy(*keys).agg(
         n.alias("actual_samples"),
-        (F.floor((F.max(ts) - F.min(ts)) / F.lit(period_ns)) + 1).alias("expected_samples"),
+        (F.call_function("div", F.max(ts) - F.min(ts), F.lit(period_ns)) + 1).alias("expected_samples"),
         *[ratio(_true(F.col(c)), n).alias(f"{c}_coverage") for c in available],
     )
     share = F.least(F.lit(1.0), ratio(F.col("actual_samples"), F.col("expected_samples")))

@@ -22,6 +22,11 @@ def nanos(column: str):
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
 
+def whole(column, unit: int):
+    """Integer quotient of a non-negative long. ``/`` would go through a double, which nanoseconds do not fit."""
+    return F.call_function("div", column, F.lit(unit))
+
+
 # --- lifecycles: one row per event; the wait is the first half of the time to publication ---
 
 

@@ -8,7 +8,7 @@ from tidemark.functions.digests import row_hash
 from tidemark.operators import intervals as iv
 from tidemark.operators import pairing as pr
 from tidemark.operators.ordered import ordered_scan
-from tidemark.plans.inputs import EV, LINES, lifecycle, line_spans, sequenced, table, turns
+from tidemark.plans.inputs import EV, LINES, lifecycle, line_spans, sequenced, table, turns, whole
 from tidemark.plans.interval_queries import islands_sql
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import rounded
@@ -141,7 +141,7 @@ def operations(spark, sf):
     """Operation log per (stream, kind): each event changes the value its predecessor set; the segment is the day."""
     rows = sequenced(spark, sf).withColumn("new_value", F.col("cents") % 6)
     rows = ordered_scan(rows, ["stream", "kind"], ["seq"], lag={"old_value": "new_value"})
-    return rows.select("stream", "kind", "seq", "arrival_ns", "old_value", "new_value", F.floor(F.col("arrival_ns") / 86_400_000_000_000).alias("segment"))
+    return rows.select("stream", "kind", "seq", "arrival_ns", "old_value", "new_value", whole(F.col("arrival_ns"), 86_400_000_000_000).alias("segment"))
 
 
 @query(
@@ -160,7 +160,7 @@ def _(spark, sf):
  SELECT q.stream, event_id, count(DISTINCT q.segment) AS shared_segments FROM q JOIN t USING (stream, segment) GROUP BY ALL""",
 )
 def _(spark, sf):
-    day = F.floor(F.col("arrival_ns") / 86_400_000_000_000)
+    day = whole(F.col("arrival_ns"), 86_400_000_000_000)
     questions = lifecycle(spark, sf).select("stream", "event_id", F.array(day, day + 1).alias("segments"))
     moves = operations(spark, sf).filter("old_value IS NOT NULL AND new_value = 5")
     return pr.segment_overlap_semi(questions, ["stream", "event_id"], "segments", moves, ["stream"], "segment")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.digests import multiset_digest, row_hash
 from tidemark.operators import rollups as ru
 from tidemark.operators.ordered import Running, ordered_scan
-from tidemark.plans.inputs import EV, LINES, QA, ROOTS, RUNS, judged, lifecycle, line_spans, root_spans, runs, sequenced, table, turns
+from tidemark.plans.inputs import EV, LINES, QA, ROOTS, RUNS, judged, lifecycle, line_spans, root_spans, runs, sequenced, table, turns, whole
 from tidemark.plans.interval_queries import REQ, STREAM_SWEEP, islands_sql, requests, sweep_sql
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import dist_rounded, dist_sql, rounded
@@ -65,10 +65,9 @@ def _(spark, sf):
  SELECT d.*, episode_count, makespan_ns, max_backlog, tokens, max_backlog_status, round(episode_count*1000000000.0::DOUBLE/makespan_ns,6) AS goodput_per_s FROM d JOIN s USING (stream)""",
 )
 def _(spark, sf):
-    ms = lambda c: F.floor(F.col(c) / 1_000_000)
     a, s, p = F.col("arrival_ns"), F.col("start_ns"), F.col("publish_ns")
     rows = lifecycle(spark, sf).select(
-        "stream", F.floor(a / 1_000_000).alias("a"), F.col("cents"), (F.floor(a / 1_000_000) + F.floor((s - a) / 1_000_000)).alias("s"), (F.floor(a / 1_000_000) + F.floor((p - a) / 1_000_000)).alias("p"), (F.col("cents") % 8).alias("depth")
+        "stream", whole(a, 1_000_000).alias("a"), F.col("cents"), (whole(a, 1_000_000) + whole(s - a, 1_000_000)).alias("s"), (whole(a, 1_000_000) + whole(p - a, 1_000_000)).alias("p"), (F.col("cents") % 8).alias("depth")
     ).withColumn("t", F.col("p") + 1000)
     out = ru.history_metrics(rows, ["stream"], "a", "s", "p", "t", "depth", {"tokens": F.col("cents")})
     return dist_rounded(rounded(out, 6, "goodput_per_s"))

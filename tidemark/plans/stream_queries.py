@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import retrieval as rt
-from tidemark.plans.inputs import EV, sequenced, table, turns
+from tidemark.plans.inputs import EV, sequenced, table, turns, whole
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import rounded
 from tidemark.session import fresh_path
@@ -91,7 +91,7 @@ def _(spark, sf):
     e = F.col("event_id")
     rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns").filter(e % 97 != 5)
     twice = rows.unionByName(rows.filter(e % 23 == 0).withColumn("publish_ns", F.col("publish_ns") + 1000))
-    twice = twice.select("stream", "seq", F.timestamp_micros(F.floor(F.col("publish_ns") / 1000)).alias("at"))
+    twice = twice.select("stream", "seq", F.timestamp_micros(whole(F.col("publish_ns"), 1000)).alias("at"))
     path = staged(spark, twice, "release")
     stream = so.source_ordered_release(spark.readStream.schema(twice.schema).parquet(path), "stream", "seq", "at", block=BLOCK, delay="1 hour", timeout_ms=10**12)
     out, checkpoint = fresh_path(spark, "release-out"), fresh_path(spark, "release-checkpoint")
@@ -108,7 +108,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     steps = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(i).cast("long").alias("k")) for i, s in enumerate(so.STATES) if i])
-    log = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns", F.explode(steps).alias("s")).select("stream", "seq", "event_id", (F.floor(F.col("publish_ns") / 1000) * 10 + F.col("s.k")).alias("t"), "s.state", "s.k")
+    log = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns", F.explode(steps).alias("s")).select("stream", "seq", "event_id", (whole(F.col("publish_ns"), 1000) * 10 + F.col("s.k")).alias("t"), "s.state", "s.k")
     log = log.filter(~((F.col("event_id") % 29 == 3) & (F.col("k") == 3))).select("stream", "seq", "t", "state")
     return so.frontier_state_check(log, ["stream"], "seq", "state", ["t"])
 
