@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.licenses import twin_sql
 from tidemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,53 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings")
     return exact_topk(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op3_license_scan", twin_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+# Dated lists made from the URLs themselves: the digest of a host, domain or first path step says which list has it, since and until when.
+FIRST_DAY, DAYS = 1_704_067_200, 366
+URL_SQL = r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+  1704067200 + (page_id * 37 % 366) * 86400 + 43200 AS ft FROM pages),
+v AS (SELECT DISTINCT 'host' AS kind, host AS value FROM p WHERE host <> ''
+  UNION SELECT DISTINCT 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM p WHERE regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
+  UNION SELECT DISTINCT 'prefix', host || '/' || regexp_extract(path, '^/+([^/]+)', 1) FROM p WHERE host <> '' AND regexp_extract(path, '^/+([^/]+)', 1) <> ''),
+h AS (SELECT *, CAST('0x' || substr(md5(kind || ':' || value), 1, 6) AS BIGINT) AS x FROM v),
+i AS (SELECT kind, value, CASE WHEN x % 3 = 0 THEN 'trusted' WHEN x % 3 = 1 THEN 'spam' ELSE 'malware' END AS list, x % 3 = 0 AS allow,
+  1704067200 + (x // 16 % 366) * 86400 AS f, 1704067200 + (x // 16 % 366 + 20 + x // 8192 % 200) * 86400 AS u FROM h WHERE x % 16 < 9),
+i2 AS (SELECT * FROM i UNION ALL SELECT kind, value, list, allow, u + 30 * 86400, NULL FROM i),
+m AS (SELECT page_id, url, ft, kind, value, list, allow FROM p JOIN i2 ON ft >= f AND (u IS NULL OR ft < u) AND host <> '' AND
+  CASE kind WHEN 'host' THEN host = value WHEN 'domain' THEN host = value OR ends_with(host, '.' || value)
+   ELSE starts_with(rtrim(host || regexp_replace(path, '/+', '/', 'g'), '/') || '/', value || '/') END),
+g AS (SELECT page_id, url, ft, count(*) AS n, string_agg(list || ':' || kind || ':' || value, ' ' ORDER BY r, -length(value), deny, list, value) AS matched,
+  first(deny ORDER BY r, -length(value), deny, list, value) AS blocked
+  FROM (SELECT *, NOT allow AS deny, CASE kind WHEN 'prefix' THEN 0 WHEN 'host' THEN 1 ELSE 2 END AS r FROM m) GROUP BY 1, 2, 3)
+SELECT p.page_id, p.url, p.ft AS fetched_at, CASE WHEN n IS NULL THEN 'unlisted' WHEN blocked THEN 'blocked' ELSE 'allowed' END AS verdict,
+ coalesce(n, 0) AS n_active, coalesce(matched, '') AS matched FROM p LEFT JOIN g USING (page_id, url, ft)"""
+
+
+@query("op7_url_filters", URL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import url_filters as U
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    captures = pages.withColumn("at", FIRST_DAY + (F.col("id") * 37 % DAYS) * 86_400 + 43_200)
+    host, path = U.host_of(F.col("url")), F.regexp_extract(F.coalesce("url", F.lit("")), U.PATH, 1)
+    step, domain = F.regexp_extract(path, "^/+([^/]+)", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    named = lambda kind, value, given: F.when(given, F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    values = F.array(named("host", host, host != ""), named("domain", domain, domain != ""), named("prefix", F.concat(host, F.lit("/"), step), (host != "") & (step != "")))
+    listed = pages.select(F.explode(values).alias("v")).filter("v IS NOT NULL").select("v.kind", "v.value").distinct()
+    x = F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "value")), 1, 6), 16, 10).cast("long")
+    listed = listed.withColumn("x", x).filter("x % 16 < 9")
+    kind = F.col("x") % 3
+    since, until = F.expr("x div 16 % 366"), F.expr("x div 16 % 366 + 20 + x div 8192 % 200")
+    event = lambda action, day: F.struct(F.lit(action).alias("action"), (FIRST_DAY + day * 86_400).alias("at"))
+    events = listed.select("kind", "value", F.when(kind == 0, "trusted").when(kind == 1, "spam").otherwise("malware").alias("list"), (kind == 0).alias("allow"), F.explode(F.array(event("add", since), event("remove", until), event("add", until + 30))).alias("e"))
+    intervals = U.validity_intervals(events.select("list", "kind", "value", "allow", "e.action", "e.at"))
+    return U.evaluate(captures, intervals).withColumnsRenamed({"id": "page_id", "at": "fetched_at"})
