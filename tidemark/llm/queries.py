@@ -180,3 +180,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = listed.select("kind", "value", F.when(kind == 0, "trusted").when(kind == 1, "spam").otherwise("malware").alias("list"), (kind == 0).alias("allow"), F.explode(F.array(event("add", since), event("remove", until), event("add", until + 30))).alias("e"))
     intervals = U.validity_intervals(events.select("list", "kind", "value", "allow", "e.action", "e.at"))
     return U.evaluate(captures, intervals).withColumnsRenamed({"id": "page_id", "at": "fetched_at"})
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_blocks import extract
+
+    pages = extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
