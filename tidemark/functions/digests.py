@@ -13,8 +13,23 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def framed(*columns: Column) -> Column:
+    """The values one after the other, each behind its length; ``~`` is NULL. Different rows give different texts."""
+    texts = [c.cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts])
+
+
+def framed_sql(*expressions: str) -> str:
+    text = lambda e: f"CAST({e} AS VARCHAR)"
+    return "(" + " || ".join(f"coalesce(length({text(e)}) || ':' || {text(e)}, '~')" for e in expressions) + ")"
+
+
 def row_hash(*columns: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]), 256)
+    return F.sha2(framed(*columns), 256)
+
+
+def row_hash_sql(*expressions: str) -> str:
+    return f"sha256({framed_sql(*expressions)})"
 
 
 # Where the 48-bit pieces of a SHA-256 start; each gives two lanes of 24 bits.
@@ -26,14 +41,14 @@ def multiset_digest(value: Column) -> Column:
     """Aggregate: a digest of all values that no order of rows can change.
 
     Six 24-bit lanes of each row's SHA-256 are summed as longs, so partial sums combine map-side and no group is
-    collected; 2^39 rows of a group fit a lane.
+    collected; 2^39 rows of a group fit a lane. NULL values take no part.
     """
     digest = F.sha2(value.cast("string"), 256)
     lanes = []
     for at in _PIECES:
         piece = F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
         lanes += [F.sum(piece.bitwiseAND(_LOW)).cast("string"), F.sum(F.shiftright(piece, 24)).cast("string")]
-    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *lanes), 256)
+    return F.sha2(F.concat_ws("|", F.count(value).cast("string"), *lanes), 256)
 
 
 def multiset_digest_sql(expression: str) -> str:

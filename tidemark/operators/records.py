@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import canonical_json, multiset_digest, row_hash
+from tidemark.functions.digests import canonical_json, framed, multiset_digest, row_hash
 from tidemark.functions.text import collapse_whitespace, is_forbidden_key, json_keys
 from tidemark.operators.ordered import ordered_scan
 
@@ -219,20 +219,37 @@ def conflict_signature(nodes: DataFrame, edges: DataFrame, unit: str, namespace:
     ``reasons`` says why a signature is incomplete; an incomplete one proves nothing.
     """
     canon = nodes.withColumn("_name", F.lower(collapse_whitespace(F.coalesce(F.col(name), F.lit("")))))
-    named = canon.filter("_name <> ''")
-    distinct = lambda df, cols, out: df.select(unit, *cols).distinct().groupBy(unit).agg(F.count(F.lit(1)).alias(f"n_{out}"), multiset_digest(F.concat_ws("|", *cols)).alias(f"{out}_digest"))
-    ends = edges.select(unit, F.explode(F.array(source, target)).alias(node))
-    found = ends.join(named.select(unit, node, "_name").distinct(), [unit, node], "left")
-    flags = canon.groupBy(unit).agg((F.min(namespace) != F.max(namespace)).alias("_mixed"), F.bool_or(F.col("_name") == "").alias("_blank"))
-    repeats = nodes.groupBy(unit, node).agg(F.count(F.lit(1)).alias("_n")).groupBy(unit).agg((F.max("_n") > 1).alias("_twice"))
-    loose = found.groupBy(unit).agg(F.bool_or(F.col("_name").isNull()).alias("_loose"))
-    rows = (
-        flags.join(repeats, unit, "left")
-        .join(distinct(named, ["_name"], "names"), unit, "left")
-        .join(distinct(named, ["_name", label], "types"), unit, "left")
-        .join(distinct(found.filter(F.col("_name").isNotNull()), ["_name"], "endpoints"), unit, "left")
-        .join(loose, unit, "left")
+    # one row per unit and node, however often it was named; nodes and endpoints then meet by key
+    named = canon.select(unit, F.col(node).alias("_n"), F.lit(1).cast("long").alias("_own"), "_name", F.col(namespace).alias("_ns"), F.col(label).alias("_label"), F.lit(0).cast("long").alias("_end"))
+    ends = edges.select(unit, F.explode(F.array(source, target)).alias("_n")).select(
+        unit, "_n", F.lit(0).cast("long").alias("_own"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast(nodes.schema[namespace].dataType).alias("_ns"), F.lit(None).cast(nodes.schema[label].dataType).alias("_label"), F.lit(1).cast("long").alias("_end")
     )
+    at = named.unionByName(ends).groupBy(unit, "_n").agg(
+        F.sum("_own").alias("_own"), F.sum("_end").alias("_ends"), F.collect_set(F.when(F.col("_own") == 1, F.struct("_name", "_label"))).alias("_says"), F.min("_ns").alias("_lo"), F.max("_ns").alias("_hi")
+    )
+    known = F.exists("_says", lambda x: x["_name"] != "")
+    item = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    said = F.transform("_says", lambda x: F.when(x["_name"] != "", F.array_compact(F.array(item("names", x["_name"]), item("types", framed(x["_name"], x["_label"])), F.when(F.col("_ends") > 0, item("endpoints", x["_name"]))))))
+    flag = lambda kind, found: F.when(found, item(kind, F.lit("")))
+    facts = F.array_compact(
+        F.array(
+            F.when(F.col("_own") > 0, item("unit", F.lit(""))),
+            flag("twice", F.col("_own") > 1),
+            flag("blank", F.exists("_says", lambda x: x["_name"] == "")),
+            flag("loose", (F.col("_ends") > 0) & ~known),
+            F.when(F.col("_own") > 0, item("ns", F.col("_lo").cast("string"))),
+            F.when(F.col("_own") > 0, item("ns", F.col("_hi").cast("string"))),
+        )
+    )
+    tagged = at.select(unit, F.explode(F.concat(F.flatten(F.filter(said, lambda x: x.isNotNull())), facts)).alias("_f")).select(unit, "_f.kind", "_f.value").distinct()
+    value = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
+    has = lambda kind: F.count_if(F.col("kind") == kind)
+    sets = ("names", "types", "endpoints")
+    rows = tagged.groupBy(unit).agg(
+        *[has(k).alias(f"n_{k}") for k in sets],
+        *[F.when(has(k) > 0, multiset_digest(value(k))).alias(f"{k}_digest") for k in sets],
+        (has("blank") > 0).alias("_blank"), (has("twice") > 0).alias("_twice"), (has("loose") > 0).alias("_loose"), (F.min(value("ns")) != F.max(value("ns"))).alias("_mixed"), (has("unit") > 0).alias("_there"),
+    ).filter("_there")
     why = {"ENTITY_NAME_INVALID": "_blank", "EXTRACTED_ID_DUPLICATE": "_twice", "MIXED_NAMESPACES": "_mixed", "RELATION_ENDPOINT_UNRESOLVED": "_loose"}
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(r)) for r, c in why.items()]))
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_names", "n_types", "n_endpoints")]

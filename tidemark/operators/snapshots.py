@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import multiset_digest, row_hash
+from tidemark.functions.digests import framed, multiset_digest, row_hash
 from tidemark.functions.measures import precision_recall_f1
 from tidemark.functions.text import clean_attributes, collapse_whitespace
 from tidemark.operators.ordered import Running, ordered_scan
@@ -100,7 +100,7 @@ def graph_hash(parts: Mapping[str, DataFrame], columns: Mapping[str, Sequence[st
     """Content hash of a snapshot that no row order can change: one digest over all rows tagged with their table."""
     rows = None
     for name, cols in columns.items():
-        part = parts[name].select(*group, F.concat_ws("|", F.lit(name), row_hash(*[F.col(c) for c in cols])).alias("_row"))
+        part = parts[name].select(*group, framed(F.lit(name), *[F.col(c) for c in cols]).alias("_row"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), multiset_digest(F.col("_row")).alias("graph_hash"))
 
@@ -170,7 +170,7 @@ def run_equivalence(baseline: DataFrame, instrumented: DataFrame, keys: Sequence
     """Fields whose ordered values differ between two runs, and how often the instrumented run shows a forbidden effect."""
     def digests(df: DataFrame, name: str) -> DataFrame:
         at = ordered_scan(df, keys, list(order), rank="_at")
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.concat_ws("|", F.col("_at").cast("string"), F.coalesce(F.col(f).cast("string"), F.lit("~"))).alias("v")) for f in fields]))
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), framed(F.col("_at"), F.col(f)).alias("v")) for f in fields]))
         return at.select(*keys, pairs.alias("_p")).groupBy(*keys, F.col("_p.field").alias("field")).agg(multiset_digest(F.col("_p.v")).alias(name))
 
     both = digests(baseline, "_a").join(digests(instrumented, "_b"), [*keys, "field"], "full_outer")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
-from tidemark.functions.digests import multiset_digest_sql, row_hash
+from tidemark.functions.digests import framed_sql, multiset_digest_sql, row_hash_sql
 from tidemark.operators import records as rec
 from tidemark.plans.inputs import EV, QA, judged, lifecycle, nanos, sequenced, table, turns
 from tidemark.plans.registry import query
@@ -451,7 +451,7 @@ def _(spark, sf):
     return table(spark, sf, "labels").select("doc_id", rec.reader_judge_class(F.col("quality") == 1, F.col("toxic") == 0).alias("class"))
 
 
-@query("semantic_projection_hash", f"WITH {EV} SELECT event_id, sha256(concat_ws('|', cents, kind, stream)) AS semantic_hash FROM ev")
+@query("semantic_projection_hash", f"WITH {EV} SELECT event_id, {row_hash_sql('cents', 'kind', 'stream')} AS semantic_hash FROM ev")
 def _(spark, sf):
     out = rec.semantic_projection_hash(lifecycle(spark, sf), ["stream", "kind", "cents"], ["event_id", "arrival_ns"])
     return out.select("event_id", "semantic_hash")
@@ -459,9 +459,9 @@ def _(spark, sf):
 
 @query(
     "edge_identity_hash",
-    """WITH s AS (SELECT s_suppkey, sha256(concat_ws('|', s_name, s_nationkey)) AS h FROM supplier), p AS (SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand)) AS h, p_name FROM part),
+    f"""WITH s AS (SELECT s_suppkey, {row_hash_sql('s_name', 's_nationkey')} AS h FROM supplier), p AS (SELECT p_partkey, {row_hash_sql('p_name', 'p_brand')} AS h, p_name FROM part),
  e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_extendedprice*100 AS BIGINT) AS edge_id, l.*, s.h AS sh, p.h AS th FROM lineitem l JOIN s ON l_suppkey=s_suppkey JOIN p ON l_partkey=p_partkey)
- SELECT edge_id, sha256(concat_ws('|', sha256(l_linestatus || l_returnflag), sha256(l_returnflag), sh, th, sha256(concat_ws('|', epoch_us(l_shipdate)*1000, '~')), CASE WHEN l_tax > 0.04 THEN 'true' ELSE 'false' END, sha256(CAST(l_orderkey AS VARCHAR)))) AS identity_hash FROM e""",
+ SELECT edge_id, {row_hash_sql(row_hash_sql('l_linestatus || l_returnflag'), row_hash_sql('l_returnflag'), 'sh', 'th', row_hash_sql('epoch_us(l_shipdate)*1000', 'NULL'), 'l_tax > 0.04', row_hash_sql('l_orderkey'))} AS identity_hash FROM e""",
 )
 def _(spark, sf):
     ends = (
@@ -493,7 +493,7 @@ NAME_DIGEST = multiset_digest_sql("n")
     f"""WITH nd AS (SELECT l_orderkey AS unit, l_returnflag AS ns, lower(p_name) AS n, p_type AS t, CAST(l_partkey AS VARCHAR) AS id FROM lineitem JOIN part ON l_partkey=p_partkey),
  f AS (SELECT unit, min(ns)<>max(ns) AS mixed, count(id)<>count(DISTINCT id) AS twice FROM nd GROUP BY 1),
  a AS (SELECT unit, count(*) AS n_names, {NAME_DIGEST} AS names_digest FROM (SELECT DISTINCT unit, n FROM nd) GROUP BY 1),
- b AS (SELECT unit, count(*) AS n_types, {NAME_DIGEST} AS types_digest FROM (SELECT DISTINCT unit, n || '|' || t AS n FROM nd) GROUP BY 1),
+ b AS (SELECT unit, count(*) AS n_types, {NAME_DIGEST} AS types_digest FROM (SELECT DISTINCT unit, {framed_sql('n', 't')} AS n FROM nd) GROUP BY 1),
  ed AS (SELECT l_orderkey AS unit, CAST(l_partkey AS VARCHAR) AS id FROM lineitem UNION ALL SELECT l_orderkey, CAST(CASE WHEN l_linenumber = 3 THEN -1 ELSE l_partkey END AS VARCHAR) FROM lineitem),
  x AS (SELECT DISTINCT ed.unit, ed.id, nd.n FROM ed LEFT JOIN nd ON ed.unit=nd.unit AND ed.id=nd.id),
  c AS (SELECT unit, count(*) AS n_endpoints, {NAME_DIGEST} AS endpoints_digest FROM (SELECT DISTINCT unit, n FROM x WHERE n IS NOT NULL) GROUP BY 1), l AS (SELECT unit, bool_or(n IS NULL) AS loose FROM x GROUP BY 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import multiset_digest_sql
+from tidemark.functions.digests import framed_sql, multiset_digest_sql, row_hash_sql
 from tidemark.operators import snapshots as sn
 from tidemark.operators import temporal as tm
 from tidemark.operators.ordered import ordered_scan
@@ -62,7 +62,7 @@ def _(spark, sf):
 
 @query(
     "graph_hash",
-    f"""WITH {GRAPH}, u AS (SELECT side, 'edges|' || sha256(concat_ws('|', l_suppkey, l_partkey, quantity)) AS v FROM gr UNION ALL SELECT side, 'episodes|' || sha256(CAST(l_orderkey AS VARCHAR)) FROM gr) SELECT side, count(*) AS rows, {multiset_digest_sql('v')} AS graph_hash FROM u GROUP BY 1""",
+    f"""WITH {GRAPH}, u AS (SELECT side, {framed_sql("'edges'", 'l_suppkey', 'l_partkey', 'quantity')} AS v FROM gr UNION ALL SELECT side, {framed_sql("'episodes'", 'l_orderkey')} FROM gr) SELECT side, count(*) AS rows, {multiset_digest_sql('v')} AS graph_hash FROM u GROUP BY 1""",
 )
 def _(spark, sf):
     rows = graph_rows(spark, sf)
@@ -108,7 +108,7 @@ def _(spark, sf):
 
 @query(
     "fingerprint_records",
-    f"""WITH {EV}, r AS (SELECT stream, sha256(concat_ws('|', cents, kind)) AS h, row_number() OVER (PARTITION BY stream ORDER BY publish_ns, event_id) AS p FROM ev)
+    f"""WITH {EV}, r AS (SELECT stream, {row_hash_sql('cents', 'kind')} AS h, row_number() OVER (PARTITION BY stream ORDER BY publish_ns, event_id) AS p FROM ev)
  SELECT stream, count(*) AS records, {multiset_digest_sql('h')} AS membership_digest, {multiset_digest_sql("concat_ws('|', p, h)")} AS ordered_digest FROM r GROUP BY 1""",
 )
 def _(spark, sf):
