@@ -1,142 +1,90 @@
 """Passes over many graphs at once: nodes and edges are tables with a graph key, every level is one join for all graphs.
 
-A pass by levels keeps one state row per unfinished node. The finished ones send their value along their edges, messages
-are combined before they shuffle, and each level's state is written to the shared folder, so the plan stays short and
-lost executors cost one level. Graphs of a checked small size are finished inside one task each instead.
+A pass by levels moves only nodes with news: the ready ones send their value along their edges, messages are combined
+before they shuffle, and each level is written to the shared folder, so the plan stays short and lost executors cost one
+level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.measures import ratio
 from tidemark.operators.intervals import clip, exclusive_duration
 from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
-from tidemark.session import cut_counting, cut_lineage
+from tidemark.session import cut_counting, cut_lineage, fresh_path
 
 
-# Nodes or edges of one graph that a single task may hold.
-GRAPH_ROWS_PER_TASK = 200_000
-
-# Rows of small graphs that are handed over together.
-BUCKET_ROWS = 2_000
-
-
-def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level", graph_rows: int = GRAPH_ROWS_PER_TASK) -> DataFrame:
+def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level") -> DataFrame:
     """Level of every node and, per entry of ``bases``, ``service + max(base, largest value of a predecessor)``.
 
-    Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values. Graphs that fit a
-    task are finished inside one, several at a time, so many small graphs cost one shuffle; larger ones go level by level.
+    Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values. Values are doubles if
+    the service is one, else longs; a missing service counts as 0. A level reads the nodes that became ready and those that
+    have some of their predecessors' values, nothing else; finished nodes of all levels stand in one folder.
     """
-    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
-    links = links.join(nodes.select(graph, F.col(node).alias("_s")), [graph, "_s"], "left_semi")
-    links = links.join(nodes.select(graph, F.col(node).alias("_t")), [graph, "_t"], "left_semi").select(graph, "_s", "_t")
-    sizes = nodes.select(graph).unionByName(edges.select(graph)).groupBy(graph).agg(F.count(F.lit(1)).alias("_n"))
-    top, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    buckets = max(1, -(-(rows or 0) // BUCKET_ROWS))
-    if (top or 0) <= graph_rows:
-        return _in_tasks(nodes, links, graph, node, service, bases, level, buckets)
-    large = cut_lineage(sizes.filter(F.col("_n") > graph_rows).select(graph), "dag-large")
-    part = lambda df, how: df.join(large, graph, how)
-    small = _in_tasks(part(nodes, "left_anti"), part(links, "left_anti"), graph, node, service, bases, level, buckets)
-    return small.unionByName(_by_levels(part(nodes, "left_semi"), part(links, "left_semi"), graph, node, service, bases, level))
-
-
-def _in_tasks(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str, buckets: int) -> DataFrame:
-    names = list(bases)
-    kind = lambda c: nodes.schema[c].dataType.simpleString()
-    shape = f"{graph} {kind(graph)}, {node} {kind(node)}, {level} int, " + "".join(f"{n} bigint, " for n in names)
-
-    def finish(points: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        # A bucket holds several graphs, so every node goes by (graph, node).
-        ids = list(zip(points["_g"], points[node]))
-        waiting = dict.fromkeys(ids, 0)
-        after: dict = {}
-        for g, p, q in zip(arcs["_h"], arcs["_s"], arcs["_t"]):
-            after.setdefault((g, p), []).append((g, q))
-            waiting[(g, q)] += 1
-        cost = dict(zip(ids, points[service]))
-        best = {n: dict(zip(ids, points[f"_b_{n}"])) for n in names}
-        depth = {p: 0 for p, k in waiting.items() if k == 0}
-        queue = list(depth)
-        for p in queue:
-            for n in names:
-                best[n][p] += cost[p]
-            for q in after.get(p, ()):
-                for n in names:
-                    best[n][q] = max(best[n][q], best[n][p])
-                depth[q] = max(depth.get(q, 0), depth[p] + 1)
-                waiting[q] -= 1
-                if waiting[q] == 0:
-                    queue.append(q)
-        out = pd.DataFrame({graph: [p[0] for p in queue], node: [p[1] for p in queue], level: [depth[p] for p in queue]})
-        for n in names:
-            out[n] = [best[n][p] for p in queue]
-        return out
-
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("_bucket")
-    points = nodes.select(bucket(graph), F.col(graph).alias("_g"), node, F.col(service).cast("long").alias(service), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()])
-    # New names on both sides: they may share their source.
-    arcs = links.select(bucket(graph).alias("_arc_bucket"), F.col(graph).alias("_h"), "_s", "_t")
-    done = points.groupBy("_bucket").cogroup(arcs.groupBy("_arc_bucket")).applyInPandas(finish, shape.rstrip(", "))
-    return nodes.join(done, [graph, node], "left").select(*nodes.columns, level, *names)
-
-
-def _by_levels(nodes: DataFrame, links: DataFrame, graph: str, node: str, service: str, bases: Mapping[str, Column], level: str) -> DataFrame:
-    links = cut_lineage(links, "dag-edges")
-    indegree = links.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in"))
-    start = nodes.join(indegree, [graph, node], "left").select(
-        *nodes.columns, F.coalesce("_in", F.lit(0)).cast("long").alias("_in"), F.lit(None).cast("int").alias(level), *[b.cast("long").alias(f"_b_{n}") for n, b in bases.items()]
-    )
+    spark = nodes.sparkSession
     names = list(bases)
-    free = F.count_if(F.col(level).isNull() & (F.col("_in") == 0))
-    state, left = cut_counting(start, "dag", free)
-    finished: list[DataFrame] = []
+    kind = "double" if nodes.schema[service].dataType.typeName() in ("double", "float", "decimal") else "bigint"
+    weight = F.coalesce(F.col(service).cast(kind), F.lit(0).cast(kind))
+    points = cut_lineage(nodes.select(graph, node, weight.alias("_w"), *[b.cast(kind).alias(f"_b_{n}") for n, b in bases.items()]), "dag-nodes")
+    known = points.select(graph, F.col(node).alias("_s"))
+    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct().join(known, [graph, "_s"], "left_semi")
+    links = cut_lineage(links.join(known.withColumnRenamed("_s", "_t"), [graph, "_t"], "left_semi").select(graph, "_s", "_t"), "dag-edges")
+    indegree = cut_lineage(links.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in")), "dag-indegree")
+    values = [(F.greatest(f"_b_{n}", f"_m_{n}") + F.col("_w")).alias(f"_v_{n}") for n in names]
+    best = [f"_m_{n}" for n in names]
+    folder = fresh_path(spark, "dag-levels")
+
+    def store(touched: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        """Nodes with news at this level: finished ones with their values, others with what has come so far."""
+        seen = Observation()
+        touched.observe(seen, F.count_if("_ready").alias("n")).write.parquet(f"{folder}/{level}={depth}")
+        return spark.read.schema(touched.schema).parquet(f"{folder}/{level}={depth}"), int(seen.get["n"] or 0)
+
+    start = points.join(indegree, [graph, node], "left_anti").select(graph, node, *[F.lit(None).cast(kind).alias(m) for m in best], "_w", *[f"_b_{n}" for n in names])
+    state, left = store(start.select(graph, node, F.lit(0).cast("long").alias("_k"), *best, F.lit(True).alias("_ready"), *values), 0)
     depth = 0
     while left:
-        ready = state.filter(F.col(level).isNull() & (F.col("_in") == 0))
-        done = ready.withColumn(level, F.lit(depth)).withColumns({f"_b_{n}": F.col(f"_b_{n}") + F.col(service) for n in names})
-        sent = done.select(graph, F.col(node).alias("_s"), *[f"_b_{n}" for n in names]).join(links, [graph, "_s"])
-        mail = sent.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_k"), *[F.max(f"_b_{n}").alias(f"_m_{n}") for n in names])
-        waiting = state.filter(F.col(level).isNull() & (F.col("_in") > 0)).join(mail, [graph, node], "left")
-        moved = waiting.withColumns({"_in": F.col("_in") - F.coalesce("_k", F.lit(0)), **{f"_b_{n}": F.greatest(f"_b_{n}", f"_m_{n}") for n in names}}).select(*state.columns)
-        state, left = cut_counting(moved.unionByName(done.select(*state.columns)), "dag", free)
-        finished.append(state.filter(F.col(level).isNotNull()))
         depth += 1
-    out = state.filter(F.col(level).isNull()).withColumns({f"_b_{n}": F.lit(None).cast("long") for n in names})
-    for part in finished:
-        out = out.unionByName(part)
-    return out.select(*nodes.columns, level, *[F.col(f"_b_{n}").alias(n) for n in names])
+        sent = state.filter("_ready").select(graph, F.col(node).alias("_s"), *[F.col(f"_v_{n}").alias(f"_m_{n}") for n in names]).join(links, [graph, "_s"])
+        mail = sent.select(graph, F.col("_t").alias(node), F.lit(1).cast("long").alias("_k"), *best)
+        open_ = state.filter("NOT _ready").select(graph, node, "_k", *best)
+        got = mail.unionByName(open_).groupBy(graph, node).agg(F.sum("_k").alias("_k"), *[F.max(m).alias(m) for m in best])
+        got = got.join(indegree, [graph, node]).join(points, [graph, node]).withColumn("_ready", F.col("_k") == F.col("_in"))
+        state, left = store(got.select(graph, node, "_k", *best, "_ready", *values), depth)
+    done = spark.read.schema(T.StructType([*state.schema.fields, T.StructField(level, T.IntegerType())])).option("basePath", folder).parquet(folder)
+    done = done.filter("_ready").select(graph, node, level, *[F.col(f"_v_{n}").alias(n) for n in names])
+    return nodes.join(done, [graph, node], "left").select(*nodes.columns, level, *names)
 
 
 def reach(starts: DataFrame, edges: DataFrame, graph: str, start: str, source: str, target: str) -> DataFrame:
     """All ``(graph, start, node, distance)`` reachable from given start nodes, by frontier; swap the columns for ancestors.
 
-    A node already reached is never expanded again. The output is one row per start and reached node, so pick starts
-    whose reaches do not all overlap (roots of a forest, single operators), as a caller of the closure must.
+    A node already reached is never expanded again: all levels stand in one folder, and a step is one anti-join with it. The
+    output is one row per start and reached node, so pick starts whose reaches do not all overlap (roots of a forest,
+    single operators), as a caller of the closure must.
     """
+    spark = edges.sparkSession
     links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct(), "reach-edges")
+    folder = fresh_path(spark, "reach-levels")
     frontier = starts.select(graph, start, F.col(start).alias("node"), F.lit(0).alias("distance"))
-    parts: list[DataFrame] = []
-    depth = 0
-    while True:
-        depth += 1
+    schema = frontier.schema
+    found = depth = 1
+    while found:
         step = frontier.withColumnRenamed("node", "_s").join(links, [graph, "_s"]).select(graph, start, F.col("_t").alias("node"), F.lit(depth).alias("distance")).distinct()
-        for seen in parts:
-            step = step.join(seen.select(graph, start, "node"), [graph, start, "node"], "left_anti")
-        frontier, found = cut_counting(step.filter(F.col("node") != F.col(start)), "reach", F.count(F.lit(1)))
-        if not found:
-            break
-        parts.append(frontier)
-    out = frontier
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        if depth > 1:
+            step = step.join(spark.read.schema(schema).parquet(f"{folder}/*").select(graph, start, "node"), [graph, start, "node"], "left_anti")
+        seen = Observation()
+        step.filter(F.col("node") != F.col(start)).select(graph, start, "node", "distance").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/step-{depth}")
+        found = int(seen.get["n"] or 0)
+        frontier = spark.read.schema(schema).parquet(f"{folder}/step-{depth}")
+        depth += 1
+    return spark.read.schema(schema).parquet(f"{folder}/*")
 
 
 def reach_counts(reached: DataFrame, graph: str, start: str, kinds: Mapping[str, Column]) -> DataFrame:
@@ -176,19 +124,24 @@ def span_tree_critical_path(spans: DataFrame, keys: Sequence[str], span: str, pa
     """Critical path of every span: its own time plus, per cluster of overlapping children, the longest child path.
 
     Works from the deepest spans up. Children are cut to their parent; one starting where the cluster ends opens the next.
+    ``span_status`` is OK, ORPHAN for a span whose parent is absent (it is a root of its own), OK below either, and CYCLE,
+    without a path, for spans that no root reaches.
     """
     keys = list(keys)
     own = exclusive_duration(spans, keys, span, parent, start, end, "_own")
     base = cut_lineage(spans.select(*keys, span, parent, start, end).join(own, [*keys, span]), "tree")
     hot = largest_group(spans.filter(F.col(parent).isNotNull()), [*keys, parent])
-    level = cut_lineage(base.filter(F.col(parent).isNull()).withColumn("_d", F.lit(0)), "tree")
+    child, there = base.filter(F.col(parent).isNotNull()), base.select(*keys, F.col(span).alias(parent)).distinct()
+    ok = F.lit("OK").alias("span_status")
+    tops = base.filter(F.col(parent).isNull()).select("*", ok).unionByName(child.join(there, [*keys, parent], "left_anti").select(*base.columns, F.lit("ORPHAN").alias("span_status")))
+    level, found_ = cut_counting(tops.withColumn("_d", F.lit(0)), "tree", F.count(F.lit(1)))
     levels = []
-    rest = base.filter(F.col(parent).isNotNull())
-    while not level.isEmpty():
+    rest = child.join(there, [*keys, parent], "left_semi").select(*base.columns, ok)
+    while found_ or not levels:
         levels.append(level)
         up = level.select(*keys, F.col(span).alias(parent), F.col(start).alias("_ps"), F.col(end).alias("_pe"))
         found = rest.join(up.select(*keys, parent).distinct(), [*keys, parent], "left_semi")
-        level = cut_lineage(found.withColumn("_d", F.lit(len(levels))), "tree")
+        level, found_ = cut_counting(found.withColumn("_d", F.lit(len(levels))), "tree", F.count(F.lit(1)))
     done: DataFrame | None = None
     below: DataFrame | None = None
     for at in reversed(levels):
@@ -204,9 +157,11 @@ def span_tree_critical_path(spans: DataFrame, keys: Sequence[str], span: str, pa
             per = group.groupBy(*keys, parent, "_c").agg(F.max("critical_path").alias("_m")).groupBy(*keys, F.col(parent).alias(span)).agg(F.sum("_m").alias("_kids"))
             paths = at.join(per, [*keys, span], "left").withColumn("critical_path", F.col("_own") + F.coalesce("_kids", F.lit(0))).drop("_kids")
         below = cut_lineage(paths, "tree")
-        part = below.select(*keys, span, F.col("_d").alias("depth"), F.col("_own").alias("exclusive"), "critical_path")
+        part = below.select(*keys, span, F.col("_d").alias("depth"), F.col("_own").alias("exclusive"), "critical_path", "span_status")
         done = part if done is None else done.unionByName(part)
-    return done
+    lost = base.select(*keys, span, F.col("_own").alias("exclusive")).join(done.select(*keys, span), [*keys, span], "left_anti")
+    nothing = F.lit(None).cast("long")
+    return done.unionByName(lost.select(*keys, span, F.lit(None).cast("int").alias("depth"), "exclusive", nothing.alias("critical_path"), F.lit("CYCLE").alias("span_status")))
 
 
 def source_path_bounds(finish: DataFrame, graph: str, service: str, heavy: Column, arrival: str, published: str, workers: int) -> DataFrame:

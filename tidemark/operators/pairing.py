@@ -141,27 +141,30 @@ def predecessor_lead(df: DataFrame, keys: Sequence[str], seq: str, prepared: str
     return rows.select(*keys, seq, lead.alias("lead_ns"), F.coalesce(lead > 0, F.lit(False)).alias("opportunity"))
 
 
-def choice_set_at_start(df: DataFrame, keys: Sequence[str], request: str, submitted: str, started: str, weight: str, weight_bits: int, *, hot: int | None = None) -> DataFrame:
+def choice_set_at_start(df: DataFrame, keys: Sequence[str], request: str, submitted: str, started: str, weight: str, *, hot: int | None = None) -> DataFrame:
     """At each start: how many submitted requests had not started (itself included), and whether a heavier one waited.
 
     Width is a difference of two running counts. A heavier waiting request differs from the started one in a highest
     weight bit; within each (key, bit, prefix) the running maximum start of requests submitted so far answers it.
     """
     hot = largest_group(df, keys) if hot is None else hot
+    lightest, heaviest = df.agg(F.min(F.col(weight).cast("long")), F.max(F.col(weight).cast("long"))).first()
+    lightest, heaviest = lightest or 0, heaviest or 0
+    weight_bits = max(1, (heaviest - lightest).bit_length())
     steps = F.explode(
         F.array(
             F.struct(F.col(submitted).alias("ts"), F.lit(0).alias("is_start"), F.lit(0).cast("long").alias("tie")),
             F.struct(F.col(started).alias("ts"), F.lit(1).alias("is_start"), F.col(request).cast("long").alias("tie")),
         )
     )
-    moves = df.select(*keys, request, F.col(started).alias("_start"), F.col(weight).cast("long").alias("_w"), steps.alias("_s")).select(*keys, request, "_start", "_w", "_s.*")
+    moves = df.select(*keys, request, F.col(started).alias("_start"), (F.col(weight).cast("long") - lightest).alias("_w"), steps.alias("_s")).select(*keys, request, "_start", "_w", "_s.*")
     opened, begun = 1 - F.col("is_start"), F.col("is_start")
     wide = ordered_scan(moves, keys, ["ts", "is_start", "tie"], running={"_in": Running("sum", opened), "_out": Running("sum", begun, False)}, hot=2 * hot).filter("is_start = 1")
     widths = wide.select(*keys, request, (F.col("_in") - F.coalesce("_out", F.lit(0))).alias("width"))
 
     level = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(1 << b).cast("long").alias("w")) for b in range(weight_bits)]))
     tree = moves.select(*keys, request, "ts", "is_start", "tie", "_start", "_w", level.alias("_l")).select(
-        *keys, request, "ts", "is_start", "tie", "_start", F.col("_l.b").alias("_b"), F.floor(F.col("_w") / (F.col("_l.w") * 2)).alias("_prefix"), (F.floor(F.col("_w") / F.col("_l.w")) % 2).alias("_bit")
+        *keys, request, "ts", "is_start", "tie", "_start", F.col("_l.b").alias("_b"), F.shiftright(F.expr("shiftright(_w, _l.b)"), 1).alias("_prefix"), F.expr("shiftright(_w, _l.b) % 2").alias("_bit")
     )
     asked = tree.filter("(is_start = 0 AND _bit = 1) OR (is_start = 1 AND _bit = 0)")
     later = Running("max", F.when(F.col("is_start") == 0, F.col("_start")))

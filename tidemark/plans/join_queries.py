@@ -180,7 +180,7 @@ def _(spark, sf):
  FROM ev a JOIN ev b ON a.stream=b.stream AND b.arrival_ns <= a.start_ns AND (b.start_ns > a.start_ns OR (b.start_ns = a.start_ns AND b.event_id >= a.event_id)) GROUP BY ALL""",
 )
 def _(spark, sf):
-    return pr.choice_set_at_start(lifecycle(spark, sf), ["stream"], "event_id", "arrival_ns", "start_ns", "cents", 20)
+    return pr.choice_set_at_start(lifecycle(spark, sf), ["stream"], "event_id", "arrival_ns", "start_ns", "cents")
 
 
 BRANDS = """un AS (SELECT o_orderkey AS unit, o_custkey AS ns, lag(o_orderkey) OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate, o_orderkey) AS frontier, lag(o_custkey) OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate, o_orderkey) AS fns FROM orders),

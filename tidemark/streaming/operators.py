@@ -49,54 +49,50 @@ def lifecycle_batch(events: DataFrame, keys: Sequence[str], event: str, ts: str,
 # --- source-ordered release ---
 
 
-def source_ordered_release(rows: DataFrame, stream: str, seq: str, event_time: str, *, block: int, delay: str, timeout_ms: int) -> DataFrame:
-    """Release each block of a stream's sequence in order: ``stream, block, seq, release_status, release_order``.
+def source_arrivals(rows: DataFrame, stream: str, seq: str, event_time: str, *, block: int, delay: str, timeout_ms: int) -> DataFrame:
+    """What has come of each stream: ``stream, seq, arrival`` with READY for the first copy of a row and DUPLICATE for others.
 
-    A row waits until all earlier ones of its block are there. Repeats are DUPLICATE; a gap still open when event time has
-    passed ``timeout_ms`` beyond the block's latest row is reported as MISSING, never skipped over in silence. State is kept per (stream, block of sequence numbers), so a hot
-    stream spreads over many tasks; ``release_frontier`` joins the blocks of a stream to one order.
+    State is kept per (stream, block of sequence numbers), so a hot stream spreads over many tasks. When event time has
+    passed ``timeout_ms`` beyond the block's latest row, the gaps before its last row are reported as MISSING and its
+    state leaves. Order is not decided here: :func:`ordered_release` does that over all blocks of a stream.
     """
-    out = f"{stream} bigint, block bigint, {seq} bigint, release_status string, release_order bigint"
+    out = f"{stream} bigint, {seq} bigint, arrival string"
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, part = int(key[0]), int(key[1])
-        first = part * block
+        owner, first = int(key[0]), int(key[1]) * block
         if state.hasTimedOut:
-            due, waiting = state.get
-            there = set(waiting)
-            gaps = [s for s in range(due, max(waiting, default=due)) if s not in there]
-            state.update((due, list(waiting)))
-            yield pd.DataFrame({stream: owner, "block": part, seq: gaps, "release_status": "MISSING", "release_order": -1})
+            there = set(state.get[0])
+            gaps = [s for s in range(first, max(there, default=first)) if s not in there]
+            state.remove()
+            yield pd.DataFrame({stream: owner, seq: gaps, "arrival": "MISSING"})
             return
-        due, waiting = state.get if state.exists else (first, [])
-        pending = set(waiting)
-        found: list[tuple[int, str, int]] = []
-        arrived = pd.concat(list(batches)).sort_values([event_time, seq])
+        there = set(state.get[0]) if state.exists else set()
+        found: list[tuple[int, str]] = []
+        arrived = pd.concat(list(batches))
         for s in arrived[seq].tolist():
-            if s < due or s in pending:
-                found.append((s, "DUPLICATE", -1))
-                continue
-            pending.add(s)
-            while due in pending:
-                pending.discard(due)
-                found.append((due, "RELEASED", due - first))
-                due += 1
-        state.update((due, sorted(pending)))
-        if pending:
-            newest = int(arrived[event_time].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_ms)
-        yield pd.DataFrame([(owner, part, s, st, o) for s, st, o in found], columns=[stream, "block", seq, "release_status", "release_order"])
+            found.append((s, "DUPLICATE" if s in there else "READY"))
+            there.add(s)
+        state.update((sorted(there),))
+        newest = int(arrived[event_time].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_ms)
+        yield pd.DataFrame({stream: owner, seq: [s for s, _ in found], "arrival": [k for _, k in found]})
 
     timed = rows.withWatermark(event_time, delay).withColumn("block", F.floor(F.col(seq) / block))
     keyed = timed.select(F.col(stream).cast("long").alias(stream), "block", F.col(seq).cast("long").alias(seq), event_time)
-    return keyed.groupBy(stream, "block").applyInPandasWithState(advance, out, "due bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy(stream, "block").applyInPandasWithState(advance, out, "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def release_frontier(released: DataFrame, stream: str, seq: str) -> DataFrame:
-    """First sequence number of each stream that is not released: everything before it is in order across all blocks."""
-    rows = released.filter("release_status = 'RELEASED'").select(stream, seq)
-    placed = ordered_scan(rows, [stream], [seq], rank="_r")
-    return placed.groupBy(stream).agg(F.count_if(F.col(seq) == F.col("_r") - 1).alias("frontier"), F.count(F.lit(1)).alias("released"))
+def ordered_release(arrivals: DataFrame, stream: str, seq: str) -> DataFrame:
+    """One order per stream over its arrivals: ``release_status`` RELEASED up to the first number that has not come, HELD behind it.
+
+    ``release_order`` is the place of a released row. Duplicates and missing numbers pass through without a place.
+    """
+    ready = arrivals.filter("arrival = 'READY'").select(stream, seq).distinct()
+    placed = ordered_scan(ready, [stream], [seq], rank="_r")
+    # numbers and ranks part at the first gap and never meet again
+    free = F.col(seq) == F.col("_r") - 1
+    released = placed.select(stream, seq, F.when(free, "RELEASED").otherwise("HELD").alias("release_status"), F.when(free, F.col(seq)).otherwise(-1).alias("release_order"))
+    return released.unionByName(arrivals.filter("arrival <> 'READY'").select(stream, seq, F.col("arrival").alias("release_status"), F.lit(-1).cast("long").alias("release_order")))
 
 
 # --- legal state changes ---
@@ -158,28 +154,43 @@ def latest_of(log: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Dat
 # --- recent keys and prefix providers ---
 
 
-def recent_hot_keys(rows: DataFrame, stream: str, item: str, seq: str, *, window: int, threshold: int) -> DataFrame:
+def recent_hot_keys(rows: DataFrame, stream: str, item: str, seq: str, event_time: str, *, window: int, threshold: int, delay: str) -> DataFrame:
     """Rows whose item occurred at least ``threshold`` times in the last ``window`` rows of its stream.
 
-    Per (stream, item) only the last ``threshold - 1`` sequence numbers are state: the oldest of them tells whether the
-    occurrence that many steps back is recent enough. Rows of a key arrive in sequence order.
+    A row is judged once the watermark has passed it, with all rows before it there, so the order of arrival does not
+    matter. Per (stream, item) the state is the rows still waiting and the last ``threshold - 1`` numbers judged; it leaves
+    when nothing is waiting and the watermark has passed.
     """
     out = f"{stream} bigint, {seq} bigint, {item} string"
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
+        waiting, at, last = map(list, state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            arrived = pd.concat(list(batches))
+            waiting += arrived[seq].tolist()
+            at += [int(t.timestamp() * 1000) for t in arrived[event_time]]
+        mark = state.getCurrentWatermarkMs()
+        rows_ = sorted(zip(waiting, at))
         hot: list[int] = []
-        arrived = pd.concat(list(batches)).sort_values(seq)
-        for s in arrived[seq].tolist():
+        while rows_ and rows_[0][1] <= mark:
+            s = rows_.pop(0)[0]
             last.append(s)
             if len(last) >= threshold and last[-threshold] > s - window:
                 hot.append(s)
             del last[: max(0, len(last) - threshold + 1)]
-        state.update((last,))
+        if rows_:
+            state.update(([s for s, _ in rows_], [t for _, t in rows_], last))
+            state.setTimeoutTimestamp(max(mark, rows_[0][1]) + 1)
+        elif state.hasTimedOut:
+            state.remove()
+        else:
+            state.update(([], [], last))
+            state.setTimeoutTimestamp(mark + 1)
         yield pd.DataFrame({stream: int(key[0]), seq: hot, item: str(key[1])})
 
-    return rows.select(F.col(stream).cast("long").alias(stream), item, F.col(seq).cast("long").alias(seq)).groupBy(stream, item).applyInPandasWithState(
-        advance, out, "last array<bigint>", "append", GroupStateTimeout.NoTimeout
+    timed = rows.withWatermark(event_time, delay)
+    return timed.select(F.col(stream).cast("long").alias(stream), item, F.col(seq).cast("long").alias(seq), event_time).groupBy(stream, item).applyInPandasWithState(
+        advance, out, "waiting array<bigint>, at array<bigint>, last array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
