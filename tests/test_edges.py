@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.digests import row_hash
 from tidemark.functions.measures import amdahl, ratio, wilson_bounds
 from tidemark.functions.text import event_time_us, glob_to_regex, json_keys, normalize_display
 from tidemark.operators import dag, gates, intervals, pairing, records, retrieval, rollups, snapshots, statistics, temporal, timeseries
@@ -129,16 +130,25 @@ def test_cycle_and_lone_node(spark):
     assert got == {0: 0, 1: None, 2: None, 3: 0, 4: 0}
 
 
-def test_graphs_in_tasks_and_by_levels_agree(spark):
-    nodes = spark.range(400).select((F.col("id") % 7).alias("g"), F.col("id").alias("n"), (F.col("id") % 13).alias("w"))
-    far = nodes.select("g", F.col("n").alias("a"), (F.col("n") + 7 * (1 + F.col("n") % 3)).alias("b"))
-    near = nodes.select("g", F.col("n").alias("a"), (F.col("n") + 70).alias("b"))
-    edges = far.unionByName(near).unionByName(nodes.filter("n = 350").select("g", F.col("n").alias("a"), (F.col("n") - 70).alias("b"))).filter("b < 400")
-    run = lambda limit: sorted(tuple(r) for r in dag.longest_paths(nodes, edges, "g", "n", "a", "b", "w", {"f": F.col("n") % 5, "z": F.lit(0)}, graph_rows=limit).fillna(-1).collect())
-    whole = run(10**6)
-    # At 160 rows some graphs are small and some go by levels; at 0 all go by levels.
-    assert whole == run(160) == run(0)
-    assert any(r[3] == -1 for r in whole) and max(r[3] for r in whole) > 5
+def test_paths_of_doubles_nulls_and_many_graphs(spark):
+    nodes = spark.createDataFrame([("g", 0, 1.6), ("g", 1, 1.6), ("g", 2, None)], "g string, n bigint, w double")
+    edges = spark.createDataFrame([("g", 0, 1), ("g", 1, 2), ("g", 0, 9)], "g string, a bigint, b bigint")
+    got = {r.n: (r.level, r.f) for r in dag.longest_paths(nodes, edges, "g", "n", "a", "b", "w", {"f": F.lit(0)}).collect()}
+    assert got == {0: (0, 1.6), 1: (1, 3.2), 2: (2, 3.2)}
+    big = spark.createDataFrame([("g", 0, 2**53 + 1), ("g", 1, None)], "g string, n bigint, w bigint")
+    assert {r.f for r in dag.longest_paths(big, edges, "g", "n", "a", "b", "w", {"f": F.lit(0)}).collect()} == {2**53 + 1}
+    many = spark.range(400).select((F.col("id") % 7).alias("g"), F.col("id").alias("n"), (F.col("id") % 13).alias("w"))
+    far = many.select("g", F.col("n").alias("a"), (F.col("n") + 7 * (1 + F.col("n") % 3)).alias("b"))
+    links = far.unionByName(many.select("g", F.col("n").alias("a"), (F.col("n") + 70).alias("b"))).filter("b < 400")
+    best, depth = {}, {}
+    before = {}
+    for r in links.collect():
+        before.setdefault(r.b, set()).add(r.a)
+    for n in range(400):
+        best[n] = n % 13 + max([n % 5, *(best[p] for p in before.get(n, ()))])
+        depth[n] = max((depth[p] + 1 for p in before.get(n, ())), default=0)
+    got = dag.longest_paths(many, links, "g", "n", "a", "b", "w", {"f": F.col("n") % 5}).collect()
+    assert {r.n: (r.level, r.f) for r in got} == {n: (depth[n], best[n]) for n in range(400)}
 
 
 def test_diamond_slack(spark):
@@ -157,6 +167,18 @@ def test_fork_join_tree(spark):
     assert got == {"r": 90, "a": 30, "b": 30, "c": 10, "d": 10}
 
 
+def test_orphans_and_cycles_of_spans_are_reported(spark):
+    rows = spark.createDataFrame([("t", "r", None, 0, 10), ("t", "o", "gone", 0, 7), ("t", "k", "o", 1, 3), ("t", "x", "y", 0, 5), ("t", "y", "x", 0, 5)], "k string, id string, up string, s bigint, e bigint")
+    got = {r.id: (r.span_status, r.critical_path) for r in dag.span_tree_critical_path(rows, ["k"], "id", "up", "s", "e").collect()}
+    assert got == {"r": ("OK", 10), "o": ("ORPHAN", 7), "k": ("OK", 2), "x": ("CYCLE", None), "y": ("CYCLE", None)}
+
+
+def test_weights_that_differ_in_high_bits(spark):
+    rows = spark.createDataFrame([("k", 1, 0, 10, 5), ("k", 2, 1, 20, 5 + (1 << 40))], "k string, id bigint, sub bigint, st bigint, w bigint")
+    got = {r.id: (r.width, r.heavier_waited) for r in pairing.choice_set_at_start(rows, ["k"], "id", "sub", "st", "w").collect()}
+    assert got == {1: (2, True), 2: (1, False)}
+
+
 def test_unresolved_provenance(spark):
     rows = spark.createDataFrame([("e1", ["x", "y", "x"]), ("e2", [])], "e string, ids array<string>")
     lookup = spark.createDataFrame([("x", "s1")], "id string, s string")
@@ -187,15 +209,13 @@ def test_fingerprint_sees_order(spark):
     assert fa.membership_digest == fb.membership_digest and fa.ordered_digest != fb.ordered_digest
 
 
-def test_json_array_and_lines(spark, tmp_path):
+def test_json_arrays_and_lines_in_one_folder(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.LongType())])
-    array, lines = tmp_path / "array.json", tmp_path / "lines.json"
-    array.write_text("\n [ {\"a\": 1},\n {\"a\": 2} ]\n")
-    lines.write_text('{"a": 1}\n\n5\n{"a": 2}\n')
-    good, bad = sources.read_json_records(spark, str(array), schema)
-    assert sorted(r.a for r in good.collect()) == [1, 2] and bad.count() == 0
-    good, bad = sources.read_json_records(spark, str(lines), schema)
-    assert sorted(r.a for r in good.collect()) == [1, 2] and [r.value for r in bad.collect()] == ["5"]
+    (tmp_path / "array.json").write_text("\n [ {\"a\": 1},\n {\"a\": 2} ]\n")
+    (tmp_path / "lines.json").write_text('{"a": 3}\n\n5\n{"a": 4}\n')
+    (tmp_path / "cut.json").write_text('[{"a": 9}, ')
+    good, bad = sources.read_json_records(spark, str(tmp_path), schema)
+    assert sorted(r.a for r in good.collect()) == [1, 2, 3, 4] and sorted(r.value for r in bad.collect()) == ["5", '[{"a": 9}, ']
 
 
 def test_tampered_and_regressing_lines(spark):
@@ -209,6 +229,17 @@ def test_tampered_and_regressing_lines(spark):
     schema = T.StructType([T.StructField("p", T.StringType()), T.StructField("q", T.LongType()), T.StructField("t", T.LongType())])
     got = sorted((r.q is None, r.q, r.seal_status) for r in sources.verify_sealed_lines(text, "v1", schema, "p", "q", "t").collect())
     assert got == [(False, 0, "OK"), (False, 1, "TIME_REGRESSION"), (False, 2, "HASH_MISMATCH"), (False, 3, "SEQUENCE_GAP"), (True, None, "ENVELOPE_INVALID")]
+    # Keys in another order and blanks do not matter; further keys in the envelope do.
+    loose = json.loads(line(0, 10))
+    turned = json.dumps({"record_sha256": loose["record_sha256"], "record": {"schema_version": "v1", "row": dict(reversed(loose["record"]["row"].items()))}})
+    more = json.dumps({**loose, "extra": 1})
+    text = spark.createDataFrame([(turned,), (more,)], "value string")
+    assert sorted(r.seal_status for r in sources.verify_sealed_lines(text, "v1", schema, "p", "q", "t").collect()) == ["ENVELOPE_INVALID", "OK"]
+
+
+def test_row_hashes_tell_rows_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("~", "x"), ("", "x"), ("1:a", None)], "a string, b string")
+    assert rows.select(row_hash(F.col("a"), F.col("b"))).distinct().count() == 6
 
 
 def test_text_helpers(spark):
@@ -233,7 +264,7 @@ def test_context_is_one_json_list(spark):
     rows = "q string, rank int, raw_evidence string, ts_us bigint, source_id string"
     facts = spark.createDataFrame([("q", 1, "Same  Text", 20, "f1"), ("q", 2, "late", None, "f2")], rows)
     rounds = spark.createDataFrame([("q", 1, "same text", 10, "s1"), ("q", 2, "early", 5, "s2")], rows)
-    pack = one(retrieval.context_pack(retrieval.context_rows(facts, rounds, ["q"], limit=10), ["q"]))
+    pack = one(retrieval.context_pack(retrieval.context_rows(facts, rounds, ["q"]), ["q"]))
     assert [x["source_id"] for x in json.loads(pack.context_json)] == ["s2", "f1", "f2"] and pack.evidence_count == 3
 
 
@@ -243,18 +274,30 @@ def test_first_rule_wins_and_null_does_not_hold(spark):
     assert sorted(r.verdict for r in gates.rule_gate(rows, rules, ("NONE", "none")).collect()) == ["GO", "STOP", "STOP"]
 
 
-def test_gap_is_reported_after_the_timeout(spark):
-    path, out, check = (fresh_path(spark, n) for n in ("gap-in", "gap-out", "gap-check"))
-    rows = lambda *r: spark.createDataFrame(list(r), "stream bigint, seq bigint, at string").select("stream", "seq", F.col("at").cast("timestamp").alias("at"))
-    build = lambda: streaming.source_ordered_release(spark.readStream.schema("stream bigint, seq bigint, at timestamp").parquet(path), "stream", "seq", "at", block=100, delay="1 second", timeout_ms=60_000)
-    rows((1, 1, "2024-01-01 00:00:00"), (1, 0, "2024-01-01 00:00:01"), (1, 4, "2024-01-01 00:00:02"), (1, 0, "2024-01-01 00:00:03")).coalesce(1).write.parquet(path)
-    run_available(build(), out, check)
-    rows((2, 0, "2024-01-01 01:00:00")).coalesce(1).write.mode("append").parquet(path)
-    run_available(build(), out, check)
-    got = sorted((r.stream, r.seq, r.release_status) for r in spark.read.parquet(out).collect())
-    assert got == [(1, 0, "DUPLICATE"), (1, 0, "RELEASED"), (1, 1, "RELEASED"), (1, 2, "MISSING"), (1, 3, "MISSING"), (2, 0, "RELEASED")]
-    front = one(streaming.release_frontier(spark.read.parquet(out).filter("stream = 1"), "stream", "seq"))
-    assert front.frontier == 2
+def two_batches(spark, build, schema, first, second):
+    """What a stream emits when ``second`` arrives after ``first`` has been processed."""
+    path, out, check = (fresh_path(spark, n) for n in ("two-in", "two-out", "two-check"))
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+        run_available(build(spark.readStream.schema(schema.replace("at string", "at timestamp")).parquet(path)), out, check)
+    return spark.read.parquet(out)
+
+
+def test_release_waits_for_the_gap_over_blocks(spark):
+    build = lambda s: streaming.source_arrivals(s, "stream", "seq", "at", block=4, delay="1 second", timeout_ms=60_000)
+    first = [(1, s, f"2024-01-01 00:00:{s:02d}") for s in (5, 0, 4, 2, 6, 7, 3)] + [(1, 0, "2024-01-01 00:00:09")]
+    arrivals = two_batches(spark, build, "stream bigint, seq bigint, at string", first, [(2, 0, "2024-01-01 01:00:00")])
+    got = sorted((r.stream, r.seq, r.release_status) for r in streaming.ordered_release(arrivals, "stream", "seq").collect())
+    assert got == [(1, 0, "DUPLICATE"), (1, 0, "RELEASED"), (1, 1, "MISSING"), *((1, s, "HELD") for s in range(2, 8)), (2, 0, "RELEASED")]
+
+
+def test_hot_keys_do_not_depend_on_arrival(spark):
+    build = lambda s: streaming.recent_hot_keys(s, "stream", "item", "seq", "at", window=8, threshold=3, delay="1 hour")
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    rows = [(1, "x", s, at(s)) for s in (100, 1, 2)]
+    schema = "stream bigint, item string, seq bigint, at string"
+    late = [(1, "x", 3, at(3)), (9, "z", 0, "2024-01-02 00:00:00")]
+    assert [(r.stream, r.seq) for r in two_batches(spark, build, schema, rows, late).collect()] == [(1, 3)]
 
 
 def test_lifecycle_twins_agree(spark):

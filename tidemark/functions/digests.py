@@ -66,3 +66,18 @@ def draw_index(seed: int, n: Column, *parts: Column) -> Column:
 def draw_index_sql(seed: int, n: str, *parts: str) -> str:
     joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {joined})),1,12)) AS BIGINT) % {n})"
+
+
+#: Draws that one md5 gives, eight digits each.
+DRAWS = 4
+
+
+def draw_four(seed: int, n: Column, *parts: Column) -> Column:
+    """An array of ``DRAWS`` numbers in ``[0, n)`` from one md5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.array(*[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") % n for k in range(DRAWS)])
+
+
+def draw_four_sql(seed: int, n: str, replicate: str, slot: str) -> str:
+    """The number of one slot: slots share a digest in fours."""
+    return f"(CAST(('0x' || substr(md5('{seed}|' || {replicate} || '|' || ({slot} // {DRAWS})), CAST(8 * ({slot} % {DRAWS}) + 1 AS BIGINT), 8)) AS BIGINT) % {n})"

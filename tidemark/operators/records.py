@@ -12,16 +12,12 @@ from tidemark.functions.text import collapse_whitespace, is_forbidden_key, json_
 from tidemark.operators.ordered import ordered_scan
 
 
-def render_bodies(turns: DataFrame, keys: Sequence[str], turn: str, role: Column, content: Column, *, turns_per_chunk: int = 10_000) -> DataFrame:
-    """``[ROLE] content`` lines of a session in turn order.
-
-    A session is one row; only one longer than ``turns_per_chunk`` turns continues in further rows (``chunk`` 1, 2, ...),
-    so no task has to hold a session of any length as one value.
-    """
-    line = F.struct(F.col(turn).alias("t"), F.concat(F.lit("["), role, F.lit("] "), content).alias("line"))
-    chunk = F.floor(F.col(turn) / turns_per_chunk)
-    rows = turns.withColumn("chunk", chunk).groupBy(*keys, "chunk").agg(F.collect_list(line).alias("_l"), F.count(F.lit(1)).alias("turns"))
-    return rows.select(*keys, "chunk", "turns", F.array_join(F.transform(F.array_sort("_l"), lambda x: x["line"]), "\n").alias("body"))
+def render_bodies(turns: DataFrame, keys: Sequence[str], turn: str, role: Column, content: Column) -> DataFrame:
+    """``[ROLE] content`` lines of a session in turn order, contents stripped: one row, one body per session."""
+    stripped = F.regexp_replace(content, r"^\s+|\s+$", "")
+    line = F.struct(F.col(turn).alias("t"), F.concat(F.lit("["), role, F.lit("] "), stripped).alias("line"))
+    rows = turns.groupBy(*keys).agg(F.collect_list(line).alias("_l"), F.count(F.lit(1)).alias("turns"))
+    return rows.select(*keys, "turns", F.array_join(F.transform(F.array_sort("_l"), lambda x: x["line"]), "\n").alias("body"))
 
 
 def build_episodes(histories: DataFrame, history: str, sessions: str, dates: str, ids: str) -> DataFrame:

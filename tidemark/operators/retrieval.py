@@ -196,15 +196,27 @@ def evidence_recall(ranked: DataFrame, gold: DataFrame, query: str, item: str, k
     return ranked.select(query).distinct().join(found, query, "left").select(query, F.coalesce("_r", F.lit(empty_gold)).alias(f"recall_at_{k}"))
 
 
-def jaccard_overlap(left: DataFrame, right: DataFrame, query: Sequence[str], item: str) -> DataFrame:
+def _all_queries(found: DataFrame, queries: DataFrame | None, query: Sequence[str], empty: dict[str, Column]) -> DataFrame:
+    """One row per query asked, also where both lists are empty."""
+    if queries is None:
+        return found
+    rows = queries.select(*query).distinct().join(found, list(query), "left")
+    return rows.withColumns({c: F.coalesce(F.col(c), v) for c, v in empty.items()})
+
+
+def jaccard_overlap(left: DataFrame, right: DataFrame, query: Sequence[str], item: str, queries: DataFrame | None = None) -> DataFrame:
+    """Jaccard index of two lists per query; 1 for a query of ``queries`` without items on either side."""
     side = lambda df, s: df.select(*query, item).withColumn("_s", F.lit(s))
     seen = side(left, "l").unionByName(side(right, "r")).groupBy(*query, item).agg(F.bool_or(F.col("_s") == "l").alias("_l"), F.bool_or(F.col("_s") == "r").alias("_r"))
-    return seen.groupBy(*query).agg(ratio(F.count_if(F.col("_l") & F.col("_r")), F.count(F.lit(1))).alias("jaccard"))
+    found = seen.groupBy(*query).agg(ratio(F.count_if(F.col("_l") & F.col("_r")), F.count(F.lit(1))).alias("jaccard"))
+    return _all_queries(found, queries, query, {"jaccard": F.lit(1.0)})
 
 
-def rank_biased_overlap(left: DataFrame, right: DataFrame, query: Sequence[str], item: str, *, p: float = 0.9) -> DataFrame:
+def rank_biased_overlap(left: DataFrame, right: DataFrame, query: Sequence[str], item: str, *, p: float = 0.9, queries: DataFrame | None = None) -> DataFrame:
     """Finite rank-biased overlap with its tail term. An item common to both counts from the deeper of its two ranks on.
 
+    A query of ``queries`` without items on either side overlaps in full, at depth 0.
+
     So the agreement at every depth is a running count over depths, not a set operation per depth.
     """
     a, b = left.select(*query, item, F.col("rank").alias("_ra")), right.select(*query, item, F.col("rank").alias("_rb"))
@@ -213,9 +225,10 @@ def rank_biased_overlap(left: DataFrame, right: DataFrame, query: Sequence[str],
     steps = ordered_scan(depths.join(met, [*query, "_d"], "left").fillna(0, ["_new"]), query, ["_d"], running={"_common": Running("sum", F.col("_new"))})
     agree = F.col("_common") / F.col("_d")
     depth = F.max("_d")
-    return steps.groupBy(*query).agg(
-        (F.lit(1 - p) * F.sum(F.pow(F.lit(p), F.col("_d") - 1) * agree) + F.pow(F.lit(p), depth) * F.max_by(agree, F.col("_d"))).alias("rbo"), depth.alias("depth")
+    found = steps.groupBy(*query).agg(
+        (F.lit(1 - p) * F.sum(F.pow(F.lit(p), F.col("_d") - 1) * agree) + F.pow(F.lit(p), depth) * F.max_by(agree, F.col("_d"))).alias("rbo"), depth.cast("long").alias("depth")
     )
+    return _all_queries(found, queries, query, {"rbo": F.lit(1.0), "depth": F.lit(0).cast("long")})
 
 
 def session_ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str, cutoffs: Sequence[int] = (1, 3, 5, 10), ndcg_at: int = 10) -> DataFrame:
@@ -257,13 +270,13 @@ def edge_provenance_metrics(facts: DataFrame, gold: DataFrame, query: str, rank:
     return rows.select(query, *out)
 
 
-def context_rows(facts: DataFrame, rounds: DataFrame, query: Sequence[str], *, limit: int) -> DataFrame:
+def context_rows(facts: DataFrame, rounds: DataFrame, query: Sequence[str]) -> DataFrame:
     """Facts and local rounds of a question as one ordered list: first of equal evidence kept (facts before rounds, by rank),
     then by time with missing last, type, rank and id.
 
-    Both inputs have ``rank, raw_evidence, ts_us, source_id``; ranks beyond ``limit`` are not part of the retrieval.
+    Both inputs have ``rank, raw_evidence, ts_us, source_id``; all that is given takes part.
     """
-    tag = lambda df, kind, place: df.filter(F.col("rank") <= limit).select(*query, F.lit(kind).alias("evidence_type"), F.lit(place).alias("_kind"), "rank", "raw_evidence", "ts_us", "source_id")
+    tag = lambda df, kind, place: df.select(*query, F.lit(kind).alias("evidence_type"), F.lit(place).alias("_kind"), "rank", "raw_evidence", "ts_us", "source_id")
     rows = tag(facts, "graph_fact", 0).unionByName(tag(rounds, "source_local_round", 1)).withColumn("_norm", F.sha2(F.lower(collapse_whitespace(F.col("raw_evidence"))), 256))
     fields = F.struct("evidence_type", "rank", "raw_evidence", "ts_us", "source_id")
     kept = rows.groupBy(*query, "_norm").agg(F.min_by(fields, F.struct("_kind", "rank")).alias("_f")).select(*query, "_f.*")
@@ -272,9 +285,9 @@ def context_rows(facts: DataFrame, rounds: DataFrame, query: Sequence[str], *, l
 
 
 def context_pack(rows: DataFrame, query: Sequence[str]) -> DataFrame:
-    """The ordered evidence of a question as one JSON array. Its length is bounded by the retrieval limits."""
+    """The ordered evidence of a question as one JSON array, missing values as null."""
     item = F.struct("position", "evidence_type", "rank", "raw_evidence", "ts_us", "source_id")
-    return rows.groupBy(*query).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("context_json"), F.count(F.lit(1)).alias("evidence_count"))
+    return rows.groupBy(*query).agg(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}).alias("context_json"), F.count(F.lit(1)).alias("evidence_count"))
 
 
 # Fixed value: the frame around ranked facts and entities.
@@ -293,16 +306,16 @@ CONTEXT_TAIL = """
 </ENTITIES>"""
 
 
-def render_temporal_context(facts: DataFrame, entities: DataFrame, query: Sequence[str], *, limit: int) -> DataFrame:
-    """Ranked fact and entity lines of a question, absent times spelled out. Both lists end at ``limit``."""
+def render_temporal_context(facts: DataFrame, entities: DataFrame, query: Sequence[str]) -> DataFrame:
+    """Ranked fact and entity lines of a question, absent times spelled out: all that are given."""
     at = lambda c, absent: F.coalesce(F.col(c).cast("string"), F.lit(absent))
     fact = F.format_string(
         "  - [rank %d] %s (valid_at=%s; invalid_at=%s; expired_at=%s; reference_time=%s)",
         "rank", "fact", at("valid_at", "unknown"), at("invalid_at", "present"), at("expired_at", "not-expired"), at("reference_time", "unknown"),
     )
     entity = F.format_string("  - [rank %d] %s: %s", "rank", "name", "summary")
-    lines = facts.filter(F.col("rank") <= limit).select(*query, F.lit(0).alias("k"), "rank", fact.alias("line")).unionByName(
-        entities.filter(F.col("rank") <= limit).select(*query, F.lit(1).alias("k"), "rank", entity.alias("line"))
+    lines = facts.select(*query, F.lit(0).alias("k"), "rank", fact.alias("line")).unionByName(
+        entities.select(*query, F.lit(1).alias("k"), "rank", entity.alias("line"))
     )
     block = lambda k: F.array_join(F.transform(F.filter(F.col("_l"), lambda x: x["k"] == k), lambda x: x["line"]), "\n")
     packed = lines.groupBy(*query).agg(F.array_sort(F.collect_list(F.struct("k", "rank", "line"))).alias("_l"))

@@ -102,24 +102,26 @@ def _(spark, sf):
 
 @query(
     "exact_lookup_join",
-    """WITH g AS (SELECT l_partkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), a AS (SELECT p_partkey AS k FROM part WHERE p_size < 40)
+    """WITH g AS (SELECT l_orderkey + (l_linenumber - 1) * (l_orderkey % 3) * 1000000000 AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey + CASE WHEN o_orderkey % 7 = 3 THEN 500000000 ELSE 0 END AS k FROM orders)
  SELECT k, CASE WHEN a.k IS NULL THEN 'UNREQUESTED' WHEN n IS NULL THEN 'MISSING' WHEN f > 0 THEN 'FOREIGN_NAMESPACE' WHEN n > 1 THEN 'DUPLICATE' ELSE 'OK' END AS lookup_status FROM a FULL JOIN g USING (k)""",
 )
 def _(spark, sf):
-    asked = table(spark, sf, "part").filter("p_size < 40").select(F.col("p_partkey").alias("k"))
-    back = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("k"), F.when(F.col("l_returnflag") == "R", "other").otherwise("own").alias("ns"))
+    # Some orders are asked for under a name nobody has, and lines of two orders in three answer to names of their own.
+    order = F.col("l_orderkey")
+    asked = table(spark, sf, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 7 == 3, 500_000_000).otherwise(0)).alias("k"))
+    back = table(spark, sf, "lineitem").select((order + (F.col("l_linenumber") - 1) * (order % 3) * 1_000_000_000).alias("k"), F.when(F.col("l_returnflag") == "R", "other").otherwise("own").alias("ns"))
     return pr.exact_lookup(asked, back, "k", "ns", "own")
 
 
 @query(
     "intersection_union",
-    f"""WITH {EV}, lf AS (SELECT * FROM ev WHERE kind IN ('click','view')), rt AS (SELECT * FROM ev WHERE kind IN ('purchase','signup')), {islands_sql("li", "lf", "stream", "arrival_ns", "publish_ns")}, {islands_sql("ri", "rt", "stream", "arrival_ns", "publish_ns")},
+    f"""WITH {EV}, lf AS (SELECT * FROM ev WHERE kind IN ('click','view')), rt AS (SELECT * FROM ev WHERE kind NOT IN ('click','view')), {islands_sql("li", "lf", "stream", "arrival_ns", "publish_ns")}, {islands_sql("ri", "rt", "stream", "arrival_ns", "publish_ns")},
  x AS (SELECT li.stream, sum(least(li.e,ri.e)-greatest(li.s,ri.s)) AS t FROM li JOIN ri ON li.stream=ri.stream AND li.s<ri.e AND ri.s<li.e GROUP BY 1)
- SELECT DISTINCT ev.stream, CAST(coalesce(t,0) AS BIGINT) AS both_len FROM ev LEFT JOIN x USING (stream) WHERE kind <> 'error'""",
+ SELECT DISTINCT ev.stream, CAST(coalesce(t,0) AS BIGINT) AS both_len FROM ev LEFT JOIN x USING (stream)""",
 )
 def _(spark, sf):
     rows = lifecycle(spark, sf)
-    return iv.both_active_time(rows.filter(F.col("kind").isin("click", "view")), rows.filter(F.col("kind").isin("purchase", "signup")), ["stream"], "arrival_ns", "publish_ns")
+    return iv.both_active_time(rows.filter(F.col("kind").isin("click", "view")), rows.filter(~F.col("kind").isin("click", "view")), ["stream"], "arrival_ns", "publish_ns")
 
 
 @query(

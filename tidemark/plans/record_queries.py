@@ -27,9 +27,15 @@ def written_lines(spark, df, label: str) -> str:
 
 @query("read_json_records", f"WITH {EV} SELECT stream, kind, cents, arrival_ns FROM ev WHERE event_id % 97 <> 5")
 def _(spark, sf):
+    # Files of lines, some broken, beside files that are one array each.
     rows = lifecycle(spark, sf)
-    line = F.when(F.col("event_id") % 97 == 5, F.lit("[broken")).otherwise(F.to_json(F.struct("stream", "kind", "cents", "arrival_ns")))
-    path = written_lines(spark, rows.select(F.concat(F.lit(""), line)), "json")
+    shape = F.struct("stream", "kind", "cents", "arrival_ns")
+    line = F.when(F.col("event_id") % 97 == 5, F.lit("{broken")).otherwise(F.to_json(shape))
+    lines = written_lines(spark, rows.filter("event_id % 3 <> 0 OR event_id % 97 = 5").select(line), "json")
+    arrays = fresh_path(spark, "json-arrays")
+    held = rows.filter("event_id % 3 = 0 AND event_id % 97 <> 5").groupBy((F.col("event_id") % 50).alias("b")).agg(F.to_json(F.collect_list(shape)).alias("value"))
+    held.write.partitionBy("b").text(arrays)
+    path = [lines, f"{arrays}/*"]
     schema = T.StructType([T.StructField(n, T.StringType() if n == "kind" else T.LongType()) for n in ("stream", "kind", "cents", "arrival_ns")])
     good, _bad = src.read_json_records(spark, path, schema)
     return good
@@ -64,8 +70,10 @@ def _(spark, sf):
     record = F.struct(
         F.struct(F.col("kind").alias("producer"), (F.col("_r") - 1).alias("event_sequence"), F.col("arrival_ns").alias("timestamp_ns")).alias("row"), version.alias("schema_version")
     )
+    # The line keeps its own key order; the seal is of the canonical one.
     body = F.to_json(record)
-    seal = F.when(e % 101 == 3, F.lit("0" * 64)).otherwise(F.sha2(body, 256))
+    canonical = F.to_json(F.struct(F.struct((F.col("_r") - 1).alias("event_sequence"), F.col("kind").alias("producer"), F.col("arrival_ns").alias("timestamp_ns")).alias("row"), version.alias("schema_version")))
+    seal = F.when(e % 101 == 3, F.lit("0" * 64)).otherwise(F.sha2(canonical, 256))
     line = F.concat(F.lit('{"record":'), body, F.lit(',"record_sha256":"'), seal, F.lit('"}'))
     path = written_lines(spark, rows.select(line), "sealed")
     schema = T.StructType([T.StructField("producer", T.StringType()), T.StructField("event_sequence", T.LongType()), T.StructField("timestamp_ns", T.LongType())])
@@ -167,11 +175,11 @@ def _(spark, sf):
 
 @query(
     "render_episode_body",
-    f"""WITH {SPOKEN}, l AS (SELECT conv_id, turn, '[' || {ROLE_SQL} || '] ' || coalesce(content, message, '') AS line FROM (SELECT *, upper(trim(speaker)) AS r FROM sp))
- SELECT conv_id, turn // 4 AS chunk, count(*) AS turns, string_agg(line, chr(10) ORDER BY turn) AS body FROM l GROUP BY ALL""",
+    f"""WITH {SPOKEN}, l AS (SELECT conv_id, turn, '[' || {ROLE_SQL} || '] ' || regexp_replace(coalesce(content, message, ''), '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT *, upper(trim(speaker)) AS r FROM sp))
+ SELECT conv_id, count(*) AS turns, string_agg(line, chr(10) ORDER BY turn) AS body FROM l GROUP BY ALL""",
 )
 def _(spark, sf):
-    return rec.render_bodies(spoken(spark, sf), ["conv_id"], "turn", tx.normalize_role(F.col("speaker")), F.coalesce("content", "message", F.lit("")), turns_per_chunk=4)
+    return rec.render_bodies(spoken(spark, sf), ["conv_id"], "turn", tx.normalize_role(F.col("speaker")), F.coalesce("content", "message", F.lit("")))
 
 
 @query(

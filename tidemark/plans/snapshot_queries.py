@@ -154,8 +154,8 @@ def _(spark, sf):
 
 @query(
     "candidate_list_diff",
-    """WITH a AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS p FROM documents), b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars + doc_id % 700 DESC, doc_id) AS p FROM documents),
- x AS (SELECT * FROM a WHERE p <= 15), y AS (SELECT * FROM b WHERE p <= 15), s AS (SELECT source, count(x.p) AS requested_size, count(y.p) AS expected_size, count(*) FILTER (x.doc_id IS DISTINCT FROM y.doc_id) AS substitutions FROM x FULL JOIN y USING (source, p) GROUP BY 1),
+    """WITH a AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS p FROM documents), b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars + doc_id % 700 DESC, doc_id) AS p FROM documents WHERE doc_id % 53 <> 7 OR source = 'src1'),
+ x AS (SELECT * FROM a), y AS (SELECT * FROM b), s AS (SELECT source, count(x.p) AS requested_size, count(y.p) AS expected_size, count(*) FILTER (x.doc_id IS DISTINCT FROM y.doc_id) AS substitutions FROM x FULL JOIN y USING (source, p) GROUP BY 1),
  c AS (SELECT source, x.p AS pa, y.p AS pb FROM x JOIN y USING (source, doc_id)), o AS (SELECT source, bool_or(l > pb) AS f FROM (SELECT source, pb, lag(pb) OVER (PARTITION BY source ORDER BY pa) AS l FROM c) GROUP BY 1), n AS (SELECT source, count(*) AS common FROM c GROUP BY 1)
  SELECT source, requested_size, expected_size, substitutions, common < requested_size OR common < expected_size AS membership_changed, coalesce(common,0) AS common, coalesce(f,false) AS common_order_changed, NOT (common < requested_size OR common < expected_size) AND substitutions > 0 AS order_changed FROM s LEFT JOIN o USING (source) LEFT JOIN n USING (source)""",
 )
@@ -163,7 +163,9 @@ def _(spark, sf):
     from tidemark.plans.retrieval_queries import ranked_docs
 
     a, b, _g = ranked_docs(spark, sf)
-    return sn.candidate_list_diff(a.filter("rank <= 15"), b.filter("rank <= 15"), ["source"], "rank", "doc_id")
+    # The second run lacks some documents of most sources, so its later ranks move up.
+    left = ordered_scan(b.filter("doc_id % 53 <> 7 OR source = 'src1'").drop("rank").join(a.select("source", "doc_id", F.col("rank").alias("_old")), ["source", "doc_id"]).join(b.select("source", "doc_id", F.col("rank").alias("_r")), ["source", "doc_id"]), ["source"], ["_r"], rank="rank")
+    return sn.candidate_list_diff(a, left.select("source", "doc_id", "rank"), ["source"], "rank", "doc_id")
 
 
 FACTS = """fx AS (SELECT o_custkey AS question, l_suppkey % 10 AS target, l_returnflag AS relation, CASE WHEN l_linenumber % 2 = 0 THEN 'Q  ' ELSE 'q ' END || (CAST(l_quantity AS BIGINT) % 3) AS fact, CASE WHEN l_linenumber <> 4 THEN epoch_us(o_orderdate)*1000 END AS valid_at, CASE WHEN l_linestatus='F' THEN epoch_us(l_shipdate)*1000 END AS invalid_at,
@@ -213,7 +215,7 @@ def _(spark, sf):
     return tm.latest_valid_fact(facts(spark, sf), ["question", "target", "relation"], "fact", "status", "rank", "valid_at", "reference_time")
 
 
-STATES = f"""{EV}, {OPS}, lt AS (SELECT stream, arg_max(new_value, seq) AS latest_value FROM op GROUP BY 1), sv AS (SELECT DISTINCT stream, new_value AS stale_value FROM op JOIN lt USING (stream) WHERE new_value <> latest_value AND new_value < 4)"""
+STATES = f"""{EV}, {OPS}, lt AS (SELECT stream, arg_max(new_value, seq) AS latest_value FROM op GROUP BY 1), sv AS (SELECT DISTINCT stream, new_value AS stale_value FROM op JOIN lt USING (stream) WHERE new_value <> latest_value)"""
 
 
 @query("latest_and_stale_values", f"WITH {EV}, {OPS}, lt AS (SELECT stream, arg_max(new_value, seq) AS latest_value FROM op GROUP BY 1) SELECT DISTINCT stream, latest_value, new_value AS stale_value FROM op JOIN lt USING (stream) WHERE new_value <> latest_value")
@@ -238,7 +240,7 @@ def _(spark, sf):
 def current_states(spark, sf):
     latest, stale = tm.latest_and_stale_values(operations(spark, sf), ["stream"], ["seq"], "new_value")
     samples = latest.select("stream", F.concat(F.lit("Val"), "latest_value").alias("expected"))
-    old = stale.filter("stale_value < 4").select("stream", F.concat(F.lit("val"), "stale_value").alias("stale_value"))
+    old = stale.select("stream", F.concat(F.lit("val"), "stale_value").alias("stale_value"))
     c = F.col("cents")
     edges = lifecycle(spark, sf).select(
         "stream",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import draw_index_sql
+from tidemark.functions.digests import draw_four_sql
 from tidemark.operators import statistics as st
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
 from tidemark.plans.inputs import EV, LINES, QA, RUNS, judged, lifecycle, line_spans, runs, table
@@ -115,13 +115,13 @@ def _(spark, sf):
     return rounded(rounded(speedups(spark, sf), 4, "baseline", "candidate"), 6, "speedup")
 
 
-SAMPLES_GEO, SEED = 100, 20260806
+SAMPLES_GEO, SEED = 10_000, 20260806
 
 
 @query(
     "bootstrap_ci_geomean",
     f"""WITH {RUNS}, {SPEEDUPS}, u AS (SELECT ln(speedup) AS l, row_number() OVER (ORDER BY question)-1 AS i, count(*) OVER () AS n FROM pr),
- dr AS (SELECT b, {draw_index_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_GEO})) AS b)),
+ dr AS (SELECT b, {draw_four_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_GEO})) AS b)),
  g AS (SELECT b, exp(avg(l)) AS g FROM dr JOIN u USING (i) GROUP BY 1), r AS (SELECT g, row_number() OVER (ORDER BY g, b)-1 AS r, count(*) OVER () AS m FROM g)
  SELECT CAST(max(m) AS BIGINT) AS estimates, round(max(g) FILTER (r = floor(0.025*(m-1))),6) AS ci_low, round(max(g) FILTER (r = floor(0.975*(m-1))),6) AS ci_high FROM r""",
 )
@@ -130,12 +130,12 @@ def _(spark, sf):
     return rounded(out, 6, "ci_low", "ci_high")
 
 
-SAMPLES_CLUSTER = 400
+SAMPLES_CLUSTER = 2_000
 
 
 def _cluster_sql(per: str, estimate: str) -> str:
     return f"""per AS ({per}), u AS (SELECT *, row_number() OVER (ORDER BY CAST(('0x'||substr(md5(c),1,12)) AS BIGINT), c)-1 AS i, count(*) OVER () AS n FROM per),
- dr AS (SELECT b, {draw_index_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_CLUSTER})) AS b)),
+ dr AS (SELECT b, {draw_four_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_CLUSTER})) AS b)),
  e AS (SELECT b, {estimate} AS e FROM dr JOIN u USING (i) GROUP BY 1), r AS (SELECT e, row_number() OVER (ORDER BY e, b)-1 AS r, count(*) OVER () AS m FROM e WHERE e IS NOT NULL)
  SELECT CAST(max(m) AS BIGINT) AS estimates, round(max(e) FILTER (r = floor(0.025*(m-1))),6) AS ci_low, round(max(e) FILTER (r = floor(0.975*(m-1))),6) AS ci_high FROM r"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,24 +15,30 @@ from tidemark.operators.ordered import ordered_scan
 CORRUPT = "_corrupt_record"
 
 
-def is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first non-blank character of the data opens an array; one line is looked at."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    return bool(head) and head[0][0].lstrip()[:1] == "["
+def array_files(lines: DataFrame) -> list[str]:
+    """Files whose first character other than white space opens an array. Names only: the data is reduced where it lies."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    heads = lines.filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_f"), F.substring(F.ltrim("value"), 1, 1).alias("_c"), at.alias("_at"))
+    return [r["_f"] for r in heads.groupBy("_f").agg(F.min_by("_c", "_at").alias("_c")).filter("_c = '['").select("_f").collect()]
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """JSON array or JSON lines, by the first character: ``(records, texts that could not be read)``.
+def read_json_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON arrays and JSON lines, decided per file by its first character: ``(records, texts that could not be read)``.
 
-    Lines are split over tasks; a file that is one array cannot be, and is read by one.
+    Lines are split over tasks; a file that is one array cannot be, and is read by one. An array that cannot be read is one bad text.
     """
-    if is_json_array(spark, path):
-        arrays = spark.read.text(path, wholetext=True).withColumn("_r", F.from_json("value", T.ArrayType(schema)))
-        return arrays.select(F.explode("_r").alias("_r")).select("_r.*"), arrays.filter(F.col("_r").isNull()).select("value")
+    lines = spark.read.text(path)
+    whole = array_files(lines)
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = spark.read.text(path).filter(F.trim("value") != "").withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    rows = lines.filter(~F.col("_metadata.file_path").isin(whole)) if whole else lines
+    parsed = rows.select("value").filter(F.trim("value") != "").withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     broken = F.col(f"_r.{CORRUPT}").isNotNull()
-    return parsed.filter(~broken).select("_r.*").drop(CORRUPT), parsed.filter(broken).select("value")
+    good, bad = parsed.filter(~broken).select("_r.*").drop(CORRUPT), parsed.filter(broken).select("value")
+    if whole:
+        arrays = spark.read.text([unquote(f) for f in whole], wholetext=True).select("value").withColumn("_r", F.from_json("value", T.ArrayType(schema)))
+        good = good.unionByName(arrays.select(F.explode("_r").alias("_r")).select("_r.*"))
+        bad = bad.unionByName(arrays.filter(F.col("_r").isNull()).select("value"))
+    return good, bad
 
 
 def read_corpus_records(spark: SparkSession, path: str, record: T.StructType, *, source: str = "*") -> DataFrame:
@@ -52,18 +59,29 @@ def read_corpus_records(spark: SparkSession, path: str, record: T.StructType, *,
 def verify_sealed_lines(lines: DataFrame, schema_version: str, row: T.StructType, producer: str, seq: str, ts: str) -> DataFrame:
     """Parsed rows of ``{"record": ..., "record_sha256": ...}`` lines with a ``seal_status``.
 
-    A line is checked on its own (shape, version, hash); the lines that pass are then checked per producer for gaps in
-    the sequence and for time running backwards.
+    A line is checked on its own: no other keys in the envelope and record, the version and only known fields in the row,
+    and the hash of the record's canonical JSON, however the line orders its keys. The lines that pass are then checked per
+    producer for gaps in the sequence and for time running backwards.
     """
     record = F.get_json_object("value", "$.record")
+    keys = lambda text: F.array_sort(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")))
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
     rows = lines.select("value", record.alias("_rec"), F.get_json_object("value", "$.record_sha256").alias("_sha"), F.get_json_object("value", "$.record.schema_version").alias("_ver"))
+    rows = rows.withColumn("_row", F.get_json_object("_rec", "$.row")).withColumn("_keys", keys(F.col("_row"))).withColumn("r", F.from_json("_row", row))
+    # canonical JSON: keys in order, no blanks; absent fields stay absent
+    pieces = []
+    for f in sorted(row.fieldNames()):
+        shown = F.to_json(F.struct(F.col(f"r.{f}").alias(f)), {"ignoreNullFields": "false"})
+        pieces.append(F.when(F.array_contains("_keys", f), F.substring(shown, F.lit(2), F.length(shown) - 2)))
+    version = F.to_json(F.struct(F.col("_ver").alias("schema_version")), {"ignoreNullFields": "false"})
+    canonical = F.concat(F.lit('{"row":{'), F.concat_ws(",", *pieces), F.lit("},"), F.substring(version, F.lit(2), F.length(version) - 1))
     shape = (
-        F.when(F.col("_rec").isNull() | F.col("_sha").isNull(), "ENVELOPE_INVALID")
-        .when(~F.col("_ver").eqNullSafe(F.lit(schema_version)), "SCHEMA_INVALID")
-        .when(F.sha2(F.col("_rec"), 256) != F.col("_sha"), "HASH_MISMATCH")
+        F.when(F.col("_rec").isNull() | F.col("_sha").isNull() | (keys(F.col("value")) != names("record", "record_sha256")) | (keys(F.col("_rec")) != names("row", "schema_version")), "ENVELOPE_INVALID")
+        .when(~F.col("_ver").eqNullSafe(F.lit(schema_version)) | (F.size(F.array_except("_keys", names(*row.fieldNames()))) > 0), "SCHEMA_INVALID")
+        .when(F.sha2(canonical, 256) != F.col("_sha"), "HASH_MISMATCH")
         .otherwise("OK")
     )
-    parsed = rows.select(shape.alias("_shape"), F.from_json(F.get_json_object("_rec", "$.row"), row).alias("r")).select("_shape", "r.*")
+    parsed = rows.select(shape.alias("_shape"), "r.*")
     good = parsed.filter("_shape = 'OK'")
     chained = ordered_scan(good, [producer], [seq], lag={"_ps": seq, "_pt": ts})
     status = (
