@@ -287,13 +287,13 @@ def _(spark, sf):
     return rt.prefix_match_length(pairs, chained, "id", "position", "prefix_hash", "a", "b", 4)
 
 
-SETTINGS = f"""{RUNS}, bl AS (SELECT method, question % 4 AS c, question % 25 AS block, CAST(count(*) AS DOUBLE) / 7 AS goodput, max(metric) AS p95, count(*) FILTER (status='P') AS violations, NOT (count(*) FILTER (status='P') >= 2 AND count(*) FILTER (status='P') * 4 > count(*)) AS qualified, CASE WHEN count(*) FILTER (status='P') >= 2 AND count(*) FILTER (status='P') * 4 > count(*) THEN 'violations' WHEN max(metric) > 49900000 THEN 'slow' END AS reason FROM runs GROUP BY ALL),
+SETTINGS = f"""{RUNS}, bl AS (SELECT method, question % 4 AS c, question % 25 AS block, CAST(count(*) AS DOUBLE) / 7 AS goodput, max(metric) AS p95, count(*) FILTER (status='P') AS violations, NOT (count(*) FILTER (status='P') >= 4 AND count(*) FILTER (status='P') * 2 > count(*)) AS qualified, CASE WHEN count(*) FILTER (status='P') >= 4 AND count(*) FILTER (status='P') * 2 > count(*) THEN 'violations' WHEN max(metric) > 49900000 THEN 'slow' END AS reason FROM runs GROUP BY ALL),
  st AS (SELECT method, c AS concurrency, count(*) AS block_count, CAST(sum(violations) AS BIGINT) AS violations, bool_and(qualified) AS qualified, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons, median(goodput) AS median_goodput, CAST(median(p95) AS DOUBLE) AS median_p95 FROM bl GROUP BY ALL)"""
 
 
 def settings(spark, sf):
     pending = F.count_if(F.col("status") == "P")
-    over = (pending >= 2) & (pending * 4 > F.count(F.lit(1)))
+    over = (pending >= 4) & (pending * 2 > F.count(F.lit(1)))
     blocks = runs(spark, sf).groupBy("method", (F.col("question") % 4).alias("concurrency"), (F.col("question") % 25).alias("block")).agg(
         (F.count(F.lit(1)).cast("double") / 7).alias("goodput"), F.max("metric").alias("p95"), pending.alias("violations"), (~over).alias("qualified"), F.when(over, "violations").when(F.max("metric") > 49_900_000, "slow").alias("reason")
     )
