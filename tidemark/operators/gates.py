@@ -27,14 +27,19 @@ def rule_gate(metrics: DataFrame, rules: Sequence[Rule], otherwise: tuple[str, s
     return metrics.withColumns({verdict: v, reason: r})
 
 
+# Verdicts, reasons and thresholds of the gates below.
 GO_NO_GO = [
     Rule("pending_runs > 0", "INCONCLUSIVE", "runs_pending"),
+    Rule("hard_reasons > 0", "INCONCLUSIVE", "hard_inconclusive"),
     Rule("completed_instances < 7", "INCONCLUSIVE", "too_few_instances"),
     Rule("parse_success_rate < 0.995", "INCONCLUSIVE", "parse_success_low"),
+    Rule("worst_method_failed_rate > 0.05", "INCONCLUSIVE", "failed_runs_of_a_method"),
     Rule("failed_run_rate > 0.05", "INCONCLUSIVE", "failed_runs"),
-    Rule("NOT exactly_once", "NO-GO", "not_exactly_once"),
-    Rule("parity_count < 8", "NO-GO", "graph_parity"),
-    Rule("speedup < 1.2", "NO-GO", "speedup_below_floor"),
+    Rule("correctness_runs < 8", "INCONCLUSIVE", "too_few_correctness_runs"),
+    Rule("correctness_runs >= 8 AND NOT coalesce(exactly_once, false)", "NO-GO", "not_exactly_once"),
+    Rule("correctness_runs >= 8 AND unexpected_prompts > 0", "NO-GO", "unexpected_prompts"),
+    Rule("coalesce(parity_count, 0) < 8", "NO-GO", "graph_parity"),
+    Rule("coalesce(speedup, 0) < 1.2", "NO-GO", "speedup_below_floor"),
     Rule(
         "speedup >= 1.5 AND p95_reduction >= 0.30 AND speedup_ci_low > 1.0 AND parity_count = 8 AND recall_drop_pp <= 1.0 AND token_growth <= 0.05 AND NOT order_violation AND divergences >= 1",
         "GO",
@@ -46,10 +51,10 @@ GO_NO_GO_DEFAULT = ("NO-GO", "threshold_missed")
 REPLAY = [
     Rule("low_conflict = 0", "STOP_CONFLICT_AWARE", "low_conflict_opportunities_zero"),
     Rule("NOT exact_validation", "STOP_CONFLICT_AWARE", "exact_validation_missing"),
-    Rule("NOT coalesce(conflict_complete, false)", "STOP_PREDICTOR", "provenance_incomplete"),
+    Rule("NOT coalesce(conflict_complete AND semantic_complete, false)", "STOP_PREDICTOR", "provenance_incomplete"),
     Rule("NOT coalesce(selectivity_complete, false) OR low_hit_rate IS NULL OR high_hit_rate IS NULL OR low_hit_rate <= high_hit_rate", "STOP_PREDICTOR", "not_selective"),
-    Rule("NOT nonstarving OR after_resource = 0", "RESOURCE_POLICY_LIMIT", "resource_gate_not_proven"),
-    Rule("would_launch = 0", "RESOURCE_POLICY_LIMIT", "would_launch_zero"),
+    Rule("NOT nonstarving OR after_resource = 0 OR NOT coalesce(resource_complete, false)", "RESOURCE_POLICY_LIMIT", "resource_gate_not_proven"),
+    Rule("would_launch = 0 OR NOT coalesce(value_complete, false)", "RESOURCE_POLICY_LIMIT", "would_launch_zero"),
 ]
 REPLAY_DEFAULT = ("GO", "all_gates_passed")
 

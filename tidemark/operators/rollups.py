@@ -252,8 +252,12 @@ def dependency_class_time(roots: DataFrame, spans: DataFrame, rules: DataFrame,
     return by_class.unionByName(bare).groupBy(*keys, "dependency_class").agg(F.sum("time_ns").alias("time_ns"))
 
 
-def opportunity_funnel(df: DataFrame, keys: Sequence[str], chance: str, conflict: str, mode: str, resource: str, value: str, outcome: str, proof: str) -> DataFrame:
-    """Nested filters in one aggregate: opportunities, low conflict, model needed, resources, value; hit rate of each class."""
+def opportunity_funnel(df: DataFrame, keys: Sequence[str], chance: str, conflict: str, mode: str, resource: str, value: str, outcome: str, proofs: Mapping[str, str]) -> DataFrame:
+    """Nested filters in one aggregate: opportunities, low conflict, model needed, resources, value; hit rate of each class.
+
+    ``proofs`` names the proof column of each stage (conflict, semantic, resource, value, outcome); a stage is complete
+    when every row that reaches it has its proof.
+    """
     o = F.coalesce(F.col(chance), F.lit(False))
     low = o & (F.col(conflict) == "LOW_CONFLICT")
     high = o & (F.col(conflict) == "HIGH_CONFLICT")
@@ -273,8 +277,11 @@ def opportunity_funnel(df: DataFrame, keys: Sequence[str], chance: str, conflict
         F.count_if(launch).alias("would_launch"),
         rate(low).alias("low_hit_rate"),
         rate(high).alias("high_hit_rate"),
-        F.bool_and(F.when(o, F.col(proof).isNotNull())).alias("conflict_complete"),
-        F.bool_and(F.when(low | high, F.col(outcome).isNotNull() & F.col(proof).isNotNull())).alias("selectivity_complete"),
+        F.bool_and(F.when(o, F.col(proofs["conflict"]).isNotNull())).alias("conflict_complete"),
+        F.bool_and(F.when(o, F.col(proofs["semantic"]).isNotNull())).alias("semantic_complete"),
+        F.bool_and(F.when(low_model, F.col(proofs["resource"]).isNotNull())).alias("resource_complete"),
+        F.bool_and(F.when(admitted, F.col(proofs["value"]).isNotNull())).alias("value_complete"),
+        F.bool_and(F.when(low | high, F.col(outcome).isNotNull() & F.col(proofs["outcome"]).isNotNull())).alias("selectivity_complete"),
     )
 
 
@@ -374,16 +381,25 @@ def workload_complexity(df: DataFrame, history: str, turn_text: str) -> DataFram
     return df.rollup(history).agg(_n().alias("turns"), F.sum(F.length(turn_text)).alias("characters"), F.sum(words).alias("tokens"))
 
 
-def telemetry_reduce(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str], *, tie: Sequence[str] = (), hot: int | None = None) -> DataFrame:
-    """Counter deltas from the first to the last scrape, how often each fell (a reset), and rates per second."""
+def telemetry_reduce(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str], *, gauges: Sequence[str] = (), hit_rate: tuple[str, str] | None = None, tie: Sequence[str] = (), hot: int | None = None) -> DataFrame:
+    """Counter deltas from the first to the last scrape, how often each fell (a reset), and rates per second; mean and maximum of gauges.
+
+    A counter that was reset has no delta and no rate, and its status says so. ``hit_rate`` names the counters of hits and
+    of lookups whose deltas give the ratio.
+    """
     seen = ordered_scan(df, keys, [ts, *tie], lag={f"_prev_{c}": c for c in counters}, hot=hot)
     at = F.struct(ts, *tie)
     aggs = [_n().alias("sample_count"), ((F.max(ts) - F.min(ts)) / SECOND).alias("duration_s")]
     for c in counters:
         aggs.append((F.max_by(c, at) - F.min_by(c, at)).alias(f"{c}_delta"))
         aggs.append(F.count_if(F.col(c) < F.col(f"_prev_{c}")).alias(f"{c}_resets"))
+    for g in gauges:
+        aggs += [F.avg(g).alias(f"{g}_mean"), F.max(g).alias(f"{g}_max")]
     rows = seen.groupBy(*keys).agg(*aggs)
-    return rows.withColumns({f"{c}_per_s": ratio(F.col(f"{c}_delta"), F.col("duration_s")) for c in counters})
+    fell = {c: F.col(f"{c}_resets") > 0 for c in counters}
+    rows = rows.withColumns({f"{c}_status": F.when(fell[c], "RESET").otherwise("OK") for c in counters} | {f"{c}_delta": F.when(~fell[c], F.col(f"{c}_delta")) for c in counters})
+    rows = rows.withColumns({f"{c}_per_s": ratio(F.col(f"{c}_delta"), F.col("duration_s")) for c in counters})
+    return rows if hit_rate is None else rows.withColumn("hit_rate", ratio(F.col(f"{hit_rate[0]}_delta"), F.col(f"{hit_rate[1]}_delta")))
 
 
 def sampler_coverage(df: DataFrame, keys: Sequence[str], ts: str, period_ns: int, available: Mapping[str, Column], *, hot: int | None = None) -> DataFrame:
@@ -501,10 +517,11 @@ def retry_trajectory_summary(df: DataFrame, keys: Sequence[str], position: str,
     )
 
 
-def direct_violations(expected: DataFrame, published: DataFrame, keys: Sequence[str], seq: str, flags: Mapping[str, Column]) -> DataFrame:
+def direct_violations(expected: DataFrame, published: DataFrame, keys: Sequence[str], seq: str, order: Sequence[str], flags: Mapping[str, Column], *, graph: DataFrame | None = None) -> DataFrame:
     """Lost, duplicate, unexpected and out-of-order publications plus flagged rows; totals and categories violated.
 
-    Publication order is broken as soon as the published sequence is not exactly the expected one.
+    Publication order is broken as soon as the rows, read by ``order`` (when they were published), are not exactly the
+    expected sequence. ``graph`` may bring further counts per key, as :func:`graph_integrity_counts` makes them.
     """
     by = [*keys, seq]
     side = lambda df, n: df.select(*by).withColumn("_s", F.lit(n))
@@ -512,11 +529,17 @@ def direct_violations(expected: DataFrame, published: DataFrame, keys: Sequence[
     e, p = F.col("_e") > 0, F.col("_p")
     counts = seen.groupBy(*keys).agg(
         F.count_if(e & (p == 0)).alias("lost"), F.sum(F.when(e, F.greatest(p - 1, F.lit(0))).otherwise(p)).alias("duplicate")
-    ).withColumn("order_violation", F.when(F.col("lost") + F.col("duplicate") > 0, 1).otherwise(0).cast("long"))
+    )
+    steps = ordered_scan(published.select(*dict.fromkeys([*by, *order])), keys, [*order, seq], lag={"_before": seq})
+    turned = steps.groupBy(*keys).agg(F.count_if(F.col("_before") > F.col(seq)).alias("_turned"))
+    broken = F.col("lost") + F.col("duplicate") + F.coalesce("_turned", F.lit(0)) > 0
+    counts = counts.join(turned, list(keys), "left").withColumn("order_violation", F.when(broken, 1).otherwise(0).cast("long")).drop("_turned")
     marked = expected.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
-    names = ["lost", "duplicate", "order_violation", *flags]
+    names = ["lost", "duplicate", "order_violation", *flags, *([c for c in graph.columns if c not in keys] if graph is not None else [])]
     cols = [F.coalesce(F.col(n), F.lit(0)) for n in names]
     total, hit = cols[0], (cols[0] > 0).cast("int")
     for c in cols[1:]:
         total, hit = total + c, hit + (c > 0).cast("int")
-    return counts.join(marked, list(keys), "left").withColumns({"total": total, "violated_categories": hit})
+    rows = counts.join(marked, list(keys), "left")
+    rows = rows if graph is None else rows.join(graph, list(keys), "left")
+    return rows.withColumns({"total": total, "violated_categories": hit})

@@ -14,9 +14,12 @@ from tidemark.plans.statistic_queries import rounded
 
 @query(
     "go_no_go",
-    f"""WITH {RUNS}, m AS (SELECT question, count(*) FILTER (status='P') AS pending, count(*) AS n, CAST(sum(CASE WHEN method='1' THEN metric ELSE 0 END) AS DOUBLE) AS b, CAST(sum(CASE WHEN method='2' THEN metric ELSE 0 END) AS DOUBLE) AS c FROM runs GROUP BY 1)
- SELECT question, CASE WHEN pending > 6 THEN 'INCONCLUSIVE' WHEN n < 7 THEN 'INCONCLUSIVE' WHEN question % 7 = 1 THEN 'INCONCLUSIVE' WHEN question % 11 = 0 THEN 'NO-GO' WHEN (CASE WHEN c <> 0 THEN b/c END) < 1.2 THEN 'NO-GO' WHEN c <> 0 AND b/c >= 1.5 AND question % 3 <> 0 THEN 'GO' ELSE 'NO-GO' END AS verdict,
- CASE WHEN pending > 6 THEN 'runs_pending' WHEN n < 7 THEN 'too_few_instances' WHEN question % 7 = 1 THEN 'failed_runs' WHEN question % 11 = 0 THEN 'not_exactly_once' WHEN (CASE WHEN c <> 0 THEN b/c END) < 1.2 THEN 'speedup_below_floor' WHEN c <> 0 AND b/c >= 1.5 AND question % 3 <> 0 THEN 'all_thresholds_met' ELSE 'threshold_missed' END AS reason FROM m""",
+    f"""WITH {RUNS}, m AS (SELECT question AS q, count(*) FILTER (status='P') AS pending, count(*) AS n, CAST(sum(CASE WHEN method='1' THEN metric ELSE 0 END) AS DOUBLE) AS b, CAST(sum(CASE WHEN method='2' THEN metric ELSE 0 END) AS DOUBLE) AS c FROM runs GROUP BY 1),
+ s AS (SELECT *, coalesce(CASE WHEN c <> 0 THEN b/c END, 0) AS speedup FROM m),
+ r AS (SELECT q, CASE WHEN pending > 6 THEN 'runs_pending' WHEN q % 29 = 2 THEN 'hard_inconclusive' WHEN n < 7 THEN 'too_few_instances' WHEN q % 31 = 3 THEN 'parse_success_low' WHEN q % 23 = 4 THEN 'failed_runs_of_a_method' WHEN q % 7 = 1 THEN 'failed_runs'
+  WHEN q % 37 = 5 THEN 'too_few_correctness_runs' WHEN q % 11 = 0 THEN 'not_exactly_once' WHEN q % 41 = 6 THEN 'unexpected_prompts' WHEN q % 43 = 7 THEN 'graph_parity' WHEN speedup < 1.2 THEN 'speedup_below_floor'
+  WHEN speedup >= 1.5 AND q % 5 <> 0 AND q % 13 <> 0 AND q % 3 <> 0 AND q % 17 <> 0 AND q % 19 <> 0 AND q % 47 <> 0 THEN 'all_thresholds_met' ELSE 'threshold_missed' END AS reason FROM s)
+ SELECT q AS question, CASE WHEN reason IN ('runs_pending','hard_inconclusive','too_few_instances','parse_success_low','failed_runs_of_a_method','failed_runs','too_few_correctness_runs') THEN 'INCONCLUSIVE' WHEN reason = 'all_thresholds_met' THEN 'GO' ELSE 'NO-GO' END AS verdict, reason FROM r""",
 )
 def _(spark, sf):
     q = F.col("question")
@@ -24,17 +27,21 @@ def _(spark, sf):
     metrics = runs(spark, sf).groupBy("question").agg(F.count_if(F.col("status") == "P").alias("pending"), F.count(F.lit(1)).alias("completed_instances"), of("1").alias("b"), of("2").alias("c")).withColumns(
         {
             "pending_runs": F.when(F.col("pending") > 6, F.col("pending")).otherwise(0),
-            "parse_success_rate": F.lit(1.0),
+            "hard_reasons": (q % 29 == 2).cast("int"),
+            "parse_success_rate": F.when(q % 31 == 3, 0.99).otherwise(1.0),
+            "worst_method_failed_rate": F.when(q % 23 == 4, 0.2).otherwise(0.01),
             "failed_run_rate": F.when(q % 7 == 1, 0.2).otherwise(0.0),
+            "correctness_runs": F.when(q % 37 == 5, 6).otherwise(8),
             "exactly_once": q % 11 != 0,
-            "parity_count": F.lit(8),
+            "unexpected_prompts": (q % 41 == 6).cast("int"),
+            "parity_count": F.when(q % 43 == 7, 7).otherwise(8),
             "speedup": ru.ratio(F.col("b"), F.col("c")),
-            "p95_reduction": F.lit(0.4),
-            "speedup_ci_low": F.lit(1.1),
+            "p95_reduction": F.when(q % 5 == 0, 0.2).otherwise(0.4),
+            "speedup_ci_low": F.when(q % 13 == 0, 0.9).otherwise(1.1),
             "recall_drop_pp": F.when(q % 3 == 0, 2.0).otherwise(0.5),
-            "token_growth": F.lit(0.01),
-            "order_violation": F.lit(False),
-            "divergences": F.lit(1),
+            "token_growth": F.when(q % 17 == 0, 0.06).otherwise(0.01),
+            "order_violation": q % 19 == 0,
+            "divergences": F.when(q % 47 == 0, 0).otherwise(1),
         }
     )
     return gt.rule_gate(metrics, gt.GO_NO_GO, gt.GO_NO_GO_DEFAULT).select("question", "verdict", "reason")
@@ -57,12 +64,12 @@ def _(spark, sf):
 
 @query(
     "replay_gate",
-    f"""WITH {OBS}, f AS ({FUNNEL_SQL}) SELECT stream, CASE WHEN low_conflict=0 THEN 'STOP_CONFLICT_AWARE' WHEN stream % 10 = 9 THEN 'STOP_CONFLICT_AWARE' WHEN NOT coalesce(conflict_complete,false) THEN 'STOP_PREDICTOR' WHEN low_hit_rate IS NULL OR high_hit_rate IS NULL OR low_hit_rate <= high_hit_rate THEN 'STOP_PREDICTOR' WHEN stream % 8 = 7 OR after_resource = 0 THEN 'RESOURCE_POLICY_LIMIT' WHEN would_launch = 0 THEN 'RESOURCE_POLICY_LIMIT' ELSE 'GO' END AS verdict,
- CASE WHEN low_conflict=0 THEN 'low_conflict_opportunities_zero' WHEN stream % 10 = 9 THEN 'exact_validation_missing' WHEN NOT coalesce(conflict_complete,false) THEN 'provenance_incomplete' WHEN low_hit_rate IS NULL OR high_hit_rate IS NULL OR low_hit_rate <= high_hit_rate THEN 'not_selective' WHEN stream % 8 = 7 OR after_resource = 0 THEN 'resource_gate_not_proven' WHEN would_launch = 0 THEN 'would_launch_zero' ELSE 'all_gates_passed' END AS reason FROM f""",
+    f"""WITH {OBS}, f AS ({FUNNEL_SQL}) SELECT stream, CASE WHEN low_conflict=0 THEN 'STOP_CONFLICT_AWARE' WHEN stream % 10 = 9 THEN 'STOP_CONFLICT_AWARE' WHEN NOT coalesce(conflict_complete AND semantic_complete,false) THEN 'STOP_PREDICTOR' WHEN stream % 6 = 5 OR low_hit_rate IS NULL OR high_hit_rate IS NULL OR low_hit_rate <= high_hit_rate THEN 'STOP_PREDICTOR' WHEN stream % 8 = 7 OR after_resource = 0 OR NOT coalesce(resource_complete,false) THEN 'RESOURCE_POLICY_LIMIT' WHEN would_launch = 0 OR NOT coalesce(value_complete,false) THEN 'RESOURCE_POLICY_LIMIT' ELSE 'GO' END AS verdict,
+ CASE WHEN low_conflict=0 THEN 'low_conflict_opportunities_zero' WHEN stream % 10 = 9 THEN 'exact_validation_missing' WHEN NOT coalesce(conflict_complete AND semantic_complete,false) THEN 'provenance_incomplete' WHEN stream % 6 = 5 OR low_hit_rate IS NULL OR high_hit_rate IS NULL OR low_hit_rate <= high_hit_rate THEN 'not_selective' WHEN stream % 8 = 7 OR after_resource = 0 OR NOT coalesce(resource_complete,false) THEN 'resource_gate_not_proven' WHEN would_launch = 0 OR NOT coalesce(value_complete,false) THEN 'would_launch_zero' ELSE 'all_gates_passed' END AS reason FROM f""",
 )
 def _(spark, sf):
     s = F.col("stream")
-    metrics = rounded(funnel(spark, sf), 6, "low_hit_rate", "high_hit_rate").withColumns({"exact_validation": s % 10 != 9, "nonstarving": s % 8 != 7, "selectivity_complete": F.lit(True)})
+    metrics = rounded(funnel(spark, sf), 6, "low_hit_rate", "high_hit_rate").withColumns({"exact_validation": s % 10 != 9, "nonstarving": s % 8 != 7, "selectivity_complete": s % 6 != 5})
     return gt.rule_gate(metrics, gt.REPLAY, gt.REPLAY_DEFAULT).select("stream", "verdict", "reason")
 
 
@@ -90,15 +97,15 @@ def _(spark, sf):
 
 @query(
     "invariant_report",
-    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id FROM ev WHERE event_id % 23 = 0),
- p AS (SELECT e.stream, e.seq, count(b.seq) AS n FROM ev e LEFT JOIN pb b ON e.stream=b.stream AND e.seq=b.seq GROUP BY ALL), q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate FROM p GROUP BY 1),
+    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 23 = 0),
+ tn AS (SELECT stream, count(*) FILTER (b > seq) AS turned FROM (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY publish_ns, seq) AS b FROM pb) GROUP BY 1), p AS (SELECT e.stream, e.seq, count(b.seq) AS n FROM ev e LEFT JOIN pb b ON e.stream=b.stream AND e.seq=b.seq GROUP BY ALL), q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate, coalesce(max(turned),0) AS turned FROM p LEFT JOIN tn USING (stream) GROUP BY 1),
  v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS temporal, count(*) FILTER (event_id % 31 = 0) AS service FROM ev GROUP BY 1)
- SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, temporal, service, CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(lost+duplicate>0 AS INT)+CAST(temporal>0 AS INT)+CAST(service>0 AS INT) AS direct_violation_kinds,
+ SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+turned>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, temporal, service, CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(lost+duplicate+turned>0 AS INT)+CAST(temporal>0 AS INT)+CAST(service>0 AS INT) AS direct_violation_kinds,
  CAST(stream % 4 = 0 AS INT)+CAST(stream % 6 = 0 AS INT) AS confounded_kinds, stream % 4 = 0 AS graph_mismatch, stream % 6 = 0 AS retrieval_mismatch FROM q JOIN v USING (stream)""",
 )
 def _(spark, sf):
     e, s = F.col("event_id"), F.col("stream")
-    rows = sequenced(spark, sf).select("stream", "seq", "event_id")
+    rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns")
     published = rows.filter(e % 17 != 0).unionByName(rows.filter(e % 23 == 0))
-    counts = ru.direct_violations(rows, published, ["stream"], "seq", {"temporal": e % 29 == 0, "service": e % 31 == 0}).drop("total", "violated_categories")
+    counts = ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"temporal": e % 29 == 0, "service": e % 31 == 0}).drop("total", "violated_categories")
     return gt.invariant_report(counts, ["lost", "duplicate", "order_violation", "temporal", "service"], {"graph_mismatch": s % 4 == 0, "retrieval_mismatch": s % 6 == 0})

@@ -271,7 +271,7 @@ def _(spark, sf):
 
 
 OBS = f"""{EV}, ob AS (SELECT stream, event_id, cents, event_id % 3 <> 0 AS chance, CASE cents % 4 WHEN 0 THEN 'HIGH_CONFLICT' WHEN 1 THEN 'UNKNOWN' ELSE 'LOW_CONFLICT' END AS conflict, CASE WHEN kind IN ('click','view') THEN 'LLM' ELSE 'RULE' END AS mode,
- cents % 5 <> 0 AS resource_ok, cents % 7 <> 0 AS value_ok, CASE cents % 6 WHEN 0 THEN 'MISS' WHEN 1 THEN NULL ELSE 'HIT' END AS outcome, CASE WHEN event_id % 50 <> 1 THEN 'proof' END AS proof FROM ev)"""
+ cents % 5 <> 0 AS resource_ok, cents % 7 <> 0 AS value_ok, CASE cents % 6 WHEN 0 THEN 'MISS' WHEN 1 THEN NULL ELSE 'HIT' END AS outcome, CASE WHEN event_id % 50 <> 1 THEN 'proof' END AS proof, CASE WHEN event_id % 70 <> 2 THEN 'proof' END AS meant, CASE WHEN event_id % 90 <> 4 THEN 'proof' END AS afforded, CASE WHEN event_id % 110 <> 5 THEN 'proof' END AS valued FROM ev)"""
 
 
 def observations(spark, sf):
@@ -287,6 +287,9 @@ def observations(spark, sf):
         (c % 7 != 0).alias("value_ok"),
         F.when(c % 6 == 0, "MISS").when(c % 6 == 1, F.lit(None).cast("string")).otherwise("HIT").alias("outcome"),
         F.when(e % 50 != 1, "proof").alias("proof"),
+        F.when(e % 70 != 2, "proof").alias("meant"),
+        F.when(e % 90 != 4, "proof").alias("afforded"),
+        F.when(e % 110 != 5, "proof").alias("valued"),
     )
 
 
@@ -295,11 +298,11 @@ FUNNEL_SQL = """SELECT stream, count(*) FILTER (chance) AS opportunities, count(
  count(*) FILTER (chance AND conflict='LOW_CONFLICT' AND mode='LLM' AND resource_ok AND value_ok) AS would_launch,
  round(CASE WHEN count(*) FILTER (chance AND conflict='LOW_CONFLICT' AND outcome IS NOT NULL)>0 THEN CAST(count(*) FILTER (chance AND conflict='LOW_CONFLICT' AND outcome='HIT') AS DOUBLE)/count(*) FILTER (chance AND conflict='LOW_CONFLICT' AND outcome IS NOT NULL) END,6) AS low_hit_rate,
  round(CASE WHEN count(*) FILTER (chance AND conflict='HIGH_CONFLICT' AND outcome IS NOT NULL)>0 THEN CAST(count(*) FILTER (chance AND conflict='HIGH_CONFLICT' AND outcome='HIT') AS DOUBLE)/count(*) FILTER (chance AND conflict='HIGH_CONFLICT' AND outcome IS NOT NULL) END,6) AS high_hit_rate,
- bool_and(CASE WHEN chance THEN proof IS NOT NULL END) AS conflict_complete, bool_and(CASE WHEN chance AND conflict<>'UNKNOWN' THEN outcome IS NOT NULL AND proof IS NOT NULL END) AS selectivity_complete FROM ob GROUP BY 1"""
+ bool_and(CASE WHEN chance THEN proof IS NOT NULL END) AS conflict_complete, bool_and(CASE WHEN chance THEN meant IS NOT NULL END) AS semantic_complete, bool_and(CASE WHEN chance AND conflict='LOW_CONFLICT' AND mode='LLM' THEN afforded IS NOT NULL END) AS resource_complete, bool_and(CASE WHEN chance AND conflict='LOW_CONFLICT' AND mode='LLM' AND resource_ok THEN valued IS NOT NULL END) AS value_complete, bool_and(CASE WHEN chance AND conflict<>'UNKNOWN' THEN outcome IS NOT NULL AND proof IS NOT NULL END) AS selectivity_complete FROM ob GROUP BY 1"""
 
 
 def funnel(spark, sf):
-    return ru.opportunity_funnel(observations(spark, sf), ["stream"], "chance", "conflict", "mode", "resource_ok", "value_ok", "outcome", "proof")
+    return ru.opportunity_funnel(observations(spark, sf), ["stream"], "chance", "conflict", "mode", "resource_ok", "value_ok", "outcome", {"conflict": "proof", "semantic": "meant", "resource": "afforded", "value": "valued", "outcome": "proof"})
 
 
 @query("opportunity_funnel", f"WITH {OBS} {FUNNEL_SQL}")
@@ -399,19 +402,22 @@ def _(spark, sf):
     return ru.workload_complexity(turns(spark, sf), "conv_id", "text")
 
 
-TELE = f"""{EV}, tm AS (SELECT kind, arrival_ns AS ts, event_id, CAST(sum(cents) OVER (PARTITION BY kind ORDER BY arrival_ns, event_id) AS BIGINT) AS total, cents AS raw FROM ev)"""
+TELE = f"""{EV}, tm AS (SELECT kind, arrival_ns AS ts, event_id, CAST(sum(cents) OVER (PARTITION BY kind ORDER BY arrival_ns, event_id) AS BIGINT) AS total, CAST(sum(cents % 100) OVER (PARTITION BY kind ORDER BY arrival_ns, event_id) AS BIGINT) AS hits, cents % 8 AS depth, cents AS raw FROM ev)"""
 
 
 @query(
     "telemetry_reduce",
-    f"""WITH {TELE}, l AS (SELECT *, lag(total) OVER w AS pt, lag(raw) OVER w AS pr FROM tm WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id))
- SELECT kind, count(*) AS sample_count, round((max(ts)-min(ts))/1e9,6) AS duration_s, arg_max(total, ts)-arg_min(total, ts) AS total_delta, count(*) FILTER (total<pt) AS total_resets, arg_max(raw, ts)-arg_min(raw, ts) AS raw_delta, count(*) FILTER (raw<pr) AS raw_resets,
- round((arg_max(total, ts)-arg_min(total, ts))/((max(ts)-min(ts))/1e9),6) AS total_per_s, round((arg_max(raw, ts)-arg_min(raw, ts))/((max(ts)-min(ts))/1e9),6) AS raw_per_s FROM l GROUP BY 1""",
+    f"""WITH {TELE}, l AS (SELECT *, lag(total) OVER w AS pt, lag(raw) OVER w AS pr, lag(hits) OVER w AS ph FROM tm WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id))
+ SELECT kind, count(*) AS sample_count, round((max(ts)-min(ts))/1e9,6) AS duration_s, arg_max(total, ts)-arg_min(total, ts) AS total_delta, count(*) FILTER (total<pt) AS total_resets, CASE WHEN count(*) FILTER (raw<pr) = 0 THEN arg_max(raw, ts)-arg_min(raw, ts) END AS raw_delta, count(*) FILTER (raw<pr) AS raw_resets,
+ arg_max(hits, ts)-arg_min(hits, ts) AS hits_delta, count(*) FILTER (hits<ph) AS hits_resets, 'OK' AS total_status, CASE WHEN count(*) FILTER (raw<pr) > 0 THEN 'RESET' ELSE 'OK' END AS raw_status, 'OK' AS hits_status, round(CAST(sum(depth) AS DOUBLE)/count(*),6) AS depth_mean, max(depth) AS depth_max,
+ round((arg_max(total, ts)-arg_min(total, ts))/((max(ts)-min(ts))/1e9),6) AS total_per_s, round(CASE WHEN count(*) FILTER (raw<pr) = 0 THEN (arg_max(raw, ts)-arg_min(raw, ts))/((max(ts)-min(ts))/1e9) END,6) AS raw_per_s, round((arg_max(hits, ts)-arg_min(hits, ts))/((max(ts)-min(ts))/1e9),6) AS hits_per_s,
+ round(CAST(arg_max(hits, ts)-arg_min(hits, ts) AS DOUBLE)/(arg_max(total, ts)-arg_min(total, ts)),6) AS hit_rate FROM l GROUP BY 1""",
 )
 def _(spark, sf):
-    rows = ordered_scan(lifecycle(spark, sf), ["kind"], ["arrival_ns", "event_id"], running={"total": Running("sum", F.col("cents"))})
-    rows = rows.select("kind", F.col("arrival_ns").alias("ts"), "event_id", "total", F.col("cents").alias("raw"))
-    return rounded(ru.telemetry_reduce(rows, ["kind"], "ts", ["total", "raw"], tie=["event_id"]), 6, "duration_s", "total_per_s", "raw_per_s")
+    rows = ordered_scan(lifecycle(spark, sf), ["kind"], ["arrival_ns", "event_id"], running={"total": Running("sum", F.col("cents")), "hits": Running("sum", F.col("cents") % 100)})
+    rows = rows.select("kind", F.col("arrival_ns").alias("ts"), "event_id", "total", "hits", F.col("cents").alias("raw"), (F.col("cents") % 8).alias("depth"))
+    out = ru.telemetry_reduce(rows, ["kind"], "ts", ["total", "raw", "hits"], gauges=["depth"], hit_rate=("hits", "total"), tie=["event_id"])
+    return rounded(out, 6, "duration_s", "total_per_s", "raw_per_s", "hits_per_s", "depth_mean", "hit_rate")
 
 
 HOUR_NS = 3_600_000_000_000
@@ -552,15 +558,16 @@ def _(spark, sf):
 
 @query(
     "direct_violations",
-    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id FROM ev WHERE event_id % 23 = 0),
+    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 23 = 0),
+ tn AS (SELECT stream, count(*) FILTER (b > seq) AS turned FROM (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY publish_ns, seq) AS b FROM pb) GROUP BY 1),
  c AS (SELECT e.stream, e.seq, count(p.seq) AS n FROM ev e LEFT JOIN pb p ON e.stream=p.stream AND e.seq=p.seq GROUP BY ALL),
  q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate FROM c GROUP BY 1),
  v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS visibility, count(*) FILTER (event_id % 31 = 0) AS temporal FROM ev GROUP BY 1),
- w AS (SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, visibility, temporal FROM q JOIN v USING (stream))
+ w AS (SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+coalesce(turned,0)>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, visibility, temporal FROM q JOIN v USING (stream) LEFT JOIN tn USING (stream))
  SELECT *, lost+duplicate+order_violation+visibility+temporal AS total, CAST(CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(order_violation>0 AS INT)+CAST(visibility>0 AS INT)+CAST(temporal>0 AS INT) AS INT) AS violated_categories FROM w""",
 )
 def _(spark, sf):
     e = F.col("event_id")
-    rows = sequenced(spark, sf).select("stream", "seq", "event_id")
+    rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns")
     published = rows.filter(e % 17 != 0).unionByName(rows.filter(e % 23 == 0))
-    return ru.direct_violations(rows, published, ["stream"], "seq", {"visibility": e % 29 == 0, "temporal": e % 31 == 0})
+    return ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"visibility": e % 29 == 0, "temporal": e % 31 == 0})
