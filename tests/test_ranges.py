@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
-from tidemark.operators.ordered import ROWS_PER_TASK_CONF, Running, ordered_scan, range_cuts, range_of
+from tidemark.operators.ordered import ROWS_PER_TASK_CONF, Running, measure, ordered_scan, with_ranges
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -39,14 +39,14 @@ def test_one_key_with_most_rows(spark):
     assert [r.r for r in sorted(order, key=lambda r: r.t)] == list(range(1, 3001))
 
 
-def test_range_of_matches_counting_cuts(spark):
-    cuts = [1.0, 5.0, 5.5, 9.0, 20.0]
-    rows = spark.range(30).select("id", range_of(F.col("id"), cuts).alias("r")).collect()
-    assert all(r.r == sum(c <= r.id for c in cuts) for r in rows)
+def test_one_value_in_all_rows_is_split(spark):
+    rows = spark.range(5000).select(F.lit(0).alias("head"), F.col("id").alias("x"))
+    sizes = {r["_range"]: r["count"] for r in with_ranges(rows, ["head", "x"], 10).groupBy("_range").count().collect()}
+    assert len(sizes) == 10 and max(sizes.values()) < 1500
+    firsts = with_ranges(rows, ["head", "x"], 10).groupBy("_range").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_range").collect()
+    assert all(a.hi < b.lo for a, b in zip(firsts, firsts[1:]))
 
 
-def test_cuts_balance_rows(spark):
-    rows = spark.range(10_000).withColumn("x", F.col("id") * F.col("id"))
-    cuts = range_cuts(rows, F.col("x"), 10)
-    sizes = [r["count"] for r in rows.groupBy(range_of(F.col("x"), cuts).alias("g")).count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 1500
+def test_one_job_measures_a_scan(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").repartition(3)
+    assert measure(rows, ["k"]) == (1000, 334) and measure(rows, []) == (1000, 1000)

@@ -1,8 +1,8 @@
 """Ordered scans per key that stay parallel when one key holds a large share of the rows.
 
 Everything that needs "the row before", a running total or a rank goes through :func:`ordered_scan`. It first measures
-the largest key (a count with map-side combine). If that fits one task it is an ordinary window. If not, the order
-column is cut into ranges of about equal row counts, each (key, range) is scanned on its own, one summary row per
+the largest key (a count with map-side combine). If that fits one task it is an ordinary window. If not, the order is cut
+into ranges of about equal row counts over all its columns, each (key, range) is scanned on its own, one summary row per
 (key, range) is scanned over the ranges, and its carry is joined back. Both ways give the same rows.
 """
 
@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 ROWS_PER_TASK = 2_000_000
 ROWS_PER_TASK_CONF = "spark.tidemark.rowsPerTask"
-MAX_RANGES = 8192
 
 
 @dataclass(frozen=True)
@@ -40,28 +41,22 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(top or 0)
 
 
-def range_cuts(df: DataFrame, column: Column, ranges: int) -> list[float]:
-    """At most ``ranges - 1`` cut values that split all rows into about equal parts (one sketch, no sort)."""
-    ranges = max(2, min(ranges, MAX_RANGES))
-    fractions = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(column.cast("double"), fractions, 20 * ranges)).first()[0]
-    return sorted(set(found or []))
-
+def measure(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows in all, and of the most frequent key combination: one job, combined map-side."""
+    if not keys:
+        rows = df.count()
+        return rows, rows
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    return int(n[0] or 0), int(n[1] or 0)
 
-def range_of(column: Column, cuts: Sequence[float]) -> Column:
-    """Index of the range a value falls into, by binary search over the literal cuts."""
-    if not cuts:
-        return F.lit(0)
-    steps = len(cuts).bit_length()
-    table = F.array(*[F.lit(float(c)) for c in cuts])
-    value = column.cast("double")
 
-    def halve(acc: Column, step: Column) -> Column:
-        probe = acc + step
-        return F.when((probe <= len(cuts)) & (F.get(table, probe - 1) <= value), probe).otherwise(acc)
+def with_ranges(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
+    """``df`` written once with ``_range``, the number of a range of about equal rows in the order of all ``order`` columns.
 
-    powers = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
-    return F.aggregate(powers, F.lit(0), halve)
+    Spark's range partitioner samples the whole order, so a value that fills many ranges is cut by the columns after it.
+    The rows are written because the numbers are read twice and must not be drawn twice.
+    """
+    return cut_lineage(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _agg(how: str, column: Column) -> Column:
@@ -88,7 +83,7 @@ def ordered_scan(
 ) -> DataFrame:
     """Add columns that depend on the order of rows within ``keys``.
 
-    ``order`` names columns that give a total order, all ascending, the first one numeric. ``lag``/``lead`` take the
+    ``order`` names columns that give a total order, all ascending. ``lag``/``lead`` take the
     neighbouring row's value, ``rank`` is the 1-based row number, ``running`` and ``total`` are aggregates over the
     prefix and over the whole key. ``hot`` is the size of the largest key when the caller knows a bound for it.
     """
@@ -96,13 +91,14 @@ def ordered_scan(
     lag = {k: F.col(v) if isinstance(v, str) else v for k, v in (lag or {}).items()}
     lead = {k: F.col(v) if isinstance(v, str) else v for k, v in (lead or {}).items()}
     running, total = dict(running or {}), dict(total or {})
-    hot = largest_group(df, keys) if hot is None else hot
+    rows = None
+    if hot is None:
+        rows, hot = measure(df, keys)
     limit = rows_per_task(df)
     if hot <= limit:
         return _plain_scan(df, keys, order, lag, lead, rank, running, total)
-    rows = df.count()
-    cuts = range_cuts(df, F.col(order[0]), -(-rows // limit) * 2)
-    return _ranged_scan(df, keys, order, lag, lead, rank, running, total, cuts)
+    rows = df.count() if rows is None else rows
+    return _ranged_scan(df, keys, order, lag, lead, rank, running, total, -(-rows // limit) * 2)
 
 
 def _plain_scan(df, keys, order, lag, lead, rank, running, total) -> DataFrame:
@@ -118,9 +114,9 @@ def _plain_scan(df, keys, order, lag, lead, rank, running, total) -> DataFrame:
     return df.withColumns(cols)
 
 
-def _ranged_scan(df, keys, order, lag, lead, rank, running, total, cuts) -> DataFrame:
+def _ranged_scan(df, keys, order, lag, lead, rank, running, total, ranges) -> DataFrame:
     part = [*keys, "_range"]
-    cut = df.withColumn("_range", F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)))
+    cut = with_ranges(df, order, ranges)
     seq = Window.partitionBy(*part).orderBy(*order)
     upto, before = seq.rowsBetween(Window.unboundedPreceding, 0), seq.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
