@@ -30,7 +30,7 @@ from tidemark.llm.common import components, map_column, written
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-GROUPS = 7
+GROUPS = 8
 #: Rounds of pivots before components are compared; it sets the work only, not the result.
 PIVOT_ROUNDS = 2
 #: Shingles whose hashes are held at a time.
