@@ -103,7 +103,7 @@ def multiset_pairing(first: DataFrame, second: DataFrame, logical: Sequence[str]
 
 def value_chains(ops: DataFrame, target: Sequence[str], pos: str, old: str, new: str, segment: str) -> DataFrame:
     """For each update B: how many earlier updates A of its target satisfy ``A.new = B.old``, start elsewhere and lie in
-    another segment, and the latest earlier A with that value.
+    another segment, and the latest earlier A with that value, whether it qualifies or not, with its segment.
 
     The pairs are counted, not listed: four running counts (by value; and by segment; and by the value A started from;
     and by both) give the qualifying number by inclusion and exclusion, whatever the size of a chain.
@@ -118,13 +118,13 @@ def value_chains(ops: DataFrame, target: Sequence[str], pos: str, old: str, new:
     order = ["_p", "_b_first"]
     rows = rows.withColumn("_b_first", 1 - F.col("_is_b"))
     rows = ordered_scan(
-        rows, [*target, "_v"], order, running={"_c": Running("sum", a), "latest_old_pos": Running("max", F.when(F.col("_is_b") == 0, F.col("_p")), False)}, hot=hot
+        rows, [*target, "_v"], order, running={"_c": Running("sum", a), "_latest": Running("max", F.when(F.col("_is_b") == 0, F.struct(F.col("_p").alias("p"), F.col("_s").alias("s"))), False)}, hot=hot
     )
     rows = ordered_scan(rows, [*target, "_v", "_s"], order, running={"_cs": Running("sum", a)}, hot=hot)
     rows = ordered_scan(rows, [*target, "_v", "_w"], order, running={"_cw": Running("sum", a)}, hot=hot)
     rows = ordered_scan(rows, [*target, "_v", "_w", "_s"], order, running={"_csw": Running("sum", a)}, hot=hot)
     pairs = F.col("_c") - F.col("_cs") - F.col("_cw") + F.col("_csw")
-    return rows.filter("_is_b = 1").select(*target, F.col("_p").alias(pos), F.col("_v").alias("via_value"), F.col("_s").alias(segment), pairs.alias("pair_count"), "latest_old_pos")
+    return rows.filter("_is_b = 1").select(*target, F.col("_p").alias(pos), F.col("_v").alias("via_value"), F.col("_s").alias(segment), pairs.alias("pair_count"), F.col("_latest.p").alias("same_value_pos"), F.col("_latest.s").alias("same_value_segment"))
 
 
 def segment_overlap_semi(questions: DataFrame, row_id: Sequence[str], segments: str, transitions: DataFrame, scope: Sequence[str], segment: str) -> DataFrame:

@@ -15,9 +15,6 @@ from tidemark.operators.quantiles import LINEAR, exact_quantiles
 
 SCORE_DIGITS = 9
 
-# Prompt names times component versions that one shortlist may look into.
-MAX_BLOCKS = 1000
-
 
 def cosine_topk(
     items: DataFrame, queries: DataFrame, group: Sequence[str], query: str, vector: str, tie: Sequence[str], *, min_score: float = 0.6, limit: int = 10
@@ -150,31 +147,38 @@ def token_dice(pairs: DataFrame, texts: DataFrame, left: str, right: str, row_id
 def nearest_prompt(requests: DataFrame, records: DataFrame, *, row_id: str, name: str, component: str, text: str, digest: str, shortlist: int = 16) -> DataFrame:
     """For each request the cached record most like it: same name, same component, then token Dice, length gap, digest.
 
-    The shortlist is taken by name match, component match, length gap and digest. A record is near in length inside its
-    own (name, component) block, so each request fetches the ``shortlist`` neighbours on either side from every block
-    by rank. The blocks are the prompt names and component versions in use, at most ``MAX_BLOCKS``; more is an error.
+    The shortlist is taken by name match, component match, length gap and digest. Every record stands in four indexes by
+    length: under its name and component, its name, its component, and all records. A request looks at the nearest
+    ``2 * shortlist`` on either side in each; of those it shares a better class with there are fewer than ``shortlist``
+    wherever a worse class still counts, so no record of the true shortlist is missed, however many names there are.
     """
-    block = [name, component]
-    cand = records.select(*block, F.length(text).cast("long").alias("_len"), digest, row_id).withColumn("_head", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"))
-    down = cand.withColumn("_desc", -F.col("_head"))
-    inventory = cand.select(*block).distinct().limit(MAX_BLOCKS + 1).collect()
-    if len(inventory) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} prompt names and component versions")
-    blocks = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(block, b)]) for b in inventory])
+    reach = 2 * shortlist
+    index = lambda n, c: F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), (n if k in (0, 1) else F.lit(None).cast("string")).alias("_kn"), (c if k in (0, 2) else F.lit(None).cast("string")).alias("_kc")) for k in range(4)])).alias("_i")
+    block = ["_kind", "_kn", "_kc"]
+    cand = records.select(name, component, F.length(text).cast("long").alias("_len"), digest, row_id).withColumn("_head", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"))
+    cand = cand.select("*", index(F.col(name).cast("string"), F.col(component).cast("string"))).select("*", "_i.*").drop("_i").withColumn("_desc", -F.col("_head"))
     req = requests.select(F.col(row_id).alias("_rq"), F.col(name).alias("_rname"), F.col(component).alias("_rcomp"), F.length(text).cast("long").alias("_rlen"))
-    asks = req.withColumn("_b", F.explode(blocks)).select("_rq", "_rlen", "_b.*")
+    asks = req.select("_rq", "_rlen", index(F.col("_rname").cast("string"), F.col("_rcomp").cast("string"))).select("_rq", "_rlen", "_i.*")
     mark = cand.groupBy(*block, "_len").agg(F.count(F.lit(1)).alias("_k"))
     line = asks.select(*block, F.col("_rlen").alias("_len"), F.lit(0).cast("long").alias("_k"), F.lit(0).alias("_z"), "_rq").unionByName(
         mark.select(*block, "_len", "_k", F.lit(1).alias("_z"), F.lit(None).cast(requests.schema[row_id].dataType).alias("_rq"))
     )
     placed = ordered_scan(line, block, ["_len", "_z", "_rq"], running={"_below": Running("sum", F.col("_k"))}).filter("_z = 0").select(*block, "_rq", F.coalesce("_below", F.lit(0)).alias("_below"))
-    span = F.sequence(F.lit(0), F.lit(shortlist - 1))
+    span = F.sequence(F.lit(0), F.lit(reach - 1))
     lower = placed.select(*block, "_rq", F.explode(F.transform(span, lambda i: F.col("_below") - i)).alias("_at")).filter("_at > 0")
     upper = placed.select(*block, "_rq", F.explode(F.transform(span, lambda i: F.col("_below") + 1 + i)).alias("_at"))
-    low_rank = ordered_scan(down, block, ["_len", "_desc", digest], rank="_at")
+    low_rank = ordered_scan(cand, block, ["_len", "_desc", digest], rank="_at")
     high_rank = ordered_scan(cand, block, ["_len", "_head", digest], rank="_at")
-    cols = [*block, "_rq", "_len", digest, row_id]
-    near = lower.join(low_rank, [*block, "_at"]).select(*cols).unionByName(upper.join(high_rank, [*block, "_at"]).select(*cols))
+    cols = [name, component, "_rq", "_len", digest, row_id]
+
+    def fetch(slots: DataFrame, ranks: DataFrame) -> DataFrame:
+        found = ranks.withColumnsRenamed({k: f"{k}_r" for k in [*block, "_at"]})
+        same = F.col("_at") == F.col("_at_r")
+        for k in block:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        return slots.join(found, same).select(*cols)
+
+    near = fetch(lower, low_rank).unionByName(fetch(upper, high_rank)).distinct()
     known = near.join(req, "_rq").withColumns(
         {"name_match": (F.col(name) == F.col("_rname")).cast("int"), "component_match": (F.col(component) == F.col("_rcomp")).cast("int"), "length_gap": F.abs(F.col("_len") - F.col("_rlen"))}
     )

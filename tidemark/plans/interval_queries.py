@@ -131,8 +131,13 @@ BACKLOG = """mv AS (SELECT stream, arrival_ns AS t, 0 AS st, 1 AS d FROM ev UNIO
  bl AS (SELECT stream, t, st, CAST(sum(d) OVER w AS BIGINT) AS backlog, lead(t) OVER w AS until FROM nt WINDOW w AS (PARTITION BY stream ORDER BY t, st))"""
 
 
+@query("backlog_series", f"WITH {EV}, {BACKLOG} SELECT stream, t AS ts, st AS step, backlog, until FROM bl")
+def _(spark, sf):
+    return ts.backlog_series(lifecycle(spark, sf), ["stream"], "arrival_ns", "publish_ns")
+
+
 @query(
-    "backlog_series",
+    "backlog_summary",
     f"""WITH {EV}, {BACKLOG} SELECT stream, CAST(sum(backlog*(coalesce(until,t)-t)) AS BIGINT) AS backlog_auc, max(backlog) AS maximum_backlog,
  arg_max(backlog, t) FILTER (st=0) AS backlog_at_final_arrival, arg_max(backlog, t*2+st) AS final_backlog FROM bl GROUP BY 1""",
 )

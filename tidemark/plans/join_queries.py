@@ -149,7 +149,7 @@ def operations(spark, sf):
 @query(
     "value_chain_pairs",
     f"""WITH {EV}, {OPS}, l AS (SELECT * FROM op WHERE old_value IS NOT NULL AND old_value <> new_value)
- SELECT b.stream, b.kind, b.seq, b.old_value AS via_value, b.segment, count(a.seq) FILTER (a.segment <> b.segment AND a.old_value <> b.new_value) AS pair_count, max(a.seq) AS latest_old_pos
+ SELECT b.stream, b.kind, b.seq, b.old_value AS via_value, b.segment, count(a.seq) FILTER (a.segment <> b.segment AND a.old_value <> b.new_value) AS pair_count, max(a.seq) AS same_value_pos, arg_max(a.segment, a.seq) AS same_value_segment
  FROM l b LEFT JOIN l a ON a.stream=b.stream AND a.kind=b.kind AND a.new_value=b.old_value AND a.seq<b.seq GROUP BY ALL""",
 )
 def _(spark, sf):
@@ -269,11 +269,13 @@ def _(spark, sf):
 
 @query(
     "transition_to_sequence",
-    f"""WITH {EV}, {OPS}, c AS (SELECT stream, kind, seq, segment AS new_segment, lag(segment) OVER (PARTITION BY stream, kind ORDER BY seq) AS old_segment FROM op), s AS (SELECT stream, segment, dense_rank() OVER (PARTITION BY stream ORDER BY segment) - 1 AS q FROM (SELECT DISTINCT stream, segment FROM op WHERE segment % 7 <> 0))
+    f"""WITH {EV}, {OPS}, l AS (SELECT * FROM op WHERE old_value IS NOT NULL AND old_value <> new_value),
+ c AS (SELECT b.stream, b.kind, b.seq, b.segment AS new_segment, arg_max(a.segment, a.seq) AS old_segment FROM l b JOIN l a ON a.stream=b.stream AND a.kind=b.kind AND a.new_value=b.old_value AND a.seq<b.seq GROUP BY ALL), s AS (SELECT stream, segment, dense_rank() OVER (PARTITION BY stream ORDER BY segment) - 1 AS q FROM (SELECT DISTINCT stream, segment FROM op WHERE segment % 7 <> 0))
  SELECT c.stream, c.kind, c.seq, o.q AS old_sequence, n.q AS new_sequence FROM c JOIN s o ON c.stream=o.stream AND c.old_segment=o.segment JOIN s n ON c.stream=n.stream AND c.new_segment=n.segment""",
 )
 def _(spark, sf):
     ops = operations(spark, sf)
-    chains = ordered_scan(ops, ["stream", "kind"], ["seq"], lag={"old_segment": "segment"}).withColumnRenamed("segment", "new_segment")
+    chains = pr.value_chains(ops, ["stream", "kind"], "seq", "old_value", "new_value", "segment").filter("same_value_pos IS NOT NULL")
+    chains = chains.withColumnsRenamed({"segment": "new_segment", "same_value_segment": "old_segment"})
     days = ordered_scan(ops.filter(F.col("segment") % 7 != 0).select("stream", "segment").distinct(), ["stream"], ["segment"], rank="q").withColumn("q", F.col("q") - 1)
     return pr.transition_to_sequence(chains, days, ["stream"], "segment", "old_segment", "new_segment", "q").select("stream", "kind", "seq", "old_sequence", "new_sequence")

@@ -155,14 +155,26 @@ def _(spark, sf):
     return so.provider_affinity(prefixes(spark, sf), "id", "position", "prefix_hash", ["id"], "id", 4)
 
 
-@query("exactly_once_dedup", "SELECT event_id, user_id, event_type FROM events")
+@query(
+    "provider_index_stream",
+    f"""WITH {WORDS}, m AS (SELECT px, max(id) AS provider FROM q GROUP BY 1) SELECT provider, count(*) AS prefixes FROM m GROUP BY 1""",
+)
+def _(spark, sf):
+    rows = prefixes(spark, sf)
+    path = staged(spark, rows, "providers")
+    log = update_to_end(so.provider_index(spark.readStream.schema(rows.schema).parquet(path), "prefix_hash", "id"), "providers")
+    return so.latest_of(log, ["prefix_hash"], ["provider"]).groupBy("provider").agg(F.count(F.lit(1)).alias("prefixes"))
+
+
+@query("exactly_once_dedup", "SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN 1::BIGINT ELSE 0 END AS dropped FROM events")
 def _(spark, sf):
     rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts")
     path = staged(spark, rows.unionByName(rows.filter("event_id % 3 = 0")), "dedup")
     out, checkpoint = fresh_path(spark, "dedup-out"), fresh_path(spark, "dedup-checkpoint")
     stream = so.exactly_once(spark.readStream.schema(rows.schema).parquet(path), ["event_id"], "ts", delay="1 hour").drop("ts")
     run_available(stream, out, checkpoint)
-    return spark.read.schema(stream.schema).parquet(out)
+    seen = so.latest_of(update_to_end(so.copies(spark.readStream.schema(rows.schema).parquet(path), ["event_id"]), "copies"), ["event_id"], ["copies"])
+    return spark.read.schema(stream.schema).parquet(out).join(seen, "event_id").withColumn("dropped", F.col("copies") - 1).drop("copies")
 
 
 @query(

@@ -140,6 +140,11 @@ def exactly_once(rows: DataFrame, row_id: Sequence[str], event_time: str, *, del
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(row_id))
 
 
+def copies(rows: DataFrame, row_id: Sequence[str]) -> DataFrame:
+    """How often each id has come so far, as an update-mode aggregation: all but one copy are what :func:`exactly_once` drops."""
+    return rows.groupBy(*row_id).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def run_progress(journal: DataFrame, run: str, state: str) -> DataFrame:
     """Rows per run and state so far; an update-mode aggregation, so every change is one row."""
     return journal.groupBy(run, state).agg(F.count(F.lit(1)).alias("rows"))
