@@ -57,27 +57,21 @@ def multiset_digest_sql(expression: str) -> str:
     return f"sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {', '.join(lanes)}))"
 
 
-def draw_index(seed: int, n: Column, *parts: Column) -> Column:
-    """A number in ``[0, n)`` from the md5 of the seed and the given parts; the same in any engine."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n).cast("long")
+#: A prime below 2^31: squares of residues fit a long.
+_PRIME = 2_147_483_647
 
 
-def draw_index_sql(seed: int, n: str, *parts: str) -> str:
-    joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {joined})),1,12)) AS BIGINT) % {n})"
+def draw_index(seed: int, n: Column, replicate: Column, slot: Column) -> Column:
+    """A number in ``[0, n)`` from seed, replicate and slot: three quadratic steps modulo a prime, the same in any engine."""
+    b, i = replicate.cast("long"), slot.cast("long")
+    h = (b * 1_000_003 + i * 7_919 + seed) % _PRIME
+    h = (h * h + h * 12_345 + i) % _PRIME
+    h = (h * h + h * 67_891 + b) % _PRIME
+    return (h * h + h * 424_243 + seed) % _PRIME % n
 
 
-#: Draws that one md5 gives, eight digits each.
-DRAWS = 4
-
-
-def draw_four(seed: int, n: Column, *parts: Column) -> Column:
-    """An array of ``DRAWS`` numbers in ``[0, n)`` from one md5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-    return F.array(*[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") % n for k in range(DRAWS)])
-
-
-def draw_four_sql(seed: int, n: str, replicate: str, slot: str) -> str:
-    """The number of one slot: slots share a digest in fours."""
-    return f"(CAST(('0x' || substr(md5('{seed}|' || {replicate} || '|' || ({slot} // {DRAWS})), CAST(8 * ({slot} % {DRAWS}) + 1 AS BIGINT), 8)) AS BIGINT) % {n})"
+def draw_index_sql(seed: int, n: str, replicate: str, slot: str) -> str:
+    h = f"(({replicate} * 1000003 + {slot} * 7919 + {seed}) % {_PRIME})"
+    for step in (f"h * h + h * 12345 + {slot}", f"h * h + h * 67891 + {replicate}", f"h * h + h * 424243 + {seed}"):
+        h = f"(list_transform([CAST({h} AS BIGINT)], lambda h: ({step}) % {_PRIME})[1])"
+    return f"({h} % {n})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.digests import multiset_digest
 from tidemark.functions.measures import amdahl, ratio
 from tidemark.operators.intervals import active_levels, clip, interval_union
-from tidemark.operators.ordered import largest_group, ordered_scan
+from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
 from tidemark.operators.statistics import distribution_summary
 
@@ -92,13 +92,16 @@ def history_metrics(df: DataFrame, keys: Sequence[str], arrival: str, start: str
 def phase_metrics(df: DataFrame, keys: Sequence[str], phase: str, start: str, end: str, counters: Sequence[str]) -> DataFrame:
     """Union time per phase (nested spans are never added up), span count and summed counters."""
     by = [*keys, phase]
-    sums = df.groupBy(*by).agg(_n().alias("span_count"), *[F.sum(c).alias(c) for c in counters])
-    return sums.join(interval_union(df, by, start, end, "duration_ns"), by, "left").fillna(0, ["duration_ns"])
+    # counts and sums ride along with the starts whose union is taken, so the spans are grouped once
+    starts = df.groupBy(*by, start).agg(F.max(F.when(F.col(end) > F.col(start), F.col(end))).alias("_e"), _n().alias("span_count"), *[F.sum(c).alias(c) for c in counters])
+    seen = ordered_scan(starts, by, [start], running={"_seen": Running("max", F.col("_e"), False)})
+    fresh = F.greatest(F.lit(0), F.col("_e") - F.greatest(F.col(start), F.col("_seen")))
+    return seen.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("span_count", *counters)], F.sum(fresh).alias("duration_ns"))
 
 
 def phase_occupancy(df: DataFrame, roots: DataFrame, keys: Sequence[str], phase: str, start: str, end: str) -> DataFrame:
     """Share of the root's time during which each phase was active."""
-    whole = interval_union(roots, keys, start, end, "root_ns")
+    whole = interval_union(roots, keys, start, end, "root_ns", hot=1)
     rows = phase_metrics(df, keys, phase, start, end, []).join(whole, list(keys), "left").fillna(0, ["root_ns"])
     return rows.withColumn("occupancy_fraction", F.coalesce(ratio(F.col("duration_ns"), F.col("root_ns")), F.lit(0.0)))
 
@@ -246,10 +249,13 @@ def dependency_class_time(roots: DataFrame, spans: DataFrame, rules: DataFrame,
     frame = roots.select(*keys, F.col(start).alias("_lo"), F.col(end).alias("_hi")).filter("_hi > _lo")
     classed = clip(spans.join(rules, phase).join(frame, list(keys)), start, end, F.col("_lo"), F.col("_hi"))
     hot = largest_group(spans, keys)
-    by_class = interval_union(classed, [*keys, "dependency_class"], start, end, "time_ns", hot=hot)
-    covered = interval_union(classed, keys, start, end, "_cov", hot=hot)
-    bare = frame.join(covered, list(keys), "left").select(*keys, F.lit(rest).alias("dependency_class"), (F.col("_hi") - F.col("_lo") - F.coalesce("_cov", F.lit(0))).alias("time_ns"))
-    return by_class.unionByName(bare).groupBy(*keys, "dependency_class").agg(F.sum("time_ns").alias("time_ns"))
+    # every span counts for its class and, under the class NULL, for the cover of all; one union gives both
+    both = classed.select(*keys, start, end, F.explode(F.array(F.col("dependency_class"), F.lit(None).cast("string"))).alias("dependency_class"))
+    spent = interval_union(both, [*keys, "dependency_class"], start, end, "_t", hot=hot)
+    parts = spent.unionByName(frame.select(*keys, F.lit(rest).alias("dependency_class"), (F.col("_hi") - F.col("_lo")).alias("_t")))
+    # the rest is the root less what all spans cover
+    named = parts.select(*keys, F.coalesce("dependency_class", F.lit(rest)).alias("dependency_class"), F.when(F.col("dependency_class").isNull(), -F.col("_t")).otherwise(F.col("_t")).alias("_t"))
+    return named.groupBy(*keys, "dependency_class").agg(F.sum("_t").alias("time_ns"))
 
 
 def opportunity_funnel(df: DataFrame, keys: Sequence[str], chance: str, conflict: str, mode: str, resource: str, value: str, outcome: str, proofs: Mapping[str, str]) -> DataFrame:

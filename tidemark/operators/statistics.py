@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import DRAWS, draw_four
+from tidemark.functions.digests import draw_index
 from tidemark.functions.measures import cohen_kappa, precision_recall_f1, ratio, wilson_bounds
 from tidemark.operators.ordered import Running, ordered_scan
 from tidemark.operators.quantiles import LINEAR, NEAREST, exact_quantiles
+from tidemark.session import cut_lineage
 
 
 def median_exact(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
@@ -136,21 +137,20 @@ def prf_sets(left: DataFrame, right: DataFrame, keys: Sequence[str], group: Sequ
 
 
 def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows with a 0-based position and the number of rows; the first order column is numeric."""
+    """Rows with a 0-based position and the number of rows, written once: Spark then knows their size when they meet the draws."""
     one = F.lit(1)
-    return ordered_scan(df, [], list(order), rank="_i", total={"_n": Running("sum", one)}).withColumn("_i", F.col("_i") - 1)
+    return cut_lineage(ordered_scan(df, [], list(order), rank="_i", total={"_n": Running("sum", one)}).withColumn("_i", F.col("_i") - 1), "units")
 
 
 def _replicates(units: DataFrame, seed: int, samples: int) -> DataFrame:
-    """``samples`` times as many draws as there are units: rows ``_b, _i, _times``, combined per replicate and unit before any shuffle.
+    """``samples`` times as many draws as there are units: rows ``_b, _i`` with the drawn position.
 
-    Only slot numbers are multiplied, and four of them share a digest; the units themselves meet the draws once per pair.
+    Only slot numbers are multiplied, and they are dealt out before. Units that Spark finds small enough to send meet the
+    draws where these are made, so what is shuffled is one partial sum per replicate and task.
     """
-    groups = units.filter(F.col("_i") % DRAWS == 0).select((F.col("_i") / DRAWS).cast("long").alias("_g"), "_n")
-    slots = groups.select("_g", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
-    drawn = draw_four(seed, F.col("_n"), F.col("_b"), F.col("_g"))
-    inside = F.slice(drawn, 1, F.least(F.lit(DRAWS), F.col("_n") - F.col("_g") * DRAWS).cast("int"))
-    return slots.select("_b", F.explode(inside).alias("_i")).groupBy("_b", "_i").agg(F.count(F.lit(1)).alias("_times"))
+    tasks = 4 * units.sparkSession.sparkContext.defaultParallelism
+    slots = units.select("_i", "_n").repartition(tasks, "_i").select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
+    return slots.select("_b", draw_index(seed, F.col("_n"), F.col("_b"), F.col("_i")).alias("_i"))
 
 
 def _order_pick(values: DataFrame, value: str, low: float, high: float, samples: int) -> DataFrame:
@@ -166,7 +166,7 @@ def bootstrap_ci_geomean(paired: DataFrame, question: str, value: str, *, sample
     Only logarithms travel: the draws carry a position, the pairs their position and one number.
     """
     units = _numbered(paired.select(question, F.when(F.col(value) > 0, F.ln(value)).alias("_ln")), [question])
-    means = _replicates(units, seed, samples).join(units.select("_i", "_ln"), "_i").groupBy("_b").agg(F.exp(F.sum(F.col("_ln") * F.col("_times")) / F.sum(F.when(F.col("_ln").isNotNull(), F.col("_times")))).alias("_g"))
+    means = _replicates(units, seed, samples).join(units.select("_i", "_ln"), "_i").groupBy("_b").agg(F.exp(F.avg("_ln")).alias("_g"))
     return _order_pick(means, "_g", alpha / 2, 1 - alpha / 2, samples)
 
 
@@ -179,5 +179,5 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, sums: Sequence[str], estima
     key = F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 12), 16, 10).cast("long")
     units = _numbered(per.withColumn("_o", key), ["_o", cluster])
     drawn = _replicates(units, seed, samples).join(units.select("_i", *sums), "_i")
-    pooled = drawn.groupBy("_b").agg(*[F.sum(F.col(s) * F.col("_times")).alias(s) for s in sums]).select("_b", estimate.alias("_e"))
+    pooled = drawn.groupBy("_b").agg(*[F.sum(s).alias(s) for s in sums]).select("_b", estimate.alias("_e"))
     return _order_pick(pooled, "_e", 0.025, 0.975, samples)

@@ -30,12 +30,13 @@ def conflicting_groups(facts: DataFrame, group: Sequence[str], fact: str) -> Dat
 
 def latest_valid_fact(facts: DataFrame, group: Sequence[str], fact: str, status: str, rank: str, valid: str, reference: str) -> DataFrame:
     """Per conflicting group the latest active fact (by time, then rank) and how many stale facts rank before it."""
-    conflicts = conflicting_groups(facts, group, fact).select(*group)
-    rows = facts.join(conflicts, list(group), "left_semi")
     when = F.coalesce(F.col(valid), F.col(reference), F.lit(-(2**62)))
-    latest = rows.filter(F.col(status) == "active").groupBy(*group).agg(F.max_by(rank, F.struct(when, -F.col(rank))).alias("latest_rank"))
-    joined = rows.select(*group, rank, status).join(latest, list(group))
-    return joined.groupBy(*group, "latest_rank").agg(F.count_if((F.col(status) == "stale") & (F.col(rank) < F.col("latest_rank"))).alias("stale_before_latest"))
+    active = F.col(status) == "active"
+    said = fact_key(F.col(fact))
+    groups = facts.groupBy(*group).agg((F.min(said) != F.max(said)).alias("_c"), F.max_by(F.when(active, F.col(rank)), F.when(active, F.struct(when, -F.col(rank)))).alias("latest_rank"))
+    latest = groups.filter("_c AND latest_rank IS NOT NULL").select(*group, "latest_rank")
+    stale = facts.filter(F.col(status) == "stale").select(*group, F.col(rank).alias("_r"))
+    return latest.join(stale, list(group), "left").groupBy(*group, "latest_rank").agg(F.count_if(F.col("_r") < F.col("latest_rank")).alias("stale_before_latest"))
 
 
 def latest_and_stale_values(ops: DataFrame, target: Sequence[str], order: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
