@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from tidemark.llm import toxicity as X
@@ -21,6 +22,23 @@ def test_the_machine_tells_clauses_apart():
     assert classes("vequille x")["asserted"] > 0 == classes("vequ")["asserted"] and classes("idiotic")["asserted"] == 0
 
 
+def test_clauses_in_a_row_stand_alone():
+    cut = lambda t: list(X.clauses(t, G.scanner()))
+    assert cut("he said idiot. you moron. so. idiot; moron") == ["he said idiot.", " you moron.", " idiot;", " moron"]
+    one, two, three = classes("An idiot."), classes("An idiot. A moron."), classes("An idiot. A moron! An idiot.")
+    assert [round(math.expm1(c["asserted"]), 6) for c in (one, two, three)] == [1, 2, 3]
+    reported = classes("He said idiot. You moron.")
+    assert reported["reported"] == reported["asserted"] == reported["aimed"] == math.log1p(1)
+    denied = classes("An idiot. Not a moron. An idiot.")
+    assert denied["negated"] == math.log1p(1) and denied["asserted"] == math.log1p(2)
+    assert classes("I will see an idiot. Kill you.")["threat"] == 0
+
+
+def test_many_clauses_are_walked_once():
+    text = "you idiot. " * 20_000
+    assert sum(map(len, X.clauses(text, G.scanner()))) == len(text) - 1
+
+
 def test_rank_of_clauses():
     p = lambda t: X.probability(X.document_classes(t, G, G.scanner()), G)
     assert p("You idiot.") > p("An idiot.") > 0.4 > p("Not an idiot.") and p("") < 0.2

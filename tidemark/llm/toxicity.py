@@ -51,7 +51,7 @@ NEGATION_SCOPE, ANNOUNCE_SCOPE = 3, 4
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n\"“”«»]")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-CLAUSE_END = set(".!?;\n")
+CLAUSE_END = re.compile(r"[.!?;\n]")
 QUOTES = set("\"“”«»")
 CLASSES = ("asserted", "aimed", "negated", "reported", "threat")
 
@@ -115,15 +115,18 @@ def walk(tokens: Iterator[str], grammar: Grammar) -> dict[str, float]:
 
 
 def clauses(text: str, scanner: re.Pattern) -> Iterator[str]:
-    """The clauses of a lower-cased text in which the scanner finds something."""
+    """The clauses of a lower-cased text in which the scanner finds something; each part of the text is in one clause at most."""
     done = 0
     for hit in scanner.finditer(text):
         if hit.start() < done:
             continue
-        start = max(text.rfind(c, done, hit.start()) for c in CLAUSE_END) + 1
-        ends = [e for c in CLAUSE_END if (e := text.find(c, hit.start())) >= 0]
-        done = min(ends) + 1 if ends else len(text)
-        yield text[max(start, 0) : done]
+        # the clause starts behind the last end before the hit, or where the clause before it ended
+        start = done
+        for end in CLAUSE_END.finditer(text, done, hit.start()):
+            start = end.end()
+        end = CLAUSE_END.search(text, hit.start())
+        done = end.end() if end else len(text)
+        yield text[start:done]
 
 
 def document_classes(text: str, grammar: Grammar, scanner: re.Pattern) -> list[float]:
