@@ -1,7 +1,9 @@
 """Licence scans by sentence rules. DataFrame functions only.
 
-A text is cut into sentences, each is normalised (A-Z to lower case, every run of other characters than a-z and 0-9 to one space)
-and looked up in a table of known licence sentences. The identifiers found, in text order, form a sequence; ordered rules consume
+A text is cut into sentences and normalised (A-Z to lower case, every run of other characters than a-z and 0-9 to one space). A
+sentence ends at a full stop or the like before white space and at a blank line; a line end, with the comment marks (no letters or
+digits) around it, may end a sentence or stand inside a wrapped one. Known licence sentences are found between such ends. Sentences
+of the table that hold ends of their own ("v. 2.0") go through the same cutter. The identifiers found, in text order, form a sequence; ordered rules consume
 their own sequences from it, whole licence texts before notices, and name the licence. Identifiers that no rule consumes are
 reported as unmatched. Everything happens within the row: no shuffle, whole texts, repeated rows and extra columns stay as they are.
 
@@ -40,6 +42,8 @@ TEXT_SENTENCES = [
     ("unlicense-public", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
 ]
+#: Other forms of text sentences, in the notices as they are published; their words are those of the table.
+OTHER_FORMS = ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"]
 #: Names by licence, as they stand in notices; the phrases around them are below.
 NAMES = {
     "MIT": ["MIT License", "MIT licence", "Expat License"],
@@ -80,7 +84,10 @@ TEXT_RULES = [
 ]
 PERMISSIVE = ["MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0"]
 
+#: Sentence ends of the SQL twin, which knows no wrapped sentences.
 BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|\n"
+#: The cutter, in order: comment marks at line starts go, sentence ends to ``|``, other characters to spaces, line ends bare, blank lines and what is around ends to ``|``.
+CUTS = [(r"\n[^a-z0-9\n]+", "\n"), (r"[.!?;:]+[\x20\x09-\x0D]+", "|"), (r"[^a-z0-9|\n]+", " "), (r" ?\n ?", "\n"), (r"\n\n+|[ \n]*\|[ |\n]*", "|")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,14 +121,40 @@ def rules() -> list[tuple[str, str]]:
     return [(licence, "".join(f"<{i}>" for i in ids)) for licence, ids in TEXT_RULES + named]
 
 
+def cut(text: str) -> str:
+    """Words of a text: a space, a line end or ``|`` for a sentence end between each two."""
+    text = text.translate(str.maketrans(UPPER + "|", LOWER + " "))
+    for pattern, mark in CUTS:
+        text = re.sub(pattern, mark, text)
+    return text.strip(" ")
+
+
+def sentence_pattern() -> str:
+    """Finds the sentences of the table in a cut text, the longest first, as a tree over their words."""
+    known = [s for _, s in TEXT_SENTENCES] + OTHER_FORMS + [p.format(n) for names_ in names().values() for n in names_ for p in PHRASES]
+    tree: dict = {}
+    for sentence in known:
+        node = tree
+        for mark, word in re.findall(r"(^|[ |])([a-z0-9]+)", cut(sentence)):
+            node = node.setdefault({"": "", " ": r"[ \n]", "|": r"[ \n|]"}[mark] + word, {})
+        node[""] = {}
+
+    def branches(node: dict) -> str:
+        made = [key + branches(below) for key, below in node.items() if key]
+        inner = made[0] if len(made) == 1 and "" not in node else f"(?:{'|'.join(made)})" if made else ""
+        return f"{inner}?" if inner and "" in node else inner
+
+    return rf"(?<![a-z0-9 ]){branches(tree)}(?![a-z0-9 ])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order, as ``<a><b>``."""
-    table = sentence_table()
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    sentences = F.transform(F.split(lowered, BREAK), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = F.filter(sentences, lambda s: s.isin(list(table)))
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.array_join(F.transform(known, lambda s: F.concat(F.lit("<"), F.element_at(lookup, s), F.lit(">"))), "")
+    words = F.translate(F.coalesce(text, F.lit("")), UPPER + "|", LOWER + " ")
+    for pattern, mark in CUTS:
+        words = F.regexp_replace(words, pattern, mark)
+    known = F.regexp_extract_all(F.trim(words), F.lit(sentence_pattern()), F.lit(0))
+    lookup = F.create_map(*[F.lit(x) for pair in sentence_table().items() for x in pair])
+    return F.array_join(F.transform(known, lambda s: F.concat(F.lit("<"), F.element_at(lookup, F.translate(s, "\n|", "  ")), F.lit(">"))), "")
 
 
 def scan(docs: DataFrame, *, text: str = "text", prefix: str = "") -> DataFrame:
