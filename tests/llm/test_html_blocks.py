@@ -14,6 +14,25 @@ def test_blocks_survive_broken_markup():
     assert H.blocks(None) == H.blocks("") == [] and H.blocks("<p> \n </p>") == []
 
 
+@pytest.mark.parametrize("form, inside", [
+    ('<svg viewBox="0 0 1 1"/>', ""), ("<svg/>", ""), ('<object data="a.swf" />', ""), ("<select-menu>x</select-menu>", "x"), ("<title-bar>x</title-bar>", "x"), ("<object-card>x</object-card>", "x"), ("<template-x>x", "x"), ("<script-x>x</script-x>", "x"),
+    ("<object>", ""), ("<select><option>x", "x"), ("<svg><title/>", None), ("<noscript>x", "x"), ("<canvas>", ""), ("<object title=it's>x</object>", ""), ('<svg a=">" b="/">x</svg>', ""), ("<object><object>x</object>", ""), ("<svg><svg>x</svg>x</svg>", ""), ("<SELECT\n><option>x</select >", ""),
+    ('<svg><title/><style>x</svg>', ""), ("<script>'<select>'</script>", ""), ("<!-- <svg> -->", ""), ("<template><p>x</p></template>", ""), ("<noscript><style>x</style></noscript>", ""),
+])
+def test_held_elements_end_where_they_end(form, inside):
+    got = [b.text for b in H.blocks(f"<div>{form}</div><article><p>one</p></article><svg>y</svg><p>two</p><select>y</select><object>y</object><p>three")]
+    assert inside is None or got == ([inside] if inside else []) + ["one", "two", "three"]
+
+
+def test_raw_elements_reach_to_the_end():
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert [b.text for b in H.blocks(f"<p>one</p><{name}>x<p>y</p>")] == ["one"] == [b.text for b in H.blocks(f"<p>one<{name} a='b'>x<p>y</p></{name}>")]
+
+
+def test_many_open_elements_are_read_once():
+    assert len(H.blocks("<svg><select><p>x</p>" * 20_000)) == 20_000
+
+
 def test_made_pages_are_labelled():
     net, wrong, total = H.trained(), 0, 0
     for found, y in H.training_pages(200, 4242):

@@ -8,8 +8,9 @@ The network is trained here, on pages made by :func:`training_pages`: layouts of
 invented words. Nothing is learned from the pages it is applied to. Number of pages, passes and seed are parameters.
 
 Null and empty pages, and pages without main text, give an empty text. Character references are decoded once; white space in a block becomes one
-space. Scripts, styles, comments and markup hold no text. Whole pages are read; unclosed tags, stray ends and cut-off pages are
-read as far as they go. Repeated rows and extra columns stay as they are.
+space. Scripts, styles, comments and markup hold no text. Nor do drawings, forms of choice and the like (``HELD``), from their tag to
+the end tag that matches it; one that ends itself or is never closed loses its tag only. Whole pages are read; unclosed tags, stray
+ends and cut-off pages are read as far as they go. Repeated rows and extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ PAGES, EPOCHS, SEED = 2_000, 6, 7
 #: Pages that run through the network together.
 GROUP = 128
 
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+#: Elements whose text is no markup; without an end tag they reach to the end of the page.
+_RAW = r"<(script|style|iframe|title|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+#: Elements whose content is dropped, if they are closed.
+HELD = "noscript|template|svg|object|canvas|select"
+_HELD_TAG = re.compile(rf"<(/?)({HELD})(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.I)
+_OUTSIDE = re.compile(rf"<!--.*?(?:-->|\Z)|{_RAW}|<(/?)({HELD})(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_RAW}|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +66,36 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *names)
 
 
+def without_held(page: str) -> str:
+    """``page`` with an empty declaration in place of each closed element of ``HELD``, and of the tag of each that is not closed."""
+    if not _HELD_TAG.search(page):
+        return page
+    spans: list[tuple[int, int]] = []
+    open_: dict[str, list[tuple[int, int]]] = {}
+    at, depth = 0, 0
+    # comments and scripts are passed over, but not inside of an open element: there an end tag is one wherever it stands
+    while match := (_HELD_TAG if depth else _OUTSIDE).search(page, at):
+        at = match.end()
+        closing, tag, attributes = match.groups()[-3:]
+        if tag is None:
+            continue
+        waiting = open_.setdefault(tag.lower(), [])
+        if not closing:
+            spans.append(match.span())
+            if not (attributes.endswith("/") and tag.lower() in ("svg", "object")):
+                waiting.append(match.span())
+                depth += 1
+        elif waiting:
+            spans.append((waiting.pop()[0], match.end()))
+            depth -= 1
+    out, done = [], 0
+    for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if start >= done:
+            out += [page[done:start], "<!>"]
+            done = end
+    return "".join([*out, page[done:]])
+
+
 def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -75,7 +111,7 @@ def blocks(page: str | None) -> list[Block]:
             buffer.clear()
         linked = 0
 
-    for match in _TOKEN.finditer(page or ""):
+    for match in _TOKEN.finditer(without_held(page or "")):
         tag = match.group(3)
         if tag is None:
             text = match.group(5)
