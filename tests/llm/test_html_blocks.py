@@ -1,5 +1,6 @@
 import html
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -41,6 +42,26 @@ def test_made_pages_are_labelled():
     assert wrong <= 0.01 * total
 
 
+def test_a_long_page_among_short_ones():
+    long = "<article><h1>Long</h1>" + "<p>Some words here, and more.</p>" * 20_000 + "</article>"
+    short = "<nav><a href='/'>Home</a></nav><article><p>Some words here, and more.</p></article>"
+    net = H.trained()
+    tracemalloc.start()
+    got = H.main_texts([short] * 60 + [long] + [short] * 60, net)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == got[-1] == H.main_texts([short], net)[0] and got[60].count("\n") > 19_000 and peak < 300e6
+
+
+def test_slices_and_groups_change_no_label(monkeypatch):
+    pages = [H.features(b) for b, _ in H.training_pages(40, 99)]
+    net = H.trained()
+    whole = [H._sigmoid(net.logits(*H.padded([p]))[0])[0] for p in pages]
+    for size in (1, 7, 50, 400):
+        monkeypatch.setattr(H, "GROUP_BLOCKS", size)
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(net.label(pages), whole))
+
+
 def test_gradients_match_differences():
     net, rng = H.Labeller(1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

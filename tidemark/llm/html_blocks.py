@@ -18,7 +18,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -33,8 +33,9 @@ PATH_BINS, WORD_BINS, COUNTS = 256, 32, 8
 WIDTH = PATH_BINS + WORD_BINS + COUNTS
 HIDDEN = 24
 PAGES, EPOCHS, SEED = 2_000, 6, 7
-#: Pages that run through the network together.
-GROUP = 128
+#: Pages that run through the network together: so many at most, and so many blocks with the padding. A longer page runs alone, in
+#: slices of so many blocks.
+GROUP, GROUP_BLOCKS = 128, 16_384
 
 #: Elements whose text is no markup; without an end tag they reach to the end of the page.
 _RAW = r"<(script|style|iframe|title|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -210,11 +211,11 @@ class Labeller:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1.0
         self.p |= {"o": make(2 * HIDDEN, 1)[:, 0], "z": np.zeros(1, np.float32)}
 
-    def _scan(self, x: np.ndarray, d: str, keep: bool):
+    def _scan(self, x: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
         batch, steps, _ = x.shape
         gates_in = x.reshape(-1, WIDTH) @ self.p[f"x{d}"]
         gates_in = gates_in.reshape(batch, steps, -1) + self.p[f"c{d}"]
-        h = c = np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32),) * 2
         out, trace = np.empty((batch, steps, HIDDEN), np.float32), []
         for t in range(steps):
             z = gates_in[:, t] + h @ self.p[f"h{d}"]
@@ -227,7 +228,7 @@ class Labeller:
                 trace.append((i, f, o, g, before, shown, h))
             h = o * shown
             out[:, t] = h
-        return out, trace
+        return out, trace, (h, c)
 
     @staticmethod
     def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -236,9 +237,9 @@ class Labeller:
         return np.take_along_axis(x, np.where(at >= 0, at, np.arange(x.shape[1])[None, :])[:, :, None], axis=1)
 
     def logits(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        hf, tf = self._scan(x, "f", keep)
+        hf, tf, _ = self._scan(x, "f", keep)
         back = self._turned(x, lengths)
-        hb, tb = self._scan(back, "b", keep)
+        hb, tb, _ = self._scan(back, "b", keep)
         both = np.concatenate([hf, self._turned(hb, lengths)], axis=2)
         return both @ self.p["o"] + self.p["z"][0], (both, back, tf, tb)
 
@@ -293,16 +294,38 @@ class Labeller:
                     self.p[k] = (self.p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability of main text per block and page; pages of like length go through together."""
+    def _long(self, page: Sequence, describe: Callable[[Sequence], np.ndarray]) -> np.ndarray:
+        """Logits of one page of any length: both directions go over it in slices and keep one number a block."""
+        z = np.full(len(page), self.p["z"][0], np.float32)
+        starts = range(0, len(page), GROUP_BLOCKS)
+        for d, weights, order in (("f", self.p["o"][:HIDDEN], starts), ("b", self.p["o"][HIDDEN:], reversed(starts))):
+            state, turn = None, 1 if d == "f" else -1
+            for at in order:
+                x = describe(page[at : at + GROUP_BLOCKS])[None, ::turn]
+                h, _, state = self._scan(x, d, False, state)
+                z[at : at + GROUP_BLOCKS] += (h[0] @ weights)[::turn]
+        return z
+
+    def label(self, pages: Sequence[Sequence], describe: Callable[[Sequence], np.ndarray] = np.asarray) -> list[np.ndarray]:
+        """Probability of main text per block and page; pages of like length go through together.
+
+        ``describe`` gives the features of a page or a slice of one; they are made for one group at a time.
+        """
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), GROUP):
-            group = order[at : at + GROUP]
-            x, lengths = padded([pages[i] for i in group])
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < min(len(order), at + GROUP) and (end + 1 - at) * len(pages[order[end]]) <= GROUP_BLOCKS:
+                end += 1
+            group, at = order[at:end], end
+            if len(pages[group[-1]]) > GROUP_BLOCKS:
+                out[group[0]] = _sigmoid(self._long(pages[group[0]], describe))
+                continue
+            x, lengths = padded([describe(pages[i]) for i in group])
             p = _sigmoid(self.logits(x, lengths)[0])
             for row, i in enumerate(group):
-                out[i] = p[row, : lengths[row]]
+                out[i] = p[row, : lengths[row]].copy()
         return out
 
 
@@ -437,7 +460,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Label
 
 def main_texts(pages: list[str | None], network: Labeller) -> list[str]:
     cut = [blocks(p) for p in pages]
-    labels = network.label([features(b) for b in cut])
+    labels = network.label(cut, features)
     return ["\n".join(b.text for b, p in zip(found, ps) if p >= 0.5) for found, ps in zip(cut, labels)]
 
 
