@@ -45,6 +45,19 @@ def test_order_and_edits_cost():
     assert O.likeness(O.signature(""), O.signature("")) == 1.0 and O.likeness(s, O.signature("")) == 0.0
 
 
+def test_swapped_halves_of_short_texts_cost():
+    rng = np.random.default_rng(3)
+    for size in (20, 50, 100, 200):
+        found = []
+        for _ in range(50):
+            t = "".join(map(chr, rng.integers(97, 123, size)))
+            found.append(O.likeness(O.signature(t), O.signature(t[size // 2 :] + t[: size // 2])))
+        # about half of the pairs stand within one half and stay, the others change order
+        assert np.mean(found) < 0.55
+    assert O.likeness(O.signature("abcde"), O.signature("abcde")) == 1.0 and np.count_nonzero(O.signature("abcde")) == 1
+    assert O.likeness(O.signature("abcdeXfghij"), O.signature("abcdeXfghij")) == 1.0
+
+
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fingerprint int")
     got = sorted(map(tuple, O.with_next_edits(df).collect()), key=repr)

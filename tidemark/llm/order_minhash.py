@@ -1,8 +1,10 @@
 """Order MinHash fingerprints of whole texts.
 
 A text is read as its k-mers of code points, each numbered by how often it has occurred before. The digest of (k-mer, number)
-puts it into one of ``slots`` groups and ranks it there. Each slot selects its ``ell`` smallest, puts them back into the order in
-which they stand in the text and hashes the tuple. Two texts agree in a slot when they select the same k-mers *in the same
+puts it into one of ``slots`` groups and ranks it there. Each slot selects its ``ell`` smallest; a slot with fewer borrows the
+smallest of the slots that follow, after the last the first ones, so that it carries an order too. The selected are put back into
+the order in which they stand in the text and the tuple is hashed; only a text of fewer than ``ell`` k-mers has shorter tuples. A
+slot without k-mers of its own stays empty. Two texts agree in a slot when they select the same k-mers *in the same
 order*, so moved, inserted and deleted passages all cost, as in edit distance. Likeness is the share of slots that agree among
 those that either text fills; two texts without any k-mer are alike in full.
 
@@ -108,11 +110,10 @@ def signature(text: str, k: int = K, ell: int = ELL, slots: int = SLOTS) -> np.n
         order = np.argsort(mers)
         ranked, places = mers[order], places[order]
         edges = np.searchsorted(ranked, np.arange(slots, dtype=np.uint64) << shift)
-        ends = np.append(edges[1:], len(ranked))
-        # the selected of each slot, put back into text order; short slots are padded at the end
-        picks = edges[:, None] + np.arange(ell)[None, :]
-        filled = picks < ends[:, None]
-        picks = np.minimum(picks, len(ranked) - 1)
+        own = np.append(edges[1:], len(ranked)) > edges
+        # the selected of each slot, or the next in rank where it has too few, put back into text order; padded at the end
+        picks = (edges[:, None] + np.arange(ell)[None, :]) % len(ranked)
+        filled = own[:, None] & (np.arange(ell) < len(ranked))[None, :]
         spots = np.where(filled, places[picks].astype(np.int64), np.iinfo(np.int64).max)
         values = np.where(filled, ranked[picks], np.uint64(0))
         values = np.take_along_axis(values, np.argsort(spots, axis=1, kind="stable"), axis=1)
@@ -120,7 +121,7 @@ def signature(text: str, k: int = K, ell: int = ELL, slots: int = SLOTS) -> np.n
         for column in range(ell):
             hashed = _mix(hashed * _BASE + values[:, column])
         hashed = (hashed >> np.uint64(32)).astype(np.uint32)
-        return np.where(filled[:, 0], np.maximum(hashed, 1), 0).astype(np.uint32)
+        return np.where(own, np.maximum(hashed, 1), 0).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
