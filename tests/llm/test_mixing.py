@@ -50,3 +50,30 @@ def test_schedule_is_spread(spark):
     assert sum(r.words for r in slots if r.source == "a") == 10_000 and sum(r.words for r in slots if r.source == "b") == 30_000
     for n in range(20, 380, 20):
         assert abs(sum(r.source == "a" for r in slots[:n]) - n / 4) < 4
+
+
+def test_tiny_sources_need_few_slots(spark, monkeypatch):
+    plan = spark.createDataFrame([("a", 3, 9), ("b", 4_000_000_000, 4_000_000_000), (None, 1, 1), ("c", 300_000, 900_000)], "source string, source_size long, quota long")
+    asked = []
+    ranged = type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda self, *a: asked.append(a[0]) or ranged(self, *a))
+    slots = M.schedule(plan).collect()
+    assert sum(asked) < 2 * 4_000_000_000 / M.BLOCK_WORDS
+    taken, count = {}, {}
+    for r in slots:
+        taken[r.source], count[r.source] = taken.get(r.source, 0) + r.words, count.get(r.source, 0) + 1
+    assert taken == {"a": 9, "b": 4_000_000_000, None: 1, "c": 900_000} and count["a"] == 3 and count["c"] == 3 * 293
+    assert all(0 <= r.slot < sum(asked) for r in slots)
+    places = sorted(r.slot for r in slots if r.source == "c")
+    assert max(b - a for a, b in zip(places, places[1:])) < 1.1 * 4_000_900_010 / M.BLOCK_WORDS / len(places) + 1
+
+
+def test_many_tiny_sources(spark):
+    plan = spark.createDataFrame([(str(i), i % 7 + 1, 3 * (i % 7 + 1)) for i in range(10_000)], "source string, source_size long, quota long")
+    got = M.schedule(plan, block_words=2).groupBy("source").agg(M.F.sum("words").alias("n")).collect()
+    assert len(got) == 10_000 and all(r.n == 3 * (int(r.source) % 7 + 1) for r in got)
+
+
+def test_taken_words_of_a_tiny_source(spark):
+    df = spark.createDataFrame([(i, "w " * 5_000, "a") for i in range(40)] + [(90, "one two three", "b"), (91, None, "c"), (92, "x", None)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.taken for r in M.mix(df, block_words=16).collect() if r.doc_id >= 90} == {90: 9, 91: 0, 92: 3}

@@ -9,7 +9,9 @@ Schedule. Slot i holds the point ``frac(i * golden)``; cumulative shares of the
 its source names the block it plays: the source's documents, shuffled by a seeded digest, are one stream of words cut into blocks
 of ``block_words``, and ranks run through the blocks again and again. Slots beyond a source's target are void, and its last
 slot ends with the word that meets the target, so taken words differ from the target by rounding only. The golden-ratio points
-make every stretch of the schedule nearly proportional; the number of slots is what the slowest source needs.
+make every stretch of the schedule nearly proportional; the number of slots is what the slowest source needs. A source with a share
+below ``1 / GRID`` does not wait for its points: its blocks are dealt evenly over the schedule, from an offset by its rank, and stand
+before the block that has the same slot. So slots grow with the words taken, whatever the smallest share.
 
 Null texts have size 0; documents without words take nothing. Repeated rows are rows of their own. Ties in the shuffle are
 broken by id and size. The result depends on rows and seed, not on partitions.
@@ -31,6 +33,8 @@ SEED = "mix-1"
 #: Documents of the largest source per range of the shuffle order.
 RANGE_ROWS = 1_000
 GOLDEN = (math.sqrt(5) - 1) / 2
+#: Cells of the unit interval by which slots find their source; sources smaller than a cell are dealt without points.
+GRID = 4_096
 
 
 def words(text: Column) -> Column:
@@ -71,10 +75,12 @@ def schedule(plan: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     shares = plan.filter("quota > 0").withColumn("_sum", F.sum("quota").over(Window.partitionBy(F.lit(0))).cast("double"))
     shares = shares.withColumn("_hi", F.sum("quota").over(line) / F.col("_sum"))
     shares = shares.withColumn("_lo", F.coalesce(F.lag("_hi").over(line), F.lit(0.0))).withColumn("_key", F.row_number().over(line))
-    shares = written(shares, "shares")
+    blocks = F.ceil(F.col("source_size") / block_words)
+    # a pass over the source ends with its last words, so blocks are counted in words of the repeated stream
+    need = F.expr("quota div source_size") * blocks + F.ceil((F.col("quota") % F.col("source_size")) / block_words)
+    shares = written(shares.withColumn("_need", need).withColumn("_large", F.col("quota") * GRID >= F.col("_sum")), "shares")
     # frac(i * golden) puts between n*p - 2*log2(n) - 4 and n*p + 2*log2(n) + 4 of n points into an interval of length p
-    need = F.ceil(F.col("quota") / block_words)
-    row = shares.agg(F.max((need + 4) * F.col("_sum") / F.col("quota")).alias("n"), F.min(F.col("quota") / F.col("_sum")).alias("p")).first()
+    row = shares.filter("_large").agg(F.max((F.col("_need") + 4) * F.col("_sum") / F.col("quota")).alias("n"), F.min(F.col("quota") / F.col("_sum")).alias("p")).first()
     if row["n"] is None:
         slots = 0
     else:
@@ -84,10 +90,9 @@ def schedule(plan: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     point = (F.col("slot") + 1).cast("double") * GOLDEN
     rows = spark.range(slots).select(F.col("id").alias("slot")).withColumn("_u", point - F.floor(point))
     # shares holds one row per source; where it is small enough Spark broadcasts it, else it is scanned in blocks of slots
-    cut = shares.select("_key", "source", "source_size", "quota", "_lo", "_hi")
-    grid = 4096
-    steps = cut.withColumn("_g", F.explode(F.sequence(F.floor(F.col("_lo") * grid), F.least(F.floor(F.col("_hi") * grid), F.lit(grid - 1)))))
-    rows = rows.withColumn("_g", F.least(F.floor(F.col("_u") * grid), F.lit(grid - 1)))
+    cut = shares.filter("_large").select("_key", "source", "source_size", "quota", "_lo", "_hi")
+    steps = cut.withColumn("_g", F.explode(F.sequence(F.floor(F.col("_lo") * GRID), F.least(F.floor(F.col("_hi") * GRID), F.lit(GRID - 1)))))
+    rows = rows.withColumn("_g", F.least(F.floor(F.col("_u") * GRID), F.lit(GRID - 1)))
     rows = rows.join(steps, "_g").filter("_u >= _lo AND (_u < _hi OR (_hi >= 1 AND _u >= 1))").withColumn("_r", F.expr(f"slot div {per_range}"))
     rows = rows.select("slot", "_key", "source", "source_size", "quota", "_r")
     counts = rows.groupBy("_key", "_r").agg(F.count(F.lit(1)).alias("_n"))
@@ -95,8 +100,13 @@ def schedule(plan: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     counts = counts.select("_key", "_r", base.alias("_base"))
     within = F.row_number().over(Window.partitionBy("_key", "_r").orderBy("slot"))
     rows = rows.withColumn("_w", within).join(counts, ["_key", "_r"]).withColumn("rank", F.col("_base") + F.col("_w"))
-    # a pass over the source ends with its last words, so blocks are counted in words of the repeated stream
-    blocks = F.ceil(F.col("source_size") / block_words)
+    rows = rows.select("slot", "source", "source_size", "quota", "rank")
+    # a small source has fewer blocks than the schedule has words over block_words * GRID, and a last short one per pass
+    length = F.ceil(F.col("_sum") / block_words)
+    offset = F.col("_key") * GOLDEN - F.floor(F.col("_key") * GOLDEN)
+    few = shares.filter("NOT _large").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_need"))))
+    few = few.select(F.floor((F.col("rank") - 1 + offset) * length / F.col("_need")).alias("slot"), "source", "source_size", "quota", "rank")
+    rows = rows.unionByName(few)
     rows = rows.withColumn("block", (F.col("rank") - 1) % blocks).withColumn("epoch", F.floor((F.col("rank") - 1) / blocks))
     start = F.col("block") * block_words
     length = F.least(F.lit(block_words), F.col("source_size") - start)
