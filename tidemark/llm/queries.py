@@ -1,4 +1,4 @@
-"""The ten queries over the given tables. Each gets its rows through its operator."""
+"""The queries over the given tables. Each gets its rows through its operator."""
 
 from __future__ import annotations
 
@@ -188,3 +188,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import count_tokens, read_model
+
+    return count_tokens(table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("piece_bpe_32k.model")), keep=["doc_id"])
