@@ -197,3 +197,28 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens, read_model
 
     return count_tokens(table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("piece_bpe_32k.model")), keep=["doc_id"])
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by checksum of the id, get a periodic tail first; a null id has no checksum."""
+    from tidemark.llm.periodic_runs import periodic_runs
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (h % 10 == 0).alias("_tailed"), F.floor(h / 10).cast("long").alias("_g"))
+    docs = docs.withColumn("_w", F.when(F.col("_tailed"), words)).withColumn("_n", F.size("_w")).withColumn("_a", F.expr("IF(_n > 0, _g % _n, 0)")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    tailed = F.expr("array_join(transform(_w, (w, i) -> IF(i < _a, w, _w[int(_a + (i - _a) % _p)])), ' ')")
+    docs = docs.select("doc_id", F.when(F.col("_tailed") & (F.col("_n") > 0), tailed).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(docs, keep=["doc_id"])
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
