@@ -222,3 +222,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+PHRASE_SQL = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+u AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS u FROM t),
+p AS (SELECT lang, regexp_extract_all(u, '[^\x20\x09]+') AS w FROM u),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+ FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM p CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100),
+s AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS q WHERE q.lang = c.lang AND q.k > c.k
+ AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * q.a >= 100 * c.a)),
+d AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM s),
+x AS (SELECT d.lang, d.phrase, d.a, d.cut, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * d.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+ FROM d JOIN f AS l ON l.lang = d.lang AND l.phrase = array_to_string(w[1 : cut], ' ')
+ JOIN f AS r ON r.lang = d.lang AND r.phrase = array_to_string(w[cut + 1 : d.k], ' ') JOIN n ON n.lang = d.lang),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
+
+
+@query("op12_phrase_collocations", PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
