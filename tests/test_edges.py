@@ -283,14 +283,6 @@ def two_batches(spark, build, schema, first, second):
     return spark.read.parquet(out)
 
 
-def test_release_waits_for_the_gap_over_blocks(spark):
-    build = lambda s: streaming.source_arrivals(s, "stream", "seq", "at", block=4, delay="1 second", timeout_ms=60_000)
-    first = [(1, s, f"2024-01-01 00:00:{s:02d}") for s in (5, 0, 4, 2, 6, 7, 3)] + [(1, 0, "2024-01-01 00:00:09")]
-    arrivals = two_batches(spark, build, "stream bigint, seq bigint, at string", first, [(2, 0, "2024-01-01 01:00:00")])
-    got = sorted((r.stream, r.seq, r.release_status) for r in streaming.ordered_release(arrivals, "stream", "seq").collect())
-    assert got == [(1, 0, "DUPLICATE"), (1, 0, "RELEASED"), (1, 1, "MISSING"), *((1, s, "HELD") for s in range(2, 8)), (2, 0, "RELEASED")]
-
-
 def test_hot_keys_do_not_depend_on_arrival(spark):
     build = lambda s: streaming.recent_hot_keys(s, "stream", "item", "seq", "at", window=8, threshold=3, delay="1 hour")
     at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"

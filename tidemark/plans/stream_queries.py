@@ -13,7 +13,7 @@ from tidemark.plans.statistic_queries import rounded
 from tidemark.session import fresh_path
 from tidemark.sources.records import verify_sealed_lines
 from tidemark.streaming import operators as so
-from tidemark.streaming.runs import append_to_end, run_available, update_to_end
+from tidemark.streaming.runs import append_to_end, rocksdb_state, run_available, update_to_end
 
 
 def streamed(spark, sf):
@@ -83,39 +83,72 @@ def _(spark, sf):
     return append_to_end(spark, path, rows.schema, build, heartbeat_of(spark, rows), "life").filter("event_id >= 0")
 
 
-BLOCK = 32
-RELEASE = f"""{EV}, ar AS (SELECT stream, seq FROM ev WHERE event_id % 97 <> 5 OR stream % 3 = 0), rk AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS rn FROM ar),
- ms AS (SELECT DISTINCT ev.stream, ev.seq FROM ev JOIN ar ON ar.stream = ev.stream AND ar.seq // {BLOCK} = ev.seq // {BLOCK} AND ar.seq > ev.seq WHERE ev.event_id % 97 = 5 AND ev.stream % 3 <> 0)"""
+RELEASE = f"""{EV}, ar AS (SELECT stream, seq FROM ev WHERE event_id % 97 <> 5 OR stream % 3 = 0),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS rn, lag(seq, 1, -1) OVER (PARTITION BY stream ORDER BY seq) AS before FROM ar)"""
+SLICE = 1 << 16
 
 
 @query(
     "source_ordered_release",
-    f"""WITH {RELEASE} SELECT stream, seq, CASE WHEN seq = rn THEN 'RELEASED' ELSE 'HELD' END AS release_status, CASE WHEN seq = rn THEN seq ELSE -1 END AS release_order FROM rk
- UNION ALL SELECT stream, seq, 'DUPLICATE', -1 FROM ev WHERE event_id % 23 = 0 AND (event_id % 97 <> 5 OR stream % 3 = 0) UNION ALL SELECT stream, seq, 'MISSING', -1 FROM ms""",
+    f"""WITH {RELEASE} SELECT stream, seq, seq AS last_seq, CASE WHEN seq = rn THEN 'RELEASED' ELSE 'HELD' END AS release_status, CASE WHEN seq = rn THEN seq ELSE -1 END AS release_order FROM rk
+ UNION ALL SELECT stream, seq, seq, 'DUPLICATE', -1 FROM ev WHERE event_id % 23 = 0 AND (event_id % 97 <> 5 OR stream % 3 = 0)
+ UNION ALL SELECT stream, before + 1, seq - 1, 'MISSING', -1 FROM rk WHERE seq > before + 1""",
 )
 def _(spark, sf):
     e = F.col("event_id")
     rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns").filter((e % 97 != 5) | (F.col("stream") % 3 == 0))
     twice = rows.unionByName(rows.filter(e % 23 == 0).withColumn("publish_ns", F.col("publish_ns") + 1000))
     twice = twice.select("stream", "seq", F.timestamp_micros(whole(F.col("publish_ns"), 1000)).alias("ts"))
-    path = staged(spark, twice, "release")
-    build = lambda s: so.source_arrivals(s, "stream", "seq", "ts", block=BLOCK, delay="1 hour", timeout_ms=3_600_000)
-    arrivals = append_to_end(spark, path, twice.schema, build, heartbeat_of(spark, twice), "release").filter("stream >= 0")
+    arrivals = released_arrivals(spark, twice, SLICE)
     return so.ordered_release(arrivals, "stream", "seq")
 
 
-@query(
-    "frontier_state_check",
-    f"""WITH {EV}, s AS (SELECT stream, seq, event_id, publish_ns, unnest(['INTENT','PREPARE','PREPARED','BIND','COMMIT','PUBLISHED']) AS state, unnest([1,2,3,4,5,6]) AS k FROM ev),
+def released_arrivals(spark, rows, slice_rows: int):
+    """What has come and what is missing of staged rows (stream, seq, ts), by the two streams one after the other."""
+    path = staged(spark, rows, "release")
+    settle = {"slice_rows": slice_rows, "delay": "1 hour", "timeout_ms": 3_600_000}
+    with rocksdb_state(spark):
+        arrivals = append_to_end(spark, path, rows.schema, lambda s: so.source_arrivals(s, "stream", "seq", "ts", **settle), heartbeat_of(spark, rows), "release").filter("stream >= 0")
+        edges = arrivals.filter("arrival = 'EDGE'")
+        beat = edges.orderBy(F.col("at_us").desc()).limit(1).withColumns({"at_us": F.col("at_us") + 100 * 366 * 86_400_000_000, "stream": F.lit(-1).cast("long")})
+        between = append_to_end(spark, staged(spark, edges, "edges"), edges.schema, lambda s: so.border_gaps(s, "stream", "seq", **settle), beat, "borders")
+    return arrivals.unionByName(between.filter("stream >= 0"))
+
+
+FRONTIER_SQL = f"""WITH {EV}, s AS (SELECT stream, seq, event_id, publish_ns, unnest(['INTENT','PREPARE','PREPARED','BIND','COMMIT','PUBLISHED']) AS state, unnest([1,2,3,4,5,6]) AS k FROM ev),
  l AS (SELECT stream, seq, publish_ns//1000*10 + k AS t, state, k FROM s WHERE NOT (event_id % 29 = 3 AND k = 3)),
  a AS (SELECT *, lag(k) OVER (PARTITION BY stream, seq ORDER BY t) AS f, coalesce(sum(CASE WHEN k=6 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS pb FROM l),
- g AS (SELECT stream, seq, state, CASE WHEN k <> coalesce(f,0)+1 THEN 'INVALID_TRANSITION' WHEN k IN (4,6) AND pb <> seq THEN 'NOT_AT_FRONTIER' END AS finding FROM a) SELECT * FROM g WHERE finding IS NOT NULL""",
-)
-def _(spark, sf):
+ g AS (SELECT stream, seq, state, CASE WHEN k <> coalesce(f,0)+1 THEN 'INVALID_TRANSITION' WHEN k IN (4,6) AND pb <> seq THEN 'NOT_AT_FRONTIER' END AS finding FROM a) SELECT * FROM g WHERE finding IS NOT NULL"""
+
+
+def state_log(spark, sf):
+    """Six states of every source; some sources skip one."""
     steps = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(i).cast("long").alias("k")) for i, s in enumerate(so.STATES) if i])
     log = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns", F.explode(steps).alias("s")).select("stream", "seq", "event_id", (whole(F.col("publish_ns"), 1000) * 10 + F.col("s.k")).alias("t"), "s.state", "s.k")
-    log = log.filter(~((F.col("event_id") % 29 == 3) & (F.col("k") == 3))).select("stream", "seq", "t", "state")
-    return so.frontier_state_check(log, ["stream"], "seq", "state", ["t"])
+    return log.filter(~((F.col("event_id") % 29 == 3) & (F.col("k") == 3))).select("stream", "seq", "t", "state")
+
+
+@query("frontier_state_check", FRONTIER_SQL)
+def _(spark, sf):
+    return so.frontier_state_check(state_log(spark, sf), ["stream"], "seq", "state", ["t"])
+
+
+@query("frontier_state_stream", FRONTIER_SQL)
+def _(spark, sf):
+    log = state_log(spark, sf).withColumn("ts", F.timestamp_micros(whole(F.col("t"), 10)))
+    return streamed_findings(spark, log)
+
+
+def streamed_findings(spark, log):
+    """Findings over staged rows (stream, seq, t, state, ts), by the two streams one after the other."""
+    names = ("stream", "seq", "state", "t")
+    with rocksdb_state(spark):
+        beat = heartbeat_of(spark, log)
+        steps = append_to_end(spark, staged(spark, log, "states"), log.schema, lambda s: so.state_transitions(s, *names, "ts", delay="1 hour"), beat, "states").filter("stream >= 0")
+        late = steps.orderBy(F.col("at_us").desc()).limit(1).withColumns({"at_us": F.col("at_us") + 100 * 366 * 86_400_000_000, "stream": F.lit(-1).cast("long"), "state": F.lit("BIND"), "finding": F.lit(None).cast("string")})
+        off = append_to_end(spark, staged(spark, steps, "steps"), steps.schema, lambda s: so.frontier_publications(s, *names, delay="1 hour"), late, "frontier")
+    out = ["stream", "seq", "state", "finding"]
+    return steps.filter("finding IS NOT NULL").select(*out).unionByName(off.filter("stream >= 0").select(*out))
 
 
 @query(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.digests import canonical_json
 from tidemark.functions.measures import ratio
-from tidemark.operators.ordered import Running, ordered_scan
+from tidemark.operators.ordered import Running, ordered_scan, sweep
 
 # --- lifecycle assembly ---
 
@@ -48,57 +50,171 @@ def lifecycle_batch(events: DataFrame, keys: Sequence[str], event: str, ts: str,
 
 # --- source-ordered release ---
 
+ARRIVAL = "{stream} bigint, {seq} bigint, last_seq bigint, arrival string, at_us bigint"
 
-def source_arrivals(rows: DataFrame, stream: str, seq: str, event_time: str, *, block: int, delay: str, timeout_ms: int) -> DataFrame:
-    """What has come of each stream: ``stream, seq, arrival`` with READY for the first copy of a row and DUPLICATE for others.
 
-    State is kept per (stream, block of sequence numbers), so a hot stream spreads over many tasks. When event time has
-    passed ``timeout_ms`` beyond the block's latest row, the gaps before its last row are reported as MISSING and its
-    state leaves. Order is not decided here: :func:`ordered_release` does that over all blocks of a stream.
+def _merged_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Closed runs of numbers in order; overlapping and adjacent ones become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    fresh = starts[1:] > ends[:-1] + 1
+    return starts[np.append(True, fresh)], ends[np.append(fresh, True)]
+
+
+def _gaps(starts: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of numbers from ``first`` on that lie in front of some run."""
+    low, high = np.append(first, ends + 1)[:-1], starts - 1
+    there = low <= high
+    return low[there], high[there]
+
+
+def _gap_watcher(first_of: Callable[[tuple], int], rows_of: Callable, edges: bool, out: tuple[str, str], timeout_ms: int) -> StatefulProcessor:
+    """What has come per key as runs of numbers, and when the gaps in front of it are due as MISSING.
+
+    State is two lists of run borders and, per gap, when it is due (0 once reported): a source without gaps is one run, however
+    long. The clock of a gap starts with the first number behind it and is not started anew when the gap is narrowed.
+    ``rows_of`` gives runs with their times from the input and says whether single numbers are to be told READY or DUPLICATE;
+    ``edges`` asks for a row whenever the last number there is moves.
+    """
+    stream, seq = out
+
+    class GapWatcher(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.there = handle.getValueState("there", "starts array<bigint>, ends array<bigint>")
+            self.open = handle.getValueState("open", "starts array<bigint>, ends array<bigint>, due_us array<bigint>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            owner, first = int(key[0]), first_of(key)
+            low, high, at, numbers = rows_of(pd.concat(list(rows)))
+            said: list[tuple[np.ndarray, str]] = []
+            if first < 0:
+                yield self._rows(owner, numbers, numbers, "VIOLATION", 0)
+                return
+            starts, ends = self._longs(self.there, 2)
+            if numbers is not None:
+                found, copies = np.unique(numbers, return_counts=True)
+                near = np.searchsorted(starts, found, "right") - 1
+                known = (near >= 0) & (found <= (ends[near] if len(ends) else -1))
+                said = [(found[~known], "READY"), (np.repeat(found, copies - ~known), "DUPLICATE")]
+            top = int(ends[-1]) if len(ends) else -1
+            starts, ends = _merged_runs(np.append(starts, low), np.append(ends, high))
+            self.there.update((starts.tolist(), ends.tolist()))
+            before = self._longs(self.open, 3)
+            a, b = _gaps(starts, ends, first)
+            near = np.searchsorted(before[0], a, "right") - 1
+            old = near >= 0
+            old[old] = before[1][near[old]] >= a[old]
+            order = np.argsort(low)
+            earliest = np.append(np.minimum.accumulate(at[order][::-1])[::-1], np.iinfo(np.int64).max // 2)
+            due = earliest[np.searchsorted(low[order], a)] + timeout_ms * 1000
+            due[old] = before[2][near[old]]
+            self._watch(a, b, due)
+            for which, arrival in said:
+                yield self._rows(owner, which, which, arrival, 0)
+            if edges and ends[-1] > top:
+                yield self._rows(owner, ends[-1:], ends[-1:], "EDGE", int(at.min()))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            a, b, due = self._longs(self.open, 3)
+            late = (due > 0) & (due <= timerValues.getCurrentWatermarkInMs() * 1000)
+            due[late] = 0
+            self._watch(a, b, due)
+            yield self._rows(int(key[0]), a[late], b[late], "MISSING", 0)
+
+        def close(self) -> None:
+            pass
+
+        def _longs(self, state, n: int) -> list[np.ndarray]:
+            return [np.array(v, np.int64) for v in state.get()] if state.exists() else [np.zeros(0, np.int64)] * n
+
+        def _watch(self, a, b, due) -> None:
+            self.open.update((a.tolist(), b.tolist(), due.tolist()))
+            if (due > 0).any():
+                self.handle.registerTimer(-(-int(due[due > 0].min()) // 1000))
+
+        @staticmethod
+        def _rows(owner, low, high, arrival, at) -> pd.DataFrame:
+            return pd.DataFrame({stream: owner, seq: low, "last_seq": high, "arrival": arrival, "at_us": at})
+
+    return GapWatcher()
+
+
+def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """``at_us`` in place of the event time, behind a watermark. The watermark drives the timers, but no row is dropped as late."""
+    return rows.withWatermark(event_time, delay).withColumn("at_us", F.unix_micros(event_time))
+
+
+def source_arrivals(rows: DataFrame, stream: str, seq: str, event_time: str, *, slice_rows: int, delay: str, timeout_ms: int) -> DataFrame:
+    """What has come of each stream: ``stream, seq, last_seq, arrival, at_us``.
+
+    READY is the first copy of a number and DUPLICATE any other, however late; VIOLATION is a number below 0. MISSING is a run
+    of numbers in front of one that came ``timeout_ms`` before the watermark. State is kept per (stream, slice of
+    ``slice_rows`` numbers), so a hot stream spreads over many tasks. A slice settles the gaps in front of its own numbers;
+    EDGE rows say how far it has come, and :func:`border_gaps` settles what lies between slices. Rows without a stream or
+    number take no part. Needs the RocksDB state store.
     """
-    out = f"{stream} bigint, {seq} bigint, arrival string"
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, first = int(key[0]), int(key[1]) * block
-        if state.hasTimedOut:
-            there = set(state.get[0])
-            gaps = [s for s in range(first, max(there, default=first)) if s not in there]
-            state.remove()
-            yield pd.DataFrame({stream: owner, seq: gaps, "arrival": "MISSING"})
-            return
-        there = set(state.get[0]) if state.exists else set()
-        found: list[tuple[int, str]] = []
-        arrived = pd.concat(list(batches))
-        for s in arrived[seq].tolist():
-            found.append((s, "DUPLICATE" if s in there else "READY"))
-            there.add(s)
-        state.update((sorted(there),))
-        newest = int(arrived[event_time].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_ms)
-        yield pd.DataFrame({stream: owner, seq: [s for s, _ in found], "arrival": [k for _, k in found]})
-
-    timed = rows.withWatermark(event_time, delay).withColumn("block", F.floor(F.col(seq) / block))
-    keyed = timed.select(F.col(stream).cast("long").alias(stream), "block", F.col(seq).cast("long").alias(seq), event_time)
-    return keyed.groupBy(stream, "block").applyInPandasWithState(advance, out, "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    def numbers(came: pd.DataFrame):
+        found = came[seq].to_numpy(np.int64)
+        return found, found, came["at_us"].to_numpy(np.int64), found
+
+    keyed = _timed(rows.filter(F.col(stream).isNotNull() & F.col(seq).isNotNull()), event_time, delay)
+    keyed = keyed.select(F.col(stream).cast("long").alias(stream), F.floor(F.col(seq) / slice_rows).alias("slice"), F.col(seq).cast("long").alias(seq), "at_us")
+    watcher = _gap_watcher(lambda key: int(key[1]) * slice_rows, numbers, True, (stream, seq), timeout_ms)
+    return keyed.groupBy(stream, "slice").transformWithStateInPandas(watcher, ARRIVAL.format(stream=stream, seq=seq), "Append", "EventTime")
+
+
+def border_gaps(edges: DataFrame, stream: str, seq: str, *, slice_rows: int, delay: str, timeout_ms: int) -> DataFrame:
+    """MISSING runs behind the last number of a slice and over whole absent slices, from the EDGE rows of :func:`source_arrivals`.
+
+    A stream meets in one key here, with one row per slice that moved, not one per number.
+    """
+
+    def reach(came: pd.DataFrame):
+        last = came[seq].to_numpy(np.int64)
+        return last // slice_rows * slice_rows, last, came["at_us"].to_numpy(np.int64), None
+
+    keyed = _timed(edges.withColumn("_at", F.timestamp_micros("at_us")).drop("at_us"), "_at", delay).select(stream, seq, "at_us")
+    watcher = _gap_watcher(lambda key: 0, reach, False, (stream, seq), timeout_ms)
+    return keyed.groupBy(stream).transformWithStateInPandas(watcher, ARRIVAL.format(stream=stream, seq=seq), "Append", "EventTime")
 
 
 def ordered_release(arrivals: DataFrame, stream: str, seq: str) -> DataFrame:
-    """One order per stream over its arrivals: ``release_status`` RELEASED up to the first number that has not come, HELD behind it.
+    """One order per stream over its arrivals: ``stream, seq, last_seq, release_status, release_order``.
 
-    ``release_order`` is the place of a released row. Duplicates and missing numbers pass through without a place.
+    RELEASED up to the first number that has not come, HELD behind it; ``release_order`` is the place of a released row. One
+    row per DUPLICATE copy and VIOLATION. MISSING is one row per whole run of reported numbers that still have not come,
+    however the reports were cut.
     """
-    ready = arrivals.filter("arrival = 'READY'").select(stream, seq).distinct()
+    at = [stream, seq, "last_seq"]
+    no_place = F.lit(-1).cast("long").alias("release_order")
+    ready = arrivals.filter("arrival = 'READY'").select(stream, seq)
     placed = ordered_scan(ready, [stream], [seq], rank="_r")
     # numbers and ranks part at the first gap and never meet again
     free = F.col(seq) == F.col("_r") - 1
-    released = placed.select(stream, seq, F.when(free, "RELEASED").otherwise("HELD").alias("release_status"), F.when(free, F.col(seq)).otherwise(-1).alias("release_order"))
-    return released.unionByName(arrivals.filter("arrival <> 'READY'").select(stream, seq, F.col("arrival").alias("release_status"), F.lit(-1).cast("long").alias("release_order")))
+    released = placed.select(stream, seq, F.col(seq).alias("last_seq"), F.when(free, "RELEASED").otherwise("HELD").alias("release_status"), F.when(free, F.col(seq)).otherwise(-1).alias("release_order"))
+    others = arrivals.filter("arrival IN ('DUPLICATE', 'VIOLATION')").select(*at, F.col("arrival").alias("release_status"), no_place)
+
+    there = placed.groupBy(stream, (F.col(seq) - F.col("_r")).alias("_run")).agg(F.min(seq).alias(seq), F.max(seq).alias("last_seq")).select(*at, F.lit(0).alias("_gap"), F.lit(1).alias("_here"))
+    runs = arrivals.filter("arrival = 'MISSING'").select(*at, F.lit(1).alias("_gap"), F.lit(0).alias("_here")).unionByName(there)
+    turn = lambda place, sign: F.struct(place.alias("at"), (F.col("_gap") * sign).alias("gap"), (F.col("_here") * sign).alias("here"))
+    changes = runs.select(stream, F.explode(F.array(turn(F.col(seq), 1), turn(F.col("last_seq") + 1, -1))).alias("c")).select(stream, "c.*")
+    pieces = sweep(changes, [stream], "at", {"gap": "gap", "here": "here"}).filter("gap > 0 AND here = 0")
+    pieces = ordered_scan(pieces, [stream], ["at"], lag={"_end": "next_ts"})
+    pieces = ordered_scan(pieces.withColumn("_new", F.when(F.col("_end") == F.col("at"), 0).otherwise(1)), [stream], ["at"], running={"_run": Running("sum", F.col("_new"))})
+    missing = pieces.groupBy(stream, "_run").agg(F.min("at").alias(seq), (F.max("next_ts") - 1).alias("last_seq")).select(*at, F.lit("MISSING").alias("release_status"), no_place)
+    return released.unionByName(others).unionByName(missing)
 
 
 # --- legal state changes ---
 
 # The states of a source in their only legal order.
 STATES = ("NEW", "INTENT", "PREPARE", "PREPARED", "BIND", "COMMIT", "PUBLISHED")
+# States that may only be entered at the publication frontier.
+FRONTIER_STATES = ("BIND", "PUBLISHED")
 
 
 def frontier_state_check(events: DataFrame, keys: Sequence[str], source: str, state: str, order: Sequence[str], *, hot: int | None = None) -> DataFrame:
@@ -109,11 +225,124 @@ def frontier_state_check(events: DataFrame, keys: Sequence[str], source: str, st
     done = Running("sum", F.when(F.col(state) == "PUBLISHED", 1).otherwise(0), False)
     placed = ordered_scan(steps, keys, [*order, source], running={"_published": done}, hot=hot)
     wrong = F.col("_at") != F.coalesce("_from", F.lit(0)) + 1
-    off = F.col(state).isin("BIND", "PUBLISHED") & (F.coalesce("_published", F.lit(0)) != F.col(source))
+    off = F.col(state).isin(*FRONTIER_STATES) & (F.coalesce("_published", F.lit(0)) != F.col(source))
     finding = F.when(F.col("_at").isNull(), "UNKNOWN_STATE").when(wrong, "INVALID_TRANSITION").when(off, "NOT_AT_FRONTIER")
     return placed.withColumn("finding", finding).filter(F.col("finding").isNotNull()).select(*keys, source, state, "finding")
 
 
+FINDING = "{stream} bigint, {source} bigint, {state} string, finding string, {order} bigint, at_us bigint"
+
+
+def _in_order(judge: Callable, names: tuple[str, str, str, str]) -> StatefulProcessor:
+    """Rows of a key judged in their order once the watermark has passed them.
+
+    ``judge`` takes what the rows before have left, a mapping from a number to (state, place in the order), changes it, and
+    gives the findings of the next rows. State is what is waiting and that mapping.
+    """
+    stream, source, state, order = names
+    columns = {"o": "int64", "src": "int64", "st": "object", "was": "object", "us": "int64"}
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getValueState("waiting", "o array<bigint>, src array<bigint>, st array<string>, was array<string>, us array<bigint>")
+            self.judged = handle.getValueState("judged", "of array<bigint>, at array<bigint>, o array<bigint>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = pd.concat(list(rows))
+            # the state store takes no nulls inside lists
+            came = pd.DataFrame({"o": came[order], "src": came[source], "st": came[state].fillna("").astype(object), "was": came["finding"].fillna("").astype(object), "us": came["at_us"]})
+            yield self._advance(key, pd.concat([self._held(), came], ignore_index=True), timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield self._advance(key, self._held(), timerValues)
+
+        def close(self) -> None:
+            pass
+
+        def _held(self) -> pd.DataFrame:
+            held = self.waiting.get() if self.waiting.exists() else ([],) * 5
+            return pd.DataFrame({c: pd.Series(list(v), dtype=k) for (c, k), v in zip(columns.items(), held)})
+
+        def _advance(self, key, rows: pd.DataFrame, timerValues) -> pd.DataFrame:
+            mark = timerValues.getCurrentWatermarkInMs() * 1000
+            rows = rows.sort_values(["o", "src", "us"], kind="stable")
+            # up to the first row that may still be preceded by one to come
+            closed = (rows["us"] <= mark).cummin().to_numpy(bool)
+            now, later = rows[closed], rows[~closed]
+            found: list = []
+            if len(now):
+                of, at, o = self.judged.get() if self.judged.exists() else ([], [], [])
+                left = {n: (a, b) for n, a, b in zip(of, at, o)}
+                found = judge(left, now)
+                self.judged.update((list(left), [int(a) for a, _ in left.values()], [int(b) for _, b in left.values()]))
+            if len(later):
+                self.waiting.update(tuple(later[c].tolist() for c in columns))
+                # one timer for all that waits, so a key wakes once per turn of the watermark
+                self.handle.registerTimer(max(-(-int(later["us"].max()) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            elif self.waiting.exists():
+                self.waiting.clear()
+            plain = {source: now["src"], state: now["st"], "finding": pd.Series(found, dtype="object"), order: now["o"], "at_us": now["us"]}
+            return pd.DataFrame({stream: int(key[0]), **{c: v.to_numpy() for c, v in plain.items()}}, index=range(len(now)))
+
+    return InOrder()
+
+
+def state_transitions(events: DataFrame, stream: str, source: str, state: str, order: str, event_time: str, *, delay: str, slice_rows: int = 1024) -> DataFrame:
+    """The state log as a stream: ``stream, source, state, finding, order, at_us`` of every row after the watermark has passed it.
+
+    Every source is a state machine of its own; ``slice_rows`` neighbouring sources share a key, so a hot stream spreads over
+    many tasks. ``finding`` is UNKNOWN_STATE (null states too), INVALID_TRANSITION, LATE (behind a row of the source judged
+    before; it changes nothing) or null. ``order`` is a number that never falls as event time rises. Rows without a stream,
+    source or order take no part. Needs the RocksDB state store.
+    """
+    places = {s: i for i, s in enumerate(STATES)}
+
+    def legal(left: dict, rows: pd.DataFrame) -> list:
+        found = []
+        for of, o, name in zip(rows["src"], rows["o"], rows["st"]):
+            before, last = left.get(of, (0, None))
+            if last is not None and o < last:
+                found.append("LATE")
+                continue
+            at = places.get(name)
+            found.append("UNKNOWN_STATE" if at is None else None if at == before + 1 else "INVALID_TRANSITION")
+            left[of] = 0 if at is None else at, o
+        return found
+
+    whole = events.filter(F.col(stream).isNotNull() & F.col(source).isNotNull() & F.col(order).isNotNull())
+    longs = [F.col(c).cast("long").alias(c) for c in (stream, source, order)]
+    keyed = _timed(whole, event_time, delay).select(*longs, state, F.lit(None).cast("string").alias("finding"), "at_us", F.floor(F.col(source) / slice_rows).alias("slice"))
+    names = (stream, source, state, order)
+    return keyed.groupBy(stream, "slice").transformWithStateInPandas(_in_order(legal, names), FINDING.format(stream=stream, source=source, state=state, order=order), "Append", "EventTime")
+
+
+def frontier_publications(transitions: DataFrame, stream: str, source: str, state: str, order: str, *, delay: str) -> DataFrame:
+    """NOT_AT_FRONTIER rows, from the bindings and publications that :func:`state_transitions` has passed on.
+
+    The frontier of a stream is how many of its sources are published; its state is that one number. Rows that are illegal
+    keep their finding and are not given again, but publications count; late ones are left out.
+    """
+
+    def frontier(left: dict, rows: pd.DataFrame) -> list:
+        published, last = left.get(0, (0, None))
+        found = []
+        for of, o, name, was in zip(rows["src"], rows["o"], rows["st"], rows["was"]):
+            if last is not None and o < last:
+                found.append("LATE")
+                continue
+            found.append("NOT_AT_FRONTIER" if published != of and not was else None)
+            published, last = published + (name == "PUBLISHED"), o
+        left[0] = published, last
+        return found
+
+    steps = transitions.filter(F.col(state).isin(*FRONTIER_STATES) & ~F.col("finding").eqNullSafe("LATE"))
+    keyed = _timed(steps.withColumn("_at", F.timestamp_micros("at_us")).drop("at_us"), "_at", delay).select(stream, source, order, state, "finding", "at_us")
+    names = (stream, source, state, order)
+    out = keyed.groupBy(stream).transformWithStateInPandas(_in_order(frontier, names), FINDING.format(stream=stream, source=source, state=state, order=order), "Append", "EventTime")
+    return out.filter("finding IS NOT NULL")
+
+
 # --- telemetry, sessions, progress ---
 
 
