@@ -6,9 +6,9 @@ The merged stripes hold everything: the entry of word w under prefix P is the co
 prefix holds the single words, the entry of P under its own prefix is the total of P, and the largest entries over a phrase's
 extensions on either side say whether a longer phrase subsumes it.
 
-Three passes over the texts fill the stripes of prefixes of 0, of 1 and of 2 to 4 words. A phrase is no more frequent than its
-parts, so the second pass leaves out words, and the third pairs of words, that are surely below ``min_count``. What is surely
-below is read from a :class:`Sketch` of fixed size, which also says into how many parts a stripe is split: the stripe of a
+Four passes over the texts fill the stripes of prefixes of 0, of 1, of 2 and of 3 to 4 words. A phrase is no more frequent than
+its parts, so each pass leaves out the words, pairs or triples of the pass before that are surely below ``min_count``. What is
+surely below is read from a :class:`Sketch` of fixed size, which also says into how many parts a stripe is split: the stripe of a
 frequent prefix goes by the following word to one of several places, each with at most ``PART_OCCURRENCES`` occurrences of the
 prefix. Chance hits in the sketch cost rows, never results.
 """
@@ -30,8 +30,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.llm.common import text_batches, written
 
 LONGEST = 5
+#: Words of the prefixes that each pass begins with; the last pass goes on up to ``LONGEST`` - 1.
+LEVELS = (0, 1, 2, 3)
 #: Words that a task counts before it sends its stripes.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 6_000_000
 #: Occurrences of a prefix per part of its stripe; parts of the stripe of the empty prefix.
 PART_OCCURRENCES, EMPTY_PARTS = 1 << 16, 1024
 #: Slots of a sketch, one byte each; a prime.
@@ -45,8 +47,8 @@ STRIPE = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("prefix", T.StringType()),
         T.StructField("part", T.LongType()),
-        T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("counts", T.ArrayType(T.LongType())),
+        T.StructField("words", T.StringType()),  # joined by one space, as are the counts
+        T.StructField("counts", T.StringType()),
     ]
 )
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (("lang", T.StringType()), ("prefix", T.StringType()), ("word", T.StringType()), ("f", T.LongType()))])
@@ -67,13 +69,13 @@ class Sketch:
         return out
 
     @staticmethod
-    def build(entries: DataFrame, min_count: int) -> Sketch:
+    def build(entries: DataFrame) -> Sketch:
         """From frequent phrases (lang, prefix, word, f); at most ``SKETCH_SLOTS`` pairs of small numbers reach the driver."""
         slot = F.lit(0).cast("long")
         phrase = F.split(F.ltrim(F.concat_ws(" ", "prefix", "word")), " ")
         slot = F.aggregate(F.concat(F.array("lang"), phrase), slot, lambda at, w: (at * 1_000_003 + F.crc32(w)) % SKETCH_SLOTS)
         code = 1 + F.greatest(F.lit(0), F.ceil(F.log2(F.col("f") / PART_OCCURRENCES))).cast("int")
-        found = entries.filter(F.col("f") >= min_count).groupBy(slot.cast("int").alias("slot")).agg(F.max(code).cast("byte").alias("code")).toArrow()
+        found = entries.groupBy(slot.cast("int").alias("slot")).agg(F.max(code).cast("byte").alias("code")).toArrow()
         slots = np.zeros(SKETCH_SLOTS, np.uint8)
         slots[found["slot"].to_numpy()] = found["code"].to_numpy()
         return Sketch(slots)
@@ -112,7 +114,7 @@ class _Counting:
         sums = np.fromiter((zlib.crc32(w) for w in names), np.int64, len(names))
         for lang, parts in self.rows.items():
             ids, tongue = np.concatenate(parts), np.full(1, zlib.crc32(lang.encode()), np.int64)
-            make = [self._single, self._pairs, self._longer][self.level]
+            make = [self._single, self._pairs, self._longer][min(self.level, 2)]
             for prefixes, owner, word, count, splits in make(ids, tongue, names, sums):
                 if len(owner):
                     yield self._batch(lang, prefixes, owner, word, count, splits, text, sums)
@@ -121,6 +123,7 @@ class _Counting:
     def _single(self, ids, tongue, names, sums):
         count = np.bincount(ids, minlength=len(names))
         count[0] = 0
+        count[1] = count.sum()  # the empty word stands for all words
         word = np.flatnonzero(count)
         yield [""], np.zeros(len(word), np.int64), word, count[word], np.full(1, EMPTY_PARTS, np.int64)
 
@@ -135,25 +138,31 @@ class _Counting:
         yield [names[i].decode() for i in used], owner, word, count, np.left_shift(1, code[used].astype(np.int64) - 1)
 
     def _longer(self, ids, tongue, names, sums):
-        a, b = ids[:-1], ids[1:]
-        code = self.sketch.slots[Sketch.slot(np.broadcast_to(tongue, a.shape), sums[a], sums[b])]
-        code[(a == 0) | (b == 0)] = 0
-        # number of the phrase that starts at each of ``at``; grows by a word per round
+        """Prefixes of ``level`` words and, at the last level, of one more; all their parts of ``level`` words are known."""
+        m, v = self.level, len(names)
+        n = max(len(ids) - m + 1, 0)
+        grams = [ids[k : k + n] for k in range(m)]
+        at = np.flatnonzero(np.logical_and.reduce([g != 0 for g in grams]))
+        code = np.zeros(n, np.uint8)
+        code[at] = self.sketch.slots[Sketch.slot(np.broadcast_to(tongue, at.shape), *[sums[g[at]] for g in grams])]
         at = np.flatnonzero(code)
-        phrase, limit = a[at] * len(names) + b[at], code[at]
-        for length in range(2, LONGEST):
-            fits = at + length - 1 < len(code)
-            fits[fits] = code[at[fits] + length - 1] > 0
-            at, phrase, limit = at[fits], phrase[fits], limit[fits]
+        # number of the phrase that starts at each of ``at``, and the log of the parts of its stripe by its rarest part
+        phrase, limit = ids[at], code[at]
+        for g in grams[1:]:
+            phrase = np.unique(phrase, return_inverse=True)[1] * v + g[at]
+        for length in range(m, LONGEST if m == LEVELS[-1] else m + 1):
+            following = at + length - m + 1
+            fits = following < n
+            fits[fits] = code[following[fits]] > 0
+            at, phrase, limit, following = at[fits], phrase[fits], limit[fits], following[fits]
             used, first, inverse = np.unique(phrase, return_index=True, return_inverse=True)
             prefixes = [b" ".join([names[ids[i + k]] for k in range(length)]).decode() for i in at[first]]
-            # the rarest pair of words bounds the count of the prefix
             splits = np.left_shift(1, limit[first].astype(np.int64) - 1)
-            following = inverse * len(names) + ids[at + length]
-            key, count = np.unique(following, return_counts=True)
-            owner, word = np.divmod(key, len(names))
+            phrase = inverse * v + ids[at + length]
+            key, count = np.unique(phrase, return_counts=True)
+            owner, word = np.divmod(key, v)
             yield prefixes, owner, word, count, splits
-            phrase, limit = following, np.minimum(limit, code[at + length - 1])
+            limit = np.minimum(limit, code[following])
 
     def _batch(self, lang, prefixes, owner, word, count, splits, text, sums) -> pa.RecordBatch:
         part = sums[word] & (splits[owner] - 1)
@@ -166,14 +175,14 @@ class _Counting:
             pa.array([lang] * len(heads), pa.string()),
             pa.array(prefixes, pa.string()).take(pa.array(owner[heads])),
             pa.array(part[heads]),
-            pa.ListArray.from_arrays(offsets, text.take(pa.array(word))),
-            pa.ListArray.from_arrays(offsets, pa.array(count)),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, text.take(pa.array(word))), " "),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(count).cast(pa.string())), " "),
         ]
         return pa.RecordBatch.from_arrays(columns, names=STRIPE.names)
 
 
 def _stripes(docs: DataFrame, level: int, sketch: Sketch | None) -> DataFrame:
-    """The stripes of each task: prefixes of 0 words (level 0), 1 word (1), 2 to 4 words (2)."""
+    """The stripes of each task, of prefixes of ``level`` words and, at the last level, more."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +209,9 @@ def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = batch.column(3)
-        of = pc.list_parent_indices(lists)
-        rows = pa.table({"lang": batch.column(0).take(of), "prefix": batch.column(1).take(of), "part": batch.column(2).take(of), "word": lists.flatten(), "f": batch.column(4).flatten()})
+        lists = pc.split_pattern(batch.column(3), " ")
+        of, f = pc.list_parent_indices(lists), pc.split_pattern(batch.column(4), " ").flatten().cast(pa.int64())
+        rows = pa.table({"lang": batch.column(0).take(of), "prefix": batch.column(1).take(of), "part": batch.column(2).take(of), "word": lists.flatten(), "f": f})
         rows = pa.concat_tables([waiting, rows.cast(waiting.schema)]) if waiting is not None else rows
         added = rows.group_by(["lang", "prefix", "part", "word"]).aggregate([("f", "sum")])
         rows = pa.table({c: added["f_sum" if c == "f" else c] for c in rows.column_names})
@@ -220,16 +229,21 @@ def _merged(stripes: DataFrame, label: str, min_count: int) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Frequent phrases (lang, phrase, size, f) of 1 to 5 words, and the number of all words (lang, n), of whole texts."""
+    """Frequent phrases (lang, phrase, size, f) of 1 to 5 words, and the number of all words (lang, n), of whole texts.
+
+    A language with fewer words than ``min_count`` has no rows.
+    """
     text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("_l"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    single = _merged(_stripes(rows, 0, None), "words", 1)
-    pairs = _merged(_stripes(rows, 1, Sketch.build(single, min_count)), "pairs", min_count)
-    longer = _merged(_stripes(rows, 2, Sketch.build(pairs, min_count)), "phrases", min_count)
-    entries = single.filter(F.col("f") >= min_count).unionByName(pairs).unionByName(longer)
+    single = _merged(_stripes(rows, 0, None), "words", min_count)
+    total, single = single.filter("word = ''"), single.filter("word <> ''")
+    pairs = _merged(_stripes(rows, 1, Sketch.build(single)), "pairs", min_count)
+    triples = _merged(_stripes(rows, 2, Sketch.build(pairs)), "triples", min_count)
+    longer = _merged(_stripes(rows, 3, Sketch.build(triples)), "phrases", min_count)
+    entries = single.unionByName(pairs).unionByName(triples).unionByName(longer)
     phrase = F.ltrim(F.concat_ws(" ", "prefix", "word"))
     counts = entries.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "f")
-    return counts, single.groupBy("lang").agg(F.sum("f").alias("n"))
+    return counts, total.select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 100, subsumed_percent: int = 100, top: int = 2000) -> DataFrame:
