@@ -1,8 +1,7 @@
-"""Passes over many graphs at once: nodes and edges are tables with a graph key, every level is one join for all graphs.
+"""Passes over many graphs at once: nodes and edges are tables with a graph key.
 
-A pass by levels moves only nodes with news: the ready ones send their value along their edges, messages are combined
-before they shuffle, and each level is written to the shared folder, so the plan stays short and lost executors cost one
-level.
+Longest paths shrink the graphs in rounds (``contraction.py``). Every round or level is written to the shared folder, so the
+plan stays short and lost executors cost one of them.
 """
 
 from __future__ import annotations
@@ -11,55 +10,44 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
 
 from tidemark.functions.measures import ratio
+from tidemark.operators.contraction import longest_values
 from tidemark.operators.intervals import clip, exclusive_duration
 from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
 from tidemark.session import cut_counting, cut_lineage, fresh_path
 
 
+def _weight(nodes: DataFrame, service: str) -> tuple[str, Column]:
+    """Values are doubles if the service is one, else longs; a missing service counts as 0."""
+    kind = "double" if nodes.schema[service].dataType.typeName() in ("double", "float", "decimal") else "bigint"
+    return kind, F.coalesce(F.col(service).cast(kind), F.lit(0).cast(kind))
+
+
 def longest_paths(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, bases: Mapping[str, Column], *, level: str = "level") -> DataFrame:
     """Level of every node and, per entry of ``bases``, ``service + max(base, largest value of a predecessor)``.
 
     Rows left without a level lie on or behind a cycle. Reverse the edge columns for suffix values. Values are doubles if
-    the service is one, else longs; a missing service counts as 0. A level reads the nodes that became ready and those that
-    have some of their predecessors' values, nothing else; finished nodes of all levels stand in one folder.
+    the service is one, else longs; a missing service counts as 0.
     """
-    spark = nodes.sparkSession
-    names = list(bases)
-    kind = "double" if nodes.schema[service].dataType.typeName() in ("double", "float", "decimal") else "bigint"
-    weight = F.coalesce(F.col(service).cast(kind), F.lit(0).cast(kind))
-    points = cut_lineage(nodes.select(graph, node, weight.alias("_w"), *[b.cast(kind).alias(f"_b_{n}") for n, b in bases.items()]), "dag-nodes")
-    known = points.select(graph, F.col(node).alias("_s"))
-    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct().join(known, [graph, "_s"], "left_semi")
-    links = cut_lineage(links.join(known.withColumnRenamed("_s", "_t"), [graph, "_t"], "left_semi").select(graph, "_s", "_t"), "dag-edges")
-    indegree = cut_lineage(links.groupBy(graph, F.col("_t").alias(node)).agg(F.count(F.lit(1)).alias("_in")), "dag-indegree")
-    values = [(F.greatest(f"_b_{n}", f"_m_{n}") + F.col("_w")).alias(f"_v_{n}") for n in names]
-    best = [f"_m_{n}" for n in names]
-    folder = fresh_path(spark, "dag-levels")
-
-    def store(touched: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        """Nodes with news at this level: finished ones with their values, others with what has come so far."""
-        seen = Observation()
-        touched.observe(seen, F.count_if("_ready").alias("n")).write.parquet(f"{folder}/{level}={depth}")
-        return spark.read.schema(touched.schema).parquet(f"{folder}/{level}={depth}"), int(seen.get["n"] or 0)
+    kind, weight = _weight(nodes, service)
+    found = longest_values(nodes, edges, [graph], node, source, target, weight, bases, kind, level)
+    return nodes.join(found, [graph, node], "left")
 
-    start = points.join(indegree, [graph, node], "left_anti").select(graph, node, *[F.lit(None).cast(kind).alias(m) for m in best], "_w", *[f"_b_{n}" for n in names])
-    state, left = store(start.select(graph, node, F.lit(0).cast("long").alias("_k"), *best, F.lit(True).alias("_ready"), *values), 0)
-    depth = 0
-    while left:
-        depth += 1
-        sent = state.filter("_ready").select(graph, F.col(node).alias("_s"), *[F.col(f"_v_{n}").alias(f"_m_{n}") for n in names]).join(links, [graph, "_s"])
-        mail = sent.select(graph, F.col("_t").alias(node), F.lit(1).cast("long").alias("_k"), *best)
-        open_ = state.filter("NOT _ready").select(graph, node, "_k", *best)
-        got = mail.unionByName(open_).groupBy(graph, node).agg(F.sum("_k").alias("_k"), *[F.max(m).alias(m) for m in best])
-        got = got.join(indegree, [graph, node]).join(points, [graph, node]).withColumn("_ready", F.col("_k") == F.col("_in"))
-        state, left = store(got.select(graph, node, "_k", *best, "_ready", *values), depth)
-    done = spark.read.schema(T.StructType([*state.schema.fields, T.StructField(level, T.IntegerType())])).option("basePath", folder).parquet(folder)
-    done = done.filter("_ready").select(graph, node, level, *[F.col(f"_v_{n}").alias(n) for n in names])
-    return nodes.join(done, [graph, node], "left").select(*nodes.columns, level, *names)
+
+def paths_both_ways(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str, ahead: tuple[str, Column], behind: tuple[str, Column]) -> DataFrame:
+    """:func:`longest_paths` along the edges and against them in the same rounds: ``level`` and one value each way."""
+    kind, weight = _weight(nodes, service)
+    way = F.explode(F.array(F.lit(0), F.lit(1))).alias("_way")
+    there = nodes.select(graph, node, service, weight.alias("_w"), ahead[1].cast(kind).alias("_a"), behind[1].cast(kind).alias("_b"), way)
+    turn = lambda one, other: F.when(F.col("_way") == 0, F.col(one)).otherwise(F.col(other))
+    links = edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t"), way).select(graph, "_way", turn("_s", "_t").alias("_from"), turn("_t", "_s").alias("_to"))
+    found = longest_values(there, links, [graph, "_way"], node, "_from", "_to", F.col("_w"), {"_v": turn("_a", "_b")}, kind, "level")
+    of = lambda column, at: F.max(F.when(F.col("_way") == at, F.col(column)))
+    found = found.groupBy(graph, node).agg(of("level", 0).alias("level"), of("_v", 0).alias(ahead[0]), of("_v", 1).alias(behind[0]))
+    return nodes.join(found, [graph, node], "left")
 
 
 def reach(starts: DataFrame, edges: DataFrame, graph: str, start: str, source: str, target: str) -> DataFrame:
@@ -97,10 +85,9 @@ def critical_path_slack(nodes: DataFrame, edges: DataFrame, graph: str, node: st
     ``sink`` is a boolean column. The latest start follows from the longest way that remains to the sink, so a forward
     and a backward pass are enough; nodes that do not lead to the sink are left out.
     """
-    ahead = longest_paths(nodes, edges, graph, node, source, target, service, {"finish": ready}, level="level")
     never = F.lit(-(2**61))
-    back = longest_paths(nodes, edges, graph, node, target, source, service, {"remaining": F.when(F.col(sink), F.lit(0)).otherwise(never)}, level="_back")
-    rows = ahead.select(graph, node, "level", sink, service, "finish").join(back.select(graph, node, "remaining").filter("remaining > 0"), [graph, node])
+    rows = paths_both_ways(nodes, edges, graph, node, source, target, service, ("finish", ready), ("remaining", F.when(F.col(sink), F.lit(0)).otherwise(never)))
+    rows = rows.select(graph, node, "level", sink, service, "finish", "remaining").filter("remaining > 0")
     ends = rows.filter(F.col(sink)).groupBy(graph).agg(F.max("finish").alias("sink_finish"))
     out = rows.join(ends, graph)
     latest = F.col("sink_finish") - F.col("remaining")
@@ -113,9 +100,8 @@ def critical_path_slack(nodes: DataFrame, edges: DataFrame, graph: str, node: st
 def critical_path_members(nodes: DataFrame, edges: DataFrame, graph: str, node: str, source: str, target: str, service: str) -> DataFrame:
     """Whether a node lies on a longest path of its graph: longest way to it plus longest way on, less its own service."""
     zero = F.lit(0)
-    to = longest_paths(nodes, edges, graph, node, source, target, service, {"prefix": zero})
-    on = longest_paths(nodes, edges, graph, node, target, source, service, {"suffix": zero})
-    rows = to.select(graph, node, service, "level", "prefix").join(on.select(graph, node, "suffix"), [graph, node]).withColumn("through", F.col("prefix") + F.col("suffix") - F.col(service))
+    rows = paths_both_ways(nodes, edges, graph, node, source, target, service, ("prefix", zero), ("suffix", zero))
+    rows = rows.select(graph, node, service, "level", "prefix", "suffix").withColumn("through", F.col("prefix") + F.col("suffix") - F.col(service))
     longest = rows.groupBy(graph).agg(F.max("through").alias("longest"))
     return rows.join(longest, graph).withColumn("member", F.col("through") == F.col("longest"))
 
