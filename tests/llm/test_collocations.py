@@ -61,6 +61,7 @@ def test_small_flushes_split_stripes_and_full_sketches(spark, monkeypatch):
     want = slow(rows, 4)
     monkeypatch.setattr(C, "FLUSH_WORDS", 60)
     monkeypatch.setattr(C, "PART_OCCURRENCES", 8)
+    monkeypatch.setattr(C, "BLOCK_WORDS", 3)
     assert rows_of(C.collocations(docs, min_count=4)) == want
     build = C.Sketch.build
     monkeypatch.setattr(C.Sketch, "build", staticmethod(lambda *a: C.Sketch(np.maximum(build(*a).slots, 1))))

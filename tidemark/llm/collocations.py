@@ -1,7 +1,8 @@
 """Phrases that occur as one, mined with stripes: every prefix of words keys a counter of the words that follow it.
 
-A task counts a bounded number of words at a time and sends one stripe per prefix: the following words with their counts.
-Stripes of a prefix meet in one place and are merged element by element, in order of arrival, one prefix in memory at a time.
+A task counts a bounded number of words at a time and makes one stripe per prefix: the following words with their counts.
+Stripes are packed by blocks of prefixes; the rows of a block meet in one place and are merged element by element, one block
+in memory at a time. There are as many blocks as the number of words asks for, so none grows with the data.
 The merged stripes hold everything: the entry of word w under prefix P is the count of the phrase P w, the stripe of the empty
 prefix holds the single words, the entry of P under its own prefix is the total of P, and the largest entries over a phrase's
 extensions on either side say whether a longer phrase subsumes it.
@@ -36,21 +37,16 @@ LEVELS = (0, 1, 2, 3)
 FLUSH_WORDS = 6_000_000
 #: Occurrences of a prefix per part of its stripe; parts of the stripe of the empty prefix.
 PART_OCCURRENCES, EMPTY_PARTS = 1 << 16, 1024
+#: Words of all texts per block, and the least number of blocks.
+BLOCK_WORDS, LEAST_BLOCKS = 1 << 20, 256
 #: Slots of a sketch, one byte each; a prime.
 SKETCH_SLOTS = 8_388_593
 #: Copies of a count that many phrases look up, and shares of a language when its best phrases are found.
 SALTS = 16
 
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")
-STRIPE = T.StructType(
-    [
-        T.StructField("lang", T.StringType()),
-        T.StructField("prefix", T.StringType()),
-        T.StructField("part", T.LongType()),
-        T.StructField("words", T.StringType()),  # joined by one space, as are the counts
-        T.StructField("counts", T.StringType()),
-    ]
-)
+#: Prefixes are joined by line feeds; how many words each has, the words and the counts by spaces.
+PACKED = T.StructType([T.StructField(n, T.LongType() if n == "block" else T.StringType()) for n in ("block", "lang", "prefixes", "sizes", "words", "counts")])
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (("lang", T.StringType()), ("prefix", T.StringType()), ("word", T.StringType()), ("f", T.LongType()))])
 
 
@@ -92,8 +88,8 @@ class _Numbers(dict):
 class _Counting:
     """The words of some texts by language, and the stripes counted from them."""
 
-    def __init__(self, level: int, sketch: Sketch | None):
-        self.level, self.sketch = level, sketch
+    def __init__(self, level: int, sketch: Sketch | None, blocks: int):
+        self.level, self.sketch, self.blocks = level, sketch, blocks
         self.clear()
 
     def clear(self) -> None:
@@ -165,28 +161,36 @@ class _Counting:
             limit = np.minimum(limit, code[following])
 
     def _batch(self, lang, prefixes, owner, word, count, splits, text, sums) -> pa.RecordBatch:
+        """Entries (owner: number of the prefix, word, count), packed by block and prefix."""
+        hashes = np.fromiter((zlib.crc32(p.encode()) for p in prefixes), np.int64, len(prefixes))
         part = sums[word] & (splits[owner] - 1)
-        if part.any():
-            order = np.lexsort((part, owner))
-            owner, word, count, part = owner[order], word[order], count[order], part[order]
-        heads = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(part) != 0)))
-        offsets = pa.array(np.append(heads, len(owner)), pa.int32())
+        block = (hashes[owner] + part * 2_654_435_761) % self.blocks
+        order = np.lexsort((owner, block))
+        owner, word, count, block = owner[order], word[order], count[order], block[order]
+        new_block = np.append(True, np.diff(block) != 0)
+        heads = np.flatnonzero(new_block | np.append(True, np.diff(owner) != 0))
+        sizes = np.diff(np.append(heads, len(owner)))
+        rows = np.flatnonzero(new_block)
+        by_entry = pa.array(np.append(rows, len(owner)), pa.int32())
+        by_prefix = pa.array(np.append(np.searchsorted(heads, rows), len(heads)), pa.int32())
+        joined = lambda offsets, values, by: pc.binary_join(pa.ListArray.from_arrays(offsets, values), by)
         columns = [
-            pa.array([lang] * len(heads), pa.string()),
-            pa.array(prefixes, pa.string()).take(pa.array(owner[heads])),
-            pa.array(part[heads]),
-            pc.binary_join(pa.ListArray.from_arrays(offsets, text.take(pa.array(word))), " "),
-            pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(count).cast(pa.string())), " "),
+            pa.array(block[rows]),
+            pa.array([lang] * len(rows), pa.string()),
+            joined(by_prefix, pa.array(prefixes, pa.string()).take(pa.array(owner[heads])), "\n"),
+            joined(by_prefix, pa.array(sizes).cast(pa.string()), " "),
+            joined(by_entry, text.take(pa.array(word)), " "),
+            joined(by_entry, pa.array(count).cast(pa.string()), " "),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=STRIPE.names)
+        return pa.RecordBatch.from_arrays(columns, names=PACKED.names)
 
 
-def _stripes(docs: DataFrame, level: int, sketch: Sketch | None) -> DataFrame:
+def _stripes(docs: DataFrame, level: int, sketch: Sketch | None, blocks: int) -> DataFrame:
     """The stripes of each task, of prefixes of ``level`` words and, at the last level, more."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = _Counting(level, shared.value)
+        counting = _Counting(level, shared.value, blocks)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counting.add(lang, text)
@@ -194,12 +198,13 @@ def _stripes(docs: DataFrame, level: int, sketch: Sketch | None) -> DataFrame:
                     yield from counting.stripes()
         yield from counting.stripes()
 
-    return docs.mapInArrow(run, STRIPE)
+    return docs.mapInArrow(run, PACKED)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
-    """Stripes in order of their keys, added up word by word; the last key of a batch waits for the next one."""
+    """Stripes in order of their blocks, added up word by word; the last block of a batch waits for the next one."""
     schema = to_arrow_schema(ENTRY)
+    keys = ["block", "lang", "prefix", "word"]
     waiting: pa.Table | None = None
 
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -209,14 +214,18 @@ def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = pc.split_pattern(batch.column(3), " ")
-        of, f = pc.list_parent_indices(lists), pc.split_pattern(batch.column(4), " ").flatten().cast(pa.int64())
-        rows = pa.table({"lang": batch.column(0).take(of), "prefix": batch.column(1).take(of), "part": batch.column(2).take(of), "word": lists.flatten(), "f": f})
-        rows = pa.concat_tables([waiting, rows.cast(waiting.schema)]) if waiting is not None else rows
-        added = rows.group_by(["lang", "prefix", "part", "word"]).aggregate([("f", "sum")])
-        rows = pa.table({c: added["f_sum" if c == "f" else c] for c in rows.column_names})
-        end = batch.num_rows - 1
-        last = pc.and_(pc.equal(rows["lang"], batch.column(0)[end]), pc.and_(pc.equal(rows["prefix"], batch.column(1)[end]), pc.equal(rows["part"], batch.column(2)[end])))
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        prefixes = pc.split_pattern(column("prefixes"), "\n")
+        row_of = pc.list_parent_indices(prefixes).to_numpy()
+        sizes = pc.split_pattern(column("sizes"), " ").flatten().cast(pa.int64()).to_numpy()
+        prefix_of = np.repeat(np.arange(len(sizes)), sizes)
+        of = pa.array(row_of[prefix_of])
+        words, counts = (pc.split_pattern(column(c), " ").flatten() for c in ("words", "counts"))
+        rows = pa.table({"block": column("block").take(of), "lang": column("lang").take(of), "prefix": prefixes.flatten().take(pa.array(prefix_of)), "word": words, "f": counts.cast(pa.int64())})
+        rows = pa.concat_tables([waiting, rows]) if waiting is not None else rows
+        added = rows.group_by(keys).aggregate([("f", "sum")])
+        rows = pa.table({c: added["f_sum" if c == "f" else c] for c in [*keys, "f"]})
+        last = pc.equal(rows["block"], column("block")[batch.num_rows - 1])
         waiting = rows.filter(last)
         yield from done(rows.filter(pc.invert(last)))
     if waiting is not None:
@@ -224,7 +233,7 @@ def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Rec
 
 
 def _merged(stripes: DataFrame, label: str, min_count: int) -> DataFrame:
-    dealt = stripes.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+    dealt = stripes.repartition("block").sortWithinPartitions("block")
     return written(dealt.mapInArrow(lambda batches: _merge(batches, min_count), ENTRY), label)
 
 
@@ -235,11 +244,12 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", mi
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("_l"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    single = _merged(_stripes(rows, 0, None), "words", min_count)
+    single = _merged(_stripes(rows, 0, None, EMPTY_PARTS), "words", min_count)
     total, single = single.filter("word = ''"), single.filter("word <> ''")
-    pairs = _merged(_stripes(rows, 1, Sketch.build(single)), "pairs", min_count)
-    triples = _merged(_stripes(rows, 2, Sketch.build(pairs)), "triples", min_count)
-    longer = _merged(_stripes(rows, 3, Sketch.build(triples)), "phrases", min_count)
+    blocks = max(LEAST_BLOCKS, (total.agg(F.sum("f")).first()[0] or 0) // BLOCK_WORDS)
+    pairs = _merged(_stripes(rows, 1, Sketch.build(single), blocks), "pairs", min_count)
+    triples = _merged(_stripes(rows, 2, Sketch.build(pairs), blocks), "triples", min_count)
+    longer = _merged(_stripes(rows, 3, Sketch.build(triples), blocks), "phrases", min_count)
     entries = single.unionByName(pairs).unionByName(triples).unionByName(longer)
     phrase = F.ltrim(F.concat_ws(" ", "prefix", "word"))
     counts = entries.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "f")
