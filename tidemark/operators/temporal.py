@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.functions.matching import ValueFinder
 from tidemark.functions.text import collapse_whitespace
 from tidemark.operators.ordered import largest_group, ordered_scan
 
@@ -70,9 +74,9 @@ def inspect_current_state(samples: DataFrame, stale: DataFrame, edges: DataFrame
     """PASS, AMBIGUOUS or FAIL per sample: is the expected value active, is a stale one active in the same group.
 
     ``samples(sample, expected)``, ``stale(sample, stale_value)``, ``edges(sample, edge_id, source_key, relation, text,
-    valid_at, invalid_at, expired_at)``. Which stale values a text holds is found by an equi-join on its substrings of the
-    lengths that occur, not by trying every value on every text. Within a text the expected value is consumed first,
-    then stale values from the longest on, so a value inside a longer one does not count.
+    valid_at, invalid_at, expired_at)``. Within a text the expected value is consumed first, then stale values from the longest
+    on, so a value inside a longer one does not count. Each text is walked once by an automaton of all stale values of its
+    sample. A sample with many texts is dealt to several tasks, each with its own copy of the values.
     """
     low = lambda c: F.lower(F.col(c))
     active = (
@@ -87,20 +91,43 @@ def inspect_current_state(samples: DataFrame, stale: DataFrame, edges: DataFrame
     current = rows.filter("_current AND _active").select(sample, "_g").distinct()
     suspects = rows.filter("_active").join(current, [sample, "_g"], "left_semi").withColumn("_left", F.replace("_text", F.col("_want"), F.lit(" ")))
     old = stale.select(sample, low("stale_value").alias("_v")).filter("_v <> ''").distinct()
-    lengths = old.select(sample, F.length("_v").alias("_len")).distinct()
-    pieces = suspects.join(lengths, sample).filter(F.length("_left") >= F.col("_len"))
-    starts = F.sequence(F.lit(1), F.length("_left") - F.col("_len") + 1)
-    piece = F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_left"), i, F.col("_len")))))
-    held = pieces.select(sample, "edge_id", "_left", "_current", piece.alias("_v")).join(old, [sample, "_v"], "left_semi")
-    per_edge = held.groupBy(sample, "edge_id", "_left", "_current").agg(F.array_sort(F.collect_set(F.struct((-F.length("_v")).alias("n"), F.col("_v").alias("v")))).alias("_vs"))
-    # Walk the contained values from the longest: each one still present counts and is blanked out.
-    step = lambda acc, x: F.when(
-        F.contains(acc["left"], x["v"]),
-        F.struct(F.replace(acc["left"], x["v"], F.lit(" ")).alias("left"), (acc["n"] + 1).alias("n")),
-    ).otherwise(acc)
-    taken = F.aggregate("_vs", F.struct(F.col("_left").alias("left"), F.lit(0).cast("int").alias("n")), step)["n"]
-    conflicts = per_edge.withColumn("_n", taken).groupBy(sample).agg(F.sum(F.when(~F.col("_current"), F.col("_n")).otherwise(0)).alias("stale_active"), F.sum(F.when(F.col("_current"), F.col("_n")).otherwise(0)).alias("transition_mentions"))
+    taken = _stale_counts(suspects.select(sample, "edge_id", "_left", "_current"), old, sample)
+    conflicts = taken.groupBy(sample).agg(F.sum(F.when(~F.col("_current"), F.col("_n")).otherwise(0)).alias("stale_active"), F.sum(F.when(F.col("_current"), F.col("_n")).otherwise(0)).alias("transition_mentions"))
     seen = rows.groupBy(sample).agg(F.count_if(F.col("_current") & F.col("_active")).alias("current_active"), F.count_if(F.col("_current") & ~F.col("_active")).alias("current_inactive"))
     out = samples.select(sample).join(seen, sample, "left").join(conflicts, sample, "left").fillna(0)
     status = F.when(F.col("current_active") == 0, "FAIL").when(F.col("stale_active") > 0, "AMBIGUOUS").otherwise("PASS")
     return out.withColumn("status", status)
+
+
+#: Texts of one sample that share a copy of its stale values.
+TEXTS_PER_SHARE = 50_000
+
+
+def _stale_counts(texts: DataFrame, values: DataFrame, sample: str) -> DataFrame:
+    """``texts(sample, edge_id, _left, _current)`` that hold some of the sample's ``values(sample, _v)``, with how many count (_n)."""
+    shares = F.ceil(F.count(F.lit(1)) / TEXTS_PER_SHARE).cast("int").alias("_shares")
+    sized = texts.groupBy(sample).agg(shares)
+    share = F.pmod(F.xxhash64("edge_id"), F.col("_shares")).cast("int").alias("_share")
+    none = F.lit(None).cast("boolean").alias("_current")
+    dealt = texts.join(sized, sample).select(sample, share, F.lit(1).alias("_kind"), F.col("_left").alias("_text"), "_current")
+    copies = values.join(sized, sample).select(sample, F.explode(F.expr("sequence(0, _shares - 1)")).alias("_share"), F.lit(0).alias("_kind"), F.col("_v").alias("_text"), none)
+    rows = copies.unionByName(dealt).repartition(sample, "_share").sortWithinPartitions(sample, "_share", "_kind")
+    out = T.StructType([texts.schema[sample], T.StructField("_current", T.BooleanType()), T.StructField("_n", T.IntegerType())])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, finder = None, [], None
+        for batch in batches:
+            found: list[tuple] = []
+            for name, part, kind, text, current in zip(*[c.to_pylist() for c in batch.columns]):
+                if (name, part) != key:
+                    key, held, finder = (name, part), [], None
+                if kind == 0:
+                    held.append(text)
+                    continue
+                finder = finder or ValueFinder(held)
+                if n := finder.consumed(text or ""):
+                    found.append((name, current, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    return rows.mapInArrow(run, out)
