@@ -173,20 +173,65 @@ def choice_set_at_start(df: DataFrame, keys: Sequence[str], request: str, submit
     return widths.join(passed, [*keys, request], "left").withColumn("heavier_waited", F.coalesce("_inv", F.lit(False))).drop("_inv")
 
 
-def conflict_pairs(pairs: DataFrame, names: DataFrame, unit: str, frontier: str, candidate: str, name: str) -> DataFrame:
-    """Class of each given (frontier, candidate) pair: UNKNOWN, LOW across namespaces, HIGH on a shared name, else LOW.
+def conflict_pairs(pairs: DataFrame, names: DataFrame, ids: DataFrame, hot: DataFrame, unit: str, frontier: str, candidate: str, item: str) -> DataFrame:
+    """``frontier, candidate, conflict_class, reason`` and the number of shared names, shared ids and recently hot items.
 
-    ``pairs`` carries ``frontier_ns, candidate_ns`` and ``complete``. Names meet in an equi-join on unit and name.
+    ``pairs`` carries ``frontier_ns``, ``candidate_ns`` and ``complete`` (both signatures are); ``names`` and ``ids`` are
+    (unit, item); ``hot`` is (candidate, item) as :func:`recent_hot_items` gives it, names and ids alike. The first of these
+    holds: INCOMPLETE_SIGNAL or NAMESPACE_UNKNOWN (class UNKNOWN), NAMESPACE_ISOLATED (LOW_CONFLICT), DIRECT_ENTITY_OVERLAP,
+    EXISTING_CANDIDATE_ID_OVERLAP, RECENT_HOT_ENTITY (HIGH_CONFLICT), KNOWN_DISJOINT (LOW_CONFLICT).
+
+    Items meet through the pairs: a pair reads the items of its two units and nothing else, so no two units meet over a
+    common item unless they are a pair. Only pairs still open go on to the next, dearer rule.
     """
-    distinct = names.select(unit, name).distinct()
-    left = distinct.select(F.col(unit).alias(frontier), name)
-    right = distinct.select(F.col(unit).alias(candidate), name)
-    live = pairs.filter(F.col("complete") & (F.col("frontier_ns") == F.col("candidate_ns")))
-    shared = live.select(frontier, candidate).join(right, candidate).join(left, [frontier, name]).groupBy(frontier, candidate).agg(F.count(F.lit(1)).alias("shared_names"))
-    rows = pairs.join(shared, [frontier, candidate], "left").fillna(0, ["shared_names"])
     same = F.col("frontier_ns") == F.col("candidate_ns")
-    klass = F.when(~F.col("complete") | same.isNull(), "UNKNOWN").when(~same, "LOW_CONFLICT").when(F.col("shared_names") > 0, "HIGH_CONFLICT").otherwise("LOW_CONFLICT")
-    return rows.select(frontier, candidate, "shared_names", klass.alias("conflict_class"))
+    early = F.when(~F.coalesce("complete", F.lit(False)), "INCOMPLETE_SIGNAL").when(same.isNull(), "NAMESPACE_UNKNOWN").when(~same, "NAMESPACE_ISOLATED")
+    rows = pairs.select(frontier, candidate, early.alias("reason"))
+
+    def shared(open_pairs: DataFrame, items: DataFrame, out: str) -> DataFrame:
+        distinct = items.select(unit, item).filter(F.col(item).isNotNull()).distinct()
+        left, right = (distinct.select(F.col(unit).alias(u), item) for u in (frontier, candidate))
+        return open_pairs.join(right, candidate).join(left, [frontier, item]).groupBy(frontier, candidate).agg(F.count(F.lit(1)).alias(out))
+
+    live = rows.filter("reason IS NULL").select(frontier, candidate)
+    by_name = shared(live, names, "shared_names")
+    rest = live.join(by_name, [frontier, candidate], "left_anti")
+    by_id = shared(rest, ids, "shared_ids")
+    rest = rest.join(by_id, [frontier, candidate], "left_anti")
+    by_hot = rest.join(hot.select(candidate, item).distinct(), candidate).groupBy(frontier, candidate).agg(F.count(F.lit(1)).alias("hot_items"))
+    counts = ["shared_names", "shared_ids", "hot_items"]
+    for found in (by_name, by_id, by_hot):
+        rows = rows.join(found, [frontier, candidate], "left")
+    rows = rows.fillna(0, counts)
+    late = F.when(F.col(counts[0]) > 0, "DIRECT_ENTITY_OVERLAP").when(F.col(counts[1]) > 0, "EXISTING_CANDIDATE_ID_OVERLAP").when(F.col(counts[2]) > 0, "RECENT_HOT_ENTITY").otherwise("KNOWN_DISJOINT")
+    rows = rows.withColumn("reason", F.coalesce("reason", late))
+    klass = F.when(F.col("reason").isin("INCOMPLETE_SIGNAL", "NAMESPACE_UNKNOWN"), "UNKNOWN").when(F.col("reason").isin("NAMESPACE_ISOLATED", "KNOWN_DISJOINT"), "LOW_CONFLICT").otherwise("HIGH_CONFLICT")
+    return rows.select(frontier, candidate, *counts, klass.alias("conflict_class"), "reason")
+
+
+def recent_hot_items(published: DataFrame, asked: DataFrame, stream: str, place: str, items: Sequence[str], candidate: str, *, window: int, threshold: int) -> DataFrame:
+    """(candidate, items): the asked items that at least ``threshold`` of the last ``window`` publications carry.
+
+    ``published(stream, place, items)`` numbers the publications of a stream; an item counts once per publication.
+    ``asked(candidate, stream, place, items)`` asks at a place: publications up to and with that number are there. An item is
+    hot if its ``threshold``-th latest publication lies inside the window, which one scan per item finds: no pair of a
+    question and a publication is made.
+    """
+    keys = [stream, *items]
+    rows = published.select(*keys, place).distinct().withColumn("_asks", F.lit(0)).withColumn(candidate, F.lit(None).cast(asked.schema[candidate].dataType))
+    counted = rows if threshold == 1 else _nth_before(rows, keys, place, threshold - 1)
+    counted = counted.select(*keys, place, "_asks", candidate, (F.col(place) if threshold == 1 else F.col("_back")).alias("_since"))
+    asking = asked.select(*keys, place, F.lit(1).alias("_asks"), candidate, F.lit(None).cast("long").alias("_since"))
+    merged = counted.unionByName(asking).withColumn("_tie", F.xxhash64(candidate))
+    seen = ordered_scan(merged, keys, [place, "_asks", "_tie", candidate], running={"_latest": Running("max", F.col("_since"), False)})
+    return seen.filter((F.col("_asks") == 1) & (F.col("_latest") > F.col(place) - window)).select(candidate, *items).distinct()
+
+
+def _nth_before(rows: DataFrame, keys: Sequence[str], place: str, n: int) -> DataFrame:
+    """``_back``: the place of the row ``n`` before, found by the rows' numbers, so no order is walked twice."""
+    ranked = ordered_scan(rows, keys, [place], rank="_n")
+    back = ranked.select(*keys, (F.col("_n") + n).alias("_n"), F.col(place).alias("_back"))
+    return ranked.join(back, [*keys, "_n"], "left")
 
 
 def scope_conflict_pairs(pairs: DataFrame, scopes: DataFrame, unit: str, left: str, right: str, item: str, effect: str) -> DataFrame:

@@ -196,17 +196,37 @@ def unit_pairs(spark, sf):
     return rows.filter(F.col("frontier").isNotNull()).select("frontier", F.col("unit").alias("candidate"), "frontier_ns", "candidate_ns")
 
 
+WINDOW, HOT_FROM = 12, 3
+
+
 @query(
     "conflict_pairs",
-    f"""WITH {BRANDS}, pr AS (SELECT frontier, unit AS candidate, fns % 5 AS fn, ns % 5 AS cn, unit % 20 <> 0 AS complete FROM un WHERE frontier IS NOT NULL),
- sh AS (SELECT frontier, candidate, count(*) AS n FROM pr JOIN nm a ON a.unit=frontier JOIN nm b ON b.unit=candidate AND a.name=b.name WHERE complete AND fn=cn GROUP BY ALL)
- SELECT frontier, candidate, coalesce(n,0) AS shared_names, CASE WHEN NOT complete THEN 'UNKNOWN' WHEN fn<>cn THEN 'LOW_CONFLICT' WHEN coalesce(n,0)>0 THEN 'HIGH_CONFLICT' ELSE 'LOW_CONFLICT' END AS conflict_class FROM pr LEFT JOIN sh USING (frontier, candidate)""",
+    f"""WITH {BRANDS}, pb AS (SELECT o_orderkey AS unit, o_custkey % 100 AS g, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate, o_orderkey) AS place FROM orders),
+ pr AS (SELECT frontier, unit AS candidate, CASE WHEN frontier % 31 <> 0 THEN fns % 3 END AS fn, ns % 3 AS cn, unit % 20 <> 0 AS complete FROM un WHERE frontier IS NOT NULL),
+ xi AS (SELECT DISTINCT l_orderkey AS unit, l_suppkey // 4 AS item FROM lineitem WHERE l_orderkey % 7 <> 0),
+ sn AS (SELECT frontier, candidate, count(*) AS n FROM pr JOIN nm a ON a.unit = frontier JOIN nm b ON b.unit = candidate AND a.name = b.name GROUP BY ALL),
+ si AS (SELECT frontier, candidate, count(*) AS n FROM pr JOIN xi a ON a.unit = frontier JOIN xi b ON b.unit = candidate AND a.item = b.item GROUP BY ALL),
+ al AS (SELECT unit, 'n' || name AS item FROM nm UNION ALL SELECT unit, 'i' || item FROM xi),
+ hi AS (SELECT candidate, al.item FROM pr JOIN pb c ON c.unit = candidate JOIN al ON al.unit = candidate JOIN pb p ON p.g = c.g AND p.place < c.place AND p.place >= c.place - {WINDOW} JOIN al o ON o.unit = p.unit AND o.item = al.item GROUP BY ALL HAVING count(*) >= {HOT_FROM}),
+ ho AS (SELECT candidate, count(*) AS n FROM hi GROUP BY 1),
+ j AS (SELECT pr.*, coalesce(sn.n, 0) AS a, coalesce(si.n, 0) AS b, coalesce(ho.n, 0) AS h FROM pr LEFT JOIN sn USING (frontier, candidate) LEFT JOIN si USING (frontier, candidate) LEFT JOIN ho USING (candidate)),
+ r AS (SELECT *, CASE WHEN NOT complete THEN 'INCOMPLETE_SIGNAL' WHEN fn IS NULL OR cn IS NULL THEN 'NAMESPACE_UNKNOWN' WHEN fn <> cn THEN 'NAMESPACE_ISOLATED' WHEN a > 0 THEN 'DIRECT_ENTITY_OVERLAP' WHEN b > 0 THEN 'EXISTING_CANDIDATE_ID_OVERLAP' WHEN h > 0 THEN 'RECENT_HOT_ENTITY' ELSE 'KNOWN_DISJOINT' END AS reason FROM j)
+ SELECT frontier, candidate, CASE WHEN reason = 'DIRECT_ENTITY_OVERLAP' THEN a ELSE 0 END AS shared_names, CASE WHEN reason = 'EXISTING_CANDIDATE_ID_OVERLAP' THEN b ELSE 0 END AS shared_ids, CASE WHEN reason = 'RECENT_HOT_ENTITY' THEN h ELSE 0 END AS hot_items,
+ CASE reason WHEN 'INCOMPLETE_SIGNAL' THEN 'UNKNOWN' WHEN 'NAMESPACE_UNKNOWN' THEN 'UNKNOWN' WHEN 'NAMESPACE_ISOLATED' THEN 'LOW_CONFLICT' WHEN 'KNOWN_DISJOINT' THEN 'LOW_CONFLICT' ELSE 'HIGH_CONFLICT' END AS conflict_class, reason FROM r""",
 )
 def _(spark, sf):
-    pairs = unit_pairs(spark, sf).select("frontier", "candidate", (F.col("frontier_ns") % 5).alias("frontier_ns"), (F.col("candidate_ns") % 5).alias("candidate_ns"), (F.col("candidate") % 20 != 0).alias("complete"))
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name"))
-    names = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), "l_partkey").join(parts, "l_partkey").select("unit", "name")
-    return pr.conflict_pairs(pairs, names, "unit", "frontier", "candidate", "name")
+    pairs = unit_pairs(spark, sf).select("frontier", "candidate", F.when(F.col("frontier") % 31 != 0, F.col("frontier_ns") % 3).alias("frontier_ns"), (F.col("candidate_ns") % 3).alias("candidate_ns"), (F.col("candidate") % 20 != 0).alias("complete"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("n"), "p_brand").alias("item"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), "l_partkey", "l_suppkey")
+    names = lines.join(parts, "l_partkey").select("unit", "item").distinct()
+    ids = lines.filter("unit % 7 <> 0").select("unit", F.concat(F.lit("i"), F.call_function("div", F.col("l_suppkey"), F.lit(4))).alias("item")).distinct()
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), (F.col("o_custkey") % 100).alias("g"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    placed = ordered_scan(orders, ["g"], ["at", "unit"], rank="place").select("unit", "g", "place")
+    items = names.unionByName(ids)
+    # a unit is judged when all before it in its group are published
+    asked = placed.withColumn("place", F.col("place") - 1).join(items, "unit").withColumnRenamed("unit", "candidate")
+    hot = pr.recent_hot_items(placed.join(items, "unit"), asked, "g", "place", ["item"], "candidate", window=WINDOW, threshold=HOT_FROM)
+    return pr.conflict_pairs(pairs, names, ids, hot, "unit", "frontier", "candidate", "item")
 
 
 @query(
