@@ -303,3 +303,33 @@ def test_lifecycle_twins_agree(spark):
 
     stream = registry.load_all()["lifecycle_assembly"].run(spark, sf)
     assert sorted(map(tuple, batch.collect()), key=str) == sorted(map(tuple, stream.select(batch.columns).collect()), key=str)
+
+
+def test_missing_measurements_are_named(spark):
+    rows = [("a", True, True, 10, 1, 1), ("b", True, None, 10, 1, 1), ("c", True, True, 10, 1, -1), ("d", True, False, 10, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, reuse boolean, parity boolean, ex long, sp long, ov long")
+    value = lambda overlap: {r.k: r for r in rollups.speculation_value(df, ["k"], "reuse", "parity", "ex", "sp", "ov", overlap).collect()}
+    got = value(0)
+    assert {k: (r.decision, r.missing_fields, r.net_saved_ns) for k, r in got.items()} == {
+        "a": ("POTENTIAL_BUT_NO_OVERLAP", "", 8),
+        "b": ("DATA_INSUFFICIENT", "state_parity", None),
+        "c": ("DATA_INSUFFICIENT", "validation_overhead_ns", None),
+        "d": ("UNSAFE", "", None),
+    }
+    assert {r.missing_fields for r in value(None).values()} == {"overlap_exposed_ns", "overlap_exposed_ns,state_parity", "overlap_exposed_ns,validation_overhead_ns"}
+
+
+def test_gauges_hold_until_the_next_scrape(spark):
+    rows = [("a", 0, 1, 10.0), ("a", 9, 2, 0.0), ("a", 10, 3, 4.0), ("b", 5, 1, 3.0)]
+    df = spark.createDataFrame(rows, "k string, ts long, c long, g double")
+    got = {r.k: r for r in rollups.telemetry_reduce(df, ["k"], "ts", ["c"], gauges=["g"]).collect()}
+    assert (got["a"].g_mean, got["a"].g_above_zero, got["a"].g_p95, got["a"].g_max) == (9.0, 0.9, 10.0, 10.0)
+    assert (got["b"].g_mean, got["b"].g_above_zero, got["b"].g_status) == (3.0, 1.0, "OK")
+
+
+def test_partitions_without_candidates(spark):
+    parts = spark.createDataFrame([(1,), (2,), (3,)], "p int")
+    rows = spark.createDataFrame([(1, "i", "f"), (1, "i", "f"), (1, "j", "f"), (2, "i", "f")], "p int, i string, f string")
+    got = {r.p: r for r in rollups.candidate_partition_diagnosis(parts, rows, ["p"], "i", "f").collect()}
+    assert [got[p].classification for p in (1, 2, 3)] == ["AMBIGUOUS", "UNIQUE", "EMPTY"]
+    assert (got[1].identity_multiplicity, got[1].fact_multiplicity, got[3].identity_multiplicity, got[3].candidates) == ("1x1 2x1", "3x1", "", 0)

@@ -174,13 +174,34 @@ def quality_main_table(df: DataFrame, method: str, metrics: Sequence[str], corre
     )
 
 
-def method_summary(df: DataFrame, method: str, breakdowns: Sequence[str], correct: str, valid: str) -> DataFrame:
-    """Counts and accuracy per method, and per method and each breakdown column, in one pass."""
-    parts = F.explode(F.array(F.struct(F.lit("ALL").alias("dimension"), F.lit(None).cast("string").alias("member")), *[F.struct(F.lit(b).alias("dimension"), F.col(b).cast("string").alias("member")) for b in breakdowns]))
-    v = _true(F.col(valid))
-    right = _true(F.col(correct) & F.col(valid))
-    rows = df.withColumn("_g", parts).groupBy(method, F.col("_g.dimension").alias("dimension"), F.col("_g.member").alias("member"))
-    return rows.agg(_n().alias("qa_count"), v.alias("valid_count"), (_n() - v).alias("invalid_count"), right.alias("correct_count"), ratio(right, v).alias("qa_accuracy"))
+def method_summary(df: DataFrame, method: str, breakdowns: Sequence[str], correct: str, valid: str, failure: str, metrics: Sequence[str], intervals: DataFrame) -> DataFrame:
+    """Per method, and per method and member of each breakdown: counts, accuracy, means of ``metrics`` and failures by class.
+
+    Invalid rows are left out of the accuracy and counted by ``failure`` (null: ``unknown``) as ``class:n`` in order; a metric's
+    mean is over the rows that have it. ``intervals(method, ci_low, ci_high)`` goes with a method's own row. Rows are first
+    counted per method, breakdowns and failure class, then over grouping sets; classes are few.
+    """
+    v = F.coalesce(F.col(valid), F.lit(False))
+    broken = F.when(~v, F.coalesce(F.col(failure), F.lit("unknown"))).alias("_f")
+    named = [F.coalesce(F.col(b).cast("string"), F.lit("unknown")).alias(b) for b in breakdowns]
+    sums = {"qa_count": _n(), "valid_count": _true(v), "correct_count": _true(F.col(correct) & v)}
+    sums |= {f"_sum_{m}": F.sum(m) for m in metrics} | {f"_n_{m}": F.count(m) for m in metrics}
+    small = df.select(method, *named, broken, v.alias(valid), correct, *metrics).groupBy(method, *breakdowns, "_f").agg(*[c.alias(n) for n, c in sums.items()])
+    sets = [[method, "_f"], *[[method, b, "_f"] for b in breakdowns]]
+    rows = small.groupingSets(sets, method, *breakdowns, "_f").agg(F.grouping_id().alias("_set"), *[F.sum(n).alias(n) for n in sums])
+    # the bits of a set tell which breakdown it has: method and class are in all, so only the columns between them differ
+    width = len(breakdowns)
+    dimension, member = F.lit("ALL"), F.lit(None).cast("string")
+    for i, b in enumerate(breakdowns):
+        there = F.col("_set").bitwiseAND(1 << (width - i)) == 0
+        dimension, member = F.when(there, b).otherwise(dimension), F.when(there, F.col(b)).otherwise(member)
+    rows = rows.withColumns({"dimension": dimension, "member": member})
+    classes = F.array_sort(F.collect_list(F.when(F.col("_f").isNotNull(), F.struct("_f", "qa_count"))))
+    shown = F.array_join(F.transform(classes, lambda x: F.concat(x["_f"], F.lit(":"), x["qa_count"])), ",")
+    total = rows.groupBy(method, "dimension", "member").agg(*[F.sum(n).alias(n) for n in sums], shown.alias("failures"))
+    means = [ratio(F.col(f"_sum_{m}"), F.col(f"_n_{m}")).alias(f"mean_{m}") for m in metrics]
+    total = total.join(intervals.select(method, F.lit("ALL").alias("dimension"), "ci_low", "ci_high"), [method, "dimension"], "left")
+    return total.select(method, "dimension", "member", "qa_count", "valid_count", (F.col("qa_count") - F.col("valid_count")).alias("invalid_count"), "correct_count", ratio(F.col("correct_count"), F.col("valid_count")).alias("qa_accuracy"), *means, "failures", "ci_low", "ci_high")
 
 
 def paired_disagreements(df: DataFrame, keys: Sequence[str], item: str, method: str, left: str, right: str, correct: str, valid: str, group: Sequence[str] = ()) -> DataFrame:
@@ -341,8 +362,15 @@ def hideable_service(df: DataFrame, keys: Sequence[str], dependency: str, prepar
     return counts.withColumn("decision", verdict)
 
 
-def speculation_value(df: DataFrame, keys: Sequence[str], reuse: str, parity: str, exact: str, speculative: str, overhead: str, overlap_ns: int) -> DataFrame:
-    """Avoided exact service minus speculative and validation work, NULL where state parity fails anywhere."""
+def speculation_value(df: DataFrame, keys: Sequence[str], reuse: str, parity: str, exact: str, speculative: str, overhead: str, overlap_ns: int | None) -> DataFrame:
+    """Avoided exact service minus speculative and validation work, and what follows from it.
+
+    Without the parity of every row, a validation overhead of at least 0 of every row and ``overlap_ns``, the decision is
+    DATA_INSUFFICIENT, ``correctness_gate`` NOT_MEASURED, ``missing_fields`` names what is absent, and what rests on it is
+    NULL. Parity that fails anywhere is UNSAFE, and the net saving NULL.
+    """
+    gaps = {"overlap_exposed_ns": F.lit(overlap_ns is None), "state_parity": F.count_if(F.col(parity).isNull()) > 0, "validation_overhead_ns": F.count_if(~F.coalesce(F.col(overhead) >= 0, F.lit(False))) > 0}
+    missing = F.concat_ws(",", *[F.when(gap, name) for name, gap in gaps.items()])
     rows = df.groupBy(*keys).agg(
         _n().alias("eligible_count"),
         _true(F.col(reuse)).alias("reuse_count"),
@@ -350,17 +378,22 @@ def speculation_value(df: DataFrame, keys: Sequence[str], reuse: str, parity: st
         F.sum(speculative).alias("speculative_ns"),
         F.sum(overhead).alias("validation_ns"),
         _sum_if(F.col(reuse), F.col(exact)).alias("avoided_ns"),
-        F.bool_and(parity).alias("parity_pass"),
+        F.coalesce(F.bool_and(parity), F.lit(False)).alias("_parity"),
+        missing.alias("missing_fields"),
     )
+    known = F.col("missing_fields") == ""
     net = F.col("avoided_ns") - F.col("speculative_ns") - F.col("validation_ns")
     whole = F.col("reuse_count") == F.col("eligible_count")
     verdict = (
-        F.when(~F.col("parity_pass"), "UNSAFE")
+        F.when(~known, "DATA_INSUFFICIENT")
+        .when(~F.col("_parity"), "UNSAFE")
         .when((net > 0) & whole & F.lit(overlap_ns == 0), "POTENTIAL_BUT_NO_OVERLAP")
         .when(net > 0, "POTENTIAL_SUPPORTED")
         .otherwise("LOW_POTENTIAL")
     )
-    return rows.withColumns({"reuse_rate": ratio(F.col("avoided_ns"), F.col("exact_ns")), "net_saved_ns": F.when(F.col("parity_pass"), net), "decision": verdict})
+    gate = F.when(~known, "NOT_MEASURED").when(F.col("_parity"), "PASS").otherwise("FAIL")
+    out = {"reuse_rate": F.when(known, ratio(F.col("avoided_ns"), F.col("exact_ns"))), "net_saved_ns": F.when(known & F.col("_parity"), net), "decision": verdict, "correctness_gate": gate}
+    return rows.withColumns(out).withColumn("validation_ns", F.when(known, F.col("validation_ns"))).drop("_parity")
 
 
 def event_counts(df: DataFrame, keys: Sequence[str], event: str, hit: str, miss: str) -> DataFrame:
@@ -388,24 +421,35 @@ def workload_complexity(df: DataFrame, history: str, turn_text: str) -> DataFram
 
 
 def telemetry_reduce(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str], *, gauges: Sequence[str] = (), hit_rate: tuple[str, str] | None = None, tie: Sequence[str] = (), hot: int | None = None) -> DataFrame:
-    """Counter deltas from the first to the last scrape, how often each fell (a reset), and rates per second; mean and maximum of gauges.
+    """Counter deltas from the first to the last scrape, how often each fell (a reset), and rates per second; summaries of gauges.
 
     A counter that was reset has no delta and no rate, and its status says so. ``hit_rate`` names the counters of hits and
-    of lookups whose deltas give the ratio.
+    of lookups whose deltas give the ratio. A gauge holds from its scrape to the next: its mean and its share of time above
+    zero are weighted by that (a key without duration: plain mean, last scrape), its 95th percentile is over the scrapes.
+    A gauge that some scrape lacks is INCOMPLETE and has no summary.
     """
-    seen = ordered_scan(df, keys, [ts, *tie], lag={f"_prev_{c}": c for c in counters}, hot=hot)
+    lag = {f"_prev_{c}": c for c in counters}
+    seen = ordered_scan(df, keys, [ts, *tie], lag=lag, lead={"_next": ts}, hot=hot).withColumn("_for", F.coalesce(F.col("_next") - F.col(ts), F.lit(0)))
     at = F.struct(ts, *tie)
-    aggs = [_n().alias("sample_count"), ((F.max(ts) - F.min(ts)) / SECOND).alias("duration_s")]
+    aggs = [_n().alias("sample_count"), ((F.max(ts) - F.min(ts)) / SECOND).alias("duration_s"), F.sum("_for").alias("_time")]
     for c in counters:
         aggs.append((F.max_by(c, at) - F.min_by(c, at)).alias(f"{c}_delta"))
         aggs.append(F.count_if(F.col(c) < F.col(f"_prev_{c}")).alias(f"{c}_resets"))
     for g in gauges:
-        aggs += [F.avg(g).alias(f"{g}_mean"), F.max(g).alias(f"{g}_max")]
+        aggs += [F.count(g).alias(f"_{g}_n"), F.avg(g).alias(f"_{g}_avg"), F.sum(F.col(g) * F.col("_for")).alias(f"_{g}_area"), _sum_if(F.col(g) > 0, F.col("_for")).alias(f"_{g}_over"), F.max_by(g, at).alias(f"_{g}_last"), F.max(g).alias(f"{g}_max")]
     rows = seen.groupBy(*keys).agg(*aggs)
     fell = {c: F.col(f"{c}_resets") > 0 for c in counters}
     rows = rows.withColumns({f"{c}_status": F.when(fell[c], "RESET").otherwise("OK") for c in counters} | {f"{c}_delta": F.when(~fell[c], F.col(f"{c}_delta")) for c in counters})
     rows = rows.withColumns({f"{c}_per_s": ratio(F.col(f"{c}_delta"), F.col("duration_s")) for c in counters})
-    return rows if hit_rate is None else rows.withColumn("hit_rate", ratio(F.col(f"{hit_rate[0]}_delta"), F.col(f"{hit_rate[1]}_delta")))
+    if hit_rate is not None:
+        rows = rows.withColumn("hit_rate", ratio(F.col(f"{hit_rate[0]}_delta"), F.col(f"{hit_rate[1]}_delta")))
+    for g in gauges:
+        whole, timed = F.col(f"_{g}_n") == F.col("sample_count"), F.col("_time") > 0
+        mean = F.when(timed, F.col(f"_{g}_area") / F.col("_time")).otherwise(F.col(f"_{g}_avg"))
+        above = F.when(timed, F.col(f"_{g}_over") / F.col("_time")).otherwise((F.col(f"_{g}_last") > 0).cast("double"))
+        tails = exact_quantiles(df, keys, g, {f"{g}_p95": 0.95}, hot=hot)
+        rows = rows.join(tails, list(keys), "left").withColumns({f"{g}_mean": F.when(whole, mean), f"{g}_above_zero": F.when(whole, above), f"{g}_max": F.when(whole, F.col(f"{g}_max")), f"{g}_p95": F.when(whole, F.col(f"{g}_p95")), f"{g}_status": F.when(whole, "OK").otherwise("INCOMPLETE")})
+    return rows.drop("_time", *[f"_{g}_{x}" for g in gauges for x in ("n", "avg", "area", "over", "last")])
 
 
 def sampler_coverage(df: DataFrame, keys: Sequence[str], ts: str, period_ns: int, available: Mapping[str, Column], *, hot: int | None = None) -> DataFrame:
@@ -445,14 +489,38 @@ def vector_bag_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], digest:
     )
 
 
-def candidate_partition_diagnosis(df: DataFrame, partition: Sequence[str], identity: str, fact: str) -> DataFrame:
-    """UNIQUE or AMBIGUOUS per partition: how many candidates share one identity or one fact."""
-    level = lambda c: df.groupBy(*partition, c).agg(_n().alias("_m"))
-    ids = level(identity).groupBy(*partition).agg(
-        F.sum("_m").alias("candidates"), _n().alias("identities"), F.count_if(F.col("_m") > 1).alias("ambiguous_groups"), F.max("_m").alias("max_multiplicity")
+def _multiplicities(groups: DataFrame, partition: Sequence[str], out: str) -> DataFrame:
+    """Per partition how many groups have each multiplicity, as ``1x5 2x3``: its length is that of the distinct multiplicities."""
+    counts = groups.groupBy(*partition, "_m").agg(_n().alias("_k"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("_m", "_k"))), lambda x: F.concat(x["_m"], F.lit("x"), x["_k"]))
+    return counts.groupBy(*partition).agg(F.array_join(shown, " ").alias(out), F.sum("_k").alias(f"_{out}_groups"), F.sum(F.when(F.col("_m") > 1, F.col("_k")).otherwise(0)).alias(f"_{out}_many"), F.max("_m").alias(f"_{out}_max"), F.sum(F.col("_m") * F.col("_k")).alias(f"_{out}_rows"))
+
+
+def candidate_partition_diagnosis(partitions: DataFrame, candidates: DataFrame, partition: Sequence[str], identity: str, fact: str) -> DataFrame:
+    """EMPTY, UNIQUE or AMBIGUOUS per row of ``partitions``: how many of its candidates share one identity or one fact.
+
+    ``identity_multiplicity`` and ``fact_multiplicity`` say how many groups have how many members; an empty partition has
+    zeros and empty texts.
+    """
+    level = lambda c: candidates.groupBy(*partition, c).agg(_n().alias("_m"))
+    ids = _multiplicities(level(identity), partition, "identity_multiplicity")
+    facts = _multiplicities(level(fact), partition, "fact_multiplicity")
+    rows = partitions.select(*partition).distinct().join(ids, list(partition), "left").join(facts, list(partition), "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    kind = F.when(number("_identity_multiplicity_rows") == 0, "EMPTY").when(number("_identity_multiplicity_many") > 0, "AMBIGUOUS").otherwise("UNIQUE")
+    return rows.select(
+        *partition,
+        number("_identity_multiplicity_rows").alias("candidates"),
+        number("_identity_multiplicity_groups").alias("identities"),
+        number("_identity_multiplicity_many").alias("ambiguous_groups"),
+        number("_identity_multiplicity_max").alias("max_multiplicity"),
+        text("identity_multiplicity"),
+        number("_fact_multiplicity_groups").alias("facts"),
+        number("_fact_multiplicity_many").alias("duplicate_fact_groups"),
+        text("fact_multiplicity"),
+        kind.alias("classification"),
     )
-    facts = level(fact).groupBy(*partition).agg(_n().alias("facts"), F.count_if(F.col("_m") > 1).alias("duplicate_fact_groups"))
-    return ids.join(facts, list(partition)).withColumn("classification", F.when(F.col("ambiguous_groups") > 0, "AMBIGUOUS").otherwise("UNIQUE"))
 
 
 def pooled_method_table(blocks: DataFrame, samples: DataFrame, method: str, means: Sequence[str], sums: Sequence[str], maxima: Sequence[str], sample: str, makespan: str, *, hot: int | None = None) -> DataFrame:

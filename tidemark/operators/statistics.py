@@ -136,28 +136,28 @@ def prf_sets(left: DataFrame, right: DataFrame, keys: Sequence[str], group: Sequ
     return sizes.withColumns(precision_recall_f1(F.col("matched"), F.col("left_size"), F.col("right_size")))
 
 
-def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows with a 0-based position and the number of rows, written once: Spark then knows their size when they meet the draws."""
+def _numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows with a 0-based position and the number of rows, per ``by``, written once: Spark then knows their size when they meet the draws."""
     one = F.lit(1)
-    return cut_lineage(ordered_scan(df, [], list(order), rank="_i", total={"_n": Running("sum", one)}).withColumn("_i", F.col("_i") - 1), "units")
+    return cut_lineage(ordered_scan(df, list(by), list(order), rank="_i", total={"_n": Running("sum", one)}).withColumn("_i", F.col("_i") - 1), "units")
 
 
-def _replicates(units: DataFrame, seed: int, samples: int) -> DataFrame:
-    """``samples`` times as many draws as there are units: rows ``_b, _i`` with the drawn position.
+def _replicates(units: DataFrame, seed: int, samples: int, by: Sequence[str] = ()) -> DataFrame:
+    """``samples`` times as many draws as there are units: rows ``by, _b, _i`` with the drawn position.
 
     Only slot numbers are multiplied, and they are dealt out before. Units that Spark finds small enough to send meet the
     draws where these are made, so what is shuffled is one partial sum per replicate and task.
     """
     tasks = 4 * units.sparkSession.sparkContext.defaultParallelism
-    slots = units.select("_i", "_n").repartition(tasks, "_i").select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
-    return slots.select("_b", draw_index(seed, F.col("_n"), F.col("_b"), F.col("_i")).alias("_i"))
+    slots = units.select(*by, "_i", "_n").repartition(tasks, *by, "_i").select(*by, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_b"))
+    return slots.select(*by, "_b", draw_index(seed, F.col("_n"), F.col("_b"), F.col("_i")).alias("_i"))
 
 
-def _order_pick(values: DataFrame, value: str, low: float, high: float, samples: int) -> DataFrame:
-    """Order statistics at ``int(q * (B - 1))`` of a sorted list of B estimates."""
-    ranked = ordered_scan(values.filter(F.col(value).isNotNull()), [], [value, "_b"], rank="_r", total={"_m": Running("sum", F.lit(1))}, hot=samples)
+def _order_pick(values: DataFrame, value: str, low: float, high: float, samples: int, by: Sequence[str] = ()) -> DataFrame:
+    """Order statistics at ``int(q * (B - 1))`` of a sorted list of B estimates, per ``by``."""
+    ranked = ordered_scan(values.filter(F.col(value).isNotNull()), list(by), [value, "_b"], rank="_r", total={"_m": Running("sum", F.lit(1))}, hot=samples)
     at = lambda q: F.max(F.when(F.col("_r") - 1 == F.floor(F.lit(q) * (F.col("_m") - 1)), F.col(value)))
-    return ranked.agg(F.max("_m").alias("estimates"), at(low).alias("ci_low"), at(high).alias("ci_high"))
+    return ranked.groupBy(*by).agg(F.max("_m").alias("estimates"), at(low).alias("ci_low"), at(high).alias("ci_high"))
 
 
 def bootstrap_ci_geomean(paired: DataFrame, question: str, value: str, *, samples: int, seed: int, alpha: float = 0.05) -> DataFrame:
@@ -170,14 +170,15 @@ def bootstrap_ci_geomean(paired: DataFrame, question: str, value: str, *, sample
     return _order_pick(means, "_g", alpha / 2, 1 - alpha / 2, samples)
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, sums: Sequence[str], estimate: Column, *, samples: int, seed: int) -> DataFrame:
-    """Interval of a pooled ``estimate`` when whole clusters are drawn again.
+def cluster_bootstrap(rows: DataFrame, cluster: str, sums: Sequence[str], estimate: Column, *, samples: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Interval of a pooled ``estimate`` when whole clusters are drawn again; one per ``by``, from its own clusters.
 
     Rows are summed per cluster first, so a replicate touches one row per cluster however large the clusters are.
     """
-    per = rows.groupBy(cluster).agg(*[F.sum(s).alias(s) for s in sums])
+    by = list(by)
+    per = rows.groupBy(*by, cluster).agg(*[F.sum(s).alias(s) for s in sums])
     key = F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 12), 16, 10).cast("long")
-    units = _numbered(per.withColumn("_o", key), ["_o", cluster])
-    drawn = _replicates(units, seed, samples).join(units.select("_i", *sums), "_i")
-    pooled = drawn.groupBy("_b").agg(*[F.sum(s).alias(s) for s in sums]).select("_b", estimate.alias("_e"))
-    return _order_pick(pooled, "_e", 0.025, 0.975, samples)
+    units = _numbered(per.withColumn("_o", key), ["_o", cluster], by)
+    drawn = _replicates(units, seed, samples, by).join(units.select(*by, "_i", *sums), [*by, "_i"])
+    pooled = drawn.groupBy(*by, "_b").agg(*[F.sum(s).alias(s) for s in sums]).select(*by, "_b", estimate.alias("_e"))
+    return _order_pick(pooled, "_e", 0.025, 0.975, samples, by)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.digests import multiset_digest, row_hash
 from tidemark.operators import rollups as ru
+from tidemark.operators import statistics as st
 from tidemark.operators.ordered import Running, ordered_scan
 from tidemark.plans.inputs import EV, LINES, QA, ROOTS, RUNS, judged, lifecycle, line_spans, root_spans, runs, sequenced, table, turns, whole
 from tidemark.plans.interval_queries import REQ, STREAM_SWEEP, islands_sql, requests, sweep_sql
 from tidemark.plans.registry import query
-from tidemark.plans.statistic_queries import dist_rounded, dist_sql, rounded
+from tidemark.plans.statistic_queries import ACCURACY, SAMPLES_CLUSTER, SEED, cluster_sql, dist_rounded, dist_sql, rounded
 
 
 @query(
@@ -180,14 +181,26 @@ def _(spark, sf):
     return rounded(out, 6, *names, "accuracy_invalid_wrong", "valid_only_accuracy")
 
 
+_INTERVALS = cluster_sql("SELECT method, context AS c, count(*) FILTER (correct) AS k, count(*) FILTER (judge_valid) AS v FROM qa GROUP BY ALL", ACCURACY, "method, ")
+
+
 @query(
     "method_summary",
-    f"""WITH {QA}, x AS (SELECT method, 'ALL' AS dimension, NULL AS member, judge_valid, correct FROM qa UNION ALL SELECT method, 'context', context, judge_valid, correct FROM qa UNION ALL SELECT method, 'question_type', question_type, judge_valid, correct FROM qa)
- SELECT method, dimension, member, count(*) AS qa_count, count(*) FILTER (judge_valid) AS valid_count, count(*) FILTER (NOT judge_valid) AS invalid_count, count(*) FILTER (correct) AS correct_count,
- round(CASE WHEN count(*) FILTER (judge_valid) > 0 THEN CAST(count(*) FILTER (correct) AS DOUBLE)/count(*) FILTER (judge_valid) END,6) AS qa_accuracy FROM x GROUP BY ALL""",
+    f"""WITH {QA}, {_INTERVALS}, y AS (SELECT *, CASE WHEN NOT judge_valid THEN CASE item % 3 WHEN 0 THEN 'judge_timeout' WHEN 1 THEN 'unparsable' ELSE 'unknown' END END AS fc, CASE WHEN item % 5 <> 1 THEN item % 11 END AS recall, item % 7 AS mrr FROM qa),
+ x AS (SELECT *, 'ALL' AS dimension, NULL AS member FROM y UNION ALL SELECT *, 'context', context FROM y UNION ALL SELECT *, 'question_type', question_type FROM y),
+ fl AS (SELECT method, dimension, member, string_agg(fc || ':' || n, ',' ORDER BY fc) AS failures FROM (SELECT method, dimension, member, fc, count(*) AS n FROM x WHERE fc IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ g AS (SELECT method, dimension, member, count(*) AS qa_count, count(*) FILTER (judge_valid) AS valid_count, count(*) FILTER (NOT judge_valid) AS invalid_count, count(*) FILTER (correct) AS correct_count,
+  round(CASE WHEN count(*) FILTER (judge_valid) > 0 THEN CAST(count(*) FILTER (correct) AS DOUBLE)/count(*) FILTER (judge_valid) END,6) AS qa_accuracy, round(CAST(sum(recall) AS DOUBLE)/count(recall),6) AS mean_recall, round(CAST(sum(mrr) AS DOUBLE)/count(mrr),6) AS mean_mrr FROM x GROUP BY ALL)
+ SELECT g.*, coalesce(failures, '') AS failures, ci_low, ci_high FROM g LEFT JOIN fl ON fl.method = g.method AND fl.dimension = g.dimension AND fl.member IS NOT DISTINCT FROM g.member LEFT JOIN ci ON ci.method = g.method AND g.dimension = 'ALL'""",
 )
 def _(spark, sf):
-    return rounded(ru.method_summary(judged(spark, sf), "method", ["context", "question_type"], "correct", "judge_valid"), 6, "qa_accuracy")
+    i = F.col("item")
+    failure = F.when(i % 3 == 0, "judge_timeout").when(i % 3 == 1, "unparsable")
+    rows = judged(spark, sf).withColumns({"failure": failure, "recall": F.when(i % 5 != 1, i % 11), "mrr": i % 7})
+    counts = rows.select("method", "context", F.coalesce("correct", F.lit(False)).cast("long").alias("k"), F.col("judge_valid").cast("long").alias("v"))
+    ci = st.cluster_bootstrap(counts, "context", ["k", "v"], st.ratio(F.col("k"), F.col("v")), samples=SAMPLES_CLUSTER, seed=SEED, by=["method"])
+    out = ru.method_summary(rows, "method", ["context", "question_type"], "correct", "judge_valid", "failure", ["recall", "mrr"], ci)
+    return rounded(out, 6, "qa_accuracy", "mean_recall", "mean_mrr", "ci_low", "ci_high")
 
 
 @query(
@@ -354,14 +367,18 @@ def _(spark, sf):
 
 @query(
     "speculation_value",
-    f"""WITH {EV}, r AS (SELECT kind, event_id % 7 AS lane, cents % 3 <> 0 AS reuse, event_id % 500 <> 7 AS parity, cents AS ex, cents // 3 AS sp, cents % 11 AS ov FROM ev),
- a AS (SELECT kind, lane, count(*) AS eligible_count, count(*) FILTER (reuse) AS reuse_count, CAST(sum(ex) AS BIGINT) AS exact_ns, CAST(sum(sp) AS BIGINT) AS speculative_ns, CAST(sum(ov) AS BIGINT) AS validation_ns, CAST(sum(CASE WHEN reuse THEN ex ELSE 0 END) AS BIGINT) AS avoided_ns, bool_and(parity) AS parity_pass FROM r GROUP BY ALL)
- SELECT *, round(CAST(avoided_ns AS DOUBLE)/exact_ns,6) AS reuse_rate, CASE WHEN parity_pass THEN avoided_ns-speculative_ns-validation_ns END AS net_saved_ns,
- CASE WHEN NOT parity_pass THEN 'UNSAFE' WHEN avoided_ns-speculative_ns-validation_ns > 0 THEN 'POTENTIAL_SUPPORTED' ELSE 'LOW_POTENTIAL' END AS decision FROM a""",
+    f"""WITH {EV}, r AS (SELECT kind, event_id % 7 AS lane, cents % 3 <> 0 AS reuse, CASE WHEN event_id % 70 <> 24 THEN event_id % 500 <> 7 END AS parity, cents AS ex, cents // 3 AS sp, CASE WHEN event_id % 70 = 13 THEN -1 WHEN event_id % 140 <> 38 THEN cents % 11 END AS ov FROM ev),
+ a AS (SELECT kind, lane, count(*) AS eligible_count, count(*) FILTER (reuse) AS reuse_count, CAST(sum(ex) AS BIGINT) AS exact_ns, CAST(sum(sp) AS BIGINT) AS speculative_ns, CAST(sum(ov) AS BIGINT) AS ovs, CAST(sum(CASE WHEN reuse THEN ex ELSE 0 END) AS BIGINT) AS avoided_ns,
+  count(*) FILTER (parity IS NULL) AS np, count(*) FILTER (ov IS NULL OR ov < 0) AS no, count(*) FILTER (parity IS FALSE) AS bad FROM r GROUP BY ALL),
+ m AS (SELECT *, concat_ws(',', CASE WHEN np > 0 THEN 'state_parity' END, CASE WHEN no > 0 THEN 'validation_overhead_ns' END) AS missing_fields FROM a)
+ SELECT kind, lane, eligible_count, reuse_count, exact_ns, speculative_ns, CASE WHEN missing_fields = '' THEN ovs END AS validation_ns, avoided_ns, missing_fields, CASE WHEN missing_fields = '' THEN round(CAST(avoided_ns AS DOUBLE)/exact_ns,6) END AS reuse_rate,
+ CASE WHEN missing_fields = '' AND bad = 0 THEN avoided_ns-speculative_ns-ovs END AS net_saved_ns, CASE WHEN missing_fields <> '' THEN 'NOT_MEASURED' WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END AS correctness_gate,
+ CASE WHEN missing_fields <> '' THEN 'DATA_INSUFFICIENT' WHEN bad > 0 THEN 'UNSAFE' WHEN avoided_ns-speculative_ns-ovs > 0 THEN 'POTENTIAL_SUPPORTED' ELSE 'LOW_POTENTIAL' END AS decision FROM m""",
 )
 def _(spark, sf):
     c, e = F.col("cents"), F.col("event_id")
-    rows = lifecycle(spark, sf).select("kind", (e % 7).alias("lane"), (c % 3 != 0).alias("reuse"), (e % 500 != 7).alias("parity"), c.alias("ex"), F.floor(c / 3).alias("sp"), (c % 11).alias("ov"))
+    overhead = F.when(e % 70 == 13, -1).when(e % 140 != 38, c % 11)
+    rows = lifecycle(spark, sf).select("kind", (e % 7).alias("lane"), (c % 3 != 0).alias("reuse"), F.when(e % 70 != 24, e % 500 != 7).alias("parity"), c.alias("ex"), F.floor(c / 3).alias("sp"), overhead.alias("ov"))
     return rounded(ru.speculation_value(rows, ["kind", "lane"], "reuse", "parity", "ex", "sp", "ov", 1), 6, "reuse_rate")
 
 
@@ -407,17 +424,20 @@ TELE = f"""{EV}, tm AS (SELECT kind, arrival_ns AS ts, event_id, CAST(sum(cents)
 
 @query(
     "telemetry_reduce",
-    f"""WITH {TELE}, l AS (SELECT *, lag(total) OVER w AS pt, lag(raw) OVER w AS pr, lag(hits) OVER w AS ph FROM tm WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id))
+    f"""WITH {TELE}, l AS (SELECT *, lag(total) OVER w AS pt, lag(raw) OVER w AS pr, lag(hits) OVER w AS ph, coalesce(lead(ts) OVER w - ts, 0) AS d FROM tm WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id))
  SELECT kind, count(*) AS sample_count, round((max(ts)-min(ts))/1e9,6) AS duration_s, arg_max(total, ts)-arg_min(total, ts) AS total_delta, count(*) FILTER (total<pt) AS total_resets, CASE WHEN count(*) FILTER (raw<pr) = 0 THEN arg_max(raw, ts)-arg_min(raw, ts) END AS raw_delta, count(*) FILTER (raw<pr) AS raw_resets,
- arg_max(hits, ts)-arg_min(hits, ts) AS hits_delta, count(*) FILTER (hits<ph) AS hits_resets, 'OK' AS total_status, CASE WHEN count(*) FILTER (raw<pr) > 0 THEN 'RESET' ELSE 'OK' END AS raw_status, 'OK' AS hits_status, round(CAST(sum(depth) AS DOUBLE)/count(*),6) AS depth_mean, max(depth) AS depth_max,
+ arg_max(hits, ts)-arg_min(hits, ts) AS hits_delta, count(*) FILTER (hits<ph) AS hits_resets, 'OK' AS total_status, CASE WHEN count(*) FILTER (raw<pr) > 0 THEN 'RESET' ELSE 'OK' END AS raw_status, 'OK' AS hits_status,
+ round(CAST(sum(depth * d) AS DOUBLE)/sum(d),6) AS depth_mean, round(CAST(sum(d) FILTER (depth > 0) AS DOUBLE)/sum(d),6) AS depth_above_zero, list_sort(list(depth))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS depth_p95, max(depth) AS depth_max, 'OK' AS depth_status,
+ CAST(NULL AS DOUBLE) AS odd_mean, CAST(NULL AS DOUBLE) AS odd_above_zero, CAST(NULL AS BIGINT) AS odd_p95, CAST(NULL AS BIGINT) AS odd_max, 'INCOMPLETE' AS odd_status,
  round((arg_max(total, ts)-arg_min(total, ts))/((max(ts)-min(ts))/1e9),6) AS total_per_s, round(CASE WHEN count(*) FILTER (raw<pr) = 0 THEN (arg_max(raw, ts)-arg_min(raw, ts))/((max(ts)-min(ts))/1e9) END,6) AS raw_per_s, round((arg_max(hits, ts)-arg_min(hits, ts))/((max(ts)-min(ts))/1e9),6) AS hits_per_s,
  round(CAST(arg_max(hits, ts)-arg_min(hits, ts) AS DOUBLE)/(arg_max(total, ts)-arg_min(total, ts)),6) AS hit_rate FROM l GROUP BY 1""",
 )
 def _(spark, sf):
     rows = ordered_scan(lifecycle(spark, sf), ["kind"], ["arrival_ns", "event_id"], running={"total": Running("sum", F.col("cents")), "hits": Running("sum", F.col("cents") % 100)})
-    rows = rows.select("kind", F.col("arrival_ns").alias("ts"), "event_id", "total", "hits", F.col("cents").alias("raw"), (F.col("cents") % 8).alias("depth"))
-    out = ru.telemetry_reduce(rows, ["kind"], "ts", ["total", "raw", "hits"], gauges=["depth"], hit_rate=("hits", "total"), tie=["event_id"])
-    return rounded(out, 6, "duration_s", "total_per_s", "raw_per_s", "hits_per_s", "depth_mean", "hit_rate")
+    # one gauge that every scrape has and one that some lack
+    rows = rows.select("kind", F.col("arrival_ns").alias("ts"), "event_id", "total", "hits", F.col("cents").alias("raw"), (F.col("cents") % 8).alias("depth"), F.when(F.col("event_id") % 2 == 1, F.col("cents")).alias("odd"))
+    out = ru.telemetry_reduce(rows, ["kind"], "ts", ["total", "raw", "hits"], gauges=["depth", "odd"], hit_rate=("hits", "total"), tie=["event_id"])
+    return rounded(out, 6, "duration_s", "total_per_s", "raw_per_s", "hits_per_s", "depth_mean", "depth_above_zero", "odd_mean", "odd_above_zero", "hit_rate")
 
 
 HOUR_NS = 3_600_000_000_000
@@ -455,13 +475,19 @@ def _(spark, sf):
 
 @query(
     "candidate_partition_diagnosis",
-    f"""WITH {LINES}, i AS (SELECT trace, quantity, price//1000 AS p, count(*) AS m FROM lines GROUP BY ALL), f AS (SELECT trace, quantity, count(*) AS m FROM lines GROUP BY ALL),
- a AS (SELECT trace, CAST(sum(m) AS BIGINT) AS candidates, count(*) AS identities, count(*) FILTER (m>1) AS ambiguous_groups, max(m) AS max_multiplicity FROM i GROUP BY 1), b AS (SELECT trace, count(*) AS facts, count(*) FILTER (m>1) AS duplicate_fact_groups FROM f GROUP BY 1)
- SELECT *, CASE WHEN ambiguous_groups>0 THEN 'AMBIGUOUS' ELSE 'UNIQUE' END AS classification FROM a JOIN b USING (trace)""",
-)
-def _(spark, sf):
-    rows = line_spans(spark, sf).withColumns({"identity": row_hash(F.col("quantity"), F.floor(F.col("price") / 1000)), "fact": row_hash(F.col("quantity"))})
-    return ru.candidate_partition_diagnosis(rows, ["trace"], "identity", "fact")
+    f"""WITH {LINES}, k AS (SELECT * FROM lines WHERE phase = 'R'), i AS (SELECT trace, quantity // 10 AS q, price//20000 AS p, count(*) AS m FROM k GROUP BY ALL), f AS (SELECT trace, quantity // 10 AS q, count(*) AS m FROM k GROUP BY ALL),
+ ih AS (SELECT trace, m, count(*) AS n FROM i GROUP BY ALL), fh AS (SELECT trace, m, count(*) AS n FROM f GROUP BY ALL),
+ a AS (SELECT trace, CAST(sum(m * n) AS BIGINT) AS candidates, CAST(sum(n) AS BIGINT) AS identities, CAST(coalesce(sum(n) FILTER (m > 1), 0) AS BIGINT) AS ambiguous_groups, max(m) AS max_multiplicity, string_agg(m || 'x' || n, ' ' ORDER BY m) AS identity_multiplicity FROM ih GROUP BY 1),
+ b AS (SELECT trace, CAST(sum(n) AS BIGINT) AS facts, CAST(coalesce(sum(n) FILTER (m > 1), 0) AS BIGINT) AS duplicate_fact_groups, string_agg(m || 'x' || n, ' ' ORDER BY m) AS fact_multiplicity FROM fh GROUP BY 1)
+ SELECT o_orderkey AS trace, coalesce(candidates, 0) AS candidates, coalesce(identities, 0) AS identities, coalesce(ambiguous_groups, 0) AS ambiguous_groups, coalesce(max_multiplicity, 0) AS max_multiplicity, coalesce(identity_multiplicity, '') AS identity_multiplicity,
+ coalesce(facts, 0) AS facts, coalesce(duplicate_fact_groups, 0) AS duplicate_fact_groups, coalesce(fact_multiplicity, '') AS fact_multiplicity, CASE WHEN candidates IS NULL THEN 'EMPTY' WHEN ambiguous_groups > 0 THEN 'AMBIGUOUS' ELSE 'UNIQUE' END AS classification
+ FROM orders LEFT JOIN a ON a.trace = o_orderkey LEFT JOIN b ON b.trace = o_orderkey""",
+)
+def _(spark, sf):
+    # every order is a partition; the returned lines are its candidates
+    tens = F.call_function("div", F.col("quantity"), F.lit(10))
+    rows = line_spans(spark, sf).filter("phase = 'R'").withColumns({"identity": row_hash(tens, F.call_function("div", F.col("price"), F.lit(20000))), "fact": row_hash(tens)})
+    return ru.candidate_partition_diagnosis(table(spark, sf, "orders").select(F.col("o_orderkey").alias("trace")), rows, ["trace"], "identity", "fact")
 
 
 BLOCKS = f"""{EV}, bk AS (SELECT kind, stream, max(publish_ns)-min(arrival_ns) AS makespan, count(*) FILTER (cents%10=0) AS violations, max(cents%8) AS backlog, avg(CASE WHEN cents%3=0 THEN 1.0 ELSE 0.0 END) AS accuracy FROM ev GROUP BY ALL)"""

@@ -133,29 +133,36 @@ def _(spark, sf):
 SAMPLES_CLUSTER = 2_000
 
 
-def _cluster_sql(per: str, estimate: str) -> str:
-    return f"""per AS ({per}), u AS (SELECT *, row_number() OVER (ORDER BY CAST(('0x'||substr(md5(c),1,12)) AS BIGINT), c)-1 AS i, count(*) OVER () AS n FROM per),
- dr AS (SELECT b, {draw_index_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_CLUSTER})) AS b)),
- e AS (SELECT b, {estimate} AS e FROM dr JOIN u USING (i) GROUP BY 1), r AS (SELECT e, row_number() OVER (ORDER BY e, b)-1 AS r, count(*) OVER () AS m FROM e WHERE e IS NOT NULL)
- SELECT CAST(max(m) AS BIGINT) AS estimates, round(max(e) FILTER (r = floor(0.025*(m-1))),6) AS ci_low, round(max(e) FILTER (r = floor(0.975*(m-1))),6) AS ci_high FROM r"""
+def cluster_sql(per: str, estimate: str, by: str = "") -> str:
+    """CTEs down to ``ci``, the interval per ``by`` (a column and a comma, or nothing)."""
+    within = f"PARTITION BY {by.rstrip(', ')}" if by else ""
+    key = f"u.{by.rstrip(', ')} = dr.{by.rstrip(', ')} AND " if by else ""
+    return f"""per AS ({per}), u AS (SELECT *, row_number() OVER ({within} ORDER BY CAST(('0x'||substr(md5(c),1,12)) AS BIGINT), c)-1 AS i, count(*) OVER ({within}) AS n FROM per),
+ dr AS (SELECT {by}b, {draw_index_sql(SEED, "n", "b", "i")} AS i FROM u, (SELECT unnest(range({SAMPLES_CLUSTER})) AS b)),
+ e AS (SELECT {by and "dr." + by}dr.b, {estimate} AS e FROM dr JOIN u ON {key}u.i = dr.i GROUP BY ALL), r AS (SELECT {by}e, row_number() OVER ({within} ORDER BY e, b)-1 AS r, count(*) OVER ({within}) AS m FROM e WHERE e IS NOT NULL),
+ ci AS (SELECT {by}CAST(max(m) AS BIGINT) AS estimates, round(max(e) FILTER (r = floor(0.025*(m-1))),6) AS ci_low, round(max(e) FILTER (r = floor(0.975*(m-1))),6) AS ci_high FROM r GROUP BY ALL)"""
+
+
+ACCURACY = "CASE WHEN sum(v)>0 THEN CAST(sum(k) AS DOUBLE)/sum(v) END"
 
 
 @query(
     "cluster_bootstrap_accuracy",
-    f"WITH {QA}, " + _cluster_sql("SELECT question_type AS c, count(*) FILTER (correct) AS k, count(*) FILTER (judge_valid) AS v FROM qa WHERE method='A' GROUP BY 1", "CASE WHEN sum(v)>0 THEN CAST(sum(k) AS DOUBLE)/sum(v) END"),
+    f"WITH {QA}, " + cluster_sql("SELECT method, question_type AS c, count(*) FILTER (correct) AS k, count(*) FILTER (judge_valid) AS v FROM qa GROUP BY ALL", ACCURACY, "method, ") + " SELECT * FROM ci",
 )
 def _(spark, sf):
-    rows = judged(spark, sf).filter("method = 'A'").select("question_type", F.col("correct").cast("long").alias("k"), F.col("judge_valid").cast("long").alias("v"))
-    return rounded(st.cluster_bootstrap(rows, "question_type", ["k", "v"], st.ratio(F.col("k"), F.col("v")), samples=SAMPLES_CLUSTER, seed=SEED), 6, "ci_low", "ci_high")
+    rows = judged(spark, sf).select("method", "question_type", F.col("correct").cast("long").alias("k"), F.col("judge_valid").cast("long").alias("v"))
+    return rounded(st.cluster_bootstrap(rows, "question_type", ["k", "v"], st.ratio(F.col("k"), F.col("v")), samples=SAMPLES_CLUSTER, seed=SEED, by=["method"]), 6, "ci_low", "ci_high")
 
 
 @query(
     "cluster_bootstrap_delta",
     f"WITH {QA}, "
-    + _cluster_sql(
+    + cluster_sql(
         "SELECT question_type AS c, count(*) FILTER (method='A' AND correct) AS ka, count(*) FILTER (method='A' AND judge_valid) AS va, count(*) FILTER (method='B' AND correct) AS kb, count(*) FILTER (method='B' AND judge_valid) AS vb FROM qa GROUP BY 1",
         "CASE WHEN sum(va)>0 AND sum(vb)>0 THEN CAST(sum(kb) AS DOUBLE)/sum(vb) - CAST(sum(ka) AS DOUBLE)/sum(va) END",
-    ),
+    )
+    + " SELECT * FROM ci",
 )
 def _(spark, sf):
     a, right, valid = F.col("method") == "A", F.coalesce(F.col("correct"), F.lit(False)), F.col("judge_valid")
