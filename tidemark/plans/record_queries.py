@@ -48,9 +48,16 @@ def _(spark, sf):
 def _(spark, sf):
     one = F.struct(F.col("lang").alias("source"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("c"), "doc_id")).alias("context_id"), F.col("text").alias("context"))
     line = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.array(one).alias("data")))).otherwise(F.to_json(one))
-    path = written_lines(spark, table(spark, sf, "documents").select(line), "corpus")
+    docs = table(spark, sf, "documents")
+    # lines beside documents that stretch over many lines
+    path = fresh_path(spark, "corpus")
+    docs.filter("doc_id % 5 <> 0").select(line).write.text(f"{path}/lines")
+    spread = F.concat(F.lit('{\n "note": "} {",\n "data": [\n  '), F.array_join(F.collect_list(F.concat(F.lit("\n  "), F.to_json(one, {"pretty": "true"}))), ","), F.lit("\n ]\n}\n"))
+    held = docs.filter("doc_id % 5 = 0").groupBy((F.col("doc_id") % 40).alias("b")).agg(spread.alias("value"))
+    held.write.partitionBy("b").text(f"{path}/documents")
     record = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "context_id", "context")])
-    return src.read_corpus_records(spark, path, record, source="e*").select("source", "context_id", F.length("context").cast("long").alias("chars"))
+    good, _bad = src.read_corpus_records(spark, [f"{path}/lines", f"{path}/documents/*"], record, source="e*")
+    return good.select("source", "context_id", F.length("context").cast("long").alias("chars"))
 
 
 @query(

@@ -3,57 +3,119 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import glob_to_regex
-from tidemark.operators.ordered import ordered_scan
+from tidemark.operators.ordered import Running, largest_group, ordered_scan
+from tidemark.session import cut_lineage
 
 CORRUPT = "_corrupt_record"
 
 
-def array_files(lines: DataFrame) -> list[str]:
-    """Files whose first character other than white space opens an array. Names only: the data is reduced where it lies."""
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    heads = lines.filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_f"), F.substring(F.ltrim("value"), 1, 1).alias("_c"), at.alias("_at"))
-    return [r["_f"] for r in heads.groupBy("_f").agg(F.min_by("_c", "_at").alias("_c")).filter("_c = '['").select("_f").collect()]
+_PLACE = ["_b", "_m"]  # block and row: the order of a file's pieces
+# Fixed value: how a document that holds its records in ``data`` begins.
+_DATA = r'^\s*\{\s*"data"\s*:\s*\['
 
 
-def read_json_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """JSON arrays and JSON lines, decided per file by its first character: ``(records, texts that could not be read)``.
+def _pieces(spark: SparkSession, path: str | list[str], by: str) -> DataFrame:
+    """The texts of files cut at ``by``, with the file, its size and the place in it; many tasks cut a file of any size."""
+    meta = lambda name: F.col(f"_metadata.{name}")
+    return spark.read.option("lineSep", by).text(path).select("value", meta("file_path").alias("_f"), meta("file_size").alias("_size"), meta("file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+
+
+def _whole_files(pieces: DataFrame) -> DataFrame:
+    """Files whose records may stretch over lines: the first piece opens an array or a ``data`` array, or goes on after a line feed."""
+    heads = pieces.filter((F.col("_b") == 0) & F.col("value").rlike(r"\S")).groupBy("_f").agg(F.min_by("value", F.struct(*_PLACE)).alias("_head"))
+    return heads.filter(F.col("_head").rlike(r"^\s*\[") | F.col("_head").rlike(_DATA) | F.col("_head").rlike(r"\S[^\n]*\n\s*\S")).select("_f")
+
+
+def _with_depth(pieces: DataFrame, hot: int) -> DataFrame:
+    """Pieces cut at closing braces with ``_depth``, the depth of brackets after each, and ``_low``, the least on the way.
 
-    Lines are split over tasks; a file that is one array cannot be, and is read by one. An array that cannot be read is one bad text.
+    Two scans over the order of a file: the parity of quotes says whether a piece begins inside a string, then brackets
+    outside strings are counted. ``_cut``: a brace ended the piece; ``_inside``: it ends inside a string.
     """
-    lines = spark.read.text(path)
-    whole = array_files(lines)
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # escapes out of the way
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    rows = pieces.withColumns({"_plain": plain, "_q": quotes})
+    rows = ordered_scan(rows, ["_f"], _PLACE, lead={"_next": "_m"}, running={"_quotes": Running("sum", F.col("_q"))}, total={"_bytes": Running("sum", F.octet_length("value") + 1)}, hot=hot)
+    inside = (F.col("_quotes") - F.col("_q")) % 2 == 1
+    bare = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), "_plain"), r'"[^"]*("|$)', "")
+    # each piece but the last ended at a brace; the last one did if the sizes say so
+    rows = rows.withColumns({"_marks": F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != ""), "_inside": F.col("_quotes") % 2 == 1, "_cut": F.col("_next").isNotNull() | (F.col("_bytes") == F.col("_size"))})
+    step = lambda acc, c: F.struct((acc["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("at"), F.least(acc["low"], acc["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("low"))
+    rows = rows.withColumn("_walk", F.aggregate("_marks", F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), step))
+    rows = rows.withColumn("_net", F.col("_walk.at") - F.when(F.col("_cut") & ~F.col("_inside"), 1).otherwise(0))
+    rows = ordered_scan(rows, ["_f"], _PLACE, running={"_depth": Running("sum", F.col("_net"))}, hot=hot)
+    return rows.select("value", "_f", *_PLACE, "_depth", (F.col("_depth") - F.col("_net") + F.col("_walk.low")).alias("_low"), "_cut", "_inside", F.col("_next").isNull().alias("_end"))
+
+
+def json_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``value``: the text of every JSON line or document, and of every element of a document that is an array or begins with ``data``.
+
+    Files are told apart by their beginning. Files of lines give their lines. Arrays and documents over several lines are cut
+    at the braces that close a record, found from the depth of brackets, so a large file is split over tasks and no file name
+    reaches the driver. A file whose brackets do not balance is read by lines.
+    """
+    pieces = _pieces(spark, path, "}")
+    whole = cut_lineage(_whole_files(pieces), "json-files")
+    lines = _pieces(spark, path, "\n").select(F.regexp_replace("value", r"\r$", "").alias("value"), "_f")
+    if whole.isEmpty():
+        return lines.filter(F.col("value").rlike(r"\S")).select("value")
+    pieces = cut_lineage(pieces.join(whole, "_f", "left_semi"), "json-pieces")
+    hot = largest_group(pieces, ["_f"])
+    rows = _with_depth(pieces, hot)
+    closes = ~F.col("_inside") & F.col("_cut")
+    # a document ends where the depth is back at 0
+    rows = ordered_scan(rows, ["_f"], _PLACE, running={"_doc": Running("sum", F.when((F.col("_depth") <= 0) & closes, 1).otherwise(0), False)}, hot=hot)
+    rows = cut_lineage(rows.withColumn("_doc", F.coalesce("_doc", F.lit(0))), "json-depths")
+    state = rows.groupBy("_f").agg(F.min(F.least("_low", "_depth")).alias("_least"), F.max(F.when(F.col("_end"), F.col("_depth"))).alias("_last"), F.bool_or(F.col("_end") & F.col("_inside")).alias("_string"))
+    sound = cut_lineage(state.filter("_least = 0 AND _last = 0 AND NOT _string").select("_f"), "json-sound")
+
+    first = F.min_by("value", F.struct(*_PLACE))
+    rows = rows.join(sound, "_f", "left_semi")
+    bases = rows.groupBy("_f", "_doc").agg(F.when(first.rlike(r"^\s*\["), 1).when(first.rlike(_DATA), 2).otherwise(0).alias("_base"))
+    rows = rows.join(bases, ["_f", "_doc"])
+    # once the array of records is closed, the rest of the document is none of them; its first piece comes from below
+    rows = ordered_scan(rows, ["_f", "_doc"], _PLACE, rank="_p", hot=hot)
+    under = ((F.col("_low") < F.col("_base")) & (F.col("_p") > 1)).cast("int")
+    ends = (F.col("_depth") == F.col("_base")) & closes
+    rows = ordered_scan(rows, ["_f", "_doc"], _PLACE, running={"_past": Running("max", under), "_rec": Running("sum", F.when(ends, 1).otherwise(0), False)}, hot=hot)
+    part = F.struct(*_PLACE, F.concat("value", F.when(F.col("_cut"), "}").otherwise("")).alias("v"))
+    texts = rows.groupBy("_f", "_doc", "_base", "_past", F.coalesce("_rec", F.lit(0)).alias("_rec")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["v"]), "").alias("value"))
+    lead = F.when(F.col("_base") == 2, F.regexp_replace("value", _DATA, "")).when(F.col("_base") == 1, F.regexp_replace("value", r"^\s*\[", "")).otherwise(F.col("value"))
+    texts = texts.withColumn("value", F.when(F.col("_base") > 0, F.regexp_replace(lead, r"^[\s,]+", "")).otherwise(lead))
+    # behind the last record only the end of the array is as it should be
+    tail = (F.col("_past") > 0) & F.col("value").rlike(r"^\]")
+    texts = texts.filter(F.col("value").rlike(r"[^\s\]}]") & ~tail)
+    return texts.select("value").unionByName(lines.filter(F.col("value").rlike(r"\S")).join(sound, "_f", "left_anti").select("value"))
+
+
+def read_json_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON arrays, JSON lines and documents over several lines: ``(records, texts that could not be read)``; see :func:`json_texts`."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = lines.filter(~F.col("_metadata.file_path").isin(whole)) if whole else lines
-    parsed = rows.select("value").filter(F.trim("value") != "").withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    parsed = json_texts(spark, path).withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     broken = F.col(f"_r.{CORRUPT}").isNotNull()
-    good, bad = parsed.filter(~broken).select("_r.*").drop(CORRUPT), parsed.filter(broken).select("value")
-    if whole:
-        arrays = spark.read.text([unquote(f) for f in whole], wholetext=True).select("value").withColumn("_r", F.from_json("value", T.ArrayType(schema)))
-        good = good.unionByName(arrays.select(F.explode("_r").alias("_r")).select("_r.*"))
-        bad = bad.unionByName(arrays.filter(F.col("_r").isNull()).select("value"))
-    return good, bad
+    return parsed.filter(~broken).select("_r.*").drop(CORRUPT), parsed.filter(broken).select("value")
 
 
-def read_corpus_records(spark: SparkSession, path: str, record: T.StructType, *, source: str = "*") -> DataFrame:
-    """Lines that are records or hold ``{"data": [records]}``; kept by source pattern, with an id from the content where none is given.
+def read_corpus_records(spark: SparkSession, path: str, record: T.StructType, *, source: str = "*") -> tuple[DataFrame, DataFrame]:
+    """Records given one by one, in arrays or as ``{"data": [records]}``: ``(records, texts that could not be read)``.
 
-    ``record`` has the string fields ``source``, ``context_id`` and ``context``.
+    Records are kept by source pattern, with an id from the content where none is given. ``record`` has the string fields
+    ``source``, ``context_id`` and ``context``.
     """
     both = T.StructType([*record.fields, T.StructField("data", T.ArrayType(record))])
-    parsed = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", both).alias("r"))
-    own = F.struct(*[F.col(f"r.{f.name}").alias(f.name) for f in record.fields])
-    rows = parsed.select(F.explode(F.coalesce(F.col("r.data"), F.array(own))).alias("x")).select("x.*")
+    parsed, bad = read_json_records(spark, path, both)
+    own = F.struct(*[F.col(f.name) for f in record.fields])
+    rows = parsed.select(F.explode(F.coalesce("data", F.array(own))).alias("x")).select("x.*")
     label = F.coalesce(F.when(F.trim("source") != "", F.trim("source")), F.lit("UNKNOWN"))
     digest = F.substring(F.sha2(F.coalesce("context", F.lit("null")), 256), 1, 16)
     given = F.when(F.trim("context_id") != "", F.trim("context_id"))
-    return rows.withColumn("source", label).filter(F.col("source").rlike(glob_to_regex(source))).withColumn("context_id", F.coalesce(given, F.concat_ws(":", "source", digest)))
+    return rows.withColumn("source", label).filter(F.col("source").rlike(glob_to_regex(source))).withColumn("context_id", F.coalesce(given, F.concat_ws(":", "source", digest))), bad
 
 
 def verify_sealed_lines(lines: DataFrame, schema_version: str, row: T.StructType, producer: str, seq: str, ts: str) -> DataFrame:
