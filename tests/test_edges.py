@@ -333,3 +333,29 @@ def test_partitions_without_candidates(spark):
     got = {r.p: r for r in rollups.candidate_partition_diagnosis(parts, rows, ["p"], "i", "f").collect()}
     assert [got[p].classification for p in (1, 2, 3)] == ["AMBIGUOUS", "UNIQUE", "EMPTY"]
     assert (got[1].identity_multiplicity, got[1].fact_multiplicity, got[3].identity_multiplicity, got[3].candidates) == ("1x1 2x1", "3x1", "", 0)
+
+
+def test_value_chain_pairs_over_tiles(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    ops = [(rng.choice("ab"), i, rng.choice([None, 1, 2, 3]), rng.choice([1, 2, 3]), rng.randint(0, 2)) for i in range(90)]
+    df = spark.createDataFrame(ops, "t string, p int, o int, n int, s int")
+    live = [x for x in ops if x[2] is not None and x[2] != x[3]]
+    want = sorted((a[0], a[1], b[1], b[2], a[4], b[4]) for a in live for b in live if a[0] == b[0] and a[1] < b[1] and a[3] == b[2] and a[2] != b[3] and a[4] != b[4])
+    for tile in (3, 4096):
+        monkeypatch.setattr(pairing, "TILE", tile)
+        assert sorted(map(tuple, pairing.value_chain_pairs(df, ["t"], "p", "o", "n", "s").collect())) == want
+    assert want
+
+
+def test_recently_hot_items(spark):
+    import random
+
+    rng = random.Random(9)
+    published = [(g, p, i) for g in (1, 2) for p in range(1, 40) for i in {rng.choice("xyz"), rng.choice("xyz")}]
+    asked = [(100 * g + p, g, p, i) for g in (1, 2) for p in range(0, 42, 3) for i in "xyz"]
+    for threshold in (1, 2, 4):
+        got = pairing.recent_hot_items(spark.createDataFrame(published, "g int, p long, i string"), spark.createDataFrame(asked, "c int, g int, p long, i string"), "g", "p", ["i"], "c", window=6, threshold=threshold)
+        want = sorted((c, i) for c, g, p, i in asked if sum(1 for a, q, j in published if a == g and j == i and p - 6 < q <= p) >= threshold)
+        assert sorted(map(tuple, got.collect())) == want and want

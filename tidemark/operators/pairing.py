@@ -127,6 +127,31 @@ def value_chains(ops: DataFrame, target: Sequence[str], pos: str, old: str, new:
     return rows.filter("_is_b = 1").select(*target, F.col("_p").alias(pos), F.col("_v").alias("via_value"), F.col("_s").alias(segment), pairs.alias("pair_count"), F.col("_latest.p").alias("same_value_pos"), F.col("_latest.s").alias("same_value_segment"))
 
 
+#: Updates of one value that meet in one task when pairs are listed.
+TILE = 4096
+
+
+def value_chain_pairs(ops: DataFrame, target: Sequence[str], pos: str, old: str, new: str, segment: str) -> DataFrame:
+    """Pairs of an update B and an earlier update A of its target with ``A.new = B.old`` that start elsewhere and lie in
+    another segment: ``target, first, second, via_value, first_segment, second_segment`` (A is the first).
+
+    The output of a hot value grows with the square of its updates, so it is spread by its size: the updates of a value are
+    cut by position into tiles, and only pairs of tiles that can hold an earlier A meet. A row is copied once per tile it
+    meets, one copy for ``TILE`` possible pairs.
+    """
+    live = ops.filter(F.col(old).isNotNull() & F.col(new).isNotNull() & (F.col(old) != F.col(new)))
+    side = lambda is_b, via, other: live.select(*target, F.col(pos).alias("_p"), F.lit(is_b).alias("_is_b"), F.col(via).alias("via_value"), F.col(segment).alias("_s"), F.col(other).alias("_w"))
+    rows = side(1, old, new).unionByName(side(0, new, old)).withColumn("_b_first", 1 - F.col("_is_b"))
+    keys = [*target, "via_value"]
+    rows = ordered_scan(rows, keys, ["_p", "_b_first"], rank="_r", total={"_n": Running("sum", F.lit(1))})
+    tile = lambda c: F.floor((c - 1) / TILE)
+    rows = rows.withColumns({"_t": tile(F.col("_r")), "_last": tile(F.col("_n"))})
+    first = rows.filter("_is_b = 0").select(*keys, F.col("_t").alias("_i"), F.explode(F.sequence("_t", "_last")).alias("_j"), F.col("_p").alias("first"), F.col("_s").alias("first_segment"), F.col("_w").alias("_from"))
+    second = rows.filter("_is_b = 1").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_t")).alias("_i"), F.col("_t").alias("_j"), F.col("_p").alias("second"), F.col("_s").alias("second_segment"), F.col("_w").alias("_to"))
+    met = first.join(second, [*keys, "_i", "_j"])
+    return met.filter("first < second AND _from <> _to AND first_segment <> second_segment").select(*target, "first", "second", "via_value", "first_segment", "second_segment")
+
+
 def segment_overlap_semi(questions: DataFrame, row_id: Sequence[str], segments: str, transitions: DataFrame, scope: Sequence[str], segment: str) -> DataFrame:
     """Questions whose provenance segments meet a transition segment of their scope."""
     touched = transitions.select(*scope, segment).distinct()

@@ -149,6 +149,16 @@ def operations(spark, sf):
 @query(
     "value_chain_pairs",
     f"""WITH {EV}, {OPS}, l AS (SELECT * FROM op WHERE old_value IS NOT NULL AND old_value <> new_value)
+ SELECT a.stream, a.kind, a.seq AS first, b.seq AS second, b.old_value AS via_value, a.segment AS first_segment, b.segment AS second_segment
+ FROM l a JOIN l b ON a.stream = b.stream AND a.kind = b.kind AND a.new_value = b.old_value AND a.seq < b.seq WHERE a.segment <> b.segment AND a.old_value <> b.new_value""",
+)
+def _(spark, sf):
+    return pr.value_chain_pairs(operations(spark, sf), ["stream", "kind"], "seq", "old_value", "new_value", "segment")
+
+
+@query(
+    "value_chain_counts",
+    f"""WITH {EV}, {OPS}, l AS (SELECT * FROM op WHERE old_value IS NOT NULL AND old_value <> new_value)
  SELECT b.stream, b.kind, b.seq, b.old_value AS via_value, b.segment, count(a.seq) FILTER (a.segment <> b.segment AND a.old_value <> b.new_value) AS pair_count, max(a.seq) AS same_value_pos, arg_max(a.segment, a.seq) AS same_value_segment
  FROM l b LEFT JOIN l a ON a.stream=b.stream AND a.kind=b.kind AND a.new_value=b.old_value AND a.seq<b.seq GROUP BY ALL""",
 )

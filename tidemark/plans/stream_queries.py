@@ -153,14 +153,21 @@ def streamed_findings(spark, log):
 
 @query(
     "telemetry_windows",
-    """WITH e AS (SELECT event_type, ts, epoch_us(ts) AS us, CAST(round(value*100) AS BIGINT) AS c FROM events) SELECT (us // 3600000000) * 3600000000 AS window_start_us, event_type, count(*) AS samples, round(least(1.0, count(*)/4.0::DOUBLE),6) AS coverage, round(CAST(sum(c) AS DOUBLE)/count(*),6) AS gauge_mean, max(c) AS gauge_max, max(us)-min(us) AS span_us FROM e GROUP BY ALL""",
+    """WITH e AS (SELECT event_type, ts, epoch_us(ts) AS us, CAST(round(value*100) AS BIGINT) AS c FROM events), w AS (SELECT (us // 3600000000) * 3600000000 AS window_start_us, event_type, count(*) AS samples, round(least(1.0, count(*)/4.0::DOUBLE),6) AS coverage, round(CAST(sum(c) AS DOUBLE)/count(*),6) AS gauge_mean, max(c) AS gauge_max, max(us)-min(us) AS span_us FROM e GROUP BY ALL),
+ d AS (SELECT event_type, us, us - lag(us) OVER (PARTITION BY event_type ORDER BY us) AS gap FROM (SELECT DISTINCT event_type, us FROM e)),
+ g AS (SELECT event_type, (us // 3600000000) * 3600000000 AS window_start_us, count(gap) AS gaps, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS l FROM d GROUP BY ALL)
+ SELECT w.*, gaps, l[CAST(ceil(0.5 * gaps) AS BIGINT)] AS gap_p50_us, l[CAST(ceil(0.95 * gaps) AS BIGINT)] AS gap_p95_us, l[gaps] AS gap_max_us FROM w JOIN g USING (event_type, window_start_us)""",
 )
 def _(spark, sf):
     rows = with_cents(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("event_id", "event_type", "ts", "cents")
     path = staged(spark, rows, "telemetry")
     build = lambda s: so.telemetry_windows(s, ["event_type"], "ts", "cents", delay="1 hour", window="1 hour", expected=4)
     out = append_to_end(spark, path, rows.schema, build, heartbeat_of(spark, rows), "telemetry")
-    return rounded(out, 6, "coverage", "gauge_mean")
+    closed = out.select("event_type", "window_start_us", "times_us")
+    beat = closed.orderBy(F.col("window_start_us").desc()).limit(1).withColumns({"window_start_us": F.col("window_start_us") + 100 * 366 * 86_400_000_000, "event_type": F.lit("")})
+    with rocksdb_state(spark):
+        gaps = append_to_end(spark, staged(spark, closed, "windows"), closed.schema, lambda s: so.window_gaps(s, ["event_type"], delay="1 hour"), beat, "gaps")
+    return rounded(out.drop("times_us").join(gaps.filter("event_type <> ''"), ["event_type", "window_start_us"]), 6, "coverage", "gauge_mean")
 
 
 @query("recent_hot_keys", f"WITH {EV} SELECT stream, seq, kind FROM (SELECT a.stream, a.seq, a.kind, count(*) AS c FROM ev a JOIN ev b ON a.stream=b.stream AND a.kind=b.kind AND b.seq<=a.seq AND b.seq>a.seq-8 GROUP BY ALL) WHERE c >= 3")
@@ -206,7 +213,7 @@ def _(spark, sf):
     out, checkpoint = fresh_path(spark, "dedup-out"), fresh_path(spark, "dedup-checkpoint")
     stream = so.exactly_once(spark.readStream.schema(rows.schema).parquet(path), ["event_id"], "ts", delay="1 hour").drop("ts")
     run_available(stream, out, checkpoint)
-    seen = so.latest_of(update_to_end(so.copies(spark.readStream.schema(rows.schema).parquet(path), ["event_id"]), "copies"), ["event_id"], ["copies"])
+    seen = append_to_end(spark, path, rows.schema, lambda s: so.copies(s, ["event_id"], "ts", delay="1 hour"), heartbeat_of(spark, rows), "copies")
     return spark.read.schema(stream.schema).parquet(out).join(seen, "event_id").withColumn("dropped", F.col("copies") - 1).drop("copies")
 
 

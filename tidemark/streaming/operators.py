@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -347,17 +348,69 @@ def frontier_publications(transitions: DataFrame, stream: str, source: str, stat
 
 
 def telemetry_windows(samples: DataFrame, keys: Sequence[str], event_time: str, gauge: str, *, delay: str, window: str, expected: int, slide: str | None = None) -> DataFrame:
-    """Samples, coverage and gauge mean per window and key."""
+    """Samples, coverage and gauge mean per window and key, and the distinct times of the samples (``times_us``, in order)."""
     spans = F.window(event_time, window, slide) if slide else F.window(event_time, window)
     n = F.count(F.lit(1))
+    times = F.array_sort(F.collect_set(F.unix_micros(event_time)))
     rows = samples.withWatermark(event_time, delay).groupBy(spans.alias("w"), *keys).agg(
-        n.alias("samples"), F.sum(gauge).alias("gauge_sum"), F.max(gauge).alias("gauge_max"), (F.unix_micros(F.max(event_time)) - F.unix_micros(F.min(event_time))).alias("span_us")
+        n.alias("samples"), F.sum(gauge).alias("gauge_sum"), F.max(gauge).alias("gauge_max"), (F.unix_micros(F.max(event_time)) - F.unix_micros(F.min(event_time))).alias("span_us"), times.alias("times_us")
     )
     return rows.select(
-        F.unix_micros("w.start").alias("window_start_us"), *keys, "samples", F.least(F.lit(1.0), F.col("samples") / F.lit(float(expected))).alias("coverage"), ratio(F.col("gauge_sum"), F.col("samples")).alias("gauge_mean"), "gauge_max", "span_us"
+        F.unix_micros("w.start").alias("window_start_us"), *keys, "samples", F.least(F.lit(1.0), F.col("samples") / F.lit(float(expected))).alias("coverage"), ratio(F.col("gauge_sum"), F.col("samples")).alias("gauge_mean"), "gauge_max", "span_us", "times_us"
     )
 
 
+def window_gaps(windows: DataFrame, keys: Sequence[str], *, delay: str) -> DataFrame:
+    """Gaps between neighbouring samples per window, from the closed windows of :func:`telemetry_windows` (not sliding ones).
+
+    ``gaps``, ``gap_p50_us``, ``gap_p95_us`` (nearest rank) and ``gap_max_us``. The gap over a border belongs to the window of
+    its later sample. State per key is the last sample of the windows given out and the windows still waiting: a window is
+    given out once the watermark has passed its start, so windows may come in any order. Needs the RocksDB state store.
+    """
+    key_fields = [windows.schema[k] for k in keys]
+    longs = [T.StructField(n, T.LongType()) for n in ("window_start_us", "gaps", "gap_p50_us", "gap_p95_us", "gap_max_us")]
+    out = T.StructType([*key_fields, *longs])
+
+    class Gaps(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at bigint")
+            self.waiting = handle.getListState("waiting", "start bigint, times array<bigint>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = [(int(a), [int(t) for t in b]) for df in rows for a, b in zip(df["window_start_us"], df["times_us"])]
+            yield self._advance(key, came, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield self._advance(key, [], timerValues)
+
+        def close(self) -> None:
+            pass
+
+        def _advance(self, key, came: list, timerValues) -> pd.DataFrame:
+            mark = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted([*came, *[(int(a), list(b)) for a, b in self.waiting.get()]]) if self.waiting.exists() else sorted(came)
+            last = self.last.get()[0] if self.last.exists() else None
+            later = [w for w in held if w[0] > mark]
+            found = []
+            for start, times in (w for w in held if w[0] <= mark):
+                gaps = np.sort(np.diff(np.array(([] if last is None else [last]) + times, np.int64)))
+                at = lambda q: int(gaps[max(0, -(-int(q * len(gaps)) // 100) - 1)]) if len(gaps) else None
+                found.append((*key, start, len(gaps), at(50), at(95), at(100)))
+                last = times[-1] if last is None else max(last, times[-1])
+            if found:
+                self.last.update((last,))
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(max(-(-later[-1][0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            elif self.waiting.exists():
+                self.waiting.clear()
+            return pd.DataFrame({f.name: pd.Series([r[i] for r in found], dtype="object") for i, f in enumerate(out.fields)})
+
+    keyed = windows.withColumn("_at", F.timestamp_micros("window_start_us")).withWatermark("_at", delay).select(*keys, "window_start_us", "times_us")
+    return keyed.groupBy(*keys).transformWithStateInPandas(Gaps(), out, "Append", "EventTime")
+
+
 def idle_sessions(activity: DataFrame, keys: Sequence[str], event_time: str, *, delay: str, gap: str) -> DataFrame:
     """Busy sessions per key; the idle time between two of them lasts at least ``gap``."""
     rows = activity.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap).alias("s"), *keys).agg(F.count(F.lit(1)).alias("events"))
@@ -369,9 +422,13 @@ def exactly_once(rows: DataFrame, row_id: Sequence[str], event_time: str, *, del
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(row_id))
 
 
-def copies(rows: DataFrame, row_id: Sequence[str]) -> DataFrame:
-    """How often each id has come so far, as an update-mode aggregation: all but one copy are what :func:`exactly_once` drops."""
-    return rows.groupBy(*row_id).agg(F.count(F.lit(1)).alias("copies"))
+def copies(rows: DataFrame, row_id: Sequence[str], event_time: str, *, delay: str) -> DataFrame:
+    """How often each id came while copies still fell within ``delay`` of each other: what :func:`exactly_once` drops, and the one it keeps.
+
+    An id is counted in a session that closes ``delay`` after its last copy, so its state leaves with the watermark.
+    """
+    counted = rows.withWatermark(event_time, delay).groupBy(F.session_window(event_time, delay).alias("_s"), *row_id).agg(F.count(F.lit(1)).alias("copies"))
+    return counted.select(*row_id, "copies")
 
 
 def run_progress(journal: DataFrame, run: str, state: str) -> DataFrame:
