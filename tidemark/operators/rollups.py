@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -312,8 +313,39 @@ def opportunity_funnel(df: DataFrame, keys: Sequence[str], chance: str, conflict
     )
 
 
-def validated_reuse_summary(df: DataFrame, kind: str, shadow: str, exact: str, shadow_digest: str, exact_digest: str, service: str, capture_cost: str, check_cost: str) -> DataFrame:
-    """Stable, unstable, opaque, hit and miss counts by kind (and in total, kind NULL), hideable and net service time."""
+@dataclass(frozen=True)
+class ReuseThresholds:
+    """Least shares of early, stable and hit operators, and least net value, for a go."""
+
+    early: float = 0.05
+    stable: float = 0.5
+    hit: float = 0.1
+    net_ns: int = 1
+
+
+def validated_reuse_summary(
+    df: DataFrame,
+    kind: str,
+    shadow: str,
+    exact: str,
+    shadow_digest: str,
+    exact_digest: str,
+    service: str,
+    capture_cost: str,
+    check_cost: str,
+    *,
+    ready: str,
+    early: str,
+    side_effects: Sequence[str],
+    gates: Column,
+    thresholds: ReuseThresholds = ReuseThresholds(),
+) -> DataFrame:
+    """Stable, unstable, opaque, hit and miss counts by kind (and in total, kind NULL), hideable and net service time, and a verdict.
+
+    ``ready`` says whether an operator was known to be ready, ``early`` whether before its artifact was; ``side_effects`` are
+    counts that must be 0 and ``gates`` a condition that must hold for every row. ``status`` and ``reason`` follow the first
+    rule that fails: instrumentation, early share, stable share of the attempts, hit rate, net value.
+    """
     tried = F.col(shadow).isNotNull()
     stable = tried & (F.col(shadow) == "STABLE")
     again = stable & F.col(exact).isNotNull()
@@ -322,6 +354,9 @@ def validated_reuse_summary(df: DataFrame, kind: str, shadow: str, exact: str, s
     unstable = (tried & (F.col(shadow) == "UNSTABLE")) | (again & (F.col(exact) == "UNSTABLE"))
     opaque = tried & ~stable & (F.col(shadow) != "UNSTABLE") | (stable & ~again) | (again & ~both & (F.col(exact) != "UNSTABLE"))
     t = _true
+    unsafe = ~F.coalesce(gates, F.lit(False))
+    for c in side_effects:
+        unsafe = unsafe | (F.coalesce(F.col(c), F.lit(1)) > 0)
     rows = df.rollup(kind).agg(
         t(tried).alias("attempts"),
         t(stable).alias("stable"),
@@ -329,10 +364,24 @@ def validated_reuse_summary(df: DataFrame, kind: str, shadow: str, exact: str, s
         t(opaque).alias("opaque"),
         t(hit).alias("hits"),
         t(miss).alias("misses"),
+        t(F.col(ready)).alias("locally_ready"),
+        t(F.col(ready) & F.col(early)).alias("ready_early"),
+        t(unsafe).alias("unsafe_rows"),
         _sum_if(F.coalesce(hit, F.lit(False)), F.col(service)).alias("hideable_ns"),
         F.sum(F.col(capture_cost) + F.col(check_cost)).alias("cost_ns"),
     )
-    return rows.withColumns({"hit_rate": ratio(F.col("hits"), F.col("hits") + F.col("misses")), "net_ns": F.col("hideable_ns") - F.col("cost_ns")})
+    rows = rows.withColumns({"hit_rate": ratio(F.col("hits"), F.col("hits") + F.col("misses")), "net_ns": F.col("hideable_ns") - F.col("cost_ns")})
+    rules = [
+        (F.col("unsafe_rows") > 0, "STOP_INSTRUMENTATION_FAILURE", "OFFLINE_OR_CAPTURE_CORRECTNESS_GATE_FAILED"),
+        (F.col("ready_early") < thresholds.early * F.greatest(F.col("locally_ready"), F.lit(1)), "STOP_MEG_NO_FINER_GRAINED_WINDOW", "LOCAL_READINESS_NOT_MATERIALLY_EARLIER"),
+        ((F.col("attempts") == 0) & F.lit(thresholds.stable > 0) | (F.col("stable") < thresholds.stable * F.col("attempts")), "STOP_READVIEW_UNSTABLE", "STABLE_READVIEW_FRACTION_BELOW_THRESHOLD"),
+        (F.col("hit_rate").isNull() | (F.col("hit_rate") < thresholds.hit), "STOP_VALIDATED_CONTINUATION_LOW_STABILITY", "VALIDATION_HIT_FRACTION_BELOW_THRESHOLD"),
+        (F.coalesce(F.col("net_ns"), F.lit(0)) < thresholds.net_ns, "STOP_VALIDATED_CONTINUATION_LOW_STABILITY", "NON_POSITIVE_SHADOW_UPPER_BOUND_VALUE"),
+    ]
+    status, reason = F.lit("GO_VALIDATED_SEMANTIC_CONTINUATION"), F.lit("ALL_VALIDATED_CONTINUATION_GATES_PASSED")
+    for fails, verdict, why in reversed(rules):
+        status, reason = F.when(fails, verdict).otherwise(status), F.when(fails, why).otherwise(reason)
+    return rows.withColumns({"status": status, "reason": reason}).drop("unsafe_rows")
 
 
 def hideable_service(df: DataFrame, keys: Sequence[str], dependency: str, prepared: str, probe_done: str, published: str, matches: str, service: str) -> DataFrame:

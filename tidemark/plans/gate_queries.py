@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import gates as gt
 from tidemark.operators import rollups as ru
-from tidemark.plans.inputs import EV, QA, RUNS, judged, runs, sequenced, table
+from tidemark.plans.inputs import EV, QA, RUNS, judged, runs, table
 from tidemark.plans.registry import query
-from tidemark.plans.rollup_queries import FUNNEL_SQL, OBS, funnel
+from tidemark.plans.rollup_queries import BROKEN_SQL, FUNNEL_SQL, OBS, broken_publication, funnel
 from tidemark.plans.statistic_queries import rounded
 
 
@@ -97,15 +97,14 @@ def _(spark, sf):
 
 @query(
     "invariant_report",
-    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 23 = 0),
- tn AS (SELECT stream, count(*) FILTER (b > seq) AS turned FROM (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY publish_ns, seq) AS b FROM pb) GROUP BY 1), p AS (SELECT e.stream, e.seq, count(b.seq) AS n FROM ev e LEFT JOIN pb b ON e.stream=b.stream AND e.seq=b.seq GROUP BY ALL), q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate, coalesce(max(turned),0) AS turned FROM p LEFT JOIN tn USING (stream) GROUP BY 1),
- v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS temporal, count(*) FILTER (event_id % 31 = 0) AS service FROM ev GROUP BY 1)
- SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+turned>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, temporal, service, CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(lost+duplicate+turned>0 AS INT)+CAST(temporal>0 AS INT)+CAST(service>0 AS INT) AS direct_violation_kinds,
- CAST(stream % 4 = 0 AS INT)+CAST(stream % 6 = 0 AS INT) AS confounded_kinds, stream % 4 = 0 AS graph_mismatch, stream % 6 = 0 AS retrieval_mismatch FROM q JOIN v USING (stream)""",
+    f"""WITH {EV}, {BROKEN_SQL}, v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS temporal, count(*) FILTER (event_id % 31 = 0) AS service FROM ev GROUP BY 1),
+ w AS (SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+turned>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, temporal, service, endpoint_missing, endpoint_escape, provenance_dangling, provenance_cross_namespace, validity_reversed FROM q JOIN v USING (stream) JOIN gc USING (stream))
+ SELECT *, CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(order_violation>0 AS INT)+CAST(temporal>0 AS INT)+CAST(service>0 AS INT)+CAST(endpoint_missing>0 AS INT)+CAST(endpoint_escape>0 AS INT)+CAST(provenance_dangling>0 AS INT)+CAST(provenance_cross_namespace>0 AS INT)+CAST(validity_reversed>0 AS INT) AS direct_violation_kinds,
+ CAST(stream % 4 = 0 AS INT)+CAST(stream % 6 = 0 AS INT) AS confounded_kinds, stream % 4 = 0 AS graph_mismatch, stream % 6 = 0 AS retrieval_mismatch FROM w""",
 )
 def _(spark, sf):
     e, s = F.col("event_id"), F.col("stream")
-    rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns")
-    published = rows.filter(e % 17 != 0).unionByName(rows.filter(e % 23 == 0))
-    counts = ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"temporal": e % 29 == 0, "service": e % 31 == 0}).drop("total", "violated_categories")
-    return gt.invariant_report(counts, ["lost", "duplicate", "order_violation", "temporal", "service"], {"graph_mismatch": s % 4 == 0, "retrieval_mismatch": s % 6 == 0})
+    rows, published, graph = broken_publication(spark, sf)
+    kinds = ["lost", "duplicate", "order_violation", "temporal", "service", *[c for c in graph.columns if c != "stream"]]
+    counts = ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"temporal": e % 29 == 0, "service": e % 31 == 0}, graph=graph).drop("total", "violated_categories")
+    return gt.invariant_report(counts, kinds, {"graph_mismatch": s % 4 == 0, "retrieval_mismatch": s % 6 == 0})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.digests import multiset_digest, row_hash
 from tidemark.operators import rollups as ru
+from tidemark.operators import snapshots as sn
 from tidemark.operators import statistics as st
 from tidemark.operators.ordered import Running, ordered_scan
 from tidemark.plans.inputs import EV, LINES, QA, ROOTS, RUNS, judged, lifecycle, line_spans, root_spans, runs, sequenced, table, turns, whole
@@ -325,19 +326,39 @@ def _(spark, sf):
 
 @query(
     "validated_reuse_summary",
-    f"""WITH {EV}, v AS (SELECT kind, cents, CASE cents % 5 WHEN 0 THEN NULL WHEN 1 THEN 'UNSTABLE' WHEN 2 THEN 'OPAQUE' ELSE 'STABLE' END AS sh, CASE cents % 7 WHEN 0 THEN NULL WHEN 1 THEN 'UNSTABLE' WHEN 2 THEN 'OPAQUE' ELSE 'STABLE' END AS ex, cents % 3 AS ds, cents % 9 % 3 AS dx, event_id FROM ev),
- w AS (SELECT *, sh='STABLE' AND ex='STABLE' AND (ds = event_id % 3) AS hit, sh='STABLE' AND ex='STABLE' AND (ds <> event_id % 3) AS miss FROM v)
- SELECT kind, count(sh) AS attempts, count(*) FILTER (sh='STABLE') AS stable, count(*) FILTER (sh='UNSTABLE' OR (sh='STABLE' AND ex='UNSTABLE')) AS unstable, count(*) FILTER (sh='OPAQUE' OR (sh='STABLE' AND ex IS NULL) OR (sh='STABLE' AND ex='OPAQUE')) AS opaque,
- count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, CAST(sum(CASE WHEN hit THEN cents ELSE 0 END) AS BIGINT) AS hideable_ns, CAST(sum(20) AS BIGINT) AS cost_ns,
- round(CAST(count(*) FILTER (hit) AS DOUBLE)/(count(*) FILTER (hit)+count(*) FILTER (miss)),6) AS hit_rate, CAST(sum(CASE WHEN hit THEN cents ELSE 0 END) - sum(20) AS BIGINT) AS net_ns FROM w GROUP BY ROLLUP (kind)""",
-)
-def _(spark, sf):
-    c = F.col("cents")
-    state = lambda m: F.when(c % m == 0, F.lit(None).cast("string")).when(c % m == 1, "UNSTABLE").when(c % m == 2, "OPAQUE").otherwise("STABLE")
+    f"""WITH {EV}, k AS (SELECT *, CASE WHEN stream % 4 = 0 THEN kind || '-slow' ELSE kind || '-' || stream % 4 END AS lane FROM ev),
+ v AS (SELECT lane AS kind, cents, event_id, CASE WHEN stream % 4 = 1 AND kind <> 'error' OR cents % 5 > 2 THEN 'STABLE' WHEN cents % 5 = 0 THEN NULL WHEN cents % 5 = 1 THEN 'UNSTABLE' ELSE 'OPAQUE' END AS sh, CASE cents % 7 WHEN 0 THEN NULL WHEN 1 THEN 'UNSTABLE' WHEN 2 THEN 'OPAQUE' ELSE 'STABLE' END AS ex,
+  CASE WHEN kind = 'click' THEN 0 ELSE cents % 3 END = event_id % 3 AS eq, event_id % 5 <> 2 AS rd, stream % 4 <> 0 AND cents % 2 = 0 AS ea, CASE WHEN kind = 'signup' AND event_id % 50 = 7 THEN 1 ELSE 0 END AS wr, CASE WHEN stream % 4 = 2 THEN 9000 ELSE 12 END + 8 AS co, NOT (kind = 'error' AND event_id % 90 = 3) AS ga FROM k),
+ w AS (SELECT *, sh='STABLE' AND ex='STABLE' AND eq AS hit, sh='STABLE' AND ex='STABLE' AND NOT eq AS miss FROM v),
+ r AS (SELECT kind, count(sh) AS attempts, count(*) FILTER (sh='STABLE') AS stable, count(*) FILTER (sh='UNSTABLE' OR (sh='STABLE' AND ex='UNSTABLE')) AS unstable, count(*) FILTER (sh='OPAQUE' OR (sh='STABLE' AND ex IS NULL) OR (sh='STABLE' AND ex='OPAQUE')) AS opaque,
+ count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, count(*) FILTER (rd) AS locally_ready, count(*) FILTER (rd AND ea) AS ready_early, count(*) FILTER (wr > 0 OR NOT ga) AS bad, CAST(sum(CASE WHEN hit THEN cents ELSE 0 END) AS BIGINT) AS hideable_ns, CAST(sum(co) AS BIGINT) AS cost_ns FROM w GROUP BY ROLLUP (kind)),
+ q AS (SELECT *, CASE WHEN hits + misses > 0 THEN CAST(hits AS DOUBLE)/(hits+misses) END AS hr, hideable_ns - cost_ns AS net_ns FROM r),
+ z AS (SELECT *, CASE WHEN bad > 0 THEN 1 WHEN CAST(ready_early AS DOUBLE)/greatest(locally_ready, 1) < 0.05 THEN 2 WHEN attempts = 0 OR CAST(stable AS DOUBLE)/attempts < 0.5 THEN 3 WHEN hr IS NULL OR hr < 0.1 THEN 4 WHEN net_ns < 1 THEN 5 ELSE 6 END AS rule FROM q)
+ SELECT kind, attempts, stable, unstable, opaque, hits, misses, locally_ready, ready_early, hideable_ns, cost_ns, round(hr, 6) AS hit_rate, net_ns,
+ ['STOP_INSTRUMENTATION_FAILURE', 'STOP_MEG_NO_FINER_GRAINED_WINDOW', 'STOP_READVIEW_UNSTABLE', 'STOP_VALIDATED_CONTINUATION_LOW_STABILITY', 'STOP_VALIDATED_CONTINUATION_LOW_STABILITY', 'GO_VALIDATED_SEMANTIC_CONTINUATION'][rule] AS status,
+ ['OFFLINE_OR_CAPTURE_CORRECTNESS_GATE_FAILED', 'LOCAL_READINESS_NOT_MATERIALLY_EARLIER', 'STABLE_READVIEW_FRACTION_BELOW_THRESHOLD', 'VALIDATION_HIT_FRACTION_BELOW_THRESHOLD', 'NON_POSITIVE_SHADOW_UPPER_BOUND_VALUE', 'ALL_VALIDATED_CONTINUATION_GATES_PASSED'][rule] AS reason FROM z""",
+)
+def _(spark, sf):
+    c, e, k = F.col("cents"), F.col("event_id"), F.col("kind")
+    lane = F.col("stream") % 4
+    other = F.when(c % 5 == 0, F.lit(None).cast("string")).when(c % 5 == 1, "UNSTABLE").otherwise("OPAQUE")
+    exact = F.when(c % 7 == 0, F.lit(None).cast("string")).when(c % 7 == 1, "UNSTABLE").when(c % 7 == 2, "OPAQUE").otherwise("STABLE")
     rows = lifecycle(spark, sf).select(
-        "kind", "cents", state(5).alias("sh"), state(7).alias("ex"), (c % 3).alias("ds"), (F.col("event_id") % 3).alias("dx"), F.lit(12).cast("long").alias("capture"), F.lit(8).cast("long").alias("check")
+        F.concat(k, F.when(lane == 0, "-slow").otherwise(F.concat(F.lit("-"), lane))).alias("kind"),
+        "cents",
+        F.when(((lane == 1) & (k != "error")) | (c % 5 > 2), "STABLE").otherwise(other).alias("sh"),
+        exact.alias("ex"),
+        F.when(k == "click", 0).otherwise(c % 3).alias("ds"),
+        (e % 3).alias("dx"),
+        F.when(lane == 2, 9000).otherwise(12).cast("long").alias("capture"),
+        F.lit(8).cast("long").alias("check"),
+        (e % 5 != 2).alias("ready"),
+        ((lane != 0) & (c % 2 == 0)).alias("early"),
+        F.when((k == "signup") & (e % 50 == 7), 1).otherwise(0).alias("writes"),
+        (~((k == "error") & (e % 90 == 3))).alias("gate"),
     )
-    return rounded(ru.validated_reuse_summary(rows, "kind", "sh", "ex", "ds", "dx", "cents", "capture", "check"), 6, "hit_rate")
+    out = ru.validated_reuse_summary(rows, "kind", "sh", "ex", "ds", "dx", "cents", "capture", "check", ready="ready", early="early", side_effects=["writes"], gates=F.col("gate"))
+    return rounded(out, 6, "hit_rate")
 
 
 @query(
@@ -582,18 +603,40 @@ def _(spark, sf):
     return ru.retry_trajectory_summary(rows, ["conv_id"], "turn", "budget", "text", [0, 1], F.length("text") >= 40)
 
 
+BROKEN_SQL = """pb AS (SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 23 = 0),
+ tn AS (SELECT stream, count(*) FILTER (b > seq) AS turned FROM (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY publish_ns, seq) AS b FROM pb) GROUP BY 1), pp AS (SELECT e.stream, e.seq, count(b.seq) AS n FROM ev e LEFT JOIN pb b ON e.stream=b.stream AND e.seq=b.seq GROUP BY ALL),
+ q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate, coalesce(max(turned),0) AS turned FROM pp LEFT JOIN tn USING (stream) GROUP BY 1),
+ en AS (SELECT DISTINCT stream AS home, kind || '-' || stream AS node FROM ev WHERE stream % 9 <> 0 OR kind <> 'error'),
+ ed AS (SELECT stream, kind || '-' || CASE WHEN event_id % 43 = 0 THEN stream + 1 ELSE stream END AS source, kind || '-' || stream AS target, arrival_ns AS va, CASE WHEN event_id % 53 = 0 THEN arrival_ns - 1 END AS ia, CASE WHEN event_id % 47 = 0 THEN event_id + 1 ELSE event_id END AS pv FROM ev),
+ gp AS (SELECT stream, count(*) FILTER (home IS NULL) AS endpoint_missing, count(*) FILTER (home <> stream) AS endpoint_escape FROM (SELECT stream, source AS node FROM ed UNION ALL SELECT stream, target FROM ed) LEFT JOIN en USING (node) GROUP BY 1),
+ gv AS (SELECT ed.stream, count(*) FILTER (x.stream IS NULL) AS provenance_dangling, count(*) FILTER (x.stream <> ed.stream) AS provenance_cross_namespace FROM ed LEFT JOIN (SELECT DISTINCT event_id, stream FROM pb) x ON x.event_id = ed.pv GROUP BY 1),
+ gc AS (SELECT * FROM gp JOIN gv USING (stream) JOIN (SELECT stream, count(*) FILTER (ia < va) AS validity_reversed FROM ed GROUP BY 1) USING (stream))"""
+
+
+def broken_publication(spark, sf):
+    """Expected and published rows of every stream, some lost, some twice, and the integrity counts of the graph they make."""
+    e, s = F.col("event_id"), F.col("stream")
+    events = sequenced(spark, sf)
+    rows = events.select("stream", "seq", "event_id", "publish_ns")
+    published = rows.filter(e % 17 != 0).unionByName(rows.filter(e % 23 == 0))
+    node = lambda stream: F.concat("kind", F.lit("-"), stream)
+    entities = events.filter((s % 9 != 0) | (F.col("kind") != "error")).select("stream", node(s).alias("node")).distinct()
+    edges = events.select("stream", e.alias("edge_id"), node(F.when(e % 43 == 0, s + 1).otherwise(s)).alias("source"), node(s).alias("target"), F.col("arrival_ns").alias("valid_at"), F.when(e % 53 == 0, F.col("arrival_ns") - 1).alias("invalid_at"))
+    proof = edges.select("stream", "edge_id", F.when(F.col("edge_id") % 47 == 0, F.col("edge_id") + 1).otherwise(F.col("edge_id")).alias("episode_id"))
+    episodes = published.select("stream", F.col("seq").alias("name"), F.col("event_id").alias("episode_id"))
+    counts = sn.graph_integrity_counts(rows.select("stream", F.col("seq").alias("name")), episodes, entities, edges, proof, "stream")
+    # lost and duplicate publications are counted by themselves
+    return rows, published, counts.drop("lost_episodes", "duplicate_episodes", "unexpected_episodes")
+
+
 @query(
     "direct_violations",
-    f"""WITH {EV}, pb AS (SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 17 <> 0 UNION ALL SELECT stream, seq, event_id, publish_ns FROM ev WHERE event_id % 23 = 0),
- tn AS (SELECT stream, count(*) FILTER (b > seq) AS turned FROM (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY publish_ns, seq) AS b FROM pb) GROUP BY 1),
- c AS (SELECT e.stream, e.seq, count(p.seq) AS n FROM ev e LEFT JOIN pb p ON e.stream=p.stream AND e.seq=p.seq GROUP BY ALL),
- q AS (SELECT stream, count(*) FILTER (n=0) AS lost, CAST(sum(greatest(n-1,0)) AS BIGINT) AS duplicate FROM c GROUP BY 1),
- v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS visibility, count(*) FILTER (event_id % 31 = 0) AS temporal FROM ev GROUP BY 1),
- w AS (SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+coalesce(turned,0)>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, visibility, temporal FROM q JOIN v USING (stream) LEFT JOIN tn USING (stream))
- SELECT *, lost+duplicate+order_violation+visibility+temporal AS total, CAST(CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(order_violation>0 AS INT)+CAST(visibility>0 AS INT)+CAST(temporal>0 AS INT) AS INT) AS violated_categories FROM w""",
+    f"""WITH {EV}, {BROKEN_SQL}, v AS (SELECT stream, count(*) FILTER (event_id % 29 = 0) AS visibility, count(*) FILTER (event_id % 31 = 0) AS temporal FROM ev GROUP BY 1),
+ w AS (SELECT stream, lost, duplicate, CAST(CASE WHEN lost+duplicate+turned>0 THEN 1 ELSE 0 END AS BIGINT) AS order_violation, visibility, temporal, endpoint_missing, endpoint_escape, provenance_dangling, provenance_cross_namespace, validity_reversed FROM q JOIN v USING (stream) JOIN gc USING (stream))
+ SELECT *, lost+duplicate+order_violation+visibility+temporal+endpoint_missing+endpoint_escape+provenance_dangling+provenance_cross_namespace+validity_reversed AS total,
+ CAST(CAST(lost>0 AS INT)+CAST(duplicate>0 AS INT)+CAST(order_violation>0 AS INT)+CAST(visibility>0 AS INT)+CAST(temporal>0 AS INT)+CAST(endpoint_missing>0 AS INT)+CAST(endpoint_escape>0 AS INT)+CAST(provenance_dangling>0 AS INT)+CAST(provenance_cross_namespace>0 AS INT)+CAST(validity_reversed>0 AS INT) AS INT) AS violated_categories FROM w""",
 )
 def _(spark, sf):
     e = F.col("event_id")
-    rows = sequenced(spark, sf).select("stream", "seq", "event_id", "publish_ns")
-    published = rows.filter(e % 17 != 0).unionByName(rows.filter(e % 23 == 0))
-    return ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"visibility": e % 29 == 0, "temporal": e % 31 == 0})
+    rows, published, graph = broken_publication(spark, sf)
+    return ru.direct_violations(rows, published, ["stream"], "seq", ["publish_ns"], {"visibility": e % 29 == 0, "temporal": e % 31 == 0}, graph=graph)
