@@ -47,3 +47,24 @@ def test_bounds_hold_and_pruning_is_exact():
     for row, (rows, scores) in zip(a @ b.T, block_topk(a, b, 21)):
         bar = np.sort(row)[-21]
         assert set(rows) == set(np.flatnonzero(row >= bar)) and (scores == row[rows]).all()
+
+
+def test_every_query_prunes_for_itself():
+    rng = np.random.default_rng(2)
+    # steps over the segments: clusters that segment means tell apart
+    centres = np.repeat(rng.integers(-40, 40, (20, 8)), 8, axis=1)
+    near = lambda n: centres[rng.integers(0, 20, n)] + rng.integers(-3, 4, (n, 64))
+    a, b = near(40), near(4000)
+    shares = []
+    found = block_topk(a, b, 21, shares)
+    for row, (rows, scores) in zip(a @ b.T, found):
+        bar = np.sort(row)[-21]
+        assert set(rows) == set(np.flatnonzero(row >= bar)) and (scores == row[rows]).all()
+    assert all(x < 1 for x in shares) and shares == sorted(shares, reverse=True) and shares[-1] < 0.1
+
+
+def test_large_components_stay_exact():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-(2**26), 2**26, (5, 16)), rng.integers(-(2**26), 2**26, (300, 16))
+    for row, (rows, scores) in zip(a @ b.T, block_topk(a, b, 7)):
+        assert set(rows) == set(np.flatnonzero(row >= np.sort(row)[-7])) and (scores == row[rows]).all()

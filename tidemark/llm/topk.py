@@ -3,8 +3,9 @@
 Vectors are cut into equal segments, at several resolutions. A segment of length L with mean m and deviation s satisfies, for two
 vectors, ``inner product <= L * (m1 * m2 + s1 * s2)`` (Cauchy and Schwarz on the parts around the means); with the squared lengths this is the
 usual lower bound of the distance. Sums over segments bound the whole product, tighter with more segments. A block of queries meets a
-block of candidates from coarse to fine: the k-th best exact score so far is the bar, candidates whose bound stays below the bar of
-every query leave, and the survivors of the finest level are scored exactly. So pruning never loses a result.
+block of candidates from coarse to fine. Every query has survivors of its own: at each level those of highest bound are scored, the
+k-th best score so far is the query's bar, and candidates whose bound stays below it leave. Only what survives the finest level is
+scored, so pruning never loses a result.
 
 Equal vectors are one candidate that carries its ``k + 1`` smallest ids: no query can use more of them. Equal queries are searched once.
 Queries and candidates are dealt into blocks of bounded size; every pair of blocks is one group, so neither side is collected or sent whole.
@@ -27,9 +28,11 @@ from tidemark.llm.common import text_batches, written
 QUERY_BLOCK = 2_048
 CANDIDATE_BLOCK = 8_192
 #: Numbers of segments, coarse to fine.
-RESOLUTIONS = (4, 8, 16)
-#: Candidates of the best coarse bound that set the first bar.
+RESOLUTIONS = (4, 8, 16, 32)
+#: Candidates of the best bound that are scored at each level to raise the bar.
 PROBES = 64
+#: Below this share of survivors bounds are computed for these alone, not for the block.
+SPARSE = 0.1
 
 
 def segment_features(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -49,26 +52,40 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def block_topk(queries: np.ndarray, candidates: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the rows of all candidates that score at least its k-th best (ties whole), and their scores."""
+def block_topk(queries: np.ndarray, candidates: np.ndarray, k: int, shares: list[float] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the rows of all candidates that score at least its k-th best (ties whole), and their scores.
+
+    ``shares`` takes the share of (query, candidate) pairs that is left after each level.
+    """
     n = len(candidates)
     if n <= max(k, PROBES):
         scores = products(queries, candidates)
         return [_best(row, np.arange(n), k) for row in scores]
     q, c = queries.astype(np.float64), candidates.astype(np.float64)
-    slack = 1e-9 * (1 + float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1])
-    alive = np.arange(n)
-    bar = None
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    slack, small = 1e-9 * (1 + most), most < 2.0**53
+    score = lambda i, rows: np.rint(c[rows] @ q[i]).astype(np.int64) if small else candidates[rows] @ queries[i]
+    alive = np.ones((len(q), n), bool)
+    bars = np.full(len(q), -np.inf)
     for segments in RESOLUTIONS:
-        bound = segment_features(q, segments) @ segment_features(c[alive], segments).T
-        if bar is None:
-            # the candidates of highest bound are scored first; their k-th best is a bar that the true k-th best never falls below
-            probe = np.argpartition(bound, n - PROBES, axis=1)[:, n - PROBES :] if PROBES >= k else np.argsort(bound, axis=1)[:, -k:]
-            tried = np.stack([products(queries[i : i + 1], candidates[probe[i]])[0] for i in range(len(queries))])
-            bar = np.partition(tried, tried.shape[1] - k, axis=1)[:, tried.shape[1] - k]
-        alive = alive[(bound >= bar[:, None] - slack).any(axis=0)]
-    scores = products(queries, candidates[alive])
-    return [_best(row, alive, k) for row in scores]
+        if segments >= q.shape[1]:
+            break  # segments of one component: the bound is the score itself
+        fq, fc = segment_features(q, segments), segment_features(c, segments)
+        dense = fq @ fc.T if alive.mean() > SPARSE else None
+        for i in range(len(q)):
+            rows = np.flatnonzero(alive[i])
+            bound = dense[i, rows] if dense is not None else fc[rows] @ fq[i]
+            probe = rows[np.argpartition(bound, len(rows) - max(k, PROBES))[len(rows) - max(k, PROBES) :]] if len(rows) > max(k, PROBES) else rows
+            if len(probe) >= k:  # the k-th best of any candidates never lies above that of all
+                bars[i] = max(bars[i], np.partition(score(i, probe), len(probe) - k)[len(probe) - k])
+            alive[i, rows[bound < bars[i] - slack]] = False
+        if shares is not None:
+            shares.append(float(alive.mean()))
+    out = []
+    for i in range(len(q)):
+        rows = np.flatnonzero(alive[i])
+        out.append(_best(score(i, rows), rows, k))
+    return out
 
 
 def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
