@@ -51,24 +51,57 @@ def paths_both_ways(nodes: DataFrame, edges: DataFrame, graph: str, node: str, s
 
 
 def reach(starts: DataFrame, edges: DataFrame, graph: str, start: str, source: str, target: str) -> DataFrame:
-    """All ``(graph, start, node, distance)`` reachable from given start nodes, by frontier; swap the columns for ancestors.
+    """All ``(graph, start, node, distance)`` reachable from given start nodes; swap the columns for ancestors.
 
-    A node already reached is never expanded again: all levels stand in one folder, and a step is one anti-join with it. The
-    output is one row per start and reached node, so pick starts whose reaches do not all overlap (roots of a forest,
-    single operators), as a caller of the closure must.
+    The shape of the edges decides how, by two counts of degrees. Where every node has one edge out at most (up a forest), the
+    ways double in length each round, so there are as many rounds as the depth has bits. Where every node has one edge in at
+    most (down a forest), nothing can be reached twice, and a step reads the nodes of the step before. Otherwise a step is
+    also one anti-join with what is there already. The output is one row per start and reached node, so pick starts whose
+    reaches do not all overlap (roots of a forest, single operators), as a caller of the closure must.
     """
-    spark = edges.sparkSession
-    links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).distinct(), "reach-edges")
-    folder = fresh_path(spark, "reach-levels")
-    frontier = starts.select(graph, start, F.col(start).alias("node"), F.lit(0).alias("distance"))
-    schema = frontier.schema
+    links = cut_lineage(edges.select(graph, F.col(source).alias("_s"), F.col(target).alias("_t")).filter("_s IS NOT NULL AND _t IS NOT NULL").distinct(), "reach-edges")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("_s").alias("n")), F.struct(F.lit(1).alias("way"), F.col("_t").alias("n")))).alias("e")
+    degrees = links.select(graph, ends).groupBy(graph, "e").agg(F.count(F.lit(1)).alias("_d")).groupBy("e.way").agg(F.max("_d").alias("_d"))
+    most = {r["way"]: r["_d"] for r in degrees.collect()}
+    begin = starts.select(graph, start, F.col(start).alias("node"), F.lit(0).alias("distance")).distinct()
+    return _reach_doubling(begin, links, graph, start) if most.get(0, 0) <= 1 else _reach_steps(begin, links, graph, start, most[1] > 1)
+
+
+def _reach_doubling(begin: DataFrame, links: DataFrame, graph: str, start: str) -> DataFrame:
+    """Where edges lead to one node at most: after round t all ways of up to 2^t edges are known, and where 2^t edges lead."""
+    spark, folder = links.sparkSession, fresh_path(links.sparkSession, "reach-rounds")
+    jump, schema = links, begin.schema
+    there = begin
+    found, depth = 1, 0
+    while found:
+        far = there.withColumnRenamed("node", "_s").join(jump, [graph, "_s"]).select(graph, start, F.col("_t").alias("node"), (F.col("distance") + (1 << max(depth - 1, 0))).alias("distance"))
+        # only a way that runs into a cycle comes by a node again
+        new = far.filter(F.col("node") != F.col(start)).groupBy(graph, start, "node").agg(F.min("distance").cast("int").alias("distance"))
+        if depth:
+            new = new.join(there.select(graph, start, "node"), [graph, start, "node"], "left_anti")
+        seen = Observation()
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/round-{depth}")
+        found = int(seen.get["n"] or 0)
+        there = spark.read.schema(schema).parquet(f"{folder}/*")
+        if depth:
+            jump = cut_lineage(jump.join(jump.select(graph, F.col("_s").alias("_t"), F.col("_t").alias("_u")), [graph, "_t"]).select(graph, "_s", F.col("_u").alias("_t")), "reach-jumps")
+        depth += 1
+    return there
+
+
+def _reach_steps(begin: DataFrame, links: DataFrame, graph: str, start: str, meet: bool) -> DataFrame:
+    """Step by step; ``meet`` says whether ways can come together, so that a node may be there already."""
+    spark, folder = links.sparkSession, fresh_path(links.sparkSession, "reach-levels")
+    frontier, schema = begin, begin.schema
     found = depth = 1
     while found:
-        step = frontier.withColumnRenamed("node", "_s").join(links, [graph, "_s"]).select(graph, start, F.col("_t").alias("node"), F.lit(depth).alias("distance")).distinct()
-        if depth > 1:
-            step = step.join(spark.read.schema(schema).parquet(f"{folder}/*").select(graph, start, "node"), [graph, start, "node"], "left_anti")
+        step = frontier.withColumnRenamed("node", "_s").join(links, [graph, "_s"]).select(graph, start, F.col("_t").alias("node"), F.lit(depth).alias("distance"))
+        if meet:
+            step = step.distinct()
+            if depth > 1:
+                step = step.join(spark.read.schema(schema).parquet(f"{folder}/*").select(graph, start, "node"), [graph, start, "node"], "left_anti")
         seen = Observation()
-        step.filter(F.col("node") != F.col(start)).select(graph, start, "node", "distance").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/step-{depth}")
+        step.filter(F.col("node") != F.col(start)).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/step-{depth}")
         found = int(seen.get["n"] or 0)
         frontier = spark.read.schema(schema).parquet(f"{folder}/step-{depth}")
         depth += 1
