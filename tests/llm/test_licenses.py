@@ -105,3 +105,14 @@ def test_longer_rules_come_before_their_beginnings():
     assert len(seqs) == len(set(seqs))
     for i, s in enumerate(seqs):
         assert not any(t.startswith(s) for t in seqs[i + 1 :])
+
+
+def test_long_runs_of_end_marks(spark):
+    import time
+
+    n = 1_000_000
+    texts = ["." * n, "!?" * n + "x", "All rights reserved" + "." * n, ("." * 1000 + "x") * 500, "x" + ". " * n, ";" * n + " All rights reserved."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    started = time.perf_counter()
+    got = {r.doc_id: r.licenses for r in L.scan(df).collect()}
+    assert [i for i in got if got[i]] == [2, 5] and time.perf_counter() - started < 120

@@ -87,7 +87,8 @@ PERMISSIVE = ["MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Unlic
 #: Sentence ends of the SQL twin, which knows no wrapped sentences.
 BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|\n"
 #: The cutter, in order: comment marks at line starts go, sentence ends to ``|``, other characters to spaces, line ends bare, blank lines and what is around ends to ``|``.
-CUTS = [(r"\n[^a-z0-9\n]+", "\n"), (r"[.!?;:]+[\x20\x09-\x0D]+", "|"), (r"[^a-z0-9|\n]+", " "), (r" ?\n ?", "\n"), (r"\n\n+|[ \n]*\|[ |\n]*", "|")]
+#: A run of end marks is taken whole and from its first mark only, so that one that no white space follows costs its length once.
+CUTS = [(r"\n[^a-z0-9\n]+", "\n"), (r"(?<![.!?;:])[.!?;:]++[\x20\x09-\x0D]+", "|"), (r"[^a-z0-9|\n]+", " "), (r" ?\n ?", "\n"), (r"\n\n+|[ \n]*\|[ |\n]*", "|")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
