@@ -42,3 +42,17 @@ def test_run_with_odd_rows(spark, tmp_path):
     spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = P.run(spark, str(tmp_path)).collect()
     assert 4 in {r.doc_id for r in got} and 3 not in {r.doc_id for r in got}
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [
+        (1, long, "en", "a", 1), (1, long, "en", "a", 1), (1, long + " more", "de", "b", 2),  # one id on copies: one row stays
+        (2, long, "en", "c", 1), (2, "a text of its own on two rows of an id", "en", "c", 3), (2, "a text of its own on two rows of an id", "en", "c", 3),
+        (3, "yet another text that nothing else is like", "en", "a", 4), (None, long, "en", "a", 1), (None, None, "en", "a", 0),
+        (5, "first of two texts that have nothing in common but their id", "en", "a", 5), (5, "quite other words stand here on the second row", "en", "a", 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.drop_near_copies(spark, docs, SF)
+    key = lambda r: (r[0] or 0, r[1] or "", r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([rows[0], rows[4], rows[6], rows[7], rows[8], rows[9], rows[10]], key=key) and got.columns == docs.columns

@@ -130,7 +130,9 @@ def link_components(fps: DataFrame, *, radius: int = RADIUS, groups: int = GROUP
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row per row of ``docs``; component_id is the smallest id reachable over links.
+    """``(doc_id, fp, component_id, label)``: one row per row of ``docs``; component_id is the smallest id reachable over links.
+
+    ``label`` is a component's own name: where an id stands on rows of several components, these may share a component_id.
 
     Null and wordless texts have fingerprint 0 and link like any other. A null id keeps its row; it is never a component_id
     unless the component holds no other id. Repeated rows stay repeated. Other columns of ``docs`` do not matter.
@@ -139,8 +141,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = link_components(distinct, radius=radius, groups=groups)
     smallest = labels.join(distinct, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = written(labels.join(smallest, "label").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = written(labels.join(smallest, "label").select("fp", "component_id", "label"), "classes")
+    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "label")
 
 
 def hex16(fp: Column) -> Column:
