@@ -25,12 +25,26 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component; a row without an id is no copy of another and stays."""
+    """Keep one row of each component: a row with its smallest id; a row without an id is no copy of another and stays.
+
+    An id may stand on several rows. Those in a component with a smaller id are copies of its documents and go; of those in a
+    component of which the id is the smallest one stays, the first by text and then by the other columns.
+    """
     prepare(spark)
     classes = written(simhash.near_duplicates(docs), "classes")
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    own = F.col("doc_id") == F.col("component_id")
+    kept = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(own).alias("_kept")).filter("_kept")
+    kept = written(kept.select("doc_id", "_rows"), "kept")
+    once = docs.join(kept.filter("_rows = 1"), "doc_id", "left_semi").select(*docs.columns)
+    out = once.unionByName(docs.filter("doc_id IS NULL"))
+    many = written(kept.filter("_rows > 1").select("doc_id"), "many")
+    if many.isEmpty():
+        return out
+    rows = simhash.fingerprints(docs.join(many, "doc_id", "left_semi").select(*docs.columns), text="text")
+    rows = rows.join(classes.filter(own).select("doc_id", "fp", "label").distinct(), ["doc_id", "fp"])
+    order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    first = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*order)).alias("_first")).select("doc_id", "_first.*")
+    return out.unionByName(first.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
