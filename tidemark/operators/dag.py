@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-from tidemark.functions.measures import ratio
 from tidemark.operators.contraction import longest_values
 from tidemark.operators.intervals import clip, exclusive_duration
 from tidemark.operators.ordered import Running, largest_group, ordered_scan

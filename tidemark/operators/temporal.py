@@ -12,7 +12,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.matching import ValueFinder
 from tidemark.functions.text import collapse_whitespace
-from tidemark.operators.ordered import largest_group, ordered_scan
 
 
 def temporal_status(at: Column, valid: Column, invalid: Column, expired: Column, reference: Column) -> Column:

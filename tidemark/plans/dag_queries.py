@@ -9,7 +9,6 @@ from tidemark.operators.ordered import ordered_scan
 from tidemark.plans.inputs import EV, LINES, ROOTS, line_spans, root_spans, sequenced, table, turns
 from tidemark.plans.interval_queries import islands_sql
 from tidemark.plans.registry import query
-from tidemark.plans.statistic_queries import rounded
 
 
 def forest(spark, sf):

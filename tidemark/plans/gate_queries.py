@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import gates as gt
 from tidemark.operators import rollups as ru
-from tidemark.plans.inputs import EV, QA, RUNS, judged, runs, table
+from tidemark.plans.inputs import EV, QA, RUNS, judged, runs
 from tidemark.plans.registry import query
 from tidemark.plans.rollup_queries import BROKEN_SQL, FUNNEL_SQL, OBS, broken_publication, funnel
 from tidemark.plans.statistic_queries import rounded

@@ -11,7 +11,6 @@ from tidemark.operators.ordered import ordered_scan
 from tidemark.plans.inputs import EV, LINES, lifecycle, line_spans, sequenced, table, turns, whole
 from tidemark.plans.interval_queries import islands_sql
 from tidemark.plans.registry import query
-from tidemark.plans.statistic_queries import rounded
 
 PLAN = """pl AS (SELECT o_custkey AS question, CASE WHEN o_orderkey % 2 = 0 THEN 'correctness' ELSE 'performance' END AS lane, 'M' || (o_orderkey % 3) AS method, CASE WHEN o_orderkey % 10 = 0 THEN 'capture' ELSE 'replay' END AS mode, o_orderkey % 7 AS repeat, o_orderkey AS run_id FROM orders)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import retrieval as rt
 from tidemark.operators.ordered import largest_group, ordered_scan
-from tidemark.plans.inputs import EV, LINES, RUNS, lifecycle, line_spans, runs, sequenced, table, turns
+from tidemark.plans.inputs import EV, RUNS, lifecycle, runs, table, turns
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import rounded
 

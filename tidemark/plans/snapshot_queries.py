@@ -8,7 +8,7 @@ from tidemark.functions.digests import framed_sql, multiset_digest_sql, row_hash
 from tidemark.operators import snapshots as sn
 from tidemark.operators import temporal as tm
 from tidemark.operators.ordered import ordered_scan
-from tidemark.plans.inputs import EV, LINES, lifecycle, line_spans, nanos, sequenced, table, turns
+from tidemark.plans.inputs import EV, lifecycle, nanos, sequenced, table
 from tidemark.plans.join_queries import OPS, operations
 from tidemark.plans.registry import query
 from tidemark.plans.statistic_queries import rounded
