@@ -359,3 +359,15 @@ def test_recently_hot_items(spark):
         got = pairing.recent_hot_items(spark.createDataFrame(published, "g int, p long, i string"), spark.createDataFrame(asked, "c int, g int, p long, i string"), "g", "p", ["i"], "c", window=6, threshold=threshold)
         want = sorted((c, i) for c, g, p, i in asked if sum(1 for a, q, j in published if a == g and j == i and p - 6 < q <= p) >= threshold)
         assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_pooled_sums_past_64_bits(spark):
+    from tidemark.plans.rollup_queries import narrowed
+
+    blocks = spark.createDataFrame([("a", 1.0, 6 * 10**18, 1, 2)] * 2 + [("b", 0.5, 7, 0, 1)], "m string, accuracy double, makespan bigint, violations bigint, backlog bigint")
+    samples = spark.createDataFrame([("a", 3), ("b", 4)], "m string, v bigint")
+    table = rollups.pooled_method_table(blocks, samples, "m", ["accuracy"], ["makespan", "violations"], ["backlog"], "v", "makespan")
+    exact = {r.m: (int(r.sum_makespan), r.goodput_per_s) for r in table.collect()}
+    assert exact == {"a": (12 * 10**18, 1 / 12e9), "b": (7, 1e9 / 7)}
+    fits = {r.m: (r.sum_makespan, r.sum_violations) for r in narrowed(table).collect()}
+    assert fits == {"a": (None, 2), "b": (7, 0)}
