@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.digests import row_hash
-from tidemark.functions.measures import amdahl, ratio, wilson_bounds
+from tidemark.functions.measures import amdahl, ratio, round_double, wilson_bounds
 from tidemark.functions.text import event_time_us, glob_to_regex, json_keys, normalize_display
 from tidemark.operators import dag, gates, intervals, pairing, records, retrieval, rollups, snapshots, statistics, temporal, timeseries
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
@@ -371,3 +371,14 @@ def test_pooled_sums_past_64_bits(spark):
     assert exact == {"a": (12 * 10**18, 1 / 12e9), "b": (7, 1e9 / 7)}
     fits = {r.m: (r.sum_makespan, r.sum_violations) for r in narrowed(table).collect()}
     assert fits == {"a": (None, 2), "b": (7, 0)}
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [41 / 640, -41 / 640, 1.0000005, 2.5e-6, 0.5e-6, 123456.7890125, 1 / 3, 0.0, 5e15, float("inf"), None]
+    values += [n / 640 for n in range(641)] + [n / 1024 for n in range(0, 1025, 7)]
+    got = [r.v for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(round_double(F.col("v"), 6).alias("v")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert round(41 / 640 * 1e6) == 64062 and got[0] == 0.064062

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.digests import draw_index
-from tidemark.functions.measures import cohen_kappa, precision_recall_f1, ratio, wilson_bounds
+from tidemark.functions.measures import cohen_kappa, precision_recall_f1, ratio, round_double, wilson_bounds
 from tidemark.operators.ordered import Running, ordered_scan
 from tidemark.operators.quantiles import LINEAR, NEAREST, exact_quantiles
 from tidemark.session import cut_lineage
@@ -56,7 +56,7 @@ def duration_stats(df: DataFrame, keys: Sequence[str], duration_ns: str, *, hot:
     rows = exact_quantiles(
         df, keys, duration_ns, {"p50_s": 0.5, "p95_s": 0.95, "p99_s": 0.99}, extra=[F.sum(c).alias("n"), F.sum(v * c).alias("total_s"), F.max(v).alias("max_s")], hot=hot
     )
-    return rows.withColumns({x: F.round(F.col(x) / 1e9, 9) for x in ("p50_s", "p95_s", "p99_s", "total_s", "max_s")})
+    return rows.withColumns({x: round_double(F.col(x) / 1e9, 9) for x in ("p50_s", "p95_s", "p99_s", "total_s", "max_s")})
 
 
 def paired_speedups(df: DataFrame, question: str, method: str, metric: str, baseline: str, candidate: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.measures import round_double
 from tidemark.operators import dag
 from tidemark.operators.ordered import ordered_scan
 from tidemark.plans.inputs import EV, LINES, ROOTS, line_spans, root_spans, sequenced, table, turns
@@ -149,4 +150,4 @@ def _(spark, sf):
     operators = rows.select("kind", "event_id", F.col("arrival_ns").alias("available"), F.when(e % 30 != 0, F.col("publish_ns")).alias("prepared"), "predecessor")
     deps = rows.select("event_id", F.when(e % 25 != 1, F.coalesce("dep", "arrival_ns")).alias("satisfied"))
     out = dag.readiness_audit(dag.readiness(operators, deps, "event_id", "available", "prepared", "predecessor", "satisfied"), ["kind"])
-    return out.withColumns({c: F.round(F.col(c) / 1e6, 3) for c in ("advance_p50", "advance_p95")})
+    return out.withColumns({c: round_double(F.col(c) / 1e6, 3) for c in ("advance_p50", "advance_p95")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.digests import multiset_digest
+from tidemark.functions.measures import round_double
 from tidemark.operators import intervals as iv
 from tidemark.operators import timeseries as ts
 from tidemark.operators.ordered import largest_group
@@ -68,7 +69,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = ts.concurrency_sweep(lifecycle(spark, sf), ["stream"], "arrival_ns", "publish_ns")
-    return out.withColumns({c: F.round(c, 6) for c in ("active_mean", "overlap_wall_fraction")})
+    return out.withColumns({c: round_double(F.col(c), 6) for c in ("active_mean", "overlap_wall_fraction")})
 
 
 WIDTHS = (1, 2, 4, 8, 16)
@@ -85,7 +86,7 @@ WIDTHS = (1, 2, 4, 8, 16)
 )
 def _(spark, sf):
     out = ts.width_profile(lifecycle(spark, sf), ["kind"], "arrival_ns", "publish_ns", WIDTHS)
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_width", "time_fraction")})
+    return out.withColumns({c: round_double(F.col(c), 6) for c in ("mean_width", "time_fraction")})
 
 
 @query(
@@ -109,7 +110,7 @@ HELD = f"""{EV}, {SAMPLES}, held AS (SELECT *, coalesce(lead(ts) OVER (PARTITION
 )
 def _(spark, sf):
     out = ts.gauge_time_weighted(samples(spark, sf), ["kind"], "ts", "depth", tie=["event_id"])
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_value", "above_zero_fraction")})
+    return out.withColumns({c: round_double(F.col(c), 6) for c in ("mean_value", "above_zero_fraction")})
 
 
 @query(
@@ -152,7 +153,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = ts.queue_area(samples(spark, sf), ["kind"], "ts", "depth", tie=["event_id"])
-    return out.withColumn("mean_backlog", F.round("mean_backlog", 6))
+    return out.withColumn("mean_backlog", round_double(F.col("mean_backlog"), 6))
 
 
 @query("state_time_histogram", f"WITH {HELD} SELECT kind, depth, CAST(sum(dt) AS BIGINT) AS time_ns FROM held WHERE dt > 0 GROUP BY ALL")
@@ -255,7 +256,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = ts.phase_overlap_bound(_phase_time(spark, sf), ["stream"], "kind", "time_ns", "window_ns", idle="error", first="click", second="view")
-    return out.withColumn("speedup_upper_bound", F.round("speedup_upper_bound", 6))
+    return out.withColumn("speedup_upper_bound", round_double(F.col("speedup_upper_bound"), 6))
 
 
 def request_events(spark, sf):
@@ -306,7 +307,7 @@ def _wait_sql(src: str, kind: str, wait: str) -> str:
 
 
 def _wait_round(df):
-    return df.withColumns({c: F.round(c, 3) for c in ("mean_wait", "p50", "p95")})
+    return df.withColumns({c: round_double(F.col(c), 3) for c in ("mean_wait", "p50", "p95")})
 
 
 @query("wait_summary", f"WITH {EV} " + _wait_sql("ev", "kind", "(start_ns-arrival_ns)//1000000"))
@@ -372,7 +373,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = ts.ordering_summary(sequenced(spark, sf), ["stream"], "seq", ["publish_ns", "event_id"])
-    return out.withColumns({c: F.round(c, 6) for c in ("inversion_density", "kendall_tau")})
+    return out.withColumns({c: round_double(F.col(c), 6) for c in ("inversion_density", "kendall_tau")})
 
 
 @query(
