@@ -382,3 +382,19 @@ def test_rounding_is_that_of_the_sql(spark):
     con = duckdb.connect()
     assert got == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     assert round(41 / 640 * 1e6) == 64062 and got[0] == 0.064062
+
+
+def test_scrapes_of_two_sources_at_one_instant(spark):
+    lines = ['up{instance="a"} 1 5', 'load{model="m",instance="a"} 2 5', 'up{instance="b"} 3 5', 'load{model="m",instance="b"} 4 5', 'load{model="m",instance="b"} 4 5', 'up{instance="a"} 6 9']
+    text = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows = {(r.instance, r.ts): (r.up, r.load, r.series_status) for r in sources.read_metric_text(text, {"up": "up", "load": "load"}, "instance").collect()}
+    assert rows == {("a", 5): (1.0, 2.0, "OK"), ("b", 5): (3.0, 4.0, "DUPLICATE"), ("a", 9): (6.0, None, "INCOMPLETE")}
+    assert {(r.ts, r.up, r.series_status) for r in sources.read_metric_text(text, {"up": "up", "load": "load"}).collect()} == {(5, 3.0, "DUPLICATE"), (9, 6.0, "INCOMPLETE")}
+
+
+def test_metric_query_keeps_events_of_one_instant(spark, tmp_path):
+    from tidemark.plans import registry
+
+    spark.sql("SELECT 7L event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' ts, 1L user_id, 'view' event_type, 2.5D value UNION ALL SELECT 8L, TIMESTAMP_NTZ'2024-01-01 00:00:00', 2L, 'view', 3.5D").write.parquet(f"{tmp_path}/events.parquet")
+    rows = registry.load_all()["read_metric_text"].run(spark, str(tmp_path)).collect()
+    assert sorted((r.running, r.tokens, r.series_status) for r in rows) == [(250.0, 7.0, "OK"), (350.0, 8.0, "OK")]

@@ -159,20 +159,25 @@ def unwrap_envelope(doc: Column) -> Column:
 
 
 METRIC_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{[^}]*\})?\s+(\S+)(?:\s+(\d+))?\s*$"
+METRIC_LABEL = r'^[a-zA-Z_:][a-zA-Z0-9_:]*\{(?:[^}]*,)?\s*%s="([^"]*)"'
 
 
-def read_metric_text(lines: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+def read_metric_text(lines: DataFrame, metrics: Mapping[str, str], source: str | None = None) -> DataFrame:
     """Exposition lines ``name{labels} value time`` to one row per time, one column per known metric.
 
+    Where several sources are scraped, ``source`` names the label that tells them apart: one row per source and time, and
+    the label is a column. Scrapes of two sources at one instant stay two rows.
+
     ``series_status`` is DUPLICATE when a metric has several series at a time, INCOMPLETE when one is missing.
     """
+    by = [source] if source else []
     name, value, at = (F.regexp_extract("value", METRIC_LINE, i) for i in (1, 2, 3))
-    parsed = lines.filter(~F.col("value").rlike(r"^\s*(#|$)")).select(name.alias("_m"), F.expr(f"try_cast(regexp_extract(value, r'{METRIC_LINE}', 2) AS double)").alias("_v"), at.cast("long").alias("ts"))
+    parsed = lines.filter(~F.col("value").rlike(r"^\s*(#|$)")).select(name.alias("_m"), F.expr(f"try_cast(regexp_extract(value, r'{METRIC_LINE}', 2) AS double)").alias("_v"), at.cast("long").alias("ts"), *[F.regexp_extract("value", METRIC_LABEL % s, 1).alias(s) for s in by])
     known = parsed.filter(F.col("_m").isin(*metrics))
-    rows = known.groupBy("ts").agg(*[F.max(F.when(F.col("_m") == m, F.col("_v"))).alias(c) for m, c in metrics.items()], *[F.count_if(F.col("_m") == m).alias(f"_n_{c}") for m, c in metrics.items()])
+    rows = known.groupBy(*by, "ts").agg(*[F.max(F.when(F.col("_m") == m, F.col("_v"))).alias(c) for m, c in metrics.items()], *[F.count_if(F.col("_m") == m).alias(f"_n_{c}") for m, c in metrics.items()])
     most = F.greatest(*[F.col(f"_n_{c}") for c in metrics.values()], F.lit(0))
     least = F.least(*[F.col(f"_n_{c}") for c in metrics.values()], F.lit(9))
-    return rows.select("ts", *metrics.values(), F.when(most > 1, "DUPLICATE").when(least < 1, "INCOMPLETE").otherwise("OK").alias("series_status"))
+    return rows.select(*by, "ts", *metrics.values(), F.when(most > 1, "DUPLICATE").when(least < 1, "INCOMPLETE").otherwise("OK").alias("series_status"))
 
 
 def read_event_log(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
