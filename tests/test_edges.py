@@ -398,3 +398,16 @@ def test_metric_query_keeps_events_of_one_instant(spark, tmp_path):
     spark.sql("SELECT 7L event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' ts, 1L user_id, 'view' event_type, 2.5D value UNION ALL SELECT 8L, TIMESTAMP_NTZ'2024-01-01 00:00:00', 2L, 'view', 3.5D").write.parquet(f"{tmp_path}/events.parquet")
     rows = registry.load_all()["read_metric_text"].run(spark, str(tmp_path)).collect()
     assert sorted((r.running, r.tokens, r.series_status) for r in rows) == [(250.0, 7.0, "OK"), (350.0, 8.0, "OK")]
+
+
+@pytest.mark.parametrize("cell", [1024, 4096])
+def test_replicates_drawn_in_tasks_are_the_drawn_rows(spark, cell):
+    n, samples, seed = 2500, 40, 20260806
+    units = spark.range(n).select(F.col("id").alias("_i"), F.lit(n).cast("long").alias("_n"), F.when(F.col("id") % 7 != 3, F.ln(F.col("id") + 1.0)).alias("_ln"))
+    want = {r._b: (r.s, r.k) for r in statistics._replicates(units, seed, samples).join(units.select("_i", "_ln"), "_i").groupBy("_b").agg(F.sum("_ln").alias("s"), F.count("_ln").alias("k")).collect()}
+    parts = statistics._replicate_logs(units, seed, samples, cell)
+    # one row per replicate and range of positions comes back, not one per draw
+    assert parts.count() == samples * -(-n // cell)
+    got = {r._b: (r.s, r.k) for r in parts.groupBy("_b").agg(F.sum("_s").alias("s"), F.sum("_k").alias("k")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[b][1] == want[b][1] and math.isclose(got[b][0], want[b][0], rel_tol=1e-12) for b in want)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import draw_index
+from tidemark.functions.digests import PRIME, draw_index
 from tidemark.functions.measures import cohen_kappa, precision_recall_f1, ratio, round_double, wilson_bounds
 from tidemark.operators.ordered import Running, ordered_scan
 from tidemark.operators.quantiles import LINEAR, NEAREST, exact_quantiles
@@ -153,6 +153,68 @@ def _replicates(units: DataFrame, seed: int, samples: int, by: Sequence[str] = (
     return slots.select(*by, "_b", draw_index(seed, F.col("_n"), F.col("_b"), F.col("_i")).alias("_i"))
 
 
+#: Logarithms in one row, and positions that a task holds at a time (8 bytes each).
+UNITS_PER_ROW, UNITS_PER_CELL = 1024, 1 << 23
+
+
+def _replicate_logs(units: DataFrame, seed: int, samples: int, cell: int) -> DataFrame:
+    """``_b, _s, _k``: sum and number of the logarithms that every replicate draws, in parts per range of ``cell`` positions.
+
+    Draws are numbers made from replicate and slot, so they need no rows: a task gets a range of the logarithms and some of
+    the replicates, makes all their draws in numpy and adds those that fall into its range. What is shuffled is the
+    logarithms, once per group of replicates.
+    """
+    groups = min(samples, 2 * units.sparkSession.sparkContext.defaultParallelism)
+    row = F.floor(F.col("_i") / UNITS_PER_ROW)
+    packed = units.groupBy(row.alias("_row")).agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_ln"))), lambda u: u["_ln"]).alias("_logs"))
+    dealt = packed.select(F.floor(F.col("_row") * UNITS_PER_ROW / cell).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), "_row", "_n", "_logs")
+    dealt = dealt.repartitionByRange(groups, "_g", "_cell").sortWithinPartitions("_g", "_cell", "_row")
+    prime, step = PRIME, 1 << 15
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # modulo 2**31 - 1 by folding the high bits, up to a multiple of it
+        fold = lambda h: (h & prime) + (h >> 31)
+
+        def summed(group, cell_no, n, parts):
+            logs, low = np.concatenate(parts), cell_no * cell
+            known = ~np.isnan(logs)
+            whole, values = bool(known.all()), np.where(known, logs, 0.0)
+            replicates = np.arange(group, samples, groups)
+            sums, counts = np.zeros(len(replicates)), np.zeros(len(replicates), np.int64)
+            for start in range(0, n, step):
+                slot = np.arange(start, min(start + step, n), dtype=np.int64)
+                base = slot * 7_919 + seed
+                for at, b in enumerate(replicates.tolist()):
+                    h = fold(fold(base + b * 1_000_003))
+                    h = fold(fold(h * (h + 12_345) + slot))
+                    h = fold(fold(h * (h + 67_891) + b))
+                    h = fold(fold(h * (h + 424_243) + seed))
+                    h -= prime * (h >= prime)
+                    h -= h // n * n
+                    if len(logs) < n:
+                        h = h[(h >= low) & (h < low + len(logs))] - low
+                    sums[at] += values[h].sum()
+                    counts[at] += len(h) if whole else np.count_nonzero(known[h])
+            return pa.RecordBatch.from_arrays([pa.array(replicates, pa.int64()), pa.array(sums), pa.array(counts)], names=["_b", "_s", "_k"])
+
+        key, parts = None, []
+        for batch in batches:
+            logs = batch.column("_logs")
+            for i, found in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_g", "_cell", "_n")])):
+                if found != key:
+                    if parts:
+                        yield summed(*key, parts)
+                    key, parts = found, []
+                parts.append(logs[i].values.to_numpy(zero_copy_only=False).astype(float))
+        if parts:
+            yield summed(*key, parts)
+
+    return dealt.mapInArrow(run, "_b bigint, _s double, _k bigint")
+
+
 def _order_pick(values: DataFrame, value: str, low: float, high: float, samples: int, by: Sequence[str] = ()) -> DataFrame:
     """Order statistics at ``int(q * (B - 1))`` of a sorted list of B estimates, per ``by``."""
     ranked = ordered_scan(values.filter(F.col(value).isNotNull()), list(by), [value, "_b"], rank="_r", total={"_m": Running("sum", F.lit(1))}, hot=samples)
@@ -163,10 +225,11 @@ def _order_pick(values: DataFrame, value: str, low: float, high: float, samples:
 def bootstrap_ci_geomean(paired: DataFrame, question: str, value: str, *, samples: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the geometric mean when whole pairs are drawn again with replacement.
 
-    Only logarithms travel: the draws carry a position, the pairs their position and one number.
+    Only logarithms travel; the draws, ``samples`` times the pairs, are made and added up inside the tasks.
     """
     units = _numbered(paired.select(question, F.when(F.col(value) > 0, F.ln(value)).alias("_ln")), [question])
-    means = _replicates(units, seed, samples).join(units.select("_i", "_ln"), "_i").groupBy("_b").agg(F.exp(F.avg("_ln")).alias("_g"))
+    sums = _replicate_logs(units, seed, samples, UNITS_PER_CELL).groupBy("_b").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
+    means = sums.select("_b", F.exp(ratio(F.col("_s"), F.col("_k"))).alias("_g"))
     return _order_pick(means, "_g", alpha / 2, 1 - alpha / 2, samples)
 
 
