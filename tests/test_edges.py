@@ -411,3 +411,13 @@ def test_replicates_drawn_in_tasks_are_the_drawn_rows(spark, cell):
     got = {r._b: (r.s, r.k) for r in parts.groupBy("_b").agg(F.sum("_s").alias("s"), F.sum("_k").alias("k")).collect()}
     assert got.keys() == want.keys()
     assert all(got[b][1] == want[b][1] and math.isclose(got[b][0], want[b][0], rel_tol=1e-12) for b in want)
+
+
+def test_common_prefix_of_pairs(spark):
+    texts = {1: ["a", "b", "c"], 2: ["a", "b"], 3: ["a", "x", "c"], 4: [], 5: None, 6: ["a", "b", "c"]}
+    rows = spark.createDataFrame(list(texts.items()), "id int, blocks array<string>")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 4), (1, 5), (1, 6), (4, 4), (1, 9)], "a int, b int")
+    out = retrieval.prefix_match_length(pairs, rows, "id", "blocks", "a", "b", 4)
+    assert {(r.a, r.b): r.matched for r in out.collect()} == {(1, 2): 8, (2, 1): 8, (1, 3): 4, (1, 4): 0, (1, 5): 0, (1, 6): 12, (4, 4): 0, (1, 9): 0}
+    # no row per block
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -282,9 +282,8 @@ def _(spark, sf):
 def _(spark, sf):
     words = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " ")
     rows = turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", words.alias("blocks"))
-    chained = rt.chained_prefixes(rows, "id", F.col("blocks"))
     pairs = ordered_scan(rows.select(F.col("id").alias("a"), "conv_id", "turn"), ["conv_id"], ["turn"], lead={"b": "a"}).filter(F.col("b").isNotNull()).select("a", "b")
-    return rt.prefix_match_length(pairs, chained, "id", "position", "prefix_hash", "a", "b", 4)
+    return rt.prefix_match_length(pairs, rows, "id", "blocks", "a", "b", 4)
 
 
 SETTINGS = f"""{RUNS}, bl AS (SELECT method, question % 4 AS c, question % 25 AS block, CAST(count(*) AS DOUBLE) / 7 AS goodput, max(metric) AS p95, count(*) FILTER (status='P') AS violations, NOT (count(*) FILTER (status='P') >= 4 AND count(*) FILTER (status='P') * 2 > count(*)) AS qualified, CASE WHEN count(*) FILTER (status='P') >= 4 AND count(*) FILTER (status='P') * 2 > count(*) THEN 'violations' WHEN max(metric) > 49900000 THEN 'slow' END AS reason FROM runs GROUP BY ALL),
