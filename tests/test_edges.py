@@ -421,3 +421,12 @@ def test_common_prefix_of_pairs(spark):
     assert {(r.a, r.b): r.matched for r in out.collect()} == {(1, 2): 8, (2, 1): 8, (1, 3): 4, (1, 4): 0, (1, 5): 0, (1, 6): 12, (4, 4): 0, (1, 9): 0}
     # no row per block
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_items_lay_rows_out_once(spark):
+    published = spark.createDataFrame([(1, p, "x") for p in (1, 2, 2, 3, 9)] + [(1, 4, "y")], "g int, p long, i string")
+    asked = spark.createDataFrame([(1, 3, "x", 50), (1, 2, "x", 51), (1, 9, "x", 52), (1, 4, "y", 53)], "g int, p long, i string, c int")
+    out = pairing.recent_hot_items(published, asked, "g", "p", ["i"], "c", window=8, threshold=3)
+    # the repeat at 2 does not count for 51; at 9 the third latest is 2
+    assert {(r.c, r.i) for r in out.collect()} == {(50, "x"), (52, "x")}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -11,6 +11,7 @@ from tidemark.operators.ordered import ordered_scan
 from tidemark.plans.inputs import EV, LINES, lifecycle, line_spans, sequenced, table, turns, whole
 from tidemark.plans.interval_queries import islands_sql
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 PLAN = """pl AS (SELECT o_custkey AS question, CASE WHEN o_orderkey % 2 = 0 THEN 'correctness' ELSE 'performance' END AS lane, 'M' || (o_orderkey % 3) AS method, CASE WHEN o_orderkey % 10 = 0 THEN 'capture' ELSE 'replay' END AS mode, o_orderkey % 7 AS repeat, o_orderkey AS run_id FROM orders)"""
 
@@ -231,10 +232,11 @@ def _(spark, sf):
     ids = lines.filter("unit % 7 <> 0").select("unit", F.concat(F.lit("i"), F.call_function("div", F.col("l_suppkey"), F.lit(4))).alias("item")).distinct()
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), (F.col("o_custkey") % 100).alias("g"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
     placed = ordered_scan(orders, ["g"], ["at", "unit"], rank="place").select("unit", "g", "place")
-    items = names.unionByName(ids)
+    items = cut_lineage(placed.join(names.unionByName(ids), "unit"), "items")
+    names, ids = (items.filter(F.startswith("item", F.lit(kind))).select("unit", "item") for kind in ("n", "i"))
     # a unit is judged when all before it in its group are published
-    asked = placed.withColumn("place", F.col("place") - 1).join(items, "unit").withColumnRenamed("unit", "candidate")
-    hot = pr.recent_hot_items(placed.join(items, "unit"), asked, "g", "place", ["item"], "candidate", window=WINDOW, threshold=HOT_FROM)
+    asked = items.withColumn("place", F.col("place") - 1).withColumnRenamed("unit", "candidate")
+    hot = pr.recent_hot_items(items, asked, "g", "place", ["item"], "candidate", window=WINDOW, threshold=HOT_FROM)
     return pr.conflict_pairs(pairs, names, ids, hot, "unit", "frontier", "candidate", "item")
 
 
