@@ -96,3 +96,30 @@ def test_a_chain_of_100_000_nodes(spark):
         jobs = len(tracker.getJobIdsForGroup("chain"))
         spark.sparkContext.setJobGroup("", "")
     assert (last.n, last.level, last.v) == (str(n - 1), n - 1, n / 2) and jobs < 40
+
+
+def test_small_span_trees_take_one_shuffle_and_match_the_levels(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = []
+    for trace in range(40):
+        for i in range(draw.randrange(1, 30)):
+            at = draw.randrange(60)
+            # parents of any number: chains, orphans (above 25) and cycles
+            rows.append((trace, f"s{i}", None if i == 0 else f"s{draw.randrange(max(i, 26) if draw.random() < 0.2 else i)}", at, at + draw.randrange(40)))
+    spans = spark.createDataFrame(rows, "k int, id string, up string, s bigint, e bigint")
+    want = sorted(map(tuple, dag._tree_by_levels(spans, ["k"], "id", "up", "s", "e").collect()), key=str)
+    assert len({w[-1] for w in want}) == 3
+    written = []
+    monkeypatch.setattr(dag, "cut_lineage", lambda df, label="cut": written.append(label))
+    found = dag.span_tree_critical_path(spans, ["k"], "id", "up", "s", "e")
+    assert sorted(map(tuple, found.collect()), key=str) == want and not written
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_large_span_trees_go_by_levels(spark, monkeypatch):
+    rows = [(t, f"s{i}", None if i == 0 else f"s{(i - 1) // 2}", i, 50) for t, n in ((1, 9), (2, 3)) for i in range(n)]
+    spans = spark.createDataFrame([*rows, (3, "s0", None, 0, None)], "k int, id string, up string, s bigint, e bigint")
+    want = {tuple(r) for r in dag.span_tree_critical_path(spans, ["k"], "id", "up", "s", "e").collect()}
+    monkeypatch.setattr(dag, "TRACE_ROWS", 4)
+    assert {tuple(r) for r in dag.span_tree_critical_path(spans, ["k"], "id", "up", "s", "e").collect()} == want and len(want) == 13

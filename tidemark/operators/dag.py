@@ -16,6 +16,7 @@ from tidemark.operators.contraction import longest_values
 from tidemark.operators.intervals import clip, exclusive_duration
 from tidemark.operators.ordered import Running, largest_group, ordered_scan
 from tidemark.operators.quantiles import LINEAR, exact_quantiles
+from tidemark.operators.span_trees import TRACE_ROWS, small_tree_paths
 from tidemark.session import cut_counting, cut_lineage, fresh_path
 
 
@@ -141,11 +142,27 @@ def critical_path_members(nodes: DataFrame, edges: DataFrame, graph: str, node:
 def span_tree_critical_path(spans: DataFrame, keys: Sequence[str], span: str, parent: str, start: str, end: str) -> DataFrame:
     """Critical path of every span: its own time plus, per cluster of overlapping children, the longest child path.
 
-    Works from the deepest spans up. Children are cut to their parent; one starting where the cluster ends opens the next.
-    ``span_status`` is OK, ORPHAN for a span whose parent is absent (it is a root of its own), OK below either, and CYCLE,
-    without a path, for spans that no root reaches.
+    Children are cut to their parent; one starting where the cluster ends opens the next. ``span_status`` is OK, ORPHAN for a
+    span whose parent is absent (it is a root of its own), OK below either, and CYCLE, without a path, for spans that no root
+    reaches. Traces of at most ``TRACE_ROWS`` spans take one shuffle and are solved inside a task; larger ones, and those
+    without all times, go level by level.
     """
     keys = list(keys)
+    spans = spans.select(*keys, span, parent, start, end).dropna("any", subset=[*keys, span])
+    sizes = spans.groupBy(*keys).agg((F.count(F.lit(1)) * F.when(F.bool_and(F.col(start).isNotNull() & F.col(end).isNotNull()), 1).otherwise(TRACE_ROWS + 1)).alias("_n"))
+    integral = all(spans.schema[c].dataType.typeName() in ("long", "integer", "short", "byte") for c in (start, end))
+    most = int(sizes.agg(F.max("_n")).first()[0] or 0) if integral else TRACE_ROWS + 1
+    if most <= TRACE_ROWS:
+        return small_tree_paths(spans, keys, span, parent, start, end)
+    if not integral:
+        return _tree_by_levels(spans, keys, span, parent, start, end)
+    large = cut_lineage(sizes.filter(F.col("_n") > TRACE_ROWS).select(*keys), "tree-large")
+    small = small_tree_paths(spans.join(large, keys, "left_anti"), keys, span, parent, start, end)
+    return small.unionByName(_tree_by_levels(spans.join(large, keys, "left_semi"), keys, span, parent, start, end))
+
+
+def _tree_by_levels(spans: DataFrame, keys: list[str], span: str, parent: str, start: str, end: str) -> DataFrame:
+    """:func:`span_tree_critical_path` from the deepest spans up, one level after the other."""
     own = exclusive_duration(spans, keys, span, parent, start, end, "_own")
     base = cut_lineage(spans.select(*keys, span, parent, start, end).join(own, [*keys, span]), "tree")
     hot = largest_group(spans.filter(F.col(parent).isNotNull()), [*keys, parent])
