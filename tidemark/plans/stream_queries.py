@@ -30,6 +30,15 @@ def staged(spark, rows, label: str) -> str:
     return path
 
 
+#: Rows of one key of a stream that deals its streams into buckets.
+BUCKET_ROWS = 20_000
+
+
+def buckets_for(rows) -> int:
+    """Keys for staged rows: more rows mean more keys, not larger ones."""
+    return rows.count() // BUCKET_ROWS + 8
+
+
 def with_cents(df):
     return df.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
 
@@ -143,10 +152,12 @@ def streamed_findings(spark, log):
     """Findings over staged rows (stream, seq, t, state, ts), by the two streams one after the other."""
     names = ("stream", "seq", "state", "t")
     with rocksdb_state(spark):
-        beat = heartbeat_of(spark, log)
-        steps = append_to_end(spark, staged(spark, log, "states"), log.schema, lambda s: so.state_transitions(s, *names, "ts", delay="1 hour"), beat, "states").filter("stream >= 0")
+        path = staged(spark, log, "states")
+        there = spark.read.schema(log.schema).parquet(path)
+        buckets = buckets_for(there)
+        steps = append_to_end(spark, path, log.schema, lambda s: so.state_transitions(s, *names, "ts", delay="1 hour", buckets=buckets), heartbeat_of(spark, there), "states").filter("stream >= 0")
         late = steps.orderBy(F.col("at_us").desc()).limit(1).withColumns({"at_us": F.col("at_us") + 100 * 366 * 86_400_000_000, "stream": F.lit(-1).cast("long"), "state": F.lit("BIND"), "finding": F.lit(None).cast("string")})
-        off = append_to_end(spark, staged(spark, steps, "steps"), steps.schema, lambda s: so.frontier_publications(s, *names, delay="1 hour"), late, "frontier")
+        off = append_to_end(spark, staged(spark, steps, "steps"), steps.schema, lambda s: so.frontier_publications(s, *names, delay="1 hour", buckets=buckets), late, "frontier")
     out = ["stream", "seq", "state", "finding"]
     return steps.filter("finding IS NOT NULL").select(*out).unionByName(off.filter("stream >= 0").select(*out))
 
