@@ -185,8 +185,10 @@ def _(spark, sf):
 def _(spark, sf):
     rows = sequenced(spark, sf).select("stream", "kind", "seq", F.timestamp_micros(whole(F.col("arrival_ns"), 1000)).alias("ts"))
     path = staged(spark, rows, "hot")
-    build = lambda s: so.recent_hot_keys(s, "stream", "kind", "seq", "ts", window=8, threshold=3, delay="1 hour")
-    return append_to_end(spark, path, rows.schema, build, heartbeat_of(spark, rows), "hot").filter("stream >= 0")
+    there = spark.read.schema(rows.schema).parquet(path)
+    buckets = buckets_for(there)
+    build = lambda s: so.recent_hot_keys(s, "stream", "kind", "seq", "ts", window=8, threshold=3, delay="1 hour", buckets=buckets)
+    return append_to_end(spark, path, rows.schema, build, heartbeat_of(spark, there), "hot").filter("stream >= 0")
 
 
 WORDS = """w AS (SELECT conv_id*1000+turn AS id, string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ') AS l FROM conversations), p AS (SELECT id, unnest(range(len(l))) AS pos, l FROM w), q AS (SELECT id, pos, array_to_string(l[1:pos+1], '|') AS px FROM p)"""
