@@ -3,6 +3,7 @@
 import json
 import random
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordered import ROWS_PER_TASK_CONF
@@ -67,3 +68,23 @@ def test_corpus_over_many_lines(spark, tmp_path):
     assert [r.value for r in bad.collect()] == ["bad line"]
     got = sorted((r.source, r.context_id.split(":")[0], r.context) for r in good.collect())
     assert got == sorted([("web", "c1", "one }")] * 3 + [("UNKNOWN", "UNKNOWN", None)] * 2, key=str)
+
+
+def test_sealed_lines_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(line):
+        seen.add(1)
+        return line
+
+    body = F.format_string('{"row":{"n":%d,"p":"a","t":%d},"schema_version":"v"}', "id", "id")
+    lines = spark.range(40, numPartitions=2).select(F.concat(F.lit('{"record":'), body, F.lit(',"record_sha256":"'), F.sha2(body, 256), F.lit('"}')).alias("value"))
+    before = spark.conf.get("spark.tidemark.rowsPerTask", None)
+    spark.conf.set("spark.tidemark.rowsPerTask", "10")
+    try:
+        out = sources.verify_sealed_lines(lines.select(passed.asNondeterministic()("value").alias("value")), "v", T.StructType([T.StructField("n", T.LongType()), T.StructField("p", T.StringType()), T.StructField("t", T.LongType())]), "p", "n", "t")
+        assert [(r.seal_status, r["count"]) for r in out.groupBy("seal_status").count().collect()] == [("OK", 40)]
+    finally:
+        spark.conf.set("spark.tidemark.rowsPerTask", before) if before else spark.conf.unset("spark.tidemark.rowsPerTask")
+    assert seen.value == 40

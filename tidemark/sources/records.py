@@ -143,7 +143,8 @@ def verify_sealed_lines(lines: DataFrame, schema_version: str, row: T.StructType
         .when(F.sha2(canonical, 256) != F.col("_sha"), "HASH_MISMATCH")
         .otherwise("OK")
     )
-    parsed = rows.select(shape.alias("_shape"), "r.*")
+    # the lines are parsed once; what follows reads their fields several times
+    parsed = cut_lineage(rows.select(shape.alias("_shape"), "r.*"), "sealed-parsed")
     good = parsed.filter("_shape = 'OK'")
     chained = ordered_scan(good, [producer], [seq], lag={"_ps": seq, "_pt": ts})
     status = (
