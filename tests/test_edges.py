@@ -430,3 +430,14 @@ def test_hot_items_lay_rows_out_once(spark):
     # the repeat at 2 does not count for 51; at 9 the third latest is 2
     assert {(r.c, r.i) for r in out.collect()} == {(50, "x"), (52, "x")}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflict_signatures_are_hashed_not_sorted(spark):
+    nodes = spark.createDataFrame([(1, "x", "Ann", "T", "a"), (1, "y", "Bob", "T", "b"), (2, "x", " ", "T", "c"), (3, None, "Cy", None, "d")], "unit int, ns string, name string, label string, node string")
+    edges = spark.createDataFrame([(1, "a", "b"), (2, "c", "c"), (4, "e", "e")], "unit int, source string, target string")
+    found = records.conflict_signature(nodes, edges, "unit", "ns", "name", "label", "node", "source", "target")
+    got = {r.unit: (r.n_names, r.n_types, r.n_endpoints, r.reasons) for r in found.collect()}
+    assert got == {1: (2, 2, 2, "MIXED_NAMESPACES"), 2: (0, 0, 0, "ENTITY_NAME_INVALID,RELATION_ENDPOINT_UNRESOLVED"), 3: (1, 1, 0, "")}
+    # sets and flags of a unit are summed in a hash table
+    last = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [unit", 2)[1]
+    assert "min(" not in last and last.count("sha2(") <= 6
