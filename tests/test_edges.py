@@ -441,3 +441,12 @@ def test_conflict_signatures_are_hashed_not_sorted(spark):
     # sets and flags of a unit are summed in a hash table
     last = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [unit", 2)[1]
     assert "min(" not in last and last.count("sha2(") <= 6
+
+
+def test_diff_keys_are_bytes(spark):
+    left = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, None)], "g int, x int, y string")
+    right = spark.createDataFrame([(1, 1, "b"), (1, 3, None), (2, 1, "a")], "g int, x int, y string")
+    found = snapshots.canonical_diff({"t": left}, {"t": right}, {"xs": ("t", ["x"]), "both": ("t", ["x", "y"])}, ["g"])
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 4, 6, False), (2, 1, 1, 2, False)]
+    # what is shuffled is half as long as the hex digits
+    assert "unhex(sha2(" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -63,17 +63,17 @@ def symmetric_difference(left: DataFrame, right: DataFrame, projection: Sequence
 def canonical_diff(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame], projections: Mapping[str, tuple[str, Sequence[str]]], group: Sequence[str] = ()) -> DataFrame:
     """Several symmetric differences at once: ``projections`` maps an output name to ``(table, columns)``.
 
-    All are counted in one pass over tagged key hashes. Map both namespaces to one logical name before calling.
+    All are counted in one pass over tagged key hashes, of 32 bytes each. Map both namespaces to one logical name before calling.
     """
-    parts = None
+    parts, places = None, {n: i for i, n in enumerate(projections)}
     for name, (source, columns) in projections.items():
         for side, tables in (("l", left), ("r", right)):
-            key = row_hash(*[F.col(c) for c in columns])
-            part = tables[source].select(*group, F.lit(name).alias("_what"), key.alias("_key"), F.lit(side).alias("_s"))
+            key = F.unhex(row_hash(*[F.col(c) for c in columns]))
+            part = tables[source].select(*group, F.lit(places[name]).alias("_what"), key.alias("_key"), F.lit(1 if side == "l" else 2).alias("_s"))
             parts = part if parts is None else parts.unionByName(part)
-    seen = parts.groupBy(*group, "_what", "_key").agg(F.count_if(F.col("_s") == "l").alias("_l"), F.count_if(F.col("_s") == "r").alias("_r"))
-    one = (F.col("_l") > 0) != (F.col("_r") > 0)
-    counts = seen.groupBy(*group).agg(*[F.count_if(one & (F.col("_what") == n)).alias(n) for n in projections], F.count_if(one).alias("total_diff"))
+    seen = parts.groupBy(*group, "_what", "_key").agg(F.bit_or("_s").alias("_s"))
+    one = F.col("_s") != 3
+    counts = seen.groupBy(*group).agg(*[F.count_if(one & (F.col("_what") == i)).alias(n) for n, i in places.items()], F.count_if(one).alias("total_diff"))
     return counts.withColumn("exact_match", F.col("total_diff") == 0)
 
 
