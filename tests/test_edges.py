@@ -450,3 +450,17 @@ def test_diff_keys_are_bytes(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 2, 4, 6, False), (2, 1, 1, 2, False)]
     # what is shuffled is half as long as the hex digits
     assert "unhex(sha2(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_are_read_once_for_the_latest(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(fact):
+        seen.add(1)
+        return fact
+
+    rows = [(1, "Q 1", "stale", 1, 5, 5), (1, "q  2", "active", 2, 6, 6), (1, "q 2", "stale", 3, 7, 7), (2, "a", "active", 1, 1, 1), (3, "a", "stale", 1, None, 1), (3, "b", "active", 2, None, 2)]
+    facts = spark.createDataFrame(rows, "g int, fact string, status string, rank bigint, valid bigint, ref bigint").withColumn("fact", passed.asNondeterministic()("fact"))
+    found = temporal.latest_valid_fact(facts, ["g"], "fact", "status", "rank", "valid", "ref")
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (3, 2, 1)] and seen.value == len(rows)

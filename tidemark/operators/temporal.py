@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.matching import ValueFinder
 from tidemark.functions.text import collapse_whitespace
+from tidemark.session import cut_lineage
 
 
 def temporal_status(at: Column, valid: Column, invalid: Column, expired: Column, reference: Column) -> Column:
@@ -34,11 +35,12 @@ def conflicting_groups(facts: DataFrame, group: Sequence[str], fact: str) -> Dat
 def latest_valid_fact(facts: DataFrame, group: Sequence[str], fact: str, status: str, rank: str, valid: str, reference: str) -> DataFrame:
     """Per conflicting group the latest active fact (by time, then rank) and how many stale facts rank before it."""
     when = F.coalesce(F.col(valid), F.col(reference), F.lit(-(2**62)))
-    active = F.col(status) == "active"
-    said = fact_key(F.col(fact))
-    groups = facts.groupBy(*group).agg((F.min(said) != F.max(said)).alias("_c"), F.max_by(F.when(active, F.col(rank)), F.when(active, F.struct(when, -F.col(rank)))).alias("latest_rank"))
+    # facts come from joins and ranks; they are read twice, so what is needed of them is written once
+    rows = cut_lineage(facts.select(*group, fact_key(F.col(fact)).alias("_said"), F.col(status).alias("_status"), F.col(rank).alias("_r"), when.alias("_when")), "facts")
+    active = F.col("_status") == "active"
+    groups = rows.groupBy(*group).agg((F.min("_said") != F.max("_said")).alias("_c"), F.max_by(F.when(active, F.col("_r")), F.when(active, F.struct("_when", -F.col("_r")))).alias("latest_rank"))
     latest = groups.filter("_c AND latest_rank IS NOT NULL").select(*group, "latest_rank")
-    stale = facts.filter(F.col(status) == "stale").select(*group, F.col(rank).alias("_r"))
+    stale = rows.filter("_status = 'stale'").select(*group, "_r")
     return latest.join(stale, list(group), "left").groupBy(*group, "latest_rank").agg(F.count_if(F.col("_r") < F.col("latest_rank")).alias("stale_before_latest"))
 
 
