@@ -194,10 +194,13 @@ def _(spark, sf):
 WORDS = """w AS (SELECT conv_id*1000+turn AS id, string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ') AS l FROM conversations), p AS (SELECT id, unnest(range(len(l))) AS pos, l FROM w), q AS (SELECT id, pos, array_to_string(l[1:pos+1], '|') AS px FROM p)"""
 
 
-def prefixes(spark, sf):
+def word_blocks(spark, sf):
     words = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " ")
-    rows = turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("blocks"))
-    return rt.chained_prefixes(rows, "id", F.col("blocks"))
+    return turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("blocks"))
+
+
+def prefixes(spark, sf):
+    return rt.chained_prefixes(word_blocks(spark, sf), "id", F.col("blocks"))
 
 
 @query(
@@ -205,7 +208,7 @@ def prefixes(spark, sf):
     f"""WITH {WORDS}, m AS (SELECT id, pos, max(id) OVER (PARTITION BY px ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv FROM q) SELECT id, CAST(coalesce(max(pos) FILTER (pv IS NOT NULL) + 1, 0) * 4 AS BIGINT) AS matched, coalesce(arg_max(pv, pos) FILTER (pv IS NOT NULL), 0) AS recency FROM m GROUP BY 1""",
 )
 def _(spark, sf):
-    return so.provider_affinity(prefixes(spark, sf), "id", "position", "prefix_hash", ["id"], "id", 4)
+    return so.provider_affinity(word_blocks(spark, sf), "id", F.col("blocks"), 4)
 
 
 @query(
