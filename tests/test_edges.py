@@ -464,3 +464,14 @@ def test_facts_are_read_once_for_the_latest(spark):
     facts = spark.createDataFrame(rows, "g int, fact string, status string, rank bigint, valid bigint, ref bigint").withColumn("fact", passed.asNondeterministic()("fact"))
     found = temporal.latest_valid_fact(facts, ["g"], "fact", "status", "rank", "valid", "ref")
     assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (3, 2, 1)] and seen.value == len(rows)
+
+
+def test_observed_rows_are_counted_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 2), ("b", 2, 1, None), ("c", 1, None, 0), ("c", 0, 1, 4), ("d", None, None, None)], "k string, q int, g int, s int")
+    got = pairing.observability_by_source(rows, {"queue": F.col("q"), "graph_work": F.col("g")}, {"span": F.col("s")}, ["k"])
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1, 2, True), ("b", 2, 1, 0, False), ("c", 1, 1, 4, True), ("d", 0, 0, 0, False)]
+    from tidemark.plans import registry
+
+    out = registry.load_all()["observability_rows_by_source"].run(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and plan.count("Relation") == 1

@@ -50,3 +50,11 @@ def test_one_value_in_all_rows_is_split(spark):
 def test_one_job_measures_a_scan(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").repartition(3)
     assert measure(rows, ["k"]) == (1000, 334) and measure(rows, []) == (1000, 1000)
+
+
+def test_keys_are_dealt_by_rows(spark):
+    """Narrow rows of many keys: a task takes a share of the rows, however few bytes they are."""
+    rows = spark.range(9000).select((F.col("id") % 300).alias("k"), "id")
+    plain, shared = (ordered_scan(rows, ["k"], ["id"], rank="n", share=share) for share in (None, 1000))
+    assert shared.rdd.getNumPartitions() == 9 and max(shared.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 2500
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, plain.collect()))

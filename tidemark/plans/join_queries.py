@@ -267,6 +267,10 @@ def _(spark, sf):
     return pr.attach_paired_diffs(blocks, diffs, "trace", ["edge_key_diff"])
 
 
+#: Rows that a task numbers and counts.
+OBSERVED_ROWS = 500_000
+
+
 @query(
     "observability_rows_by_source",
     f"""WITH {EV}, q AS (SELECT stream, seq FROM ev WHERE event_id % 33 <> 0 UNION ALL SELECT stream, seq FROM ev WHERE event_id % 44 = 0), g AS (SELECT stream, seq FROM ev), s AS (SELECT stream, seq FROM ev WHERE cents % 2 = 0),
@@ -274,11 +278,10 @@ def _(spark, sf):
  SELECT stream, seq, count(*) FILTER (t='q') AS queue_rows, count(*) FILTER (t='g') AS graph_work_rows, count(*) FILTER (t='s') AS span_rows, count(*) FILTER (t='q') = 1 AND count(*) FILTER (t='g') = 1 AS joined_exactly_once FROM u GROUP BY ALL""",
 )
 def _(spark, sf):
-    e, rows = F.col("event_id"), sequenced(spark, sf)
-    some = rows.filter(F.col("cents") % 2 == 0)
-    return pr.observability_by_source(
-        {"queue": rows.filter(e % 33 != 0).unionByName(rows.filter(e % 44 == 0)), "graph_work": rows}, {"span": some.unionByName(some)}, ["stream", "seq"]
-    )
+    e, one = F.col("event_id"), lambda c: c.cast("int")
+    queue = one(e % 33 != 0) + one(e % 44 == 0)
+    rows = sequenced(spark, sf, share=OBSERVED_ROWS)
+    return pr.observability_by_source(rows, {"queue": queue, "graph_work": F.lit(1)}, {"span": one(F.col("cents") % 2 == 0) * 2}, ["stream", "seq"])
 
 
 @query(
