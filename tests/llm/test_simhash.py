@@ -68,6 +68,22 @@ def test_components_of_crowds_chains_and_strangers(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(63) for _ in range(40)]
+    fps += [f ^ 1 for f in fps[:20]]
+    plans = []
+    keep = S.written
+    monkeypatch.setattr(S, "written", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    links = []
+    merge = S.components
+    monkeypatch.setattr(S, "components", lambda df, a, b: links.append(df._jdf.queryExecution().executedPlan().toString()) or merge(df, a, b))
+    got = S.link_components(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert got.select("label").distinct().count() == 40
+    laid_out = [p for label, p in plans if label == "cells"] + links
+    assert len(laid_out) == 4 and not any("Broadcast" in p for p in laid_out)
+
+
 def test_documents_with_copies_nulls_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(5, text), (3, text.upper()), (9, text.replace("w40", "other")), (7, "something else entirely with some words"), (8, None), (2, ""), (None, text), (7, "something else entirely with some words")]

@@ -13,6 +13,8 @@ No cell is expanded into all its pairs. Copies of a fingerprint count once. Each
 pivot of the cell, chosen anew per cell, and what links is made one component. Then only pairs of different components are
 compared: in each cell, the members outside the component that is most frequent there meet the others. A crowd of near copies
 thus costs as many comparisons as it has members, and every link between different components is still tested.
+
+Cells are merged, never broadcast: Spark sizes them as the points before they are laid out, a seventieth of what they hold.
 """
 
 from __future__ import annotations
@@ -115,15 +117,15 @@ def link_components(fps: DataFrame, *, radius: int = RADIUS, groups: int = GROUP
         # min_by takes one member at random per cell, the same one in every run
         pivots = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("fp", "cell", F.lit(turn)), "fp", "label")).alias("_p"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
         pivots = pivots.filter("_lo <> _hi").select("cell", F.col("_p.fp").alias("pivot"), F.col("_p.label").alias("a"))
-        links = cells.join(pivots, "cell").filter((F.col("label") != F.col("a")) & _near("fp", "pivot", radius))
+        links = cells.join(pivots.hint("merge"), "cell").filter((F.col("label") != F.col("a")) & _near("fp", "pivot", radius))
         points = _relabel(points, links.select("a", F.col("label").alias("b")))
     cells = _cells(points, groups, radius)
     usual = cells.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
     usual = usual.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("_u"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     open_cells = usual.select("cell", F.col("_u.label").alias("usual"))
-    members = written(cells.join(open_cells, "cell"), "cells")
+    members = written(cells.join(open_cells.hint("merge"), "cell"), "cells")
     others = members.filter("label <> usual").select("cell", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
-    meets = others.join(members.select("cell", "fp", F.col("label").alias("b"), "usual"), "cell")
+    meets = others.join(members.select("cell", "fp", F.col("label").alias("b"), "usual").hint("merge"), "cell")
     # two members that are both unusual meet twice; one direction is enough
     wanted = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("usual")) | (F.col("a") < F.col("b"))) & _near("fp_a", "fp", radius)
     return _relabel(points, meets.filter(wanted).select("a", "b"))
