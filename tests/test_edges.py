@@ -220,6 +220,7 @@ def test_json_arrays_and_lines_in_one_folder(spark, tmp_path):
 
 def test_tampered_and_regressing_lines(spark):
     import hashlib
+    import random
 
     def line(seq, at, tamper=False):
         body = json.dumps({"row": {"p": "w", "q": seq, "t": at}, "schema_version": "v1"}, separators=(",", ":"))
@@ -443,6 +444,35 @@ def test_conflict_signatures_are_hashed_not_sorted(spark):
     assert "min(" not in last and last.count("sha2(") <= 6
 
 
+def test_conflict_signatures_hash_whole_sorted_sets(spark, monkeypatch):
+    import hashlib
+    import random
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    frame = lambda *values: "".join("~" if v is None else f"{len(v)}:{v}" for v in values)
+    draw = random.Random(9)
+    units = {u: [(u, draw.choice("xy") if u == 1 else "x", f" N{draw.randrange(900)}  é" if i else " ", draw.choice(["T", "U", None]), f"i{i // 2 if u == 2 else i}") for i in range(n)] for u, n in ((1, 2300), (2, 7), (None, 5))}
+    rows = [r for u in units for r in units[u]]
+    links = [(u, r[4], r[4] if draw.random() < 0.5 else draw.choice(units[u])[4]) for u in units for r in units[u] if draw.random() < 0.3] + [(2, "i1", None), (3, "i1", "i2")]
+    nodes = spark.createDataFrame(rows, "unit int, ns string, name string, label string, node string").repartition(5)
+    edges = spark.createDataFrame(links, "unit int, source string, target string")
+    want = {}
+    for u, own in units.items():
+        canon = lambda r: " ".join(r[2].lower().split())
+        ends = {e for l in links if l[0] == u for e in l[1:]}
+        names = sorted({canon(r) for r in own if canon(r)})
+        types = sorted({(canon(r), r[3]) for r in own if canon(r)}, key=lambda t: (t[0], t[1] or ""))
+        met = sorted({canon(r) for r in own if canon(r) and r[4] in ends})
+        digest = lambda items: sha("".join(sha("".join(items[i : i + 1000])) for i in range(0, len(items), 1000))) if items else None
+        want[u] = (len(names), len(types), len(met), digest([frame(n) for n in names]), digest([frame(*t) for t in types]), digest([frame(n) for n in met]))
+    call = lambda: records.conflict_signature(nodes, edges, "unit", "ns", "name", "label", "node", "source", "target")
+    plain = call()
+    got = {r.unit: tuple(r)[1:] for r in plain.collect()}
+    assert {u: g[:6] for u, g in got.items()} == want and max(w[1] for w in want.values()) > 1000
+    monkeypatch.setattr(records, "UNIT_ROWS", 6)
+    assert {r.unit: tuple(r)[1:] for r in call().collect()} == got
+
+
 def test_diff_keys_are_bytes(spark):
     left = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, None)], "g int, x int, y string")
     right = spark.createDataFrame([(1, 1, "b"), (1, 3, None), (2, 1, "a")], "g int, x int, y string")
