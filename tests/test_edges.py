@@ -469,6 +469,8 @@ def test_conflict_signatures_hash_whole_sorted_sets(spark, monkeypatch):
     plain = call()
     got = {r.unit: tuple(r)[1:] for r in plain.collect()}
     assert {u: g[:6] for u, g in got.items()} == want and max(w[1] for w in want.values()) > 1000
+    # one shuffle by unit: both aggregates go by its partitions
+    assert plain._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
     monkeypatch.setattr(records, "UNIT_ROWS", 6)
     assert {r.unit: tuple(r)[1:] for r in call().collect()} == got
 
