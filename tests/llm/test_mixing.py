@@ -77,3 +77,10 @@ def test_many_tiny_sources(spark):
 def test_taken_words_of_a_tiny_source(spark):
     df = spark.createDataFrame([(i, "w " * 5_000, "a") for i in range(40)] + [(90, "one two three", "b"), (91, None, "c"), (92, "x", None)], "doc_id long, text string, source string")
     assert {r.doc_id: r.taken for r in M.mix(df, block_words=16).collect() if r.doc_id >= 90} == {90: 9, 91: 0, 92: 3}
+
+
+def test_pieces_of_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 97 % 3000), "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    plan = M.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_bb#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

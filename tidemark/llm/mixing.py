@@ -142,7 +142,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     plays = plays.select(F.col("source").alias("_bs"), F.col("block").alias("_bb"), "_whole", F.coalesce("_part", F.lit(0)).alias("_part"))
     first, last = F.expr(f"_start div {block_words}"), F.expr(f"(_end - 1) div {block_words}")
     pieces = rows.filter("size > 0").withColumn("_b", F.explode(F.sequence(first, last)))
-    pieces = pieces.join(plays, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_b") == F.col("_bb")))
+    # Spark sizes the pieces as the documents before they are cut, so it is told not to broadcast them
+    pieces = pieces.join(plays.hint("merge"), F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_b") == F.col("_bb")))
     lo, hi = F.greatest(F.col("_start"), F.col("_b") * block_words), F.least(F.col("_end"), (F.col("_b") + 1) * block_words)
     part = F.greatest(F.lit(0), F.least(hi, F.col("_b") * block_words + F.col("_part")) - lo)
     taken = pieces.groupBy("source", "_start").agg(F.sum((hi - lo) * F.col("_whole") + part).alias("_taken"))
